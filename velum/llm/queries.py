@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from velum.llm import decontam, media, simhash
+from velum.llm import decontam, langid, licenses, media, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +27,18 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(documents(spark, sf_dir))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.array_join("languages", ",").alias("languages"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.array_join("expressions", "; ").alias("expressions"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op3_simhash, op4_decontamination)}
+    return {f.__name__: f for f in (op1_media, op3_simhash, op4_decontamination, op6_langid, op7_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
