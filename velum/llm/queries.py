@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.llm import decontam, langid, licenses, media, simhash
+from velum.llm import decontam, langid, licenses, media, sharding, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.shard(documents(spark, sf_dir), shards=8)
+    crc = F.crc32(F.coalesce("text", F.lit("")))
+    return sharded.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(documents(spark, sf_dir))
     return found.select("doc_id", "held_out", "lang_pred", "score", F.array_join("languages", ",").alias("languages"))
@@ -38,7 +44,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op3_simhash, op4_decontamination, op6_langid, op7_licenses)}
+    return {f.__name__: f for f in (op1_media, op3_simhash, op4_decontamination, op5_sharding, op6_langid, op7_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
