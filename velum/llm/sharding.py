@@ -33,8 +33,8 @@ _KEYS = 1 << 128
 
 def _keys(hi: pa.Array, lo: pa.Array) -> np.ndarray:
     """Sixteen bytes a row that sort as (hi, lo). A null lo comes first."""
-    parts = [(np.asarray(x.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8") for x in (hi, lo)]
-    return np.ascontiguousarray(np.stack(parts, axis=1)).view("S16").ravel()
+    parts = [np.asarray(x.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), np.int64).view(np.uint64) ^ np.uint64(1 << 63) for x in (hi, lo)]
+    return np.stack(parts, axis=1).astype(">u8").view("S16").ravel()
 
 
 def _bytes(probes: list[int]) -> np.ndarray:
@@ -75,12 +75,8 @@ def splitters(keys: DataFrame, shards: int, per_shard: int, tolerance: float = T
     for _ in range(max_rounds):
         below = rows = 0
         counts = {r[0]: r[1:] for r in _count(keys, ask)}
-        for k in range(len(ask) + 1):  # a range's rows lie between known bytes below its first probe and its end
-            start = ask[k - 1] if k else 0
-            if total is not None and start in known:
-                below, rows = known[start]
-            else:
-                known[start] = (below, rows)
+        for k in range(len(ask) + 1):
+            known[ask[k - 1] if k else 0] = (below, rows)
             if k in counts:
                 size, m, least, most = counts[k]
                 known[least] = (below, rows)
@@ -98,22 +94,17 @@ def splitters(keys: DataFrame, shards: int, per_shard: int, tolerance: float = T
             i = bisect.bisect_right(lows, target) - 1
             lo = places[i]
             hi = places[min(i + 1, len(places) - 1)]
-            best = min(lo, hi, key=lambda p: abs(known[p][0] - target))
+            best = min((lo, hi), key=lambda p: abs(known[p][0] - target))
             out.append((best, *known[best]))
             if abs(known[best][0] - target) > allowed and hi - lo > 1 and known[hi][1] - known[lo][1] > 1:
                 ask_next |= {lo + (hi - lo) * j // (probes + 1) for j in range(1, probes + 1)} | {hi}
                 ask_next.discard(lo)
         if not ask_next:
             return out
-        ask = sorted(ask_next | {x for x in _starts(places, ask_next)})
+        ask = sorted(ask_next)
     raise RuntimeError("the splitters did not settle")
 
 
-def _starts(places: list[int], ask: set[int]) -> set[int]:
-    """The known places below the probes, so that every counted range begins at a known place or ends before one."""
-    return {places[bisect.bisect_left(places, a) - 1] for a in ask if bisect.bisect_left(places, a)} - {0}
-
-
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
     """``docs``, all columns, with size (UTF-8 bytes of the text, null none, plus 1), shard (0 to shards - 1, of near
     equal size) and slot (gapless from 0 in each shard, in the order of the keys). Columns of ``docs`` with one of
