@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.llm import decontam, langid, licenses, media, sharding, simhash
+from velum.llm import decontam, langid, licenses, media, sharding, simhash, tokenfiles
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +43,20 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.array_join("expressions", "; ").alias("expressions"))
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_tokenfiles(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    with open(path or vocabulary("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    return tokenfiles.token_files(documents(spark, sf_dir), tokenizer, end_id=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op3_simhash, op4_decontamination, op5_sharding, op6_langid, op7_licenses)}
+    return {f.__name__: f for f in (op1_media, op3_simhash, op4_decontamination, op5_sharding, op6_langid, op7_licenses, op8_tokenfiles)}
 
 
 def oracle_sql() -> dict[str, str]:
