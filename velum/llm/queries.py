@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.llm import decontam, langid, licenses, media, sharding, simhash, tokenfiles
+from velum.llm import decontam, langid, licenses, media, piece_bpe, sharding, simhash, tokenfiles, viterbi
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +55,21 @@ def op8_tokenfiles(spark: SparkSession, sf_dir: str, path: str | None = None) ->
     return tokenfiles.token_files(documents(spark, sf_dir), tokenizer, end_id=1)
 
 
+def piece_model(path: str | None = None) -> bytes:
+    with open(path or vocabulary("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    return piece_bpe.round_trip(documents(spark, sf_dir), piece_model(path))
+
+
+def op10_tokencounts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    return viterbi.token_counts(documents(spark, sf_dir), viterbi.as_unigram(piece_model(path)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op3_simhash, op4_decontamination, op5_sharding, op6_langid, op7_licenses, op8_tokenfiles)}
+    return {f.__name__: f for f in (op1_media, op3_simhash, op4_decontamination, op5_sharding, op6_langid, op7_licenses, op8_tokenfiles, op9_sentencepiece, op10_tokencounts)}
 
 
 def oracle_sql() -> dict[str, str]:
