@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velum.session import importable
+
 #: Rows of text that Spark hands to a Python worker at once. Bounds a worker's memory when documents are long.
 BATCH_ROWS = 1024
 
@@ -20,7 +22,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     now = int(spark.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
-    sc = spark.sparkContext
+    sc = importable(spark).sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="velum-"))
     return spark

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.llm import decontam, langid, licenses, media, piece_bpe, sharding, simhash, tokenfiles, viterbi
+from velum.llm import decontam, langid, licenses, media, piece_bpe, sharding, simhash, tokenfiles, toxicity, viterbi
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(documents(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.severities(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -68,8 +72,16 @@ def op10_tokencounts(spark: SparkSession, sf_dir: str, path: str | None = None)
     return viterbi.token_counts(documents(spark, sf_dir), viterbi.as_unigram(piece_model(path)))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op3_simhash, op4_decontamination, op5_sharding, op6_langid, op7_licenses, op8_tokenfiles, op9_sentencepiece, op10_tokencounts)}
+    import corpus_pipeline  # noqa: F401  without its file these queries aren't offered
+
+    return {f.__name__: f for f in (op1_media, op2_toxicity, op3_simhash, op4_decontamination, op5_sharding, op6_langid, op7_licenses, op8_tokenfiles, op9_sentencepiece, op10_tokencounts, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
