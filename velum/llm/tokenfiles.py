@@ -17,6 +17,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +101,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(tokenizer_json: str, end_id: int) -> Encoder:
+    """One encoder in a worker process, so that tasks that follow each other there share the words it has met."""
+    return Encoder(tokenizer_json, end_id)
+
+
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else re.sub(r"^file:", "", uri))
 
@@ -124,7 +131,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, end_id:
             if not b.num_rows:
                 continue
             if out is None:
-                encoder = Encoder(sent.value, end_id)
+                encoder = encoder_of(sent.value, end_id)
                 out = fs.open_output_stream(f"{path}/{file}.bin", compression=None)
             packed = encoder.encode(texts(b.column(1)))
             ids.append(np.asarray(b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False), np.int64))
