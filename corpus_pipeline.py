@@ -32,9 +32,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, the end id last, and the digest of what they decode to."""
-    encoded = piece_bpe.with_ids(docs.select("doc_id", "text"), piece_model()).select("doc_id", "ids")
-    decoded = piece_bpe.with_decoded(encoded, piece_model())
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    made = piece_bpe.with_round_trip(docs.select("doc_id", "text"), piece_model())
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

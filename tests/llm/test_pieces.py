@@ -42,6 +42,13 @@ def test_backtracking_alone_equals_the_merges(model):
         assert e.backtrack(t) == e.merge(t)
 
 
+def test_separate_columns_agree(spark, model):
+    df = spark.createDataFrame([(t,) for t in [*odd_texts(9, 30), None, ""]], "text string")
+    apart = piece_bpe.with_decoded(piece_bpe.with_ids(df, model), model).select("text", "ids", "decoded")
+    both = piece_bpe.with_round_trip(df, model).select("text", "ids", "decoded")
+    assert sorted(map(str, apart.collect())) == sorted(map(str, both.collect()))
+
+
 def test_round_trip_of_odd_rows(spark, model):
     library = sentencepiece.SentencePieceProcessor(model_file=PATH)
     rows = list(enumerate(odd_texts(4, 120))) + [(900, None), (901, ""), (902, "again"), (902, "again"), (None, "no id")]

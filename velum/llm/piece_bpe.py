@@ -9,9 +9,10 @@ that position. Time is linear in practice, and compatible pairs are kept.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -20,25 +21,25 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velum.llm.common import narrow, prepare, texts
+from velum.llm.common import fresh, narrow, prepare, texts
 from velum.llm.pieces import SPACE, Kept, Pieces
 
-PAIRS = 500_000
+PAIRS = 200_000
 
 
 class MergeEncoder:
     def __init__(self, model: bytes):
         self.pieces = Pieces(model)
         ids, score = self.pieces.ids, self.pieces.score
-        self.whole: dict[str, bool] = {}
-        ranks = list(score.values())
-        self.tied = {p for p in ids if len(p) > 1 and ranks.count(score[p]) > 1} if len(set(ranks)) < len(ranks) else set()
+        shared = {x for x, n in Counter(score.values()).items() if n > 1}
+        tied = {p for p in ids if len(p) > 1 and score[p] in shared}
+        self.tied = [p for p in tied if not any(q in p for q in tied if q != p)]  # the shortest: each other has one
         # tokens that merging their characters gives back, and for each its next shorter prefix of that kind
         self.tokens = {p for p in ids if len(p) == 1 or self.merge(p) == [p]}
         self.prefix = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.tokens), None) for p in self.tokens}
         self.automaton = ahocorasick.Automaton()
         for p in self.tokens:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, (p, len(p)))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.parts = Kept(self.encode_part)
@@ -78,10 +79,8 @@ class MergeEncoder:
         """The tokens of a text all of whose characters are pieces."""
         n = len(text)
         longest: list[str | None] = [None] * n
-        for end, token in self.automaton.iter(text):
-            start = end - len(token) + 1
-            if longest[start] is None or len(token) > len(longest[start]):
-                longest[start] = token
+        for end, (token, length) in self.automaton.iter(text):
+            longest[end - length + 1] = token  # of one start, longer tokens end later
         failed = bytearray((n >> 3) + 1)  # a bit for each position; set where no encoding passes
         out: list[str] = []
         at, token = 0, longest[0]
@@ -107,6 +106,7 @@ class MergeEncoder:
         """Ids of a part. Characters that are no piece are their bytes; where pieces of equal score (runs of the word
         mark) could meet, the merges are carried out."""
         ids, known = self.pieces.ids, self.pieces.ids
+        part = part.replace(" ", SPACE)
         out: list[int] = []
         k = 0
         while k < len(part):
@@ -131,12 +131,26 @@ class MergeEncoder:
         return ids
 
 
+@lru_cache(maxsize=1)
+def encoder_of(model: bytes) -> MergeEncoder:
+    """One encoder in a worker process, so that tasks that follow each other there share what it has met."""
+    return MergeEncoder(model)
+
+
+def _lists(batch: pa.Array) -> Iterator[list[int] | None]:
+    """The lists of an Arrow list array, by way of flat numbers."""
+    flat, at = batch.flatten().to_numpy(), 0
+    for n in batch.value_lengths().to_pylist():
+        yield None if n is None else flat[at : at + n].tolist()
+        at += n or 0
+
+
 def with_ids(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the ids of each text, the end id last; null texts as empty ones."""
     sent = prepare(docs.sparkSession).sparkContext.broadcast(model)  # a vocabulary file
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = MergeEncoder(sent.value)
+        encoder = encoder_of(sent.value)
         for batch in batches:
             yield pa.array([encoder.encode(t) for t in texts(batch)], pa.list_(pa.int32()))
 
@@ -150,20 +164,31 @@ def with_decoded(docs: DataFrame, model: bytes, ids_col: str = "ids", decoded_co
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         library = sentencepiece.SentencePieceProcessor(model_proto=sent.value)
         for batch in batches:
-            yield pa.array([None if ids is None else library.decode(ids) for ids in batch.to_pylist()], pa.string())
+            yield pa.array([None if ids is None else library.decode(ids) for ids in _lists(batch)], pa.string())
 
     return docs.withColumn(decoded_col, F.arrow_udf(decode, "string")(F.col(ids_col)))
 
 
+def with_round_trip(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """Both, in one pass through Python."""
+    sent = prepare(docs.sparkSession).sparkContext.broadcast(model)
+    both = fresh(docs, "ids_and_decoded")
+
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, library = encoder_of(sent.value), sentencepiece.SentencePieceProcessor(model_proto=sent.value)
+        for batch in batches:
+            ids = [encoder.encode(t) for t in texts(batch)]
+            columns = [pa.array(ids, pa.list_(pa.int32())), pa.array([library.decode(x) for x in ids], pa.string())]
+            yield pa.StructArray.from_arrays(columns, names=["ids", "decoded"])
+
+    made = docs.withColumn(both, F.arrow_udf(encode, "struct<ids:array<int>,decoded:string>")(F.col(text_col)))
+    return made.withColumns({ids_col: F.col(f"{both}.ids"), decoded_col: F.col(f"{both}.decoded")}).drop(both)
+
+
 def round_trip(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens (with the end id), ids_sha256 (of the decimal ids joined by a
     space), decoded_sha256 (of the decoded text). Null and empty texts have the end id only; repeated rows stay; an
     empty table gives none."""
-
-    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() for ids in batch.to_pylist()])
-
-    encoded = with_ids(narrow(docs, doc_id=id_col, text=text_col), model).select("doc_id", "ids")
-    decoded = with_decoded(encoded, model)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.arrow_udf(digest, "string")("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    made = with_round_trip(narrow(docs, doc_id=id_col, text=text_col), model)
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

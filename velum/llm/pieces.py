@@ -12,8 +12,8 @@ from collections.abc import Callable
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Parts of texts whose result a task keeps; longer parts aren't kept.
-CACHED, CACHED_LENGTH = 300_000, 48
+#: Parts of texts whose result a task keeps, in each of two generations; longer parts aren't kept.
+CACHED, CACHED_LENGTH = 150_000, 48
 
 
 class Pieces:
@@ -57,29 +57,34 @@ class Pieces:
                 reached.add(c)
                 todo += joined.get(c, ())
         word = "".join(re.escape(c) for c in sorted(reached))
-        return re.compile(f"{SPACE}*[{word}]+|{SPACE}*[^{word}{SPACE}]+|{SPACE}+")
+        return re.compile(f" *[{word}]+| *[^{word} ]+| +")
 
     def cut(self, text: str) -> list[str]:
-        """The parts of a text, with the word mark for spaces."""
+        """The parts of a text. Spaces and word marks, which are the same, are spaces in them."""
         if not text:
             return []
-        return self._cut.findall((SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE))
+        return self._cut.findall((" " if self.dummy_prefix else "") + text.replace(SPACE, " "))
 
     def fallback(self, character: str) -> list[int]:
         return [self.bytes[b] for b in character.encode("utf-8", "surrogatepass")]
 
 
 class Kept(dict):
-    """Results of ``make`` by part, as many as a task may keep."""
+    """Results of ``make`` by part. When a generation is full, the one before it is dropped, and what is asked for again
+    moves on into the new one: frequent parts stay."""
 
     def __init__(self, make: Callable):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, part: str):
-        made = self.make(part)
-        if len(part) <= CACHED_LENGTH:
-            if len(self) >= CACHED:
-                self.clear()
-            self[part] = made
+        made = self.old.get(part)
+        if made is None:
+            made = self.make(part)
+            if len(part) > CACHED_LENGTH:
+                return made
+        if len(self) >= CACHED:
+            self.old = dict(self)
+            self.clear()
+        self[part] = made
         return made

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velum.llm.common import narrow, prepare, texts
-from velum.llm.pieces import Kept, Pieces
+from velum.llm.pieces import SPACE, Kept, Pieces
 
 UNKNOWN_PENALTY = 10.0
 
@@ -48,6 +48,7 @@ class Counter:
         self.parts = Kept(self.count_part)
 
     def count_part(self, part: str) -> tuple[int, float]:
+        part = part.replace(" ", SPACE)
         n = len(part)
         none = float("-inf")
         best, count = [0.0] + [none] * n, [0] * (n + 1)
