@@ -2,17 +2,43 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
+_MODULES = ("text_queries", "record_queries")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def register(oracle: str | None = None) -> Callable[[Query], Query]:
+    """Register a query by its function's name, with DuckDB SQL for its rows where SQL can express them."""
+
+    def add(query: Query) -> Query:
+        _QUERIES[query.__name__] = query
+        if oracle is not None:
+            _ORACLES[query.__name__] = oracle
+        return query
+
+    return add
+
+
+def _load() -> None:
+    for m in _MODULES:
+        importlib.import_module(f"velum.plans.{m}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
