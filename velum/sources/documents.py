@@ -102,7 +102,7 @@ def extract(files: DataFrame) -> DataFrame:
 
         return pd.Series([one(k, c) for k, c in zip(kinds, contents, strict=True)])
 
-    plain = files.where("kind = 'text'").select("path", "kind", F.lit("").alias("part"), F.decode("content", "UTF-8").alias("text"))
+    plain = files.where("kind = 'text'").select("path", "kind", F.lit("").alias("part"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     packed = files.where("kind in ('pdf', 'docx', 'xlsx')").select("path", "kind", F.inline(find("kind", "content")))
     return plain.unionByName(packed)
 
