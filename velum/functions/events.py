@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velum.functions.regex import let
+from velum.functions.regex import found_in, let
 
 EVENT = "struct<original:string,replaced:string,category:string,pattern:string>"
 EVENTS = f"array<{EVENT}>"
@@ -75,6 +75,14 @@ def extend(df: DataFrame, stages: list[Stage], result_col: str = "result", newes
     return df
 
 
-def when_found(text: Column, pattern: str, then: Callable[[], Column]) -> Column:
-    """``then`` for texts in which the pattern occurs; others pass unchanged without more work."""
-    return F.when(text.rlike(pattern), then()).otherwise(state(text))
+def only_changed(df: DataFrame, result_col: str = "result") -> DataFrame:
+    """The rows whose ``result_col`` has events. A plain filter would be pushed below the projection, and the whole
+    chain would run twice; this one is part of it."""
+    found = F.explode(F.filter(F.array(result_col), lambda r: F.size(r["events"]) > 0))
+    return df.select(*[c for c in df.columns if c != result_col], found.alias(result_col))
+
+
+def when_found(text: Column, pattern: str, then: Callable[[], Column], needs: str | None = None) -> Column:
+    """``then`` for texts in which the pattern occurs; others pass unchanged without more work. ``needs`` is a literal
+    without which it can't occur."""
+    return F.when(found_in(text, pattern, needs), then()).otherwise(state(text))

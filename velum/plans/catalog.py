@@ -42,3 +42,15 @@ def oracle_sql() -> dict[str, str]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on all cores. A table that has fewer splits than there are cores, as a small single file has, is dealt
+    out before work that is heavy on each row; one with more, as any large table, stays as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table of texts, spread."""
+    return spread(table(spark, sf_dir, name).select(*columns))

@@ -13,7 +13,7 @@ from velum.functions import events
 from velum.operators import detect, dictionary, secrets, smart
 from velum.operators.dictionary import Mapping
 from velum.plans import outbound
-from velum.plans.catalog import register, table
+from velum.plans.catalog import register, table, texts
 from velum.sources import documents as files
 
 
@@ -78,7 +78,7 @@ def _redact_sql(source: str, key: str) -> str:
 
 
 def _redacted(df: DataFrame, key: str, col: str) -> DataFrame:
-    r = df.select(key, secrets.redact(F.col(col)).alias("r")).where(F.size("r.events") > 0)
+    r = events.only_changed(df.select(key, secrets.redact(F.col(col)).alias("r")), "r")
     return r.select(key, F.col("r.text").alias("redacted"), F.size("r.events").cast("long").alias("n_redactions"))
 
 
@@ -86,12 +86,12 @@ _TAILED = f"SELECT doc_id, concat(text, {SECRET_TAIL}) AS t FROM documents"
 
 
 def _tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(f"concat(text, {SECRET_TAIL})").alias("t"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.expr(f"concat(text, {SECRET_TAIL})").alias("t"))
 
 
 @register(_redact_sql("SELECT doc_id, text AS t FROM documents", "doc_id"))
 def secret_redact_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _redacted(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return _redacted(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 @register(_redact_sql(_TAILED, "doc_id"))
@@ -101,7 +101,7 @@ def secret_redact_all_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(_redact_sql("SELECT page_id, html AS t FROM pages", "page_id"))
 def secret_redact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _redacted(table(spark, sf_dir, "pages"), "page_id", "html")
+    return _redacted(texts(spark, sf_dir, "pages", "page_id", "html"), "page_id", "html")
 
 
 @register(f"{secret_chain(_TAILED, 'doc_id')} SELECT pattern, count(*) AS n_hits, count(DISTINCT doc_id) AS n_docs FROM ({_all_hits('doc_id')}) GROUP BY pattern")
@@ -124,8 +124,8 @@ def custom_pattern_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     from velum.functions.regex import B
 
     rows = [{"name": "Word", "pattern": f"{B}th[a-z]+e{B}", "redact": "[W]"}, {"name": "Digits", "pattern": r"\d+"}, {"name": "Off", "pattern": ".", "enabled": False}, {"name": "Broken", "pattern": "("}]
-    r = table(spark, sf_dir, "documents").select("doc_id", secrets.redact(F.col("text"), secrets.custom(spark, rows)).alias("r"))
-    return r.where(F.size("r.events") > 0).select("doc_id", F.col("r.text").alias("redacted"))
+    r = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", secrets.redact(F.col("text"), secrets.custom(spark, rows)).alias("r"))
+    return events.only_changed(r, "r").select("doc_id", F.col("r.text").alias("redacted"))
 
 
 # --- detection ------------------------------------------------------------------------------------------------------
@@ -193,7 +193,7 @@ def findings_sql(source: str, keys: str, variant: str) -> str:
 
 
 def _docs_tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.expr(f"concat(text, {DETECT_TAIL})").alias("text"))
+    return texts(spark, sf_dir, "documents", "doc_id", "lang", "text").select("doc_id", "lang", F.expr(f"concat(text, {DETECT_TAIL})").alias("text"))
 
 
 @register(f"""WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx, ord) AS rn FROM ({findings_sql(_DOCS_TAILED, 'doc_id', 'lib')})),
@@ -243,7 +243,7 @@ _FAKE_SQL = """CASE WHEN name IN ('Private IP', 'Public IP') THEN '192.0.2.1' WH
     SELECT doc_id, arg_max(t, n) AS redacted, max(n)::BIGINT AS n_values FROM r GROUP BY doc_id""")
 def detect_redact_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = events.apply(_docs_tailed(spark, sf_dir), "text", [detect.stage()], "r")
-    return r.where(F.size("r.events") > 0).select("doc_id", F.col("r.text").alias("redacted"), F.size("r.events").cast("long").alias("n_values"))
+    return events.only_changed(r, "r").select("doc_id", F.col("r.text").alias("redacted"), F.size("r.events").cast("long").alias("n_values"))
 
 
 @register(f"SELECT value AS \"real\", min({_FAKE_SQL}) AS substitute, min(category) AS category, count(*) AS n_docs FROM ({_LIVE_VALUES}) GROUP BY value")
@@ -261,7 +261,7 @@ _STOP = ", ".join(lit(w) for w in detect.STOP_WORDS)
     k AS (SELECT *, list_filter(every, lambda x: len(x) >= 3 AND lower(x) NOT IN ({_STOP})) AS proper, idx = 0 OR regexp_matches(substr(text, greatest(idx - 1, 1), least(idx, 2)), '[.!?\\n]\\s*$') AS starts FROM w)
     SELECT DISTINCT doc_id, array_to_string(proper, ' ') AS value FROM k WHERE len(proper) > 0 AND NOT (starts AND len(proper) = 1 AND len(every) = 1)""")
 def proper_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(detect.proper_nouns(F.col("text"))).alias("f"))
+    found = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(detect.proper_nouns(F.col("text"))).alias("f"))
     return found.select("doc_id", "f.value")
 
 
@@ -277,7 +277,7 @@ _SUBSTITUTED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text
     (len(regexp_extract_all(text, 'other')) + len(regexp_extract_all(regexp_replace(text, 'other', '<O>', 'g'), '(?i)thing'))
     + len(regexp_extract_all(regexp_replace(regexp_replace(text, 'other', '<O>', 'g'), 'thing', '<G>', 'gi'), '(?i)the')) + len(regexp_extract_all(text, 'que')))::BIGINT AS n FROM documents""")
 def dict_substitute_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "documents").select("doc_id", dictionary.substitute(F.col("text"), RULES).alias("r"))
+    r = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", dictionary.substitute(F.col("text"), RULES).alias("r"))
     return r.select("doc_id", F.col("r.text").alias("substituted"), F.size("r.events").cast("long").alias("n"))
 
 
@@ -290,7 +290,7 @@ def dict_reveal_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"""SELECT r AS "real", sum(len(regexp_extract_all(text, CASE WHEN cs THEN r ELSE '(?i)' || r END)))::BIGINT AS n FROM documents, {_RULES_SQL} GROUP BY r""")
 def dict_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select(F.inline(dictionary.counts(F.col("text"), RULES)))
+    found = texts(spark, sf_dir, "documents", "text").select(F.inline(dictionary.counts(F.col("text"), RULES)))
     return found.groupBy("real").agg(F.sum("n").alias("n"))
 
 
@@ -300,13 +300,13 @@ def _rule_table(spark: SparkSession) -> DataFrame:
 
 @register(f"""SELECT doc_id, r AS "real", s AS substitute, category FROM documents JOIN {_RULES_SQL} ON regexp_matches(text, CASE WHEN cs THEN r ELSE '(?i)' || r END)""")
 def dict_scan_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dictionary.scan_by_table(table(spark, sf_dir, "documents"), _rule_table(spark), "doc_id")
+    return dictionary.scan_by_table(texts(spark, sf_dir, "documents", "doc_id", "text"), _rule_table(spark), "doc_id")
 
 
 @register(f"SELECT doc_id, {_SUBSTITUTED} AS substituted FROM documents")
 def dict_substitute_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     # rules of equal length go by their text: other, thing; que, the
-    r = dictionary.substitute_by_table(table(spark, sf_dir, "documents"), _rule_table(spark), result_col="r")
+    r = dictionary.substitute_by_table(texts(spark, sf_dir, "documents", "doc_id", "text"), _rule_table(spark), result_col="r")
     return r.select("doc_id", F.col("r.text").alias("substituted"))
 
 
@@ -365,14 +365,14 @@ _PEOPLE_SQL = "SELECT doc_id, replace(concat(text, " + PEOPLE_TAIL + "), '~Users
 
 
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr("replace(concat(text, " + PEOPLE_TAIL.replace("''", "\\'") + "), '~Users~', concat(char(92), 'Users', char(92)))").alias("t"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.expr("replace(concat(text, " + PEOPLE_TAIL.replace("''", "\\'") + "), '~Users~', concat(char(92), 'Users', char(92)))").alias("t"))
 
 
 def _family(spark: SparkSession, sf_dir: str, *families: str) -> DataFrame:
     every = ("emails", "phones", "names", "usernames")
     identity = smart.Identity(**{**PEOPLE.__dict__, "enabled": {f: f in families for f in every}})
     r = events.apply(_people(spark, sf_dir), "t", smart.stages(identity), "r")
-    return r.where(F.size("r.events") > 0).select("doc_id", F.col("r.text").alias("t"), F.size("r.events").cast("long").alias("n"))
+    return events.only_changed(r, "r").select("doc_id", F.col("r.text").alias("t"), F.size("r.events").cast("long").alias("n"))
 
 
 _EMAIL = r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b"
@@ -416,7 +416,7 @@ def smart_username_host(spark: SparkSession, sf_dir: str) -> DataFrame:
 def smart_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     identity = smart.Identity(usernames=(("am", "es"),), enabled={"usernames": False, "emails": False})
     r = events.apply(_people(spark, sf_dir), "t", smart.stages(identity, "lib"), "r")
-    return r.where(F.size("r.events") > 0).select("doc_id", F.col("r.text").alias("t"), F.size("r.events").cast("long").alias("n"))
+    return events.only_changed(r, "r").select("doc_id", F.col("r.text").alias("t"), F.size("r.events").cast("long").alias("n"))
 
 
 @register("""SELECT f.n || ' ' || l.n AS "real", 'Eve ' || l.s AS substitute FROM (SELECT DISTINCT 'First' || n_regionkey AS n FROM nation) f, (SELECT n_name AS n, lower(n_name) AS s FROM nation) l
@@ -493,7 +493,7 @@ def domain_prefix_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT page_id, regexp_split_to_array(html, '>[^<]+<') AS g, regexp_extract_all(html, '>[^<]+<') AS h FROM pages)""")
 def xml_text_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     change = lambda t: F.replace(t, F.lit("e"), F.lit("E"))
-    return table(spark, sf_dir, "pages").select("page_id", outbound.rewrite_markup(F.col("html"), change).alias("html_out"))
+    return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", outbound.rewrite_markup(F.col("html"), change).alias("html_out"))
 
 
 @register("""SELECT page_id, CASE WHEN ext IN ('pdf', 'docx', 'xlsx') THEN ext WHEN ext IN ('txt', 'html', 'py') THEN 'text' WHEN contains(mime, 'pdf') THEN 'pdf' WHEN starts_with(mime, 'text/') THEN 'text' ELSE 'unknown' END AS kind
