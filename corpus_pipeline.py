@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from velum.llm import decontam, langid, piece_bpe, simhash, toxicity
 from velum.llm.common import shared_folder
 from velum.llm.queries import piece_model
+from velum.plans.catalog import spread
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage. What each stage keeps is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES:
         folder = shared_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(folder)

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.llm import decontam, langid, licenses, media, piece_bpe, sharding, simhash, tokenfiles, toxicity, viterbi
+from velum.plans.catalog import spread
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +80,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline  # noqa: F401  without its file these queries aren't offered
-
     return {f.__name__: f for f in (op1_media, op2_toxicity, op3_simhash, op4_decontamination, op5_sharding, op6_langid, op7_licenses, op8_tokenfiles, op9_sentencepiece, op10_tokencounts, pipeline)}
 
 
