@@ -83,5 +83,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_media, op2_toxicity, op3_simhash, op4_decontamination, op5_sharding, op6_langid, op7_licenses, op8_tokenfiles, op9_sentencepiece, op10_tokencounts, pipeline)}
 
 
+_WORDS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP4_SQL = f"""WITH d AS (SELECT doc_id, coalesce({_WORDS.format(t="text")}, []) AS w FROM documents),
+    b AS (SELECT cast(item_id AS VARCHAR) AS item, {_WORDS.format(t="text")} AS w FROM benchmark WHERE text IS NOT NULL),
+    windows AS (SELECT item, n, array_to_string(list_slice(w, i + 1, i + n), ' ') AS win FROM (SELECT item, w, least(len(w), 10) AS n, unnest(range(0, len(w) - least(len(w), 10) + 1)) AS i FROM b WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT n FROM windows),
+    places AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i + 1, i + n), ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),
+    found AS (SELECT p.doc_id, p.n, p.i, x.item FROM places p JOIN windows x ON p.n = x.n AND p.win = x.win),
+    hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT doc_id, n, i FROM found)) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(digest, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": OP4_SQL}
