@@ -75,7 +75,7 @@ def test_stages_run_in_order(spark):
 def test_bodies_of_any_shape(spark):
     body = {"id": "acme", "m": [{"text": "acme", "key": "acme"}, "acme x", "a", 1, None, [["John"]]], "n": {"deep": {"v": "no"}}}
     rows = [(1, json.dumps(body)), (2, "acme raw"), (3, '"acme"'), (4, None), (5, "{}"), (6, "[]")]
-    got = {r.id: r.body_out for r in outbound.substitute_bodies(spark.createDataFrame(rows, "id int, body string"), CONFIG, "id", "body").collect()}
+    got = {r.id: r.body_out for r in outbound.substitute_bodies(spark.createDataFrame(rows, "id int, body string"), CONFIG, "body").collect()}
     assert json.loads(got[1]) == {"id": "acme", "m": [{"text": "zeta", "key": "acme"}, "zeta x", "a", 1, None, [["Kim"]]], "n": {"deep": {"v": "no"}}}
     assert (got[2], got[3], got[4], got[5], got[6]) == ("zeta raw", '"acme"', None, "{}", "[]")
 

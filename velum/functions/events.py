@@ -75,6 +75,22 @@ def extend(df: DataFrame, stages: list[Stage], result_col: str = "result", newes
     return df
 
 
+def extend_each(df: DataFrame, stages: list[Stage], states_col: str) -> DataFrame:
+    """The same for a column of arrays of such structs: every element after the stages."""
+
+    def together(some: list[Stage]) -> Callable[[Column], Column]:
+        def chain(now: Column) -> Column:
+            for stage in some:
+                now = after(now, stage)
+            return now
+
+        return chain
+
+    for k in range(0, len(stages), TOGETHER):
+        df = df.withColumn(states_col, F.transform(states_col, together(stages[k : k + TOGETHER])))
+    return df
+
+
 def only_changed(df: DataFrame, result_col: str = "result") -> DataFrame:
     """The rows whose ``result_col`` has events. A plain filter would be pushed below the projection, and the whole
     chain would run twice; this one is part of it."""

@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructField, StructType
 
 from velum.functions import events
-from velum.functions.regex import hits, let, rewrite
+from velum.functions.regex import rewrite
 from velum.operators import detect, dictionary, secrets, smart
 
 # Keys of JSON objects whose values are never changed, and URLs that are never touched.
@@ -111,72 +112,75 @@ def walk(column: Column, kind: DataType, change: Callable[[Column], Column], key
 
 
 
-def json_strings(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """(id, seq, value) of every string that a walk through JSON of any shape would change. The walk is the only part
-    that needs Python; the values are then changed by the pipeline as columns."""
+def _strings(node: object, out: list[str]) -> None:
+    items = node.items() if isinstance(node, dict) else enumerate(node) if isinstance(node, list) else ()
+    for k, v in items:
+        if isinstance(node, dict) and k in SKIP_KEYS:
+            continue
+        if isinstance(v, str):
+            if len(v) >= MIN_STRING:
+                out.append(v)
+        else:
+            _strings(v, out)
 
-    def strings(node: object, out: list[str]) -> None:
-        items = node.items() if isinstance(node, dict) else enumerate(node) if isinstance(node, list) else ()
-        for k, v in items:
-            if isinstance(node, dict) and k in SKIP_KEYS:
-                continue
-            if isinstance(v, str):
-                if len(v) >= MIN_STRING:
-                    out.append(v)
-            else:
-                strings(v, out)
 
-    @F.pandas_udf("array<string>")
-    def find(bodies: pd.Series) -> pd.Series:
-        def one(body: str | None) -> list[str] | None:
-            try:
-                node = json.loads(body)
-            except (TypeError, ValueError):
-                return None
-            out: list[str] = []
-            strings(node, out)
-            return out
+def _filled(node: object, new: Iterator[str]) -> object:
+    if isinstance(node, dict):
+        return {k: v if k in SKIP_KEYS else _filled(v, new) for k, v in node.items()}
+    if isinstance(node, list):
+        return [_filled(v, new) for v in node]
+    return next(new) if isinstance(node, str) and len(node) >= MIN_STRING else node
 
-        return bodies.map(one)
 
-    return docs.select(F.col(id_col), F.posexplode(find(json_col)).alias("seq", "value"))
+def _parsed(body: str | None) -> tuple[bool, object]:
+    try:
+        return True, json.loads(body)
+    except (TypeError, ValueError):
+        return False, None
 
 
-def with_strings(docs: DataFrame, values: DataFrame, id_col: str, json_col: str, result_col: str) -> DataFrame:
-    """``docs`` with their JSON in which the n-th string is the n-th of ``values`` (id, seq, value)."""
+def substitute_bodies(docs: DataFrame, config: Config, body_col: str, result_col: str = "body_out") -> DataFrame:
+    """``docs`` with their bodies rewritten: JSON of any shape by its strings, other text of over two characters whole.
 
-    def put(node: object, new: Iterator[str]) -> object:
-        if isinstance(node, dict):
-            return {k: v if k in SKIP_KEYS else put(v, new) for k, v in node.items()}
-        if isinstance(node, list):
-            return [put(v, new) for v in node]
-        return next(new) if isinstance(node, str) and len(node) >= MIN_STRING else node
+    Only taking a JSON apart and putting it together needs Python; its strings pass through the pipeline as an array
+    column. Nothing is shuffled. A JSON that is a string itself stays, as do bodies without any replacement.
+    """
 
-    @F.pandas_udf("string")
-    def fill(bodies: pd.Series, lists: pd.Series) -> pd.Series:
-        def one(body: str | None, new: list[str] | None) -> str | None:
-            try:
-                node = json.loads(body)
-            except (TypeError, ValueError):
-                return body
-            if not isinstance(node, (dict, list)) or new is None:
-                return body
-            return json.dumps(put(node, iter(new)), ensure_ascii=False, separators=(",", ":"))
+    def take_apart(bodies: pd.Series) -> pd.DataFrame:
+        rows = []
+        for b in bodies:
+            is_json, node = _parsed(b)
+            found: list[str] = []
+            if is_json:
+                _strings(node, found)
+            elif b is not None and len(b) > MIN_STRING:
+                found = [b]
+            rows.append((is_json, found))
+        return pd.DataFrame(rows, columns=["is_json", "strings"])
 
-        return pd.Series([one(b, n) for b, n in zip(bodies, lists, strict=True)], dtype=object)
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body, is_json, changed, new = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (body_col, "is_json", "body_changed", "new_strings"))
+            out = [b if not c else json.dumps(_filled(json.loads(b), iter(n)), ensure_ascii=False, separators=(",", ":")) if k else n[0] for b, k, c, n in zip(body, is_json, changed, new, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(out, pa.string())], names=[*columns, result_col])
 
-    lists = values.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]).alias("new_strings"))
-    return docs.join(lists, id_col, "left").withColumn(result_col, fill(json_col, "new_strings")).drop("new_strings")
-
-
-def substitute_bodies(docs: DataFrame, config: Config, id_col: str, body_col: str, result_col: str = "body_out") -> DataFrame:
-    """``docs`` with their bodies rewritten: JSON by its strings, other text of over two characters whole."""
-    d = docs.withColumn("is_json", F.coalesce(F.try_parse_json(body_col).isNotNull(), F.lit(False)))
-    found = substitute_all(json_strings(d.where("is_json"), id_col, body_col), config, "value", "r").select(id_col, "seq", F.col("r.text").alias("value"))
-    as_json = with_strings(d.where("is_json"), found, id_col, body_col, result_col)
-    raw = substitute_all(d.where("not is_json"), config, body_col, "r")
-    as_text = raw.withColumn(result_col, F.when(F.length(body_col) > MIN_STRING, F.col("r.text")).otherwise(F.col(body_col))).drop("r")
-    return as_json.unionByName(as_text).drop("is_json")
+    apart = F.pandas_udf(take_apart, "struct<is_json:boolean,strings:array<string>>")
+    columns, stages = docs.columns, []
+    if config.active():
+        stages = smart.stages(config.identity) + dictionary.stages(config.mappings)
+    d = docs.withColumn("parts_of_body", apart(body_col))
+    d = d.withColumn("states_of_body", F.transform("parts_of_body.strings", lambda t: events.state(t)))
+    d = events.extend_each(d, stages, "states_of_body")
+    if config.active():
+        if config.settings.secret_scanning and config.secrets:
+            redact = lambda t: secrets.redact(t, config.secrets)
+            d = d.withColumn("states_of_body", F.transform("states_of_body", lambda s: events.after(s, redact)))
+        if config.settings.auto_detect and config.settings.auto_redact_detected:
+            d = events.extend_each(d, [detect.stage(config.identity, config.settings.detect_proper_nouns)], "states_of_body")
+    changed = F.exists("states_of_body", lambda s: F.size(s["events"]) > 0)
+    new = F.when(changed, F.transform("states_of_body", lambda s: s["text"]))
+    ready = d.select(*columns, F.col("parts_of_body.is_json").alias("is_json"), changed.alias("body_changed"), new.alias("new_strings"))
+    return ready.mapInArrow(put_together, StructType([*docs.schema.fields, StructField(result_col, StringType())]))
 
 
 # --- markup ---------------------------------------------------------------------------------------------------------
@@ -189,4 +193,4 @@ def rewrite_markup(markup: Column, change: Callable[[Column], Column]) -> Column
     return rewrite(markup, ">[^<]+<", new)
 
 
-__all__ = ["Config", "Settings", "hits", "intercepted", "json_strings", "let", "rewrite_markup", "skipped_url", "stage_counts", "substitute_all", "substitute_bodies", "walk", "with_strings"]
+__all__ = ["Config", "Settings", "intercepted", "rewrite_markup", "skipped_url", "stage_counts", "substitute_all", "substitute_bodies", "walk"]

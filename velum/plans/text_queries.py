@@ -468,8 +468,8 @@ def json_walk_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def body_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON bodies are rewritten string by string, others as raw text; numbers and skipped keys stay."""
     body = F.expr("""case when event_id % 3 = 0 then props when event_id % 3 = 1 then concat('{"note": "que que is ', event_id, '", "key": "que"}') else concat('raw que ', event_id) end""")
-    rows = table(spark, sf_dir, "events").select("event_id", body.alias("body"))
-    return outbound.substitute_bodies(rows, CONFIG, "event_id", "body").select("event_id", "body_out")
+    rows = texts(spark, sf_dir, "events", "event_id", "props").select("event_id", body.alias("body"))
+    return outbound.substitute_bodies(rows, CONFIG, "body").select("event_id", "body_out")
 
 
 @register(r"""SELECT page_id, url, regexp_matches(url, '(?i)\.(js|css|png|jpg|jpeg|gif|svg|woff2?|ttf|ico)(\?|$)|/analytics/|/telemetry/|/log/|google-analytics|sentry') AS skipped
