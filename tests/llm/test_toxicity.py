@@ -75,3 +75,13 @@ def test_too_few_labels(spark, labels):
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     assert toxicity.severities(d, lab).count() == 2
     assert toxicity.severities(d.where("false"), lab).count() == 0
+
+
+def test_the_model_is_the_same_however_rows_lie(spark):
+    docs, labels = corpus(4, 300)
+    docs += [(1000 + i, docs[i % 50][1] + f" tail{i}") for i in range(200)]
+    labels += [(1000 + i, 1, labels[i % 50][2]) for i in range(200)]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    a, b = toxicity.train(d.repartition(5), lab), toxicity.train(d.orderBy(d.doc_id.desc()).coalesce(2), lab.repartition(3))
+    assert a.weights == b.weights and a.thresholds.tolist() == b.thresholds.tolist()

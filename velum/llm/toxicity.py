@@ -110,9 +110,10 @@ def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
             rows = [{"signature": signature(w) - (1 << 63), "words": sorted(features_of(w))} for w in found]
             yield pa.array(rows, pa.struct([("signature", pa.int64()), ("words", pa.list_(pa.string()))]))
 
-    joined = docs.join(F.broadcast(chosen), "doc_id").select("grade", "text")  # max_rows rows of 12 bytes
-    read_ = joined.select("grade", F.arrow_udf(read, "struct<signature:long,words:array<string>>")("text").alias("d"))
-    return read_.select("grade", F.col("d.signature").alias("signature"), F.col("d.words").alias("words")).dropDuplicates(["grade", "signature"])
+    joined = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")  # max_rows rows of 12 bytes
+    read_ = joined.select("doc_id", "grade", F.arrow_udf(read, "struct<signature:long,words:array<string>>")("text").alias("d"))
+    # of copies the one with the smallest id, and of rows that repeat an id the first in order: the same on every run
+    return read_.groupBy("grade", "d.signature").agg(F.min(F.struct("doc_id", "d.words")).alias("first")).select("grade", "signature", "first.words")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> Model:
@@ -132,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     words = [r.word for r in chosen.collect()]
     place = {w: k for k, w in enumerate(words)}
     few = F.array_intersect("words", F.lit(words) if words else F.array().cast("array<string>"))
-    table = sample.select("grade", few.alias("words")).toArrow()
+    table = sample.select("grade", "signature", few.alias("words")).toArrow().sort_by([("grade", "ascending"), ("signature", "ascending")])
     rows = [np.array([place[w] for w in own], np.int64) for own in table.column("words").to_pylist()]
     w, thresholds = fit_ordinal(rows, table.column("grade").to_numpy().astype(np.int64), len(words))
     return Model({x: float(y) for x, y in zip(words, w, strict=True)}, thresholds)
