@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -70,3 +70,24 @@ def invite_code(url: Column, org_id: Column) -> Column:
 
 def read_invite(code: Column) -> Column:
     return F.from_json(F.decode(F.unbase64(code), "UTF-8"), "url string, orgId string")
+
+
+POLICY = "orgId string, orgName string, version int, requiredMappings array<struct<real:string,substitute:string,category:string,caseSensitive:boolean>>, requiredSecretPatterns array<struct<name:string,regex:string,redact:string>>, sharedIdentityRules struct<requireCatchAllEmail:boolean,requiredCategories:array<string>>, disableTamperProtection boolean"
+
+
+def read_policies(spark: SparkSession, path: str) -> DataFrame:
+    """Policies from JSON files; those without id or name are left out."""
+    rows = spark.read.schema(POLICY).json(path, multiLine=True).where((F.col("orgId") != "") & (F.col("orgName") != ""))
+    return rows.select(F.col("orgId").alias("org_id"), F.col("orgName").alias("org_name"), F.coalesce("version", F.lit(0)).alias("version"), F.col("requiredMappings").alias("required_mappings"), F.col("requiredSecretPatterns").alias("required_secret_patterns"), F.col("sharedIdentityRules").alias("shared_identity_rules"))
+
+
+def required_mappings(policies: DataFrame) -> DataFrame:
+    """(org_id, real, substitute, category, case_sensitive), one row a required mapping."""
+    rows = policies.select("org_id", F.inline("required_mappings"))
+    return rows.withColumnRenamed("caseSensitive", "case_sensitive")
+
+
+def required_patterns(policies: DataFrame) -> list[dict]:
+    """Rows for ``secrets.custom`` of one organisation's policies."""
+    rows = policies.select(F.inline("required_secret_patterns")).toLocalIterator()
+    return [{"name": r["name"], "pattern": r["regex"], "redact": r["redact"]} for r in rows]

@@ -7,6 +7,7 @@ hosts. ``lib`` runs home paths last, gated by their own flag, and labels events
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -14,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velum.functions.events import Stage, apply, event, state, when_found
-from velum.functions.regex import IGNORE_CASE, B, hits, quote, rewrite
+from velum.functions.regex import IGNORE_CASE, B, hits, quote, replace_all, rewrite
+from velum.operators import dictionary
+from velum.operators.dictionary import Mapping
 
 # Mail domains of consumers.
 CONSUMER_DOMAINS = ("gmail.com", "googlemail.com", "yahoo.com", "yahoo.co.uk", "hotmail.com", "outlook.com", "live.com", "msn.com", "icloud.com", "me.com", "mac.com", "aol.com", "proton.me", "protonmail.com", "mail.com", "zoho.com", "fastmail.com", "yandex.com", "gmx.com", "gmx.net", "comcast.net", "verizon.net", "att.net", "cox.net", "sbcglobal.net", "charter.net", "bellsouth.net")
@@ -156,6 +159,18 @@ def substitute(docs: DataFrame, identity: Identity, text_col: str = "text", resu
     return apply(docs, text_col, stages(identity, variant), result_col)
 
 
+def reveal(text: Column, mappings: Iterable[Mapping], identity: Identity) -> Column:
+    """The text turned back by configuration alone: dictionary rules, then the identity's pairs, in any case; the
+    catch-all address, which stands for many, becomes ``[catch-all]``."""
+    text = dictionary.reveal(text, mappings)
+    pairs = [row[:2] for family in (identity.emails, identity.names, identity.usernames, identity.hostnames, identity.phones) for row in family if row[0] and row[1]]
+    for real, substitute_ in sorted(pairs, key=lambda p: -len(p[1])):
+        text = replace_all(text, IGNORE_CASE + quote(substitute_), real)
+    if identity.catch_all_email:
+        text = replace_all(text, IGNORE_CASE + quote(identity.catch_all_email), "[catch-all]")
+    return text
+
+
 def missing_fields(identity: Identity) -> list[str]:
     """What a complete identity still needs."""
     has = lambda rows: any(r[0] and r[1] for r in rows)
@@ -163,4 +178,4 @@ def missing_fields(identity: Identity) -> list[str]:
     return [name for name, ok in checks if not ok]
 
 
-__all__ = ["Identity", "merge_profiles", "missing_fields", "stages", "substitute"]
+__all__ = ["Identity", "merge_profiles", "missing_fields", "reveal", "stages", "substitute"]

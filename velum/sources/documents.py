@@ -132,3 +132,8 @@ def rewrite(files: DataFrame, change: Callable[[DataFrame], DataFrame], rewrite_
     status = F.when(F.col("parts").isNotNull(), "rewritten").when(F.col("has_text"), "unchanged").otherwise("skipped")
     filename = F.when((F.col("kind") == "pdf") & F.col("parts").isNotNull(), F.concat(F.regexp_replace(name, r"(?i)\.pdf\z", ""), F.lit(".txt"))).otherwise(name)
     return joined.join(texts, "path", "left").select("path", filename.alias("filename"), pack("kind", "content", "parts").alias("content"), status.alias("status"))
+
+
+def preview(result: Column, text: Column, top: int = PREVIEW_EVENTS) -> Column:
+    """What a change to a file would be: lengths before and after, the number of replacements and the first of them."""
+    return F.struct(F.length(text).alias("length_before"), F.length(result["text"]).alias("length_after"), F.size(result["events"]).alias("n_replacements"), F.slice(result["events"], 1, top).alias("first_replacements"))

@@ -68,3 +68,34 @@ def rekey(rows: DataFrame, old: bytes, new: bytes) -> DataFrame:
     """Values under a new key, those in plain text included. Values that the old key doesn't open stay."""
     plain = F.when(F.col("encrypted"), crypto.decrypt(F.col("value"), old)).otherwise(F.col("value"))
     return rows.withColumn("value", F.coalesce(crypto.encrypt(plain, new), F.col("value"))).withColumn("encrypted", F.lit(True))
+
+
+MAPPING = "id string, real string, substitute string, category string, case_sensitive boolean, enabled boolean, created_at timestamp"
+
+
+def read_mappings(spark: SparkSession, path: str) -> DataFrame:
+    """Exported dictionary rules (JSON lines or arrays), with what is missing filled in: a new id, the time, enabled."""
+    rows = spark.read.schema(MAPPING).json(path, multiLine=True).where("real is not null")
+    filled = {"id": F.coalesce("id", F.uuid()), "category": F.coalesce("category", F.lit("general")), "case_sensitive": F.coalesce("case_sensitive", F.lit(False)), "enabled": F.coalesce("enabled", F.lit(True)), "created_at": F.coalesce("created_at", F.current_timestamp())}
+    return rows.withColumns(filled)
+
+
+def pull_if_newer(spark: SparkSession, path: str, last_modified: int) -> DataFrame:
+    """The payloads (version, lastModified, payload) of a folder or file that are newer than what is here. The test of
+    time is pushed into the scan."""
+    rows = spark.read.schema("version string, lastModified long, payload string").json(path)
+    return rows.where(F.col("version").isNotNull() & (F.col("lastModified") > last_modified))
+
+
+def seal(payload: Column, key: bytes, version: Column, last_modified: Column) -> Column:
+    """An encrypted payload with its version and time in the open: JSON."""
+    return F.to_json(F.struct(F.lit(True).alias("encrypted"), crypto.encrypt(payload, key).alias("payload"), version.alias("version"), last_modified.alias("lastModified")))
+
+
+def unseal(envelope: Column, key: bytes | None) -> Column:
+    """struct<state, payload, version, lastModified>. States: plain, open, locked (no key), wrong key, damaged."""
+    e = F.from_json(envelope, "encrypted boolean, payload string, version string, lastModified long")
+    opened = crypto.decrypt(e["payload"], key) if key else F.lit(None).cast("string")
+    sealed = F.coalesce(e["encrypted"], F.lit(False))
+    state = F.when(e["payload"].isNull(), "damaged").when(~sealed, "plain").when(F.lit(key is None), "locked").when(opened.isNull(), "wrong key").otherwise("open")
+    return F.struct(state.alias("state"), F.when(sealed, opened).otherwise(e["payload"]).alias("payload"), e["version"].alias("version"), e["lastModified"].alias("lastModified"))
