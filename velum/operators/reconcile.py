@@ -1,13 +1,12 @@
 """Reconciliation of records: three-way merge, last writer wins, snapshots, and resolution of conflicts.
 
-A merge takes three tables of the same columns, with one row a key. Rows are compared as structs with ``<=>``: null
-equals null. Each merge is two full outer joins on the key; nothing else is shuffled.
+A merge takes three tables of the same columns, with one row a key (of more, one counts). Rows are compared as structs with ``<=>``: null
+equals null. Each merge shuffles its rows once, by their key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,11 +17,13 @@ DEFAULT_SNAPSHOTS = 10
 
 
 def three_sides(ancestor: DataFrame, local: DataFrame, remote: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, and the structs a, l and r of each side's other columns; a side without the key is null."""
+    """keys, and the structs a, l and r of each side's other columns; a side without the key is null. One shuffle by the
+    keys of all three, instead of two full outer joins with one of their result in between."""
     values = [c for c in ancestor.columns if c not in keys]
-    side = lambda df, name: df.select(*keys, F.struct(*values).alias(name))
-    sides = [side(ancestor, "a"), side(local, "l"), side(remote, "r")]
-    return reduce(lambda x, y: x.join(y, list(keys), "full"), sides)
+    side = lambda df, n: df.select(*keys, F.lit(n).alias("side"), F.struct(*values).alias("row"))
+    rows = side(ancestor, 0).unionByName(side(local, 1)).unionByName(side(remote, 2))
+    of = lambda n, name: F.first(F.when(F.col("side") == n, F.col("row")), ignorenulls=True).alias(name)
+    return rows.groupBy(*keys).agg(of(0, "a"), of(1, "l"), of(2, "r"))
 
 
 def merged(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
