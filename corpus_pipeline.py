@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.llm import decontam, langid, piece_bpe, simhash, toxicity
+from velum.llm import decontam, langid, piece_bpe, similar, toxicity
 from velum.llm.common import shared_folder
 from velum.llm.queries import piece_model
 from velum.plans.catalog import spread
@@ -23,7 +23,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest id stays."""
-    return simhash.one_of_each(docs)
+    return similar.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
