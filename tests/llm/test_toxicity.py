@@ -85,3 +85,22 @@ def test_the_model_is_the_same_however_rows_lie(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     a, b = toxicity.train(d.repartition(5), lab), toxicity.train(d.orderBy(d.doc_id.desc()).coalesce(2), lab.repartition(3))
     assert a.weights == b.weights and a.thresholds.tolist() == b.thresholds.tolist()
+
+
+def test_one_of_many_words_is_enough_whatever_the_quality(spark):
+    rng = random.Random(7)
+    bad = [f"bad{chr(97 + k)}" for k in range(10)]
+    docs, labels = [], []
+    for i in range(1500):
+        w = [f"w{rng.randrange(5000)}" for _ in range(40)]
+        toxic = i % 9 == 0
+        if toxic:
+            w += rng.sample(bad, rng.choice([1, 1, 2, 4]))
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(rng.random() < 0.5), int(toxic)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame([x for x in labels if x[0] % 4], "doc_id long, quality int, toxic int")
+    model = toxicity.train(d, lab)
+    held = [(t, toxic) for (_, t), (i, _, toxic) in zip(docs, labels, strict=True) if i % 4 == 0]
+    found = [toxic for t, toxic in held if model.above(t)[0] >= toxicity.REJECT]
+    assert sum(found) == sum(toxic for _, toxic in held) == len(found)

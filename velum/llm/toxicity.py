@@ -1,6 +1,7 @@
 """Toxicity by cumulative-link ordinal regression on sparse word features.
 
-Grades: 0 for documents that aren't labelled toxic, 1 for toxic ones of good quality, 2 for toxic ones of low quality.
+Grades: 0 for documents that aren't labelled toxic, 1 for toxic ones, 2 for toxic ones with more of the chosen features
+that toxic documents have more often than the median of toxic ones. So the text itself orders the grades.
 The model has one weight a word and one threshold a grade, shared in the way of proportional odds:
 P(grade > k) = sigmoid(w.x - threshold_k), thresholds in ascending order. Features say which of the chosen words
 and word beginnings (four to six characters and a star, so that forms of a word count together) a document has. They
@@ -97,9 +98,16 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_g
     return parameters[:n_features], parameters[n_features] + np.concatenate(([0], np.cumsum(np.exp(parameters[n_features + 1 :]))))
 
 
+def by_severity(rows: list[np.ndarray], toxic: np.ndarray, worse: np.ndarray) -> np.ndarray:
+    """Grades of documents that are toxic (1) or not (0): 2 for toxic ones with more ``worse`` features than the median."""
+    n = np.array([int(worse[own].sum()) for own in rows], np.int64)
+    return np.where((toxic > 0) & (n > np.median(n[toxic > 0])), 2, toxic)
+
+
 def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """(grade, signature, words) of at most about ``max_rows`` labelled documents, near copies of equal grade once."""
-    graded = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, F.when(F.coalesce("quality", F.lit(1)) > 0, 1).otherwise(2)).otherwise(0)).alias("grade"))
+    """(grade, signature, words) of at most about ``max_rows`` labelled documents, near copies of equal grade once.
+    Grade is 1 for all toxic ones here."""
+    graded = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("grade"))
     n = graded.count()
     part = min(1.0, max_rows / max(1, n))
     chosen = graded.where(F.pmod(F.xxhash64("doc_id"), F.lit(_BUCKETS)) < int(part * _BUCKETS))
@@ -117,10 +125,10 @@ def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> Model:
-    """Fit to a sample of ``labels`` (doc_id, toxic, quality). Ids labelled twice have their worst grade; null labels
+    """Fit to a sample of ``labels`` (doc_id, toxic). Ids labelled twice are toxic if one label says so; null labels
     don't count. Without labels no word has a weight and nothing is rejected."""
     prepare(docs.sparkSession)
-    sample = _sample(narrow(docs, doc_id=id_col, text=text_col), narrow(labels, doc_id="doc_id", toxic="toxic", quality="quality"), max_rows).checkpoint()
+    sample = _sample(narrow(docs, doc_id=id_col, text=text_col), narrow(labels, doc_id="doc_id", toxic="toxic"), max_rows).checkpoint()
     of_grade = {r.grade: r.n for r in sample.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     n, toxic = sum(of_grade.values()), sum(k for g, k in of_grade.items() if g)
     if not toxic or toxic == n:
@@ -130,12 +138,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rate = toxic / n
     chi2 = (F.col("toxic") - F.col("n") * rate) ** 2 / (F.col("n") * rate * (1 - rate)) * n / F.greatest(n - F.col("n"), F.lit(1))
     chosen = counts.where(F.col("n") >= max(LEAST_DOCUMENTS, LEAST_SHARE * n)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "word").limit(max_words)
-    words = [r.word for r in chosen.collect()]
+    found = chosen.collect()
+    words = [r.word for r in found]
+    worse = np.array([r.toxic > r.n * rate for r in found], bool)
     place = {w: k for k, w in enumerate(words)}
     few = F.array_intersect("words", F.lit(words) if words else F.array().cast("array<string>"))
     table = sample.select("grade", "signature", few.alias("words")).toArrow().sort_by([("grade", "ascending"), ("signature", "ascending")])
     rows = [np.array([place[w] for w in own], np.int64) for own in table.column("words").to_pylist()]
-    w, thresholds = fit_ordinal(rows, table.column("grade").to_numpy().astype(np.int64), len(words))
+    grades = table.column("grade").to_numpy().astype(np.int64)
+    w, thresholds = fit_ordinal(rows, by_severity(rows, grades, worse), len(words))
     return Model({x: float(y) for x, y in zip(words, w, strict=True)}, thresholds)
 
 
