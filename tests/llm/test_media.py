@@ -69,3 +69,31 @@ def test_info_column_of_any_bytes(spark):
     got = [r.info for r in media.with_info(spark.createDataFrame(rows, "media binary").coalesce(1)).collect()]
     assert [r.frames for r in got[:2]] == [0, 0] and got[3].frames == 2 and got[3].samples == 2304 and got[3].seconds == 0.072
     assert media.media_features(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_data_that_looks_like_a_trailing_tag(spark):
+    texts = []
+    for blocks in (*range(1, 9), 15):
+        for text in (b"x" * (192 * blocks),):
+            n = len(text)
+            stream = media.write_stream(text, n)
+            start = media.read_stream(stream)["frames"][-1][0] + 23
+            first = (blocks - 1) // 7 * 7 * 192  # of the last frame's data
+            for back, mark in ((128, b"TAG"), (32, b"APETAGEX\xd0\x07\0\0" + (40).to_bytes(4, "little")), (32, b"APETAGEX\0\0\0\0" + (len(stream) - 20).to_bytes(4, "little")), (32, b"APETAGEX\0\0\0\0" + (len(stream) - 200).to_bytes(4, "little")), (15, b"000100LYRICS200"), (15, b"000216LYRICS200")):
+                at = first + len(stream) - back - start
+                if first <= at and at + len(mark) <= n:
+                    texts.append(text[:at] + mark + text[at + len(mark) :])
+    assert len(texts) > 10
+    for t in texts:
+        stream = media.write_stream(t, len(t))
+        found = media.read_stream(stream)
+        assert media.read_payload(stream, found) == (t, len(t))
+        assert found["junk"] == found["trailing"] == 0 and len(found["frames"]) == found["table"]["frames"]
+    row = ("a" * 65 + "TAG").ljust(190, "b")
+    (got,) = media.media_features(spark.createDataFrame([(1, row)], "doc_id long, text string")).collect()
+    assert got.payload_sha256 == hashlib.sha256((row + "  ").encode()).hexdigest()
+    v1 = b"TAG" + b"Song".ljust(125, b"\0")
+    ape = b"APETAGEX" + (2000).to_bytes(4, "little") + (32).to_bytes(4, "little") + bytes(16)
+    for tail in (v1, ape, ape + v1):
+        r = media.read_stream(media.write_stream(b"q" * 1920, 1900) + tail)
+        assert r["trailing"] == len(tail) and r["junk"] == 0 and len(r["frames"]) == 2

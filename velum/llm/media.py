@@ -181,29 +181,47 @@ def read_stream(buf: bytes) -> dict:
     of the table's frame or -1), junk (bytes that belong to nothing), crc_checked, crc_failed.
 
     A header counts if another of its kind, a tag or the end follows its frame, or if it follows such a frame.
+    A trailing tag counts if no frame of the stream spans its begin or goes on from it: else it is a frame's data.
     Truncated last frames and any bytes at all are junk, never an error.
     """
-    end, tags, trailing = len(buf), {}, 0
+    end, tags = len(buf), {}
+    ends, last = [end], [{}]  # where the stream ends without each of the trailing tags, and what these say
     if end >= 128 and buf[end - 128 : end - 125] == b"TAG":
         v1 = buf[end - 128 :]
-        tags |= {f"ID3v1.{k}": v1[a:b].split(b"\0")[0].decode("latin-1").rstrip() for k, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97))}
         end -= 128
-        trailing += 128
+        ends.append(end)
+        last.append({f"ID3v1.{k}": v1[a:b].split(b"\0")[0].decode("latin-1").rstrip() for k, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97))})
     if end >= 32 and buf[end - 32 : end - 24] == b"APETAGEX":
         size = int.from_bytes(buf[end - 20 : end - 16], "little") + (32 if buf[end - 9] & 128 else 0)
-        if size <= end:
-            end, trailing = end - size, trailing + size
-            tags["APEv2"] = str(size)
+        if 0 < size <= end:
+            end -= size
+            ends.append(end)
+            last.append({"APEv2": str(size)})
     if end >= 15 and buf[end - 9 : end] == b"LYRICS200" and buf[end - 15 : end - 9].isdigit():
         size = int(buf[end - 15 : end - 9]) + 15
         if size <= end:
-            end, trailing = end - size, trailing + size
-            tags["Lyrics3"] = str(size)
+            end -= size
+            ends.append(end)
+            last.append({"Lyrics3": str(size)})
+
+    def reach(at: int) -> int:
+        """The end, after trailing tags that begin before ``at`` turned out to be data."""
+        while ends[-1] < at:
+            ends.pop()
+            last.pop()
+        return ends[-1]
+
     pos, junk, known, frames, table, info_at, locked, free = 0, 0, {}, [], None, -1, None, {}
     checked = failed = 0
     sums: dict[tuple[bytes, int], int] = {}
-    while pos < end:
-        if (after := _tag_end(buf[:end] if end < len(buf) else buf, pos)) > pos:
+    while pos < end or end < len(buf):
+        after = _tag_end(buf, pos)
+        if after > end:
+            if header(buf[after : after + 4], known):
+                end = reach(after)
+            else:
+                after = max(pos, end)
+        if after > pos:
             if buf[pos : pos + 3] == b"ID3":
                 tags |= _id3v2_texts(buf[pos:after])
             pos = after
@@ -220,13 +238,20 @@ def read_stream(buf: bytes) -> dict:
                     size = nxt - pos
                     free[h.key] = size - h.padding
             follows = pos + size
-            if not size or follows > end:
+            g = header(buf[follows : follows + 4], known)
+            goes_on = g is not None and g.key == h.key
+            if not size or follows > len(buf):
                 h = None
-            elif locked != h.key and follows != end and _tag_end(buf, follows) == follows:
-                g = header(buf[follows : follows + 4], known)
-                if g is None or g.key != h.key:
+            elif follows > end:  # a frame over the place where a trailing tag would begin
+                if goes_on or locked == h.key and (follows in ends or _tag_end(buf, follows) > follows):
+                    end = reach(follows)
+                else:
                     h = None
+            elif locked != h.key and follows != end and _tag_end(buf, follows) == follows and not goes_on:
+                h = None
         if h is None:
+            if pos >= end:
+                break
             nxt = buf.find(b"\xff", pos + 1, end)
             tag = min((x for x in (buf.find(b"ID3", pos + 1, end), buf.find(b"APETAGEX", pos + 1, end)) if x >= 0), default=end)
             nxt = min(nxt if nxt >= 0 else end, tag)
@@ -247,7 +272,9 @@ def read_stream(buf: bytes) -> dict:
         else:
             frames.append((pos, h))
         pos += size
-    return {"tags": tags, "table": table, "frames": frames, "info_at": info_at, "junk": junk, "trailing": trailing, "crc_checked": checked, "crc_failed": failed}
+    for said in last:
+        tags = said | tags
+    return {"tags": tags, "table": table, "frames": frames, "info_at": info_at, "junk": junk, "trailing": len(buf) - end, "crc_checked": checked, "crc_failed": failed}
 
 
 def duration(frames: list[tuple[int, Header]]) -> list[tuple[int, int]]:
