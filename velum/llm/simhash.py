@@ -83,16 +83,19 @@ def _fields() -> list[tuple[int, list[tuple[int, int]]]]:
 FIELDS = _fields()
 
 
-def trie_pairs(values: np.ndarray, groups: np.ndarray, width: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j), i before j, of equal group and within ``budget`` bits. ``values`` of ``width`` bits are
-    sorted and distinct within each group. A node of a trie is the interval of values below it. From each root with
-    itself, pairs of nodes go down a bit at a time; a pair whose differing bits exceed the budget is dropped with all
-    below it, and a pair of leaves is finished by counting."""
+def trie_pairs(values: np.ndarray, groups: np.ndarray, width: int, budget: int, classes: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j), i before j, of equal group and within ``budget`` bits. ``values`` are ``width`` bits, in one
+    64-bit word or in a row of words, the first the highest; they are sorted and distinct within each group. A node of a
+    trie is the interval of values below it. From each root with itself, pairs of nodes go down a bit at a time; a pair
+    whose differing bits exceed the budget is dropped with all below it, and a pair of leaves is finished by counting.
+    With ``classes`` a pair of nodes that hold one and the same class is dropped too; the caller may merge classes in
+    place between two results."""
+    words = values.reshape(len(values), -1)
     starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     ends = np.r_[starts[1:], len(groups)]
     many = ends - starts > 1
     lo, hi = starts[many], ends[many]
-    stack = [(width - 1, lo, hi, lo, hi, np.zeros(len(lo), np.int8))] if len(lo) else []
+    stack = [(width - 1, lo, hi, lo, hi, np.zeros(len(lo), np.int16))] if len(lo) else []
     ones: dict[int, np.ndarray] = {}
     while stack:
         bit, lo1, hi1, lo2, hi2, errors = stack.pop()
@@ -100,17 +103,22 @@ def trie_pairs(values: np.ndarray, groups: np.ndarray, width: int, budget: int)
             half = len(lo1) // 2
             stack += [(bit, *(x[s] for x in (lo1, hi1, lo2, hi2, errors))) for s in (slice(half), slice(half, None))]
             continue
+        if classes is not None:
+            steps = np.cumsum(np.r_[0, classes[1:] != classes[:-1]])
+            mixed = (classes[lo1] != classes[lo2]) | (steps[lo1] != steps[hi1 - 1]) | (steps[lo2] != steps[hi2 - 1])
+            lo1, hi1, lo2, hi2, errors = (x[mixed] for x in (lo1, hi1, lo2, hi2, errors))
         leaves = (hi1 - lo1 == 1) & (hi2 - lo2 == 1)
         if leaves.any():
             i, j = lo1[leaves], lo2[leaves]
-            near = (i < j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
+            near = (i < j) & (np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int16) <= budget)
             if near.any():
                 yield i[near], j[near]
             lo1, hi1, lo2, hi2, errors = (x[~leaves] for x in (lo1, hi1, lo2, hi2, errors))
         if not len(lo1):
             continue
         if bit not in ones:
-            ones[bit] = np.concatenate(([0], np.cumsum((values >> np.uint64(bit)) & np.uint64(1)))).astype(np.int64)
+            word = words[:, words.shape[1] - 1 - (bit >> 6)]
+            ones[bit] = np.concatenate(([0], np.cumsum((word >> np.uint64(bit & 63)) & np.uint64(1)))).astype(np.int64)
         c = ones[bit]
         mid1, mid2 = hi1 - (c[hi1] - c[lo1]), hi2 - (c[hi2] - c[lo2])
         same = lo1 == lo2
@@ -121,22 +129,46 @@ def trie_pairs(values: np.ndarray, groups: np.ndarray, width: int, budget: int)
                 ok &= ~(same & (b - a == 1))
             elif a is mid1:
                 ok &= ~same
-            parts.append((a[ok], b[ok], a2[ok], b2[ok], errors[ok] + np.int8(d)))
+            parts.append((a[ok], b[ok], a2[ok], b2[ok], errors[ok] + np.int16(d)))
         stack.append((bit - 1, *(np.concatenate(x) for x in zip(*parts, strict=True))))
 
 
-def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For each of n nodes the smallest index that the pairs connect it with."""
-    label = np.arange(n)
-    for i, j in pairs:
-        while True:
-            a, b = label[i], label[j]
-            if (a == b).all():
-                break
-            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-            while (label != (up := label[label])).any():
-                label = up
-    return label
+def merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Merge the classes of i[k] and j[k] for all k: ``label`` holds for each node the smallest index of its class, and
+    is changed in place. The result are the k that it took, in the order of the rounds: the first pair of a class wins."""
+    used, at = [], np.arange(len(i))
+    while True:
+        a, b = label[i[at]], label[j[at]]
+        differ = a != b
+        if not differ.any():
+            return np.concatenate(used) if used else np.zeros(0, np.int64)
+        at, low, high = at[differ], np.minimum(a, b)[differ], np.maximum(a, b)[differ]
+        upper, first = np.unique(high, return_index=True)
+        used.append(at[first])
+        label[upper] = low[first]
+        while (label != (up := label[label])).any():
+            label[:] = up
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches as arrays, cut so that no group of equal first ``keys`` columns is parted."""
+    rows: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        change = np.logical_or.reduce([c != c[-1] for c in x[:keys]])
+        whole = int(np.flatnonzero(change)[-1]) + 1 if change.any() else 0  # the last group may go on in the next batch
+        if whole:
+            yield [np.concatenate(c) for c in zip(*rows, [c[:whole] for c in x], strict=True)]
+            rows = [[c[whole:] for c in x]]
+        elif rows and any(a[-1] != b[0] for a, b in zip(rows[-1][:keys], x[:keys], strict=True)):
+            yield [np.concatenate(c) for c in zip(*rows, strict=True)]
+            rows = [x]
+        else:
+            rows.append(x)
+    if rows:
+        yield [np.concatenate(c) for c in zip(*rows, strict=True)]
 
 
 def hamming_links(fps: DataFrame, budget: int = BUDGET, spanning: bool = True) -> DataFrame:
@@ -160,10 +192,12 @@ def hamming_links(fps: DataFrame, budget: int = BUDGET, spanning: bool = True) -
                 head, rest, own = head[order], rest[order], own[order]
                 pairs = trie_pairs(rest, head, width, budget)
                 if spanning:
-                    root = _forest(len(own), pairs)
-                    at = np.flatnonzero(root != np.arange(len(own)))
+                    label = np.arange(len(own))
+                    for i, j in pairs:
+                        merge(label, i, j)
+                    at = np.flatnonzero(label != np.arange(len(own)))
                     if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(own[at].view(np.int64)), pa.array(own[root[at]].view(np.int64))], names=["u", "v"])
+                        yield pa.RecordBatch.from_arrays([pa.array(own[at].view(np.int64)), pa.array(own[label[at]].view(np.int64))], names=["u", "v"])
                     continue
                 for i, j in pairs:
                     differ = own[i] ^ own[j]
@@ -174,24 +208,8 @@ def hamming_links(fps: DataFrame, budget: int = BUDGET, spanning: bool = True) -
                         a, b = own[i[first]].view(np.int64), own[j[first]].view(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.bitwise_count(differ[first]).astype(np.int32))], names=["u", "v", "bits"])
 
-        rows: list[np.ndarray] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.stack([batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy(), batch.column(2).to_numpy()])
-            change = (x[0] != x[0, -1]) | (x[1] != x[1, -1])
-            whole = int(np.flatnonzero(change)[-1]) + 1 if change.any() else 0  # the last group may go on in the next batch
-            if whole or rows and (rows[-1][:2, -1] != x[:2, 0]).any():
-                if whole == 0:
-                    done, rows = np.concatenate(rows, axis=1), [x]
-                else:
-                    done, rows = np.concatenate([*rows, x[:, :whole]], axis=1), [x[:, whole:]]
-                yield from out(done[0], done[2])
-            else:
-                rows.append(x)
-        if rows:
-            done = np.concatenate(rows, axis=1)
-            yield from out(done[0], done[2])
+        for k, _, fp in whole_groups(batches, 2):
+            yield from out(k, fp)
 
     keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("head")) for k, (m, _) in enumerate(fields)])
     rows = fps.where("fp is not null").select("fp").distinct().select("fp", F.explode(keys).alias("key")).select("key.k", "key.head", "fp")

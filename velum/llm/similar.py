@@ -1,61 +1,82 @@
 """Near duplicates by similarity: texts whose sets of five-word shingles have a Jaccard index of 0.8 or more are
-linked, a class is what links reach.
-
-Words as for fingerprints (``simhash``); fewer than five are one shingle; no word, the empty set. Texts of equal sets
-are one node. Nodes meet where one of 24 bands of four minimum hashes is equal: a pair at 0.8 meets with probability
-1 - (1 - 0.8^4)^24 = 0.999997, closer pairs more often. Every link is the exact index of two sets.
-
-Pairs to check: each node of a band with the least one; then, where a band still holds more than one class, with the
-least by an order of the band's own; then all pairs of different classes. So balls of near copies, where all pairs
-would be many, are connected by the first steps, and only nodes that share a band but no class are paired in full.
+linked, a class is what links reach. SimHash tries find the pairs, the exact index decides.
+
+Words as for fingerprints (``simhash``); fewer than five are one shingle; no word, the empty set. Equal texts are one
+node. Its fingerprint has 256 bits, each set by over half of the distinct shingles: at an index of J two fingerprints
+differ in a share of arccos(2J / (1 + J)) / pi of their bits, 0.152 at 0.8. An error budget that wide prunes nothing near
+the root, so that one trie of all nodes would mean all pairs. Hence there are ROUTES smaller tries for each node: that of
+the nodes with the same sample, the three shingles that are least in an order of the route's own. Sets at 0.8 draw the
+same sample with probability 0.8^3 in each route, and in one of them with 0.9998; unrelated texts hardly ever do.
+
+A passage or a family that many texts share still makes large tries. One of over 2^ROOM nodes is joined subtree by
+subtree at such a level that some 2^ROOM unrelated nodes are in each, several times over, with the bits in other orders,
+until a pair at 0.8 meets with probability RECALL. So work grows with the nodes, not with their square.
+
+Step 1: each trie is joined with itself under rising budgets, the nearest first, and only pairs that connect two parts
+are kept: fewer than nodes, whatever the size of a family of copies. The exact index confirms them. Step 2: again, where
+classes still differ. A pair of trie nodes below which there is one class only is dropped, so that families that are
+connected cost nothing; what is left is confirmed by the exact index, which makes the links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velum.llm.common import components, narrow, prepare, texts
+from velum.llm.common import components, fresh, narrow, prepare, texts
+from velum.llm.simhash import merge, trie_pairs, whole_groups
 
 SHINGLE = 5
 LEAST = 0.8
-BANDS, ROWS = 24, 4
+#: 64-bit words of a fingerprint.
+WORDS = 4
+#: Samples of a text, and the shingles in each.
+ROUTES, DRAWN = 12, 3
+#: Unrelated nodes in a subtree, as a power of two, and the share of pairs at LEAST that meet in one of a large trie's.
+ROOM, RECALL = 10, 0.999
+_DIFFER = math.acos(2 * LEAST / (1 + LEAST)) / math.pi
+#: Differing bits at LEAST, and 3.3 times their deviation.
+BUDGET = int(64 * WORDS * _DIFFER + 3.3 * math.sqrt(64 * WORDS * _DIFFER * (1 - _DIFFER)))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 13
+#: Shingles of texts met before that a task keeps.
+_HELD = 1 << 21
 _RANDOM = np.random.default_rng(5)
-_XOR = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64)[:, None]
-_FACTOR = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64)[:, None] | np.uint64(1)
+_XOR = _RANDOM.integers(0, 1 << 64, ROUTES * DRAWN, np.uint64)[:, None]
+_FACTOR = _RANDOM.integers(0, 1 << 64, ROUTES * DRAWN, np.uint64)[:, None] | np.uint64(1)
 
 
 def shingles(text: str) -> np.ndarray:
-    """The distinct hashes of the shingles, ascending."""
+    """The distinct hashes of the shingles, ascending. Each is made of its words' hashes, in their order."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    one = xxhash.xxh64_intdigest
-    n = len(words) - SHINGLE + 1
-    if n <= 1:
-        return np.array([one(b" ".join(words))] if words else [], np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-1]))
-    return np.unique(np.array([one(joined[a:b]) for a, b in zip(starts[:n].tolist(), (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)], np.uint64))
-
-
-def _key(own: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
-
-
-def bands(own: np.ndarray) -> list[int]:
-    if not len(own):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(own), _CHUNK):
-        least = np.minimum(least, ((own[None, k : k + _CHUNK] ^ _XOR) * _FACTOR).min(axis=1))
-    raw, width = least.tobytes(), 8 * ROWS
-    return [xxhash.xxh64_intdigest(raw[k * width : (k + 1) * width], k) - (1 << 63) for k in range(BANDS)]
+    if not words:
+        return np.zeros(0, np.uint64)
+    codes = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+    each = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+    size = min(SHINGLE, len(words))
+    n = len(words) - size + 1
+    made = np.full(n, size, np.uint64)
+    for k in range(size):
+        made = (made ^ each[k : k + n]) * _ODD
+        made ^= made >> np.uint64(29)
+    return np.unique(made)
+
+
+def wide_fingerprint(own: np.ndarray) -> np.ndarray:
+    """WORDS words: a bit is 1 if it is set in over half of the hashes derived from ``own``."""
+    set_in = np.zeros(64 * WORDS, np.int64)
+    for k in range(0, len(own), 255):  # so many fit a byte
+        mixed = own[k : k + 255, None] + np.arange(WORDS, dtype=np.uint64) * _ODD
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _ODD
+        mixed ^= mixed >> np.uint64(29)
+        set_in += np.unpackbits(mixed.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(set_in * 2 > len(own)).view(np.uint64)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -64,45 +85,97 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / union if union else 1.0
 
 
-def _keys(d: DataFrame) -> DataFrame:
-    """Rows (doc_id, key, n, bands): n shingles."""
-    kind = pa.struct([("key", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+def samples(own: np.ndarray) -> list[int]:
+    """For each route a hash of the shingles that it draws: the least by each of DRAWN orders."""
+    least = np.full(ROUTES * DRAWN, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(own), _CHUNK):
+        least = np.minimum(least, ((own[None, k : k + _CHUNK] ^ _XOR) * _FACTOR).min(axis=1))
+    raw, width = least.tobytes(), 8 * DRAWN
+    return [xxhash.xxh64_intdigest(raw[k * width : (k + 1) * width], k) - (1 << 63) for k in range(ROUTES)]
 
-    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            found, known = [], {}
-            for t in texts(batch):
-                own = shingles(t)
-                key = _key(own)
-                if key not in known:
-                    known[key] = bands(own)
-                found.append({"key": key, "n": len(own), "bands": known[key]})
-            yield pa.array(found, kind)
 
-    return d.select("doc_id", F.arrow_udf(read, "struct<key:long,n:long,bands:array<long>>")("text").alias("s")).select("doc_id", "s.*")
+def orders(level: int) -> np.ndarray:
+    """For each order of the bits the mask of those that lead to its subtrees at ``level``, as a row of words. As many
+    as a pair at LEAST needs to meet with probability RECALL."""
+    meet = (1 - _DIFFER) ** level
+    count = 1 if level == 0 else math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+    rng, masks = np.random.default_rng(level), np.zeros((count, WORDS), np.uint64)
+    for mask in masks:
+        for bit in rng.choice(64 * WORDS, level, replace=False).tolist():
+            mask[bit >> 6] |= np.uint64(1 << (bit & 63))
+    return masks
 
 
-def _sets(d: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (key, own): the shingles of each key in ``wanted``."""
+_FP = [f"f{k}" for k in range(WORDS)]
 
-    def one_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            out = []
-            for t in texts(batch.column(0)):
-                key = _key(shingles(t))
-                if key not in seen:
-                    seen.add(key)
-                    out.append((key, t))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([t for _, t in out], pa.string())], names=["key", "text"])
 
-    @F.arrow_udf("binary")
-    def own(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([shingles(t).tobytes() for t in texts(batch)], pa.binary())
+def _fingerprints(d: DataFrame) -> DataFrame:
+    """Rows (doc_id, key, f0, ..., heads): the text's hash, fingerprint and samples."""
+    kind = pa.struct([*[(f, pa.int64()) for f in _FP], ("heads", pa.list_(pa.int64()))])
 
-    once = d.select("text").mapInArrow(one_each, "key long, text string").join(wanted, "key", "left_semi")
-    return once.groupBy("key").agg(F.min("text").alias("text")).select("key", own("text").alias("own"))
+    def read(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for keys, batch in batches:
+            known: dict[int, tuple[np.ndarray, list[int]]] = {}
+            rows = []
+            for key, t in zip(keys.to_pylist(), texts(batch), strict=True):
+                if key not in known:
+                    own = shingles(t)
+                    known[key] = wide_fingerprint(own), samples(own)
+                rows.append(known[key])
+            columns = np.array([fp for fp, _ in rows], np.uint64).reshape(-1, WORDS).view(np.int64).T
+            yield pa.StructArray.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in columns], pa.array([h for _, h in rows], pa.list_(pa.int64()))], fields=list(kind))
+
+    made = F.arrow_udf(read, "struct<" + ",".join(f"{f}:long" for f in _FP) + ",heads:array<long>>")
+    return d.select("doc_id", "key", made("key", "text").alias("s")).select("doc_id", "key", "s.*")
+
+
+def _tries(nodes: DataFrame) -> DataFrame:
+    """``nodes`` once a trie or subtree (column head) of two or more, its members together and sorted."""
+    rows = nodes.select(F.explode("heads").alias("head"), "key", "class", *_FP)
+    sizes = rows.groupBy("head").count().where("count > 1").withColumn("level", F.greatest(F.ceil(F.log2("count")) - ROOM, F.lit(0))).drop("count")
+    deepest = sizes.agg(F.max("level")).first()[0] or 0
+    ways = F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), *[F.lit(int(m)).alias(f"m{k}") for k, m in enumerate(row)]) for t, row in enumerate(orders(level).view(np.int64))]) for level in range(deepest + 1)])
+    met = rows.join(sizes, "head").select("*", F.explode(ways[F.col("level").cast("int")]).alias("m"))
+    below = F.xxhash64("head", "m.t", *[F.col(f).bitwiseAND(F.col(f"m.m{k}")) for k, f in enumerate(_FP)])
+    met = met.select(F.when(F.col("level") == 0, F.col("head")).otherwise(below).alias("head"), "key", "class", *_FP)
+    return met.repartition("head").sortWithinPartitions("head")
+
+
+def _candidates(nodes: DataFrame, spanning: bool) -> DataFrame:
+    """Pairs (u, v) of keys within BUDGET bits. ``nodes``: rows (key, class, f0, ..., heads), each key once.
+    ``spanning``: pairs that connect the same nodes, fewer than nodes in each trie; else all pairs of different classes."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for head, key, group, *fp in whole_groups(batches):
+            values = np.stack(fp, axis=1).view(np.uint64)
+            order = np.lexsort((*reversed([values[:, k] for k in range(WORDS)]), head))
+            head, key, group, values = head[order], key[order], group[order], values[order]
+            equal = np.r_[False, (head[1:] == head[:-1]) & (values[1:] == values[:-1]).all(axis=1)]
+            first = np.flatnonzero(~equal)  # of equal fingerprints one goes into the trie, the others hang on it
+            hang, on = np.flatnonzero(equal), first[np.cumsum(~equal) - 1][equal]
+            if len(hang):
+                yield _pairs(key[on], key[hang])
+            key, values, head = key[first], values[first], head[first]
+            if spanning:
+                label = np.arange(len(first))
+                for budget in (2 * WORDS, 6 * WORDS, BUDGET):
+                    for i, j in trie_pairs(values, head, 64 * WORDS, budget, label):
+                        near = np.argsort(np.bitwise_count(values[i] ^ values[j]).sum(axis=1), kind="stable")
+                        used = near[merge(label, i[near], j[near])]
+                        if len(used):
+                            yield _pairs(key[i[used]], key[j[used]])
+                continue
+            known = np.unique(group[first], return_inverse=True)[1]
+            for i, j in trie_pairs(values, head, 64 * WORDS, BUDGET, known):
+                new = known[i] != known[j]
+                if new.any():
+                    yield _pairs(key[i[new]], key[j[new]])
+
+    return _tries(nodes).mapInArrow(join, "u long, v long").distinct()
+
+
+def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
 
 def _linked(d: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -110,54 +183,65 @@ def _linked(d: DataFrame, pairs: DataFrame) -> DataFrame:
 
     @F.arrow_udf("boolean")
     def near(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for a, b in batches:
-            yield pa.array([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= LEAST for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
-
-    sets = _sets(d, pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()).checkpoint()
-    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("own").alias("b")), "v")
+        known: dict[str, np.ndarray] = {}
+        room = _HELD
+
+        def of(text: str) -> np.ndarray:
+            nonlocal room
+            own = known.get(text)
+            if own is None:
+                own = shingles(text)
+                room -= len(own) + len(text) // 4
+                if room < 0:
+                    known.clear()
+                    room = _HELD
+                known[text] = own
+            return own
+
+        for left, right in batches:
+            yield pa.array([jaccard(of(a), of(b)) >= LEAST for a, b in zip(texts(left), texts(right), strict=True)], pa.bool_())
+
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    once = d.select("key", "text").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")).checkpoint()
+    both = pairs.join(once.select(F.col("key").alias("u"), F.col("text").alias("a")), "u").join(once.select(F.col("key").alias("v"), F.col("text").alias("b")), "v")
     return both.select("u", "v", near("a", "b").alias("near")).where("near").select("u", "v")
 
 
-def _fits(a: Column, b: Column) -> Column:
-    """Sets of these sizes can have an index of LEAST."""
-    return F.least(a, b) >= F.greatest(a, b) * F.lit(LEAST) - F.lit(1e-6)
-
-
-def links(d: DataFrame, keys: DataFrame) -> DataFrame:
-    """Pairs (u, v) of keys at LEAST or more that connect all that such pairs connect. ``d`` has the texts, ``keys``
-    the rows (key, n, bands), each key once."""
-    rows = keys.select("key", "n", F.posexplode("bands").alias("band", "value"))
-    shared = rows.groupBy("band", "value").agg(F.count("*").alias("size")).where("size > 1").select("band", "value")
-    rows = rows.join(shared, ["band", "value"]).select("band", "value", "key", "n", F.col("key").alias("root")).checkpoint()
-    found = None
-    for order in (F.col("key"), F.xxhash64("key", "band"), None):
-        mixed = rows.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct((F.lit(0) if order is None else order).alias("o"), "key", "n", "root")).alias("c")).where("low <> high")
-        if order is not None:
-            met = rows.join(mixed.select("band", "value", "c"), ["band", "value"]).where((F.col("root") != F.col("c.root")) & _fits(F.col("n"), F.col("c.n")))
-            pairs = met.select(F.least("key", "c.key").alias("u"), F.greatest("key", "c.key").alias("v"))
-        else:
-            left = rows.join(mixed.select("band", "value"), ["band", "value"])
-            a, b = (left.select("band", "value", *[F.col(x).alias(f"{x}_{side}") for x in ("key", "n", "root")]) for side in "ab")
-            met = a.join(b, ["band", "value"]).where((F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & _fits(F.col("n_a"), F.col("n_b")))
-            pairs = met.select(F.col("key_a").alias("u"), F.col("key_b").alias("v"))
-        pairs = pairs.distinct().checkpoint()
-        if pairs.isEmpty():
-            continue
-        new = _linked(d, pairs).checkpoint()
-        found = new if found is None else found.unionAll(new)
-        if order is not None:
-            roots = components(found)
-            rows = rows.drop("root").join(roots, rows["key"] == roots["node"], "left").select("band", "value", "key", "n", F.coalesce("root", "key").alias("root")).checkpoint()
-    return found if found is not None else keys.select(F.col("key").alias("u"), F.col("key").alias("v")).where("false")
+def links(d: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of keys at LEAST or more that connect all that such pairs connect. ``d`` has rows (key, text),
+    ``nodes`` rows (key, f0, ..., heads), each key once."""
+    step = _candidates(nodes.withColumn("class", F.col("key")), True).checkpoint()
+    first = _linked(d, step).checkpoint()
+    roots = components(first)
+    classes = nodes.join(roots, nodes["key"] == roots["node"], "left").select("key", F.coalesce("root", "key").alias("class"), *_FP, "heads")
+    rest = _candidates(classes, False).join(step, ["u", "v"], "left_anti").checkpoint()
+    return first.unionAll(_linked(d, rest)).checkpoint()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, component_id (the smallest doc_id that links reach, itself included).
+
+    Null texts count as empty ones; texts without words are all alike. Repeated rows stay. Null ids are smallest of
+    nothing: a class of null ids only has a null component_id. An empty table gives no rows. Texts are told apart by a
+    64-bit hash.
+    """
+    prepare(docs.sparkSession)
+    d = narrow(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", F.xxhash64("text"))
+    rows = _fingerprints(d).checkpoint()
+    nodes = rows.groupBy("key").agg(F.min("doc_id").alias("least"), *[F.first(f).alias(f) for f in (*_FP, "heads")]).checkpoint()
+    roots = components(links(d, nodes.drop("least")))
+    by_key = nodes.join(roots, nodes["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    component = by_key.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "key").join(by_key.join(component, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without near duplicates: of each class the document with the smallest id.
     A document is known by its id: rows that repeat a kept id stay. Rows with a null id stay if a class has null ids
-    only. Null texts count as empty ones."""
-    prepare(docs.sparkSession)
-    d = narrow(docs, doc_id=id_col, text=text_col)
-    keys = _keys(d).groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")).checkpoint()
-    roots = components(links(d, keys))
-    kept = keys.join(roots, keys["key"] == roots["node"], "left").groupBy(F.coalesce("root", "key")).agg(F.min("least").alias("least")).select("least").distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["least"]), "left_semi")
+    only. Null and empty texts, repeats and empty tables as in ``near_duplicates``."""
+    c = fresh(docs, "least_id")
+    kept = near_duplicates(docs, id_col, text_col).select(F.col("component_id").alias(c)).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept[c]), "left_semi")
+
+
+__all__ = ["jaccard", "links", "near_duplicates", "one_of_each", "orders", "samples", "shingles", "wide_fingerprint"]
