@@ -43,11 +43,19 @@ def encrypt_with_password(value: Column, password: str, salt: bytes | None = Non
     return F.base64(F.concat(F.lit(salt), F.unbase64(encrypt(value, derive_key(password, salt)))))
 
 
-def decrypt_with_password(value: Column, password: str, salt: bytes) -> Column:
-    """Values made with this salt; null for others."""
+def decrypt_with_password(value: Column, password: str) -> Column:
+    """Values of any salt, which each carries; null where the password is wrong or the value damaged. Only deriving the
+    key needs Python, once a salt and worker; the password isn't part of the plan."""
+
+    @F.pandas_udf("binary")
+    def key_of(salts: pd.Series) -> pd.Series:
+        known = {s: derive_key(password, bytes(s)) for s in salts.dropna().unique()}
+        return salts.map(known).astype(object).where(salts.notna(), None)
+
     raw = F.try_to_binary(value, F.lit("base64"))
-    own = F.substr(raw, F.lit(1), F.lit(SALT)) == F.lit(salt)
-    return F.when(own, decrypt(F.base64(F.substr(raw, F.lit(SALT + 1))), derive_key(password, salt)))
+    salt = F.when(F.length(raw) > SALT, F.substr(raw, F.lit(1), F.lit(SALT)))
+    rest = F.when(F.length(raw) > SALT, F.substr(raw, F.lit(SALT + 1)))
+    return F.decode(F.try_aes_decrypt(rest, key_of(salt), F.lit("GCM")), "UTF-8")
 
 
 def totp(secret: str, at: int, digits: int = 6, period: int = 30) -> str:

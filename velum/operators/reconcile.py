@@ -1,6 +1,7 @@
 """Reconciliation of records: three-way merge, last writer wins, snapshots, and resolution of conflicts.
 
-A merge takes three tables of the same columns, with one row a key (of more, one counts). Rows are compared as structs with ``<=>``: null
+A merge takes three tables of the same columns, with one row a key (of more, the largest counts, column by column; rows
+with maps go by their JSON). Rows are compared as structs with ``<=>``: null
 equals null. Each merge shuffles its rows once, by their key.
 """
 
@@ -10,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 ARRAY_FIELDS = ("emails", "names", "usernames", "hostnames", "phones", "email_domains")
 DEFAULT_SNAPSHOTS = 10
@@ -22,10 +23,16 @@ def three_sides(ancestor: DataFrame, local: DataFrame, remote: DataFrame, keys:
     values = [c for c in ancestor.columns if c not in keys]
     side = lambda df, n: df.select(*keys, F.lit(n).alias("side"), F.struct(*values).alias("row"))
     rows = side(ancestor, 0).unionByName(side(local, 1)).unionByName(side(remote, 2))
-    of = lambda n, name: F.first(F.when(F.col("side") == n, F.col("row")), ignorenulls=True).alias(name)
+    one = F.max_by if _has_map(ancestor.schema) else lambda x, _: F.max(x)
+    of = lambda n, name: one(F.when(F.col("side") == n, F.col("row")), F.when(F.col("side") == n, F.to_json("row"))).alias(name)
     return rows.groupBy(*keys).agg(of(0, "a"), of(1, "l"), of(2, "r"))
 
 
+def _has_map(kind: DataType) -> bool:
+    inner = [f.dataType for f in kind.fields] if isinstance(kind, StructType) else [kind.elementType] if isinstance(kind, ArrayType) else []
+    return isinstance(kind, MapType) or any(_has_map(k) for k in inner)
+
+
 def merged(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
     """The value that a three-way merge keeps; null if the record is gone. Where both sides changed it, or one changed
     what the other deleted, the local value stays, or the one that is left."""
@@ -70,15 +77,15 @@ def conflicts(ancestor: DataFrame, local: DataFrame, remote: DataFrame, keys: Se
 
 
 def merge_settings(ancestor: DataFrame, local: DataFrame, remote: DataFrame, unions: Sequence[str] = ("customDomains", "categories")) -> DataFrame:
-    """Tables (key, value: JSON string) merged key by key: key, value, conflict. A key that a side hasn't is null there.
-    The list keys in ``unions`` become the union of both sides, local first, whatever the ancestor had."""
-    value = lambda df, n: df.select("key", F.col("value").alias(n))
-    m = value(ancestor, "a").join(value(local, "l"), "key", "full").join(value(remote, "r"), "key", "full")
-    a, l, r = F.col("a"), F.col("l"), F.col("r")  # noqa: E741
+    """Tables (key, value: JSON string) merged key by key: key, value, conflict, and the values local_value, remote_value
+    and ancestor_value. A key that a side hasn't is null there. The list keys in ``unions`` become the union of both
+    sides, local first, whatever the ancestor had."""
+    m = three_sides(ancestor.select("key", "value"), local.select("key", "value"), remote.select("key", "value"), ["key"])
+    a, l, r = F.col("a.value"), F.col("l.value"), F.col("r.value")  # noqa: E741
     items = lambda c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
     union = F.col("key").isin(*unions)
     out = F.when(union, F.to_json(F.array_union(items(l), items(r)))).otherwise(field_merged(a, l, r))
-    return m.select("key", out.alias("value"), (~union & field_conflict(a, l, r)).alias("conflict"))
+    return m.select("key", out.alias("value"), (~union & field_conflict(a, l, r)).alias("conflict"), l.alias("local_value"), r.alias("remote_value"), a.alias("ancestor_value"))
 
 
 def merge_array(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
@@ -95,7 +102,7 @@ def merge_array(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
 
 
 def merge_profiles(ancestor: DataFrame, local: DataFrame, remote: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(merged profiles, conflicts: id, path). Whole profiles come and go by the rules of ``merge``; a profile that all
+    """(merged profiles, conflicts: id, path, local_value, remote_value, ancestor_value, values in JSON). Whole profiles come and go by the rules of ``merge``; a profile that all
     sides have is merged field by field, array fields by position, the flags in ``enabled`` one by one."""
     sides = three_sides(ancestor, local, remote, [key])
     a, l, r = F.col("a"), F.col("l"), F.col("r")  # noqa: E741
@@ -107,23 +114,49 @@ def merge_profiles(ancestor: DataFrame, local: DataFrame, remote: DataFrame, key
         if f.name in ARRAY_FIELDS and isinstance(f.dataType, ArrayType):
             m = merge_array(x, y, z)
             fields.append(m["merged"].cast(f.dataType).alias(f.name))
-            clashes.append((F.lit(f.name), m["conflict"]))
+            clashes.append((f.name, m["conflict"], (x, y, z)))
         elif f.name == "enabled" and hasattr(f.dataType, "fields"):
             flags = [field_merged(x[g.name], y[g.name], z[g.name]).alias(g.name) for g in f.dataType.fields]
             fields.append(F.when(y.isNotNull() & z.isNotNull(), F.struct(*flags)).otherwise(field_merged(x, y, z)).alias(f.name))
-            clashes += [(F.lit(f"enabled.{g.name}"), field_conflict(x[g.name], y[g.name], z[g.name])) for g in f.dataType.fields]
+            clashes += [(f"enabled.{g.name}", field_conflict(x[g.name], y[g.name], z[g.name]), (x[g.name], y[g.name], z[g.name])) for g in f.dataType.fields]
         else:
             fields.append(field_merged(x, y, z).alias(f.name))
-            clashes.append((F.lit(f.name), field_conflict(x, y, z)))
+            clashes.append((f.name, field_conflict(x, y, z), (x, y, z)))
     kind = sides.schema["a"].dataType
     own = F.when(all_three, F.struct(*fields).cast(kind)).otherwise(merged(a, l, r))
     rows = sides.select(key, own.alias("m")).where("m is not null").select(key, "m.*")
-    by_field = F.filter(F.array(*[F.when(c, n) for n, c in clashes]), lambda x: x.isNotNull())
-    whole = F.when(conflicting(a, l, r), F.array(F.lit("").cast("string"))).otherwise(F.array().cast("array<string>"))
-    found = sides.select(key, F.explode(F.when(all_three, by_field).otherwise(whole)).alias("field"))
+    entry = "struct<field:string,local_value:string,remote_value:string,ancestor_value:string>"
+    told = lambda name, x, y, z, shown: F.struct(F.lit(name), shown(y), shown(z), shown(x)).cast(entry)
+    by_field = F.filter(F.array(*[F.when(c, told(n, *v, _json)) for n, c, v in clashes]), lambda x: x.isNotNull())
+    full = lambda side: F.when(side.isNotNull(), F.to_json(F.struct(F.col(key), *[side[f.name].alias(f.name) for f in schema.fields if f.name != key])))
+    whole = F.when(conflicting(a, l, r), F.array(told("", a, l, r, full))).otherwise(F.array().cast(f"array<{entry}>"))
+    found = sides.select(key, F.inline(F.when(all_three, by_field).otherwise(whole)))
     dot = F.when(F.col("field") == "", "").otherwise(F.concat(F.lit("."), F.col("field")))
     ident = F.col(key).cast("string")
-    return rows, found.select(F.concat(ident, dot).alias("id"), F.concat(F.lit("identity.profiles["), ident, F.lit("]"), dot).alias("path"))
+    values = ("local_value", "remote_value", "ancestor_value")
+    return rows, found.select(F.concat(ident, dot).alias("id"), F.concat(F.lit("identity.profiles["), ident, F.lit("]"), dot).alias("path"), *values)
+
+
+def _json(value: Column) -> Column:
+    """A value of any type as JSON; null for null."""
+    return F.when(value.isNotNull(), F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}\z', 1))
+
+
+#: The parts of a configuration, in the order in which their conflicts are reported.
+PARTS = ("mappings", "settings", "identity")
+
+
+def merge_data(ancestor: Sequence[DataFrame], local: Sequence[DataFrame], remote: Sequence[DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """A whole configuration merged. Each side is its three tables: mappings (id, ...), settings (key, value: JSON) and
+    profiles (id, ...). The result are the merged tables by part, and all conflicts: part (its number, by which they are
+    in order), id, path, local_value, remote_value, ancestor_value."""
+    m, s, p = zip(ancestor, local, remote, strict=True)
+    settings = merge_settings(*s)
+    profiles, clashes = merge_profiles(*p)
+    values = ("local_value", "remote_value", "ancestor_value")
+    by_key = settings.where("conflict").select(F.col("key").alias("id"), F.concat(F.lit("settings."), "key").alias("path"), *values)
+    every = [c.select(F.lit(k).alias("part"), "id", "path", *values) for k, c in enumerate((conflicts(*m, ["id"]), by_key, clashes))]
+    return {"mappings": merge(*m, ["id"]), "settings": settings.select("key", "value"), "identity": profiles}, every[0].unionByName(every[1]).unionByName(every[2])
 
 
 def deep_equal(x: Column, y: Column, kind: object) -> Column:
@@ -139,12 +172,42 @@ def resolve(merged_rows: DataFrame, choices: DataFrame, key: str, path: str = "m
     if that is null; a value for a key that isn't there is added."""
     columns = merged_rows.columns
     kind = merged_rows.schema
-    chosen = choices.select(F.regexp_extract("path", rf"^{path}\[(.*)\]\z", 1).alias("choice_key"), F.from_json("value", kind).alias("choice")).where("choice_key <> ''")
+    chosen = choices.select(F.regexp_extract("path", rf"^{path.replace('.', '[.]')}\[(.*)\]\z", 1).alias("choice_key"), F.from_json("value", kind).alias("choice")).where("choice_key <> ''")
     joined = merged_rows.join(chosen, merged_rows[key].cast("string") == chosen.choice_key, "full")
     taken = F.when(F.col("choice_key").isNull(), F.struct(*[merged_rows[c] for c in columns])).otherwise(F.col("choice"))
     return joined.select(taken.alias("m")).where("m is not null").select("m.*")
 
 
+def resolve_settings(settings: DataFrame, choices: DataFrame) -> DataFrame:
+    """``settings`` (key, value: JSON) after those of ``choices`` (path, value) whose path is ``settings.key``."""
+    chosen = choices.select(F.regexp_extract("path", r"(?s)^settings\.(.+)\z", 1).alias("key"), "value").where("key <> ''")
+    return upsert(settings.select("key", "value"), chosen, "key")
+
+
+def resolve_fields(profiles: DataFrame, choices: DataFrame, key: str = "id") -> DataFrame:
+    """``profiles`` after those of ``choices`` (path, value: JSON or null) whose path is
+    ``identity.profiles[id].field`` or ``.field.part``; a path that no profile or column has changes nothing."""
+    at = lambda k: F.regexp_extract("path", r"(?s)^identity\.profiles\[(.+?)\]\.(.+)\z", k)
+    chosen = choices.select(at(1).alias("choice_key"), at(2).alias("field"), "value").where("choice_key <> ''")
+    chosen = chosen.groupBy("choice_key").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("chosen"))
+    joined = profiles.join(chosen, profiles[key].cast("string") == chosen["choice_key"], "left")
+
+    def taken(old: Column, kind: DataType, name: str) -> Column:
+        if isinstance(kind, StructType):
+            old = F.when(old.isNotNull(), F.struct(*[taken(old[f.name], f.dataType, f"{name}.{f.name}").alias(f.name) for f in kind.fields]))
+        new = F.from_json(F.concat(F.lit('{"v":'), F.coalesce(F.get(F.col("chosen"), F.lit(name)), F.lit("null")), F.lit("}")), StructType().add("v", kind))["v"]
+        return F.when(F.map_contains_key("chosen", name), new).otherwise(old)
+
+    own = [profiles[f.name] if f.name == key else taken(profiles[f.name], f.dataType, f.name).alias(f.name) for f in profiles.schema.fields]
+    return joined.select(*own)
+
+
+def resolve_data(parts: dict[str, DataFrame], choices: DataFrame) -> dict[str, DataFrame]:
+    """The tables of ``merge_data`` after ``choices`` (path, value: JSON or null), whatever part their paths are in."""
+    whole = resolve(parts["identity"], choices, "id", "identity.profiles")
+    return {"mappings": resolve(parts["mappings"], choices, "id"), "settings": resolve_settings(parts["settings"], choices), "identity": resolve_fields(whole, choices)}
+
+
 def last_writer_wins(local: DataFrame, remote: DataFrame, keys: Sequence[str], modified: str) -> DataFrame:
     """The newer row of each key; a tie keeps local. One shuffle, with the best row of each side chosen before it."""
     both = local.withColumn("is_local", F.lit(1)).unionByName(remote.withColumn("is_local", F.lit(0)))

@@ -44,7 +44,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def _unescape(s: str) -> str:
     plain = {"n": "\n", "r": "\r", "t": "\t", "\\": "\\", "(": "(", ")": ")"}
-    return re.sub(r"\\(\d{1,3}|.)", lambda m: chr(int(m[1], 8) & 255) if m[1][0] in "01234567" else plain.get(m[1], m[0]), s, flags=re.S)
+    return re.sub(r"\\([0-7]{1,3}|.)", lambda m: chr(int(m[1], 8) & 255) if m[1][0] in "01234567" else plain.get(m[1], m[0]), s, flags=re.S)
 
 
 def pdf_text(content: bytes) -> str:

@@ -6,21 +6,31 @@ first of equal values counts, by the line it stands on.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-COLUMNS = 32
 # Words that mark a header of a mapping table, and hosts that say nothing about a person.
 HEADER_WORDS = ("real", "substitute", "fake", "original", "replacement", "from", "to", "value", "category", "type")
 COMMON_HOSTS = ("google.com", "facebook.com", "twitter.com", "x.com", "amazon.com", "apple.com", "microsoft.com", "github.com", "youtube.com", "reddit.com", "netflix.com", "linkedin.com", "instagram.com", "wikipedia.org", "stackoverflow.com", "accounts.google.com", "login.microsoftonline.com")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line) of text files, without blank lines at their ends."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", r"^\s+|\s+\z", "").alias("value"))
-    return whole.select("path", F.posexplode(F.split("value", "\r?\n", -1)).alias("line_no", "line"))
+    """(path, line_no, line) of text files, without blank lines at their ends. Files are read by splits: a line's number
+    is its place in its split and the number of lines in the splits before, of which only counts are shuffled."""
+    read = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\r\z", "").alias("line"))
+    rows = read.withColumn("n", F.row_number().over(Window.partitionBy("path", "split").orderBy("at")))
+    filled = F.col("line").rlike(r"\S")
+    splits = rows.groupBy("path", "split").agg(F.count("*").alias("lines"), F.min(F.when(filled, F.col("n"))).alias("first"), F.max(F.when(filled, F.col("n"))).alias("last"))
+    ahead = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("lines").over(ahead), F.lit(0)))
+    ends = splits.groupBy("path").agg(F.min(F.col("before") + F.col("first")).alias("top"), F.max(F.col("before") + F.col("last")).alias("bottom"))
+    placed = rows.join(splits.select("path", "split", "before"), ["path", "split"]).withColumn("n", F.col("before") + F.col("n")).join(ends, "path")
+    line = F.when(F.col("n") == F.col("top"), F.regexp_replace("line", r"^\s+", "")).otherwise(F.col("line"))
+    line = F.when(F.col("n") == F.col("bottom"), F.regexp_replace(line, r"\s+\z", "")).otherwise(line)
+    return placed.where(F.col("n").between(F.col("top"), F.col("bottom"))).select("path", (F.col("n") - F.col("top")).cast("int").alias("line_no"), line.alias("line"))
 
 
 def detect_format(filename: Column, first_line: Column, has_separator: Column) -> Column:
@@ -58,10 +68,10 @@ def guess_category(value: Column) -> Column:
     )
 
 
-def cells(line: Column, sep: str = ",") -> Column:
-    """The cells of a line as a struct c0, c1, …; doubled quotes within quotes are one."""
-    schema = ", ".join(f"c{k} string" for k in range(COLUMNS))
-    return F.from_csv(line, F.lit(schema), {"sep": sep, "quote": '"', "escape": '"', "maxColumns": "1000"})
+def cells(line: Column, n: int, sep: str = ",") -> Column:
+    """The first ``n`` cells of a line as a struct c0, c1, …; doubled quotes within quotes are one."""
+    schema = ", ".join(f"c{k} string" for k in range(n))
+    return F.from_csv(line, F.lit(schema), {"sep": sep, "quote": '"', "escape": '"', "maxColumns": str(max(1 << 16, 2 * n))})
 
 
 def _cell(k: int) -> Column:
@@ -72,8 +82,7 @@ def _header(lines: DataFrame) -> tuple[str, list[str]]:
     first = lines.where("line_no = 0").first()
     if first is None:
         return "", []
-    row = lines.sparkSession.createDataFrame([(first["line"],)], "line string").select(cells(F.col("line")).alias("c")).first().c
-    return first["line"], [(x or "").strip().lower() for x in row] if row else []
+    return first["line"], [x.strip().lower() for x in next(csv.reader([first["line"]]), [])]
 
 
 def _index(headers: list[str], test: Callable[[str], bool]) -> int:
@@ -86,7 +95,7 @@ def mapping_rows(lines: DataFrame) -> DataFrame:
     sep = "\t" if "\t" in head else ","
     low = lambda k: F.lower(_cell(k))
     is_header = (F.col("line_no") == 0) & (low(0).isin(*HEADER_WORDS) | low(1).isin(*HEADER_WORDS))
-    rows = lines.where(F.col("line").contains(sep)).select("line_no", cells(F.col("line"), sep).alias("c")).where(~is_header & (_cell(0) != ""))
+    rows = lines.where(F.col("line").contains(sep)).select("line_no", cells(F.col("line"), 3, sep).alias("c")).where(~is_header & (_cell(0) != ""))
     category = F.when(low(2) != "", low(2)).otherwise(guess_category(_cell(0)))
     return rows.select(_cell(0).alias("real"), _cell(1).alias("substitute"), category.alias("category"), (_cell(1) == "").alias("needs_mapping"))
 
@@ -123,8 +132,8 @@ def host(url: Column) -> Column:
     return F.when(h != "", h)
 
 
-def _rows(lines: DataFrame) -> DataFrame:
-    return lines.where("line_no > 0").select("line_no", cells(F.col("line")).alias("c"))
+def _rows(lines: DataFrame, headers: list[str]) -> DataFrame:
+    return lines.where("line_no > 0").select("line_no", cells(F.col("line"), max(1, len(headers))).alias("c"))
 
 
 def password_rows(lines: DataFrame) -> DataFrame:
@@ -133,12 +142,12 @@ def password_rows(lines: DataFrame) -> DataFrame:
     user = _index(h, lambda x: x in ("username", "login_username", "user"))
     password = _index(h, lambda x: x in ("password", "login_password"))
     url = _index(h, lambda x: x in ("url", "login_uri", "origin", "web site"))
-    return _accounts(_rows(lines), user, password, url)
+    return _accounts(_rows(lines, h), user, password, url)
 
 
 def bitwarden_rows(lines: DataFrame) -> DataFrame:
     _, h = _header(lines)
-    return _accounts(_rows(lines), _index(h, lambda x: "username" in x), _index(h, lambda x: "password" in x), _index(h, lambda x: "uri" in x or "url" in x))
+    return _accounts(_rows(lines, h), _index(h, lambda x: "username" in x), _index(h, lambda x: "password" in x), _index(h, lambda x: "uri" in x or "url" in x))
 
 
 # Header synonyms of address exports.
@@ -154,7 +163,7 @@ def autofill_rows(lines: DataFrame) -> DataFrame:
     """(kind, real, type, line_no): first and last names (a full name is split at its first space), emails, phones and
     addresses, each value of a kind once. Without a column of first names, last names of their own count too."""
     _, h = _header(lines)
-    rows = _rows(lines)
+    rows = _rows(lines, h)
     find = {k: _index(h, lambda x, t=t: any(s in x for s in t)) for k, t in AUTOFILL.items()}
     first = _index(h, lambda x: x in ("first name", "given name"))
     last = _index(h, lambda x: x in ("last name", "family name"))

@@ -46,14 +46,19 @@ def tumbling(rows: DataFrame, keys: list[str], ts: str, width: str, lateness: st
 class _TabCounter(StatefulProcessor):
     """Replacements since the last navigation of a tab."""
 
+    def __init__(self, ttl_ms: int | None) -> None:
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.total = handle.getValueState("total", "n long")
+        self.total = handle.getValueState("total", "n long", self.ttl_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:  # noqa: N802
         n = self.total.get()[0] if self.total.exists() else 0
-        for part in rows:
-            for r in part.sort_values("seq").itertuples():
-                n = 0 if r.is_nav else n + int(r.amount)
+        part = pd.concat([p[["seq", "is_nav", "amount"]] for p in rows])  # a key's rows may come in several chunks
+        resets = part.loc[part["is_nav"], "seq"]
+        if len(resets):
+            n, part = 0, part[part["seq"] > resets.max()]
+        n += int(part["amount"].sum())
         self.total.update((n,))
         yield pd.DataFrame({"tab": [key[0]], "n": [n]})
 
@@ -61,40 +66,48 @@ class _TabCounter(StatefulProcessor):
         pass
 
 
-def tab_counters(rows: DataFrame) -> DataFrame:
-    """Stream (tab, seq, is_nav, amount) to updates (tab, n)."""
-    return rows.groupBy("tab").transformWithStateInPandas(_TabCounter(), "tab string, n long", "Update", "None")
+def tab_counters(rows: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Stream (tab, seq, is_nav, amount) to updates (tab, n). The count of a tab that is still for ``ttl_ms`` is
+    forgotten."""
+    return rows.groupBy("tab").transformWithStateInPandas(_TabCounter(ttl_ms), "tab string, n long", "Update", "ProcessingTime" if ttl_ms else "None")
 
 
 class _Dictionary(StatefulProcessor):
     """What a session has emitted, by the substitute in lower case; later messages are turned back by it."""
 
+    def __init__(self, ttl_ms: int | None) -> None:
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.emitted = handle.getMapState("emitted", "source string", "target string")
+        self.emitted = handle.getMapState("emitted", "source string", "target string", self.ttl_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:  # noqa: N802
         out = []
-        for part in rows:
-            for r in part.sort_values("seq").itertuples():
-                if r.kind == "emitted":
-                    if r.source and r.target:
-                        self.emitted.updateValue((r.source.lower(),), (r.target,))
-                    continue
-                text = r.text or ""
-                pairs = sorted(((k[0], v[0]) for k, v in self.emitted.iterator()), key=lambda p: (-len(p[0]), p[0])) if self.emitted.exists() else []
-                for source, target in pairs:
-                    text = re.sub(re.escape(source), lambda m, t=target: t, text, flags=re.I)
-                out.append((key[0], r.seq, text))
+        known = {k[0]: v[0] for k, v in self.emitted.iterator()} if self.emitted.exists() else {}
+        pairs = None
+        # a key's rows may come in several chunks: order holds over all of them
+        for r in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples():
+            if r.kind == "emitted":
+                if r.source and r.target:
+                    known[r.source.lower()], pairs = r.target, None
+                    self.emitted.updateValue((r.source.lower(),), (r.target,))
+                continue
+            text = r.text or ""
+            pairs = pairs if pairs is not None else sorted(known.items(), key=lambda p: (-len(p[0]), p[0]))
+            for source, target in pairs:
+                text = re.sub(re.escape(source), lambda m, t=target: t, text, flags=re.I)
+            out.append((key[0], r.seq, text))
         yield pd.DataFrame(out, columns=["session", "seq", "text"])
 
     def close(self) -> None:
         pass
 
 
-def reveal_stream(rows: DataFrame) -> DataFrame:
+def reveal_stream(rows: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Stream (session, seq, kind, source, target, text): rows of kind ``emitted`` fill the session's dictionary, others
-    are messages, which come out as (session, seq, text) turned back by what was emitted before."""
-    return rows.groupBy("session").transformWithStateInPandas(_Dictionary(), "session string, seq long, text string", "Append", "None")
+    are messages, which come out as (session, seq, text) turned back by what was emitted before. What was emitted more
+    than ``ttl_ms`` ago is forgotten. A session's rows in one micro-batch are held together in its task."""
+    return rows.groupBy("session").transformWithStateInPandas(_Dictionary(ttl_ms), "session string, seq long, text string", "Append", "ProcessingTime" if ttl_ms else "None")
 
 
 def sync_batches(stream: DataFrame, path: str, checkpoint: str, key: str, modified: str):  # noqa: ANN201
