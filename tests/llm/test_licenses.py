@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -43,3 +44,37 @@ def test_tags_and_notices():
     assert s["expressions"] == ["(mit or apache-2.0) and cc-by-4.0"]
     assert s["labels"] == "apache-2.0,cc-by,cc-by-4.0,cc-by-nc,cc-by-nc-4.0,mit" and s["base_labels"] == "cc-by" and s["score"] == 0.1
     assert licenses.parse("and or") == ([], 0) and licenses.Scanner().scan("SPDX-License-Identifier:")["expressions"] == []
+
+
+@pytest.mark.parametrize("text,form", [
+    ('license_expression = "MIT OR Apache-2.0"', "mit or apache-2.0"), ('SPDX-License-Identifier: "MIT"', "mit"), ("SPDX-License-Identifier: MIT.", "mit"),
+    ("SPDX-License-Identifier: '(MIT)' etc", "mit"), ("SPDX-License-Identifier: GPL-2.0 WITH X. OR MIT", "gpl-2.0 with x"),
+])
+def test_quotes_and_ends_of_sentences(text, form):
+    s = licenses.Scanner().scan(text)
+    assert s["expressions"] == [form] and not any(x.endswith(".") for x in s["labels"].split(","))
+
+
+def test_long_texts_take_no_square_of_their_length():
+    began = time.process_time()
+    s = licenses.Scanner().scan("mit license cc by " * 300_000)
+    assert s["n_base"] == 600_000 and s["last_word"] == 4 * 299_999 + 2
+    for long in ("mit or " * 300_000 + "mit", "mit or (" * 100_000 + "mit" + ")" * 100_000, "(" * 300_000 + "mit", "mit or (" * 300_000):
+        polish, _ = licenses.parse(long)
+        assert not polish or licenses.evaluate(polish)[0] == 1.0
+    assert time.process_time() - began < 60
+
+
+def plain(text):
+    """Labels and score without expressions: the words of each phrase, looked for at each place."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    found = {x for phrases in (licenses.BASE, licenses.NOTICES) for p, x in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()}
+    return ",".join(sorted(found)), min((licenses.openness(x) for x in found), default=0.0)
+
+
+def test_labels_and_score_against_brute_force(spark):
+    rng = random.Random(9)
+    parts = [*licenses.BASE, *licenses.NOTICES, "gnu", "license", "cc", "by", "version 2", "x", "4.0"]
+    rows = [(i, rng.choice([" ", "\n"]).join(rng.choice(parts) for _ in range(rng.randrange(8)))) for i in range(200)] + [(900, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(df).collect()} == {i: plain(t) for i, t in rows}

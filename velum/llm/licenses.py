@@ -8,6 +8,7 @@ the raw text and evaluated by a shunting-yard parser (``with`` binds before ``an
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import ahocorasick
@@ -37,7 +38,7 @@ OPENNESS = {"mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "bsl": 1.0, "unli
 UNKNOWN = 0.3
 EXCEPTION_GAIN = 0.2
 
-_TAG = re.compile(r"(?:spdx-license-identifier|license[ _-]expression)\s*[:=]\s*[\"'(]*?([^\n\r\"';,<>*]*)")
+_TAG = re.compile(r"(?:spdx-license-identifier|license[ _-]expression)\s*[:=]\s*[\"']*([^\n\r\"';,<>*]*)")
 _TOKEN = re.compile(r"[()]|[a-z0-9.+:_-]+")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
@@ -52,12 +53,14 @@ def parse(expression: str) -> tuple[list[str], int]:
     of tokens used. Text after it is ignored; ([], 0) if there is none."""
     out: list[str] = []
     stack: list[str] = []
-    best, operand = ([], 0), True
-    for k, t in enumerate(_TOKEN.findall(expression)):
+    best, used, rest, operand, depth = 0, 0, [], True, 0
+    for k, m in enumerate(_TOKEN.finditer(expression)):
+        t = m[0].rstrip(".")  # the end of a sentence
         if operand:
             if t == "(":
                 stack.append(t)
-            elif t == ")" or t in _BINDS:
+                depth += 1
+            elif t in ("", ")") or t in _BINDS:
                 break
             else:
                 out.append(t)
@@ -67,37 +70,50 @@ def parse(expression: str) -> tuple[list[str], int]:
                 out.append(stack.pop())
             stack.append(t)
             operand = True
-        elif t == ")" and "(" in stack:
+        elif t == ")" and depth:
+            depth -= 1
             while (x := stack.pop()) != "(":
                 out.append(x)
         else:
             break
-        if not operand and "(" not in stack:
-            best = [*out, *reversed(stack)], k + 1
-    return best
+        if not operand and not depth:  # the stack holds one operator of a kind at most
+            best, used, rest = len(out), k + 1, stack[::-1]
+        if len(t) < len(m[0]):
+            break
+    return out[:best] + rest, used
 
 
 def evaluate(polish: list[str]) -> tuple[float, str, set[str]]:
     """How open the expression is (``or``: the better side, ``and``: the worse, ``with``: the licence and a bit), its
     normal form, and its identifiers."""
-    stack: list[tuple[float, str, int]] = []
+    stack: list[tuple[float, deque[str], int]] = []
     names: set[str] = set()
     for t in polish:
         if t not in _BINDS:
-            stack.append((openness(t), t, 9))
+            stack.append((openness(t), deque((t,)), 9))
             names.add(t)
             continue
         (b, y, yb), (a, x, xb) = stack.pop(), stack.pop()
         binds = _BINDS[t]
-        x, y = (f"({v})" if w < binds else v for v, w in ((x, xb), (y, yb)))
         if t == "with":
-            names.discard(y)
+            names -= {*y} if len(y) == 1 else set()
             value = min(1.0, a + EXCEPTION_GAIN)
         else:
             value = max(a, b) if t == "or" else min(a, b)
-        stack.append((value, f"{x} {t} {y}", binds))
+        for side, w in ((x, xb), (y, yb)):
+            if w < binds:
+                side.appendleft("(")
+                side.append(")")
+        if len(x) >= len(y):  # the shorter side moves, so that long expressions take no square of their length
+            x.append(f" {t} ")
+            x.extend(y)
+        else:
+            y.appendleft(f" {t} ")
+            y.extendleft(reversed(x))
+            x = y
+        stack.append((value, x, binds))
     value, form, _ = stack.pop()
-    return value, form, names
+    return value, "".join(form), names
 
 
 class Scanner:
@@ -112,10 +128,11 @@ class Scanner:
         words = raw.translate(WORD_BYTES).split()
         joined = (b" " + b" ".join(words) + b" ").decode("utf-8", "surrogatepass")
         base, own, spans, scores, expressions, tagged = set(), set(), [], [], [], False
+        at = before = 0  # places come in the order of their ends
         for end, phrase in self.automaton.iter(joined):
+            before, at = before + joined.count(" ", at, end), end
             if phrase in BASE:
-                start = joined.count(" ", 0, end - len(phrase) - 1)
-                spans.append((start, phrase))
+                spans.append((before - phrase.count(" ") - 1, phrase))
                 base.add(BASE[phrase])
                 scores.append(openness(BASE[phrase]))
             elif phrase in NOTICES:
