@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import pytest
@@ -97,3 +98,20 @@ def test_data_that_looks_like_a_trailing_tag(spark):
     for tail in (v1, ape, ape + v1):
         r = media.read_stream(media.write_stream(b"q" * 1920, 1900) + tail)
         assert r["trailing"] == len(tail) and r["junk"] == 0 and len(r["frames"]) == 2
+
+
+def test_junk_takes_no_square_of_its_length():
+    began = time.process_time()
+    for junk in (b"\xff" * 1_000_000, b"\xff\xfb\x00\xc0" * 250_000, b"\xff\xfb\x00\xc0" + b"\x00\xff" * 500_000, b"ID3" * 300_000):
+        assert media.read_stream(junk)["frames"] is not None
+    tagged = media.write_stream(*media.payload_of("x" * 4_000_000)) + b"TAG".ljust(128, b"\0")
+    r = media.read_stream(tagged)
+    assert r["trailing"] == 128 and len(media.read_payload(tagged, r)[0]) >= 4_000_000
+    assert time.process_time() - began < 60
+
+
+def test_seek_offsets_lead_to_frames(spark):
+    rows = [(1, "word " * 3000), (2, None)]
+    for r in media.media_features(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        made = media.write_stream(*media.payload_of(dict(rows)[r.doc_id]))
+        assert all(made[p : p + 2] == b"\xff\xfa" for p in r.seek_offsets) and r.samples == 1152 * len(r.seek_offsets) and r.sample_rate == 32000

@@ -212,6 +212,8 @@ def read_stream(buf: bytes) -> dict:
         return ends[-1]
 
     pos, junk, known, frames, table, info_at, locked, free = 0, 0, {}, [], None, -1, None, {}
+    ahead = {b"ID3": -1, b"APETAGEX": -1}  # the next place of each, looked for once
+    barren: set[tuple[tuple, int]] = set()  # kinds of free format that have no further header before an end
     checked = failed = 0
     sums: dict[tuple[bytes, int], int] = {}
     while pos < end or end < len(buf):
@@ -230,13 +232,15 @@ def read_stream(buf: bytes) -> dict:
         size = 0
         if h is not None:
             size = h.size or free.get(h.key, 0) and free[h.key] + h.padding
-            if not size:  # free format: up to the next header of its kind
+            if not size and (h.key, end) not in barren:  # free format: up to the next header of its kind
                 nxt = pos + 24
                 while (nxt := buf.find(b"\xff", nxt, end)) >= 0 and not ((g := header(buf[nxt : nxt + 4], known)) and g.key == h.key and not g.size):
                     nxt += 1
                 if nxt > 0:
                     size = nxt - pos
                     free[h.key] = size - h.padding
+                else:
+                    barren.add((h.key, end))
             follows = pos + size
             g = header(buf[follows : follows + 4], known)
             goes_on = g is not None and g.key == h.key
@@ -253,8 +257,10 @@ def read_stream(buf: bytes) -> dict:
             if pos >= end:
                 break
             nxt = buf.find(b"\xff", pos + 1, end)
-            tag = min((x for x in (buf.find(b"ID3", pos + 1, end), buf.find(b"APETAGEX", pos + 1, end)) if x >= 0), default=end)
-            nxt = min(nxt if nxt >= 0 else end, tag)
+            for mark, place in ahead.items():
+                if place <= pos:
+                    ahead[mark] = at if (at := buf.find(mark, pos + 1)) >= 0 else len(buf)
+            nxt = min(nxt if nxt >= 0 else end, *ahead.values(), end)
             junk, pos, locked = junk + nxt - pos, nxt, None
             continue
         locked = h.key
@@ -364,10 +370,10 @@ def media_info(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(rows, kind)
 
 
-_STORED = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+_STORED = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("samples", pa.int64()), ("sample_rate", pa.int32()), ("seek_offsets", pa.list_(pa.int64()))]
 
 
-STORED = "struct<n_bytes:long,payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string>"
+STORED = "struct<n_bytes:long,payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string,samples:long,sample_rate:int,seek_offsets:array<long>>"
 
 
 def stored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -381,24 +387,27 @@ def stored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             offsets = [p for p, _ in r["frames"]]
             seek = zlib.crc32(b"".join(p.to_bytes(8, "little") for p in offsets))
             feature = f"mpeg1-layer3 mono frames={len(offsets)} duration={samples}/{rate} {r['table']['kind']}={r['table']['frames']}/{r['table']['bytes']} crc={r['crc_checked'] - r['crc_failed']}/{r['crc_checked']} junk={r['junk']} seek_first={offsets[0]} seek_last={offsets[-1]} seek_crc32={seek:08x}"
-            rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(buf), hashlib.sha256(buf).hexdigest(), feature))
+            rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(buf), hashlib.sha256(buf).hexdigest(), feature, samples, rate, offsets))
         yield pa.StructArray.from_arrays([pa.array([x[k] for x in rows], t) for k, (_, t) in enumerate(_STORED)], names=[n for n, _ in _STORED])
 
 
 def with_media(docs: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
-    """``docs`` with its texts stored in a media column too. Repeated rows get equal media; null is stored as empty."""
+    """``docs`` with its texts stored in a media column too. Repeated rows get equal media; null is stored as empty; an
+    empty table gives none. A column of that name is replaced: name another one to keep it."""
     prepare(docs.sparkSession)
     return docs.withColumn(media_col, F.arrow_udf(to_media, "binary")(F.col(text_col)))
 
 
 def with_info(media: DataFrame, media_col: str = "media", info_col: str = "info") -> DataFrame:
+    """``media`` with what its media column holds. Repeated rows get equal values, null counts as empty, an empty table
+    gives none. A column of that name is replaced: name another one to keep it."""
     prepare(media.sparkSession)
     return media.withColumn(info_col, F.arrow_udf(media_info, INFO)(F.col(media_col)))
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature (frames, exact duration, table, CRC results and seek offsets as one string). Null texts are
-    stored as empty ones; equal texts give equal values; an empty table gives none."""
+    media_sha256, feature (frames, exact duration, table, CRC results and seek offsets as one string), samples and
+    sample_rate (the exact duration), seek_offsets (of every frame). Null texts are stored as empty ones; equal texts give equal values; an empty table gives none."""
     with_bytes = with_media(narrow(docs, doc_id=id_col, text=text_col), media_col="media").select("doc_id", "media")
     return with_bytes.select("doc_id", F.arrow_udf(stored, STORED)("media").alias("s")).select("doc_id", *[f"s.{n}" for n, _ in _STORED])
