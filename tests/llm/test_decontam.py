@@ -26,6 +26,27 @@ def brute(docs, items, window):
     return out
 
 
+def longest(docs, items, window):
+    """The longest verbatim match of each document: words, start, item, start in the item."""
+    out = {}
+    for i, t in docs:
+        w, found = words(t), []
+        for item, x in items:
+            v = words(x)
+            for s in range(len(v)):
+                for p in range(len(w)):
+                    if w[p] != v[s] or (s and p and w[p - 1] == v[s - 1]):
+                        continue
+                    n = 0
+                    while p + n < len(w) and s + n < len(v) and w[p + n] == v[s + n]:
+                        n += 1
+                    if n >= min(window, len(v)):
+                        found.append((-n, p, str(item), s))
+        n, p, item, s = min(found, default=(None,) * 4)
+        out[i] = (-n, p, item, s) if n else (None,) * 4
+    return out
+
+
 def case(seed):
     rng = random.Random(seed)
     pick = lambda n: [rng.choice(["the", "Of", "é", "x9", "blau", "zu"]) for _ in range(n)]
@@ -47,9 +68,10 @@ def test_against_brute_force(spark):
         d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as scanned", "2 as n_words").repartition(3)
         b = spark.createDataFrame(items, "item_id long, text string")
         for window, block in ((10, 1 << 20), (4, 60)):
-            got = {r.doc_id: tuple(r)[1:] for r in decontam.contamination(d, b, window=window, block_bytes=block).collect()}
+            rows = {r.doc_id: tuple(r)[1:] for r in decontam.contamination(d, b, window=window, block_bytes=block).collect()}
             want = brute(docs, items, window)
-            assert got == want
+            assert {i: x[:5] for i, x in rows.items()} == want
+            assert {i: x[5:] for i, x in rows.items()} == longest(docs, items, window)
             kept = decontam.without_benchmark(d, b, window=window, block_bytes=block)
             assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, x in want.items() if not x[-1]}
 

@@ -8,7 +8,7 @@ window ends can't match and aren't sorted, so the array is small where little is
 
 Words: A-Z in lower case, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A window is ``window`` consecutive words of an
 item; an item of fewer words, but not none, is one window. The benchmark goes to the tasks in blocks of bounded size,
-one after the other over the same documents; nothing is dropped when it is large.
+one pass over the documents each; nothing is dropped when it is large.
 """
 
 from __future__ import annotations
@@ -96,7 +96,7 @@ class Benchmark:
         place = suffixes[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
         return counts, shard, starts, head, place
 
-    def scan(self, documents: list[str], with_matches: bool) -> list[dict]:
+    def scan(self, documents: list[str], with_matches: bool = True) -> list[dict]:
         counts, shard, starts, head, place = self.search(documents)
         out = [{"n_words": n, "spans": [], "items": [], "matches": []} for n in counts]
         if not len(head):
@@ -142,54 +142,66 @@ def merge_spans(spans) -> list[dict]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The items, in blocks that come to the driver one at a time. Null ids are ''."""
-    b = narrow(benchmark, item=item_col, text=text_col).select(F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), "text").where("text is not null")
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """How many blocks the distinct items make, and the blocks, which come to the driver one at a time. Null ids are ''.
+    An item isn't cut: one that is larger than a block is a block of its own size."""
+    b = narrow(benchmark, item=item_col, text=text_col).select(F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), "text").where("text is not null").distinct()
     total = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
-    for k in range(n):
-        part = b if n == 1 else b.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield sorted((r.item, r.text) for r in part.collect())
+    parts = (b if n == 1 else b.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n))
+    return n, (sorted((r.item, r.text) for r in part.collect()) for part in parts)
 
 
-def _scanner(sent: Broadcast, matches: bool) -> Callable[..., Column]:
+def _scanner(sent: Broadcast) -> Callable[..., Column]:
     @F.arrow_udf(RESULT)
     def scan_block(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(sent.value.scan(texts(batch), matches), _arrow())
+            yield pa.array(sent.value.scan(texts(batch), True), _arrow())
 
     return scan_block
 
 
-def _rescanner(sent: Broadcast, matches: bool) -> Callable[..., Column]:
-    """The same for a later block: what earlier blocks found is joined with its own."""
+def _merged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array([merge_spans((x["start"], x["end"]) for x in spans or ()) for spans in batch.to_pylist()], _arrow().field("spans").type)
 
-    @F.arrow_udf(RESULT)
-    def scan_block(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for batch, before in batches:
-            rows = sent.value.scan(texts(batch), matches)
-            for r, b in zip(rows, before.to_pylist(), strict=True):
-                r["spans"] = merge_spans((x["start"], x["end"]) for x in [*b["spans"], *r["spans"]])
-                r["items"] = sorted({*b["items"], *r["items"]})
-                r["matches"] = b["matches"] + r["matches"]
-            yield pa.array(rows, _arrow())
-
-    return scan_block
 
-
-def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, matches: bool = False) -> tuple[DataFrame, str]:
+def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
     """``docs`` with one more column, and its name: struct(n_words, spans of hit words merged, items sorted as strings,
-    matches). Without ``matches`` that list is empty. No shuffle. Rows are taken as they are: repeated rows each get
-    their result, null and empty texts have no words, an empty table stays empty. Without benchmark items nothing is hit."""
+    matches: the longest verbatim ones and where they are). Rows are taken as they are: repeated rows each get their
+    result, null and empty texts have no words, an empty table stays empty. Without benchmark items nothing is hit.
+
+    A benchmark of one block takes one pass over ``docs`` and no shuffle. A larger one takes a pass for each block, of
+    which the rows with hits are kept by checkpoint(), so that there is one block in memory at a time; they are joined
+    at the end.
+    """
     spark = prepare(docs.sparkSession).sparkContext
     done = fresh(docs, "scanned")
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        sent = spark.broadcast(Benchmark(block, window))  # bounded by block_bytes
-        docs = docs.withColumn(done, _rescanner(sent, matches)(F.col(text_col), F.col(done)) if done in docs.columns else _scanner(sent, matches)(F.col(text_col)))
-    return docs, done
-
-
-def _arrow() -> pa.DataType:
+    n, blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    if n == 1:
+        sent = spark.broadcast(Benchmark(next(blocks), window))  # bounded by block_bytes
+        return docs.withColumn(done, _scanner(sent)(F.col(text_col))), done
+    row = fresh(docs, "row_of_docs")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id()).checkpoint()
+    words, found = None, None
+    for block in blocks:
+        sent = spark.broadcast(Benchmark(block, window))
+        own = numbered.select(row, _scanner(sent)(F.col(text_col)).alias("s")).select(row, "s.*")
+        if words is None:
+            own = own.checkpoint()
+            words = own.select(row, "n_words")
+        own = own.where(F.size("items") > 0).drop("n_words").checkpoint()
+        found = own if found is None else found.unionByName(own)
+        sent.unpersist()
+    together = found.groupBy(row).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "matches")])
+    every = words.join(together, row, "left")
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(together.schema[c].dataType))
+    ordered = F.array_sort("matches", lambda x, y: F.when(F.struct(x["start"], x["item"], x["item_start"]) < F.struct(y["start"], y["item"], y["item_start"]), -1).otherwise(1))
+    result = F.struct("n_words", F.arrow_udf(_merged, "array<struct<start:long,end:long>>")(none("spans")).alias("spans"), F.array_sort(F.array_distinct(none("items"))).alias("items"), F.coalesce(ordered, none("matches")).alias("matches"))
+    return numbered.join(every.select(row, result.alias(done)), row).drop(row), done
+
+
+def _arrow() -> pa.StructType:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     match = pa.list_(pa.struct([("item", pa.string()), ("item_start", pa.int64()), ("start", pa.int64()), ("length", pa.int64())]))
     return pa.struct([("n_words", pa.int64()), ("spans", span), ("items", pa.list_(pa.string())), ("matches", match)])
@@ -197,20 +209,25 @@ def _arrow() -> pa.DataType:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside any occurrence of a window), n_items, items_sha256 (of the
-    items' ids sorted as strings and joined by commas), contaminated."""
+    items' ids sorted as strings and joined by commas), contaminated; and the longest verbatim match (of equal ones the
+    first in the document, then by item id as a string and place in the item): longest_words, longest_start,
+    longest_item, longest_item_start, null without any. Nulls, empty tables and repeats as in ``scan``."""
     found, c = scan(narrow(docs, doc_id=id_col, text=text_col), benchmark, "text", item_col, item_text_col, window, block_bytes)
     hit = F.aggregate(f"{c}.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", f"{c}.n_words", hit.alias("n_hit"), F.size(f"{c}.items").cast("long").alias("n_items"), F.sha2(F.array_join(f"{c}.items", ","), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
+    best = F.array_max(F.transform(f"{c}.matches", lambda m: m["length"]))
+    first = F.get(F.filter(f"{c}.matches", lambda m: m["length"] == best), F.lit(0))  # matches are in that order
+    figures = found.select("doc_id", f"{c}.n_words", hit.alias("n_hit"), F.size(f"{c}.items").cast("long").alias("n_items"), F.sha2(F.array_join(f"{c}.items", ","), 256).alias("items_sha256"), first.alias("m"))
+    return figures.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), F.col("m.length").alias("longest_words"), F.col("m.start").alias("longest_start"), F.col("m.item").alias("longest_item"), F.col("m.item_start").alias("longest_item_start"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Longest verbatim matches and where they are: doc_id, item, item_start, start, length (in words)."""
-    found, c = scan(narrow(docs, doc_id=id_col, text=text_col), benchmark, "text", item_col, item_text_col, window, block_bytes, matches=True)
+    found, c = scan(narrow(docs, doc_id=id_col, text=text_col), benchmark, "text", item_col, item_text_col, window, block_bytes)
     return found.select("doc_id", F.inline(f"{c}.matches"))
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no benchmark window occurs."""
+    """The rows of ``docs``, all columns, in which no benchmark window occurs. Null and empty texts stay, repeated rows
+    have one fate, an empty table gives none."""
     found, c = scan(docs, benchmark, text_col, item_col, item_text_col, window, block_bytes)
     return keep_where(found, F.size(f"{c}.spans") == 0).drop(c)
-
