@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velum.llm.common import fresh, prepare
@@ -25,6 +25,8 @@ SHARDS = 8
 TOLERANCE = 0.0005
 #: Probes for each splitter in a round.
 PROBES = 16
+#: Bytes of text in a range, of which each is one task's, and how many ranges there are at most: above that they grow.
+RANGE_BYTES, RANGES = 16 << 20, 1 << 14
 #: A range within a shard may be larger by this share of a range than it should be.
 RANGE_TOLERANCE = 0.5
 
@@ -119,7 +121,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumns({"size": F.octet_length(text).cast("long") + 1, hi: F.xxhash64(text), lo: F.col(id_col).cast("long")})
     keys = keyed.select(F.col(hi).alias("hi"), F.col(lo).alias("lo"), "size").checkpoint()
-    per_shard = max(1, -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    per_shard = max(1, min(-(-total // (RANGE_BYTES * shards)), RANGES // shards))
     bounds = splitters(keys, shards, per_shard, tolerance)
     edges = _bytes([b[0] for b in bounds])
     rows_below = np.array([0, *(b[2] for b in bounds)], np.int64)
@@ -133,11 +136,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
             yield pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(own.astype(np.int32)), pa.array(below[at] - below[own * per_shard])], names=["range", "shard", "base"])
 
     located = keyed.withColumn(place, F.arrow_udf(locate, "struct<range:int,shard:int,base:long>")(F.col(hi), F.col(lo)))
-    within = Window.partitionBy(f"{place}.range").orderBy(hi, F.col(lo).asc_nulls_first())
-    slot = F.col(f"{place}.base") + F.row_number().over(within) - 1
-    return located.withColumns({"shard": F.col(f"{place}.shard"), "slot": slot}).drop(hi, lo, place)
+    ranged = located.repartitionById(per_shard * shards, F.col(f"{place}.range"))  # a range is a partition
+    ranged = ranged.sortWithinPartitions(hi, F.col(lo).asc_nulls_first())
+    slot = F.col(f"{place}.base") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # the row's number in its partition
+    return ranged.withColumns({"shard": F.col(f"{place}.shard"), "slot": slot}).drop(hi, lo, place)
 
 
 def write_shards(docs: DataFrame, path: str, **options: object) -> None:
-    """Write the shards as Parquet, one folder a shard."""
+    """Write the shards as Parquet, one folder a shard; rows as in ``shard``. An empty table writes no shard."""
     shard(docs, **options).write.partitionBy("shard").mode("errorifexists").parquet(path)
