@@ -55,8 +55,28 @@ def test_files_hold_all_documents_in_order(spark, made, tmp_path):
     folder = f"file://{tmp_path}/out"
     manifest = tokenfiles.write_token_files(df, folder, made, 1).collect()
     assert sum(m.n_docs for m in manifest) == len(rows)
-    own, offsets, ids = tokenfiles.open_part(folder, manifest[0].file)
-    assert isinstance(ids, np.memmap) and offsets[-1] == len(ids) and len(own) == manifest[0].n_docs
+    nulls, own, offsets, ids = tokenfiles.open_part(folder, manifest[0].file)
+    every = ids(0, int(offsets[-1]))
+    assert isinstance(every, np.memmap) and nulls == 1 and offsets[-1] == len(every) and len(own) == manifest[0].n_docs
+
+
+def test_least_id_and_files_off_local_folders(spark, made, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "PART_BYTES", 40)
+    rows = [(-(1 << 63), "least"), (None, "none"), (None, "x y"), *((k, "word " * k) for k in range(20))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = tokenfiles.write_token_files(df, f"file://{tmp_path}/out", made, 1)
+    assert manifest.count() > 3
+    got = tokenfiles.read_token_files(manifest, f"file://{tmp_path}/out").orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -(1 << 63), *range(20)]
+    first = manifest.orderBy("part").first().file
+    mapped = tokenfiles.open_part(f"file://{tmp_path}/out", first)
+    import pyarrow.fs as pafs
+
+    there = pafs.SubTreeFileSystem(str(tmp_path), pafs.LocalFileSystem())
+    monkeypatch.setattr(tokenfiles, "_filesystem", lambda uri: (there, "out"))
+    read = tokenfiles.open_part("any://folder", first)
+    end = int(mapped[2][-1])
+    assert not isinstance(read[3](0, end), np.memmap) and read[3](1, end).tolist() == mapped[3](1, end).tolist()
 
 
 def test_empty(spark, made):

@@ -2,8 +2,9 @@
 
 A part is two files: ``*.bin``, the ids of its documents one after the other as little-endian unsigned integers of 16
 bits (32 if the vocabulary needs them), and ``*.idx``, which has the magic bytes, the width of an id in bytes, the
-number of documents, their ids as signed 64-bit integers and their 64-bit offsets in the part. Both are memory-mapped
-on reading. Parts are in ascending order of document ids; the base of a part, the number of ids before it, comes from
+number of documents and of those with a null id, which come first, their ids as signed 64-bit integers and their 64-bit
+offsets in the part. Both are memory-mapped on reading, or read by ranges where the folder isn't a mounted one. A part
+has about PART_BYTES of text. Parts are in ascending order of document ids; the base of a part, the number of ids before it, comes from
 prefix sums over the parts.
 
 A task names its files after its attempt, and the manifest names the files of the attempts that ended well; a lost
@@ -16,7 +17,7 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +31,10 @@ from tokenizers import Tokenizer
 from velum.llm.common import narrow, prepare, shared_folder, texts
 
 MAGIC = b"VELUMIDS"
-NULL_ID = -(1 << 63)
+#: UTF-8 bytes of text in a part.
+PART_BYTES = 16 << 20
+#: Documents whose ids are read at once.
+BLOCK = 4096
 #: Words whose ids a task keeps.
 CACHED_WORDS = 300_000
 
@@ -126,7 +130,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, end_id:
         file, encoder = f"part-{here.partitionId():06d}-{here.taskAttemptId()}", None
         ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
-        out = None
+        out, nulls = None, 0
         for b in batches:
             if not b.num_rows:
                 continue
@@ -134,7 +138,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, end_id:
                 encoder = encoder_of(sent.value, end_id)
                 out = fs.open_output_stream(f"{path}/{file}.bin", compression=None)
             packed = encoder.encode(texts(b.column(1)))
-            ids.append(np.asarray(b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False), np.int64))
+            nulls += b.column(0).null_count
+            ids.append(np.asarray(b.column(0).fill_null(0).to_numpy(zero_copy_only=False), np.int64))
             sizes.append(np.array([len(x) // encoder.dtype.itemsize for x in packed], np.int64))
             for x in packed:
                 out.write(x)
@@ -144,23 +149,26 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, end_id:
         offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype("<i8")
         own = np.concatenate(ids).astype("<i8")
         with fs.open_output_stream(f"{path}/{file}.idx", compression=None) as f:
-            f.write(MAGIC + struct.pack("<qq", encoder.dtype.itemsize, len(own)) + own.tobytes() + offsets.tobytes())
+            f.write(MAGIC + struct.pack("<qqq", encoder.dtype.itemsize, len(own), nulls) + own.tobytes() + offsets.tobytes())
         row = [here.partitionId()], [file], [len(own)], [int(offsets[-1])]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["part", "file", "n_docs", "n_tokens"])
 
     d = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    ranged = d.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranged = d.repartitionByRange(max(1, -(-size // PART_BYTES)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     manifest = ranged.mapInArrow(write, "part int, file string, n_docs long, n_tokens long").checkpoint()
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def open_part(folder: str, file: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document ids, offsets, token ids) of a part, memory-mapped where the folder is a local or mounted one."""
+def open_part(folder: str, file: str) -> tuple[int, np.ndarray, np.ndarray, Callable[[int, int], np.ndarray]]:
+    """Of a part: how many null ids come first, document ids, offsets, and a function that gives the token ids from one
+    offset to another; memory-mapped where the folder is a local or mounted one, else read by ranges."""
     fs, path = _filesystem(folder)
+    local = isinstance(fs, pafs.LocalFileSystem)
 
     def raw(name: str) -> np.ndarray:
-        if isinstance(fs, pafs.LocalFileSystem):
+        if local:
             return np.memmap(f"{path}/{name}", np.uint8, "r")
         with fs.open_input_file(f"{path}/{name}") as f:
             return np.frombuffer(f.read(), np.uint8)
@@ -168,8 +176,14 @@ def open_part(folder: str, file: str) -> tuple[np.ndarray, np.ndarray, np.ndarra
     index = raw(f"{file}.idx")
     if index[:8].tobytes() != MAGIC:
         raise ValueError(f"{file}.idx is no index of token ids")
-    width, n = struct.unpack("<qq", index[8:24].tobytes())
-    return index[24 : 24 + 8 * n].view("<i8"), index[24 + 8 * n : 24 + 8 * (2 * n + 1)].view("<i8"), raw(f"{file}.bin").view(f"<u{width}")
+    width, n, nulls = struct.unpack("<qqq", index[8:32].tobytes())
+    mapped = raw(f"{file}.bin").view(f"<u{width}") if local else None
+    stored = None if local else fs.open_input_file(f"{path}/{file}.bin")
+
+    def ids(a: int, z: int) -> np.ndarray:
+        return mapped[a:z] if local else np.frombuffer(stored.read_at((z - a) * width, a * width), f"<u{width}")
+
+    return nulls, index[32 : 32 + 8 * n].view("<i8"), index[32 + 8 * n : 32 + 8 * (2 * n + 1)].view("<i8"), ids
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
@@ -179,12 +193,12 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own, offsets, ids = open_part(folder, file)
-                for k in range(0, len(own), 4096):
-                    at = offsets[k : min(k + 4096, len(own)) + 1].astype(np.int64)
-                    crc = [zlib.crc32(ids[a:z].astype("<u4").tobytes()) for a, z in zip(at.tolist(), at[1:].tolist(), strict=False)]
-                    docs = own[k : k + 4096].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == NULL_ID), pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                nulls, own, offsets, ids = open_part(folder, file)
+                for k in range(0, len(own), BLOCK):
+                    at = offsets[k : min(k + BLOCK, len(own)) + 1].astype(np.int64)
+                    crc = [zlib.crc32(ids(a, z).astype("<u4").tobytes()) for a, z in zip(at.tolist(), at[1:].tolist(), strict=False)]
+                    docs = own[k : k + BLOCK].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(docs, mask=np.arange(k, k + len(docs)) < nulls), pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return manifest.select("file", "base").repartition(n, "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
