@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import pytest
@@ -53,3 +55,94 @@ def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert langid.identify(empty).count() == 0
     assert [r.lang_pred for r in langid.identify(spark.createDataFrame([(1, "a", None)], "doc_id long, text string, lang string")).collect()] == ["und"]
+
+
+def plain_counts(text):
+    """Bucket of each trigram whose middle is a letter, one by one."""
+    low = "".join((x if len(x := c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "")
+    low = re.sub(" +", " ", f" {low} ")
+    out = {}
+    for a, b, c in zip(low, low[1:], low[2:], strict=False):
+        if b != " ":
+            h = (ord(a) * 0x9E3779B1 ^ ord(b) * 0x85EBCA77 + 0x27D4EB2F & 0xFFFFFFFF ^ ord(c) * 0xC2B2AE3D) & 0xFFFFFFFF
+            h = ((h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 17
+            out[h] = out.get(h, 0) + 1
+    return out
+
+
+def plain_em(p, counts, share, rounds):
+    for _ in range(rounds):
+        new = [0.0] * len(share)
+        for bucket, n in counts.items():
+            mixed = sum(s * p(k, bucket) for k, s in enumerate(share))
+            for k, s in enumerate(share):
+                new[k] += n * s * p(k, bucket) / mixed
+        new = [x / sum(counts.values()) for x in new]
+        still = max(abs(a - b) for a, b in zip(new, share, strict=True)) < 1e-4
+        share = new
+        if still:
+            break
+    return share, sum(n * math.log(sum(s * p(k, b) for k, s in enumerate(share))) for b, n in counts.items())
+
+
+def plain_predict(rows):
+    """doc_id -> (language, score), all by loops."""
+    learned = {}
+    for i, text, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            for b, n in plain_counts(text).items():
+                learned.setdefault(lang, {})[b] = learned.get(lang, {}).get(b, 0) + n
+            learned.setdefault(lang, {})
+    names = sorted(learned)
+    totals = {x: sum(c.values()) + 0.1 * langid.BUCKETS for x, c in learned.items()}
+    out = {}
+    for i, text, _ in rows:
+        counts = plain_counts(text)
+        if not counts:
+            out[i] = ("und", 0.0)
+            continue
+        p = lambda k, b: (learned[names[k]].get(b, 0) + 0.1) / totals[names[k]]
+        share, _ = plain_em(p, counts, [1 / len(names)] * len(names), 6)
+        order = sorted(range(len(names)), key=lambda k: -share[k])
+        alone = [sum(n * math.log(p(k, b)) for b, n in counts.items()) for k in range(len(names))]
+        best, chosen, shares = max(alone), [alone.index(max(alone))], [1.0]
+        for k in range(2, len(names) + 1):
+            if share[order[k - 1]] < 0.01:
+                break
+            own = [share[x] for x in order[:k]]
+            s, fit = plain_em(lambda j, b, at=order: p(at[j], b), counts, [x / sum(own) for x in own], 40)
+            if fit - best <= langid.PENALTY * math.log(sum(counts.values()) + 1):
+                break
+            best, chosen, shares = fit, order[:k], s
+        out[i] = min(((-x, names[k]) for k, x in zip(chosen, shares, strict=True)))[::-1]
+        out[i] = (out[i][0], -out[i][1])
+    return out
+
+
+def test_query_against_plain_mixture(spark):
+    rng = random.Random(4)
+    words = {"aa": ["kala", "mala", "taka", "lama"], "bb": ["griz", "strock", "plint", "zwerg"], "cc": ["ouei", "auio", "ieou"]}
+    rows = []
+    for i in range(150):
+        langs = rng.sample(sorted(words), rng.choice([1, 1, 2]))
+        text = " ".join(rng.choice(words[rng.choice(langs)]) for _ in range(rng.randrange(1, 60)))
+        rows.append((i, text, langs[0] if i % 7 else None))
+    rows += [(900, None, "aa"), (901, "12 !", "bb"), (902, "Kala GRIZ kala", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = plain_predict(rows)
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    for i, (lang, score) in want.items():
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-6, i
+
+
+def test_the_mixture_decides_what_stays(spark):
+    rng = random.Random(6)
+    words = {"aa": ["kala", "mala", "taka", "lama"], "bb": ["griz", "strock", "plint", "zwerg"]}
+    of = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(i, of(x, 40), x) for i, x in enumerate(["aa", "bb"] * 60)]
+    rows += [(500, of("aa", 60) + " " + of("bb", 20), None), (501, of("aa", 20) + " " + of("bb", 60), None), (502, "".join(chr(rng.randrange(97, 123)) for _ in range(400)), None), (503, None, "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as mixture")
+    every = {r.doc_id for r in langid.identified(df).collect()}
+    assert every == {i for i, _, _ in rows} - {502, 503}
+    wanted = langid.identified(df, wanted=["aa"])
+    assert wanted.columns == df.columns and {r.doc_id for r in wanted.collect()} == {i for i, _, x in rows if x == "aa" and i < 500} | {500}

@@ -8,7 +8,7 @@ log-likelihood, less a penalty for each language, grows. The prediction is the l
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -22,6 +22,8 @@ BUCKETS = 1 << 15
 #: What another language has to gain in log-likelihood, in multiples of log(trigrams).
 PENALTY = 3.0
 UNKNOWN = "und"
+#: Share that the wanted languages have to have in a document, where it is a filter.
+LEAST = 0.5
 
 
 @cache
@@ -68,12 +70,13 @@ class Model:
                 break
         return share, float(n @ np.log(p @ share))
 
-    def mixture(self, text: str, penalty: float = PENALTY) -> tuple[list[tuple[str, float]], bool]:
-        """The languages chosen with their shares, largest first, and whether they explain the text better than chance
-        (every bucket alike). No letter or no language learned: ([], False)."""
+    def mixture(self, text: str, penalty: float = PENALTY) -> tuple[list[tuple[str, float]], float]:
+        """The languages chosen with their shares, largest first, and the share of the text that they explain better
+        than noise, which is one more component of the mixture with every bucket alike. No letter or no language
+        learned: ([], 0)."""
         grams = trigrams(text)
         if not len(grams) or not self.languages:
-            return [], False
+            return [], 0.0
         bucket, n = np.unique(grams, return_counts=True)
         p, n = self.p[bucket], n.astype(np.float64)
         cost = penalty * np.log(len(grams) + 1)
@@ -91,7 +94,9 @@ class Model:
                 break
             chosen, shares, best = order[:k], s, fit
         found = sorted(zip((self.languages[i] for i in chosen), shares.tolist(), strict=True), key=lambda x: (-x[1], x[0]))
-        return found, best / n.sum() > -np.log(BUCKETS)
+        noisy = np.column_stack((p[:, chosen], np.full(len(n), 1 / BUCKETS)))
+        with_noise, _ = self._em(noisy, n, 20, np.append(shares * 0.9, 0.1))
+        return found, float(1 - with_noise[-1])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,16 +127,16 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     return Model(names, counts)
 
 
-RESULT = "struct<lang:string,score:double,explained:boolean,languages:array<string>,shares:array<double>>"
+RESULT = "struct<lang:string,score:double,explained:double,languages:array<string>,shares:array<double>>"
 
 
 def predictor(docs: DataFrame, model: Model, penalty: float = PENALTY) -> Callable[[Column], Column]:
-    """A function of a text column: lang (the largest share; ``und`` without letters), score (that share), explained,
-    languages and shares, largest first."""
+    """A function of a text column: lang (the largest share; ``und`` without letters), score (that share), explained
+    (the share of the text that isn't noise), languages and shares, largest first."""
     sent = prepare(docs.sparkSession).sparkContext.broadcast(model)  # 32,768 numbers a language
 
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("explained", pa.bool_()), ("languages", pa.list_(pa.string())), ("shares", pa.list_(pa.float64()))])
+        kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("explained", pa.float64()), ("languages", pa.list_(pa.string())), ("shares", pa.list_(pa.float64()))])
         for batch in batches:
             rows = []
             for text in texts(batch):
@@ -159,9 +164,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("m.lang").alias("lang_pred"), "m.score", "m.explained", "m.languages", "m.shares")
 
 
-def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs``, all columns, that some learned language explains better than chance. Texts without a
-    letter go, as do those that no language explains."""
+def identified(docs: DataFrame, wanted: Iterable[str] | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, that are in the ``wanted`` languages (None: any that is learned): these have a
+    share of ``least`` or more in the mixture of languages and noise. Null texts and texts without a letter go. Repeated
+    rows have one fate; an empty table gives none, and without labelled rows nothing stays."""
     model = train(docs.where(~held_out(F.col(id_col))), text_col, lang_col)
     c = fresh(docs, "mixture")
-    return docs.withColumn(c, predictor(docs, model)(F.col(text_col))).where(F.col(f"{c}.explained")).drop(c)
+    found = docs.withColumn(c, predictor(docs, model)(F.col(text_col)))
+    names = None if wanted is None else [F.lit(x) for x in wanted]
+    own = F.lit(1.0) if names is None else F.aggregate(F.zip_with(f"{c}.languages", f"{c}.shares", lambda x, s: F.when(F.array_contains(F.array(*names), x), s).otherwise(0.0)), F.lit(0.0), lambda a, s: a + s)
+    return found.where(F.col(f"{c}.explained") * own >= least).drop(c)
