@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,20 +12,25 @@ from pyspark.sql import functions as F
 
 from velum.session import importable
 
-#: Rows of text that Spark hands to a Python worker at once. Bounds a worker's memory when documents are long.
-BATCH_ROWS = 1024
+#: Bytes that Spark hands to a Python worker at once, long documents apart. Bounds a worker's memory; a session setting,
+#: lowered if it is larger, which changes no result.
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches and make sure that checkpoint() has a folder. The folder named by
-    ``spark.checkpoint.dir`` is used; only where the session has none (tests) a local one is set."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    ``spark.checkpoint.dir`` is used. Without one, a local master (tests) gets a folder of its own; a cluster has no
+    folder that all executors share, and the operator fails."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.match(r"(\d+)\s*([kmg]?)", spark.conf.get(key).lower()).groups()
+    if int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit] > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     sc = importable(spark).sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="velum-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="velum-"))
     return spark
 
 
@@ -34,6 +40,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, uri: str) -> None:
+    """Delete a folder that is no longer read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}
