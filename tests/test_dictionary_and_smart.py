@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +106,34 @@ def test_profiles():
     p = smart.merge_profiles([{"active": True, "emails": [["a", "b"]], "catch_all_email": ""}, {"active": False, "catch_all_email": "no"}, {"active": True, "emails": [["c", "d"]], "catch_all_email": "yes"}])
     assert p.emails == (("a", "b"), ("c", "d")) and p.catch_all_email == "yes"
     assert smart.missing_fields(p) == ["first name", "last name", "username"]
+
+
+def test_rules_of_a_table_against_one_rule_after_the_other():
+    rng = random.Random(2)
+    for _ in range(300):
+        word = lambda n: "".join(rng.choice("abAB\u0130\u00df\u017f") for _ in range(rng.randrange(1, n)))
+        rules = sorted((dictionary.Rule(word(5), word(5), "c", rng.random() < 0.3) for _ in range(8)), key=lambda r: -len(r.real))
+        text, want, events = word(40), None, []
+        want = text
+        for r in rules:
+            same = (lambda x, y: x == y) if r.case_sensitive else (lambda x, y: dictionary.fold(x) == dictionary.fold(y))
+            at, out = 0, ""
+            while at < len(want):
+                piece = want[at : at + len(r.real)]
+                if same(piece, r.real):
+                    events.append((piece, r.to, "c"))
+                    out, at = out + r.to, at + len(piece)
+                else:
+                    out, at = out + want[at], at + 1
+            want = out
+        assert dictionary.Automaton(rules).substitute(text) == (want, events)
+
+
+def test_many_rules_of_a_table(spark):
+    rules = spark.range(100_000).selectExpr("concat('Key', id, 'x') as real", "concat('V', id) as substitute", "'k' as category", "false as case_sensitive", "true as enabled")
+    docs = spark.createDataFrame([(1, "key77X and KEY99999x, key100000x"), (2, None), (3, "Key5x" * 2000)], "id long, text string")
+    for block in (dictionary.BLOCK_BYTES, 1 << 20):
+        got = {r.id: r.result for r in dictionary.substitute_by_table(docs, rules, block_bytes=block).collect()}
+        assert got[1].text == "V77 and V99999, key100000x" and {e.original for e in got[1].events} == {"key77X", "KEY99999x"}
+        assert got[2].text is None and got[3].text == "V5" * 2000 and len(got[3].events) == 2000
+        assert sorted(map(tuple, dictionary.scan_by_table(docs, rules, "id", block_bytes=block).collect())) == [(1, "Key77x", "V77", "k"), (1, "Key99999x", "V99999", "k"), (3, "Key5x", "V5", "k")]

@@ -1,24 +1,27 @@
 """Dictionary substitution, its inverse, and what can be asked about matches.
 
-Rules come from a list or from a table of mappings. A list becomes a chain of foldable patterns; a table becomes an
-array literal that is folded row by row, in blocks, so that no join with the texts is needed. Rules run from the
-longest to the shortest; each sees what the ones before left.
+Rules come from a list or from a table of mappings. A list becomes a chain of patterns; a table becomes an automaton
+that is sent to the tasks in blocks of bounded size, so that no join with the texts is needed. Rules run from the longest
+to the shortest; each sees what the ones before left.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import heapq
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import partial, reduce
+from functools import partial
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velum.functions.events import EVENTS, Stage, event, none, run, state, when_found
+from velum.functions.events import STATE, Stage, event, run, state, when_found
 from velum.functions.regex import IGNORE_CASE, B, hits, quote, quote_column, replace_all, replacement_column, with_offsets
 
-#: Rules of a table that are folded at once.
-BLOCK = 1000
+#: Characters of a table's rules that are sent to the tasks at once.
+BLOCK_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -128,58 +131,167 @@ def _ranger(term: str) -> Stage:
 # --- rules from a table ---------------------------------------------------------------------------------------------
 
 
-def rules_of(mappings: DataFrame, swap: bool = False) -> Iterator[list]:
-    """Blocks of rules (pattern, substitute, category), longest first, from a table (real, substitute, category,
-    case_sensitive, enabled). The table's order doesn't matter: equal lengths go by their text."""
+class _Folds(dict):
+    """Characters by the one that stands for them where case doesn't count: upper case, then lower, one for one."""
+
+    def __missing__(self, c: int) -> int:
+        up = chr(c).upper()
+        low = (up if len(up) == 1 else chr(c)).lower()
+        self[c] = ord(low) if len(low) == 1 else c
+        return self[c]
+
+
+_FOLDS = _Folds()
+
+
+def fold(text: str) -> str:
+    """The text without its case; every character keeps its place."""
+    return text.lower() if text.isascii() else text.translate(_FOLDS)
+
+
+@dataclass(frozen=True)
+class Rule:
+    real: str
+    to: str
+    category: str
+    case_sensitive: bool
+
+
+class Automaton:
+    """A block of rules, in their order, as one Aho-Corasick automaton over folded text."""
+
+    def __init__(self, rules: list[Rule]):
+        import ahocorasick
+
+        self.rules, by_form = rules, {}
+        for k, r in enumerate(rules):
+            by_form.setdefault(fold(r.real), []).append(k)
+        self.found = ahocorasick.Automaton()
+        for form, own in by_form.items():
+            self.found.add_word(form, (len(form), own))
+        if rules:
+            self.found.make_automaton()
+
+    def occurring(self, text: str, folded: str | None = None) -> set[int]:
+        """The rules that occur in the text as it is."""
+        if not self.rules:
+            return set()
+        out: set[int] = set()
+        for end, (n, own) in self.found.iter(fold(text) if folded is None else folded):
+            out.update(k for k in own if k not in out and (not self.rules[k].case_sensitive or text[end - n + 1 : end + 1] == self.rules[k].real))
+        return out
+
+    def substitute(self, text: str) -> tuple[str, list[tuple[str, str, str]]]:
+        """The text after all rules, each on what the ones before left, and (original, replaced, category). What a
+        replacement brings in is looked for around it: later rules aren't longer than the one that was replaced."""
+        events: list[tuple[str, str, str]] = []
+        low = fold(text)
+        known = self.occurring(text, low)
+        waiting = sorted(known)  # a sorted list is a heap
+        while waiting:
+            k = heapq.heappop(waiting)
+            rule = self.rules[k]
+            form, to = fold(rule.real), fold(rule.to)
+            parts, lows, at, made, size = [], [], 0, [], 0
+            searched, sought = (text, rule.real) if rule.case_sensitive else (low, form)
+            while (here := searched.find(sought, at)) >= 0:
+                parts += [text[at:here], rule.to]
+                lows += [low[at:here], to]
+                events.append((text[here : here + len(form)], rule.to, rule.category))
+                size += here - at + len(to)
+                made.append(size - len(to))
+                at = here + len(form)
+            if not made:
+                continue
+            text, low = "".join([*parts, text[at:]]), "".join([*lows, low[at:]])
+            reach = len(form) - 1
+            for p in made:
+                a, z = max(0, p - reach), p + len(to) + reach
+                new = {x for x in self.occurring(text[a:z], low[a:z]) if x > k} - known
+                known |= new
+                for x in new:
+                    heapq.heappush(waiting, x)
+        return text, events
+
+
+def rules_of(mappings: DataFrame, swap: bool = False, block_bytes: int = BLOCK_BYTES) -> Iterator[list[Rule]]:
+    """Blocks of rules, longest first, from a table (real, substitute, category, case_sensitive, enabled). The table's
+    order doesn't matter: equal lengths go by their text. One block at a time is held by the driver."""
     a, b = ("substitute", "real") if swap else ("real", "substitute")
     m = mappings.where(F.coalesce("enabled", F.lit(False)) & (F.col("real") != "") & (F.col("substitute") != ""))
-    pattern = F.concat(F.when(F.coalesce("case_sensitive", F.lit(False)), "").otherwise(IGNORE_CASE), quote_column(F.col(a)))
-    rows = m.select(pattern.alias("pattern"), F.col(b).alias("to"), F.coalesce("category", F.lit("general")).alias("category"), F.length(a).alias("n"), F.col(a).alias("key")).orderBy(F.desc("n"), "key")
-    block: list = []
-    for r in rows.toLocalIterator():
-        block.append((r["pattern"], r["to"], r["category"]))
-        if len(block) == BLOCK:
+    rows = m.select(F.col(a).alias("key"), F.col(b).alias("to"), F.coalesce("category", F.lit("general")).alias("category"), F.coalesce("case_sensitive", F.lit(False)).alias("cs")).orderBy(F.desc(F.length("key")), "key", "to", "category", "cs")
+    yield from _in_blocks((Rule(*r) for r in rows.toLocalIterator()), block_bytes)
+
+
+def _in_blocks(rules: Iterable[Rule], block_bytes: int) -> Iterator[list[Rule]]:
+    block, size = [], 0
+    for r in rules:
+        block.append(r)
+        size += len(r.real) + len(r.to) + len(r.category)
+        if size > block_bytes:
             yield block
-            block = []
+            block, size = [], 0
     if block:
         yield block
 
 
-def _fold(now: Column, block: list) -> Column:
-    rules = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(t).alias("to"), F.lit(c).alias("category")) for p, t, c in block])
+def substitute_by_table(docs: DataFrame, mappings: DataFrame, text_col: str = "text", result_col: str = "result", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with struct<text, events> of the table's rules in ``result_col``. Rules are sent in blocks of bounded
+    size, one automaton and one Arrow function each: the plan grows with the blocks, not with the rules, and a text
+    meets only the rules that occur in it. Nothing is shuffled."""
+    docs = docs.withColumn(result_col, state(F.col(text_col)))
+    for block in rules_of(mappings, block_bytes=block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(block)  # bounded by block_bytes
+        held = fresh_name(docs, "after_block")
+        docs = docs.withColumn(held, _applier(sent)(F.col(result_col)["text"]))
+        docs = docs.withColumn(result_col, state(F.col(held)["text"], F.concat(F.col(result_col)["events"], F.col(held)["events"]))).drop(held)
+    return docs
 
-    def step(acc: Column, r: Column) -> Column:
-        found = hits(acc["text"], r["pattern"])
-        own = F.transform(found, lambda x: event(x, r["to"], r["category"], None))
-        changed = F.struct(F.regexp_replace(acc["text"], r["pattern"], replacement_column(r["to"])).alias("text"), F.concat(acc["events"], own).cast(EVENTS).alias("events"))
-        return F.when(F.rlike(acc["text"], r["pattern"]), changed).otherwise(acc)
 
-    return F.aggregate(rules, now, step)
+def _applier(sent: Broadcast) -> Callable[[Column], Column]:
+    kind = pa.struct([("text", pa.string()), ("events", pa.list_(pa.struct([(n, pa.string()) for n in ("original", "replaced", "category", "pattern")])))])
 
+    @F.arrow_udf(STATE)
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Automaton(sent.value)
+        for batch in batches:
+            out = []
+            for text in batch.to_pylist():
+                new, found = known.substitute(text) if text is not None else (None, [])
+                out.append({"text": new, "events": [{"original": o, "replaced": r, "category": c, "pattern": None} for o, r, c in found]})
+            yield pa.array(out, kind)
 
-def substitute_by_table(docs: DataFrame, mappings: DataFrame, text_col: str = "text", result_col: str = "result") -> DataFrame:
-    """``docs`` with struct<text, events> of the table's rules in ``result_col``."""
-    result = reduce(_fold, rules_of(mappings), F.struct(F.col(text_col).alias("text"), none().alias("events")))
-    return docs.withColumn(result_col, result)
+    return apply
 
 
-def scan_by_table(docs: DataFrame, mappings: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, real, substitute, category) of the rules that occur in each document: every block of enabled rules is an
-    array literal, filtered by the text, so that texts aren't shuffled and no pair is made that doesn't match."""
-    kind = "array<struct<real:string,substitute:string,category:string>>"
+def _finder(sent: Broadcast) -> Callable[[Column], Column]:
+    kind = pa.list_(pa.struct([(n, pa.string()) for n in ("real", "substitute", "category")]))
+
+    @F.arrow_udf("array<struct<real:string,substitute:string,category:string>>")
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Automaton(sent.value)
+        for batch in batches:
+            found = [[known.rules[k] for k in sorted(known.occurring(t))] if t is not None else [] for t in batch.to_pylist()]
+            yield pa.array([[{"real": r.real, "substitute": r.to, "category": r.category} for r in rules] for rules in found], kind)
+
+    return find
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def scan_by_table(docs: DataFrame, mappings: DataFrame, id_col: str, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, real, substitute, category) of the rules that occur in each document, by one automaton a block of rules:
+    texts aren't shuffled and no pair is made that doesn't match."""
     own = mappings.where(F.coalesce("enabled", F.lit(False)) & (F.col("real") != "")).select("real", F.coalesce("substitute", F.lit("")).alias("substitute"), F.coalesce("category", F.lit("general")).alias("category"), F.coalesce("case_sensitive", F.lit(False)).alias("cs"))
-    found = F.array().cast(kind)
-    block: list[Mapping] = []
-    parts = []
-    for r in own.toLocalIterator():
-        block.append(Mapping(r["real"], r["substitute"], r["category"], r["cs"]))
-        if len(block) == BLOCK:
-            parts.append(block)
-            block = []
-    for b in [*parts, block]:
-        if b:
-            found = F.concat(found, scan(F.col(text_col), b))
-    return docs.select(F.col(id_col), F.inline(found))
+    out = docs.select(id_col, F.inline(F.array().cast("array<struct<real:string,substitute:string,category:string>>")))
+    for block in _in_blocks((Rule(*r) for r in own.toLocalIterator()), block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(block)  # bounded by block_bytes
+        out = out.unionByName(docs.select(id_col, F.inline(_finder(sent)(F.col(text_col)))))
+    return out
 
 
 def session_pairs(events: DataFrame, pairs: DataFrame, session_col: str = "session") -> DataFrame:

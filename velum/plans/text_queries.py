@@ -327,6 +327,18 @@ def dict_diff_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("conv_id", "turn", "c.type", F.coalesce("c.text", "c.original").alias("piece"), "c.replacement")
 
 
+_MANY = r"SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS w FROM conversations)"
+
+
+@register(f"SELECT p.page_id, count(*)::BIGINT AS n_rules, min(w) AS first_rule FROM pages p JOIN ({_MANY}) r ON contains(lower(p.html), lower(r.w)) AND (r.w = lower(r.w) OR contains(p.html, r.w)) GROUP BY p.page_id")
+def dict_scan_thousands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the conversations is a rule; those with a capital letter mind the case."""
+    words = table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("real")).distinct()
+    rules = words.select("real", F.lit("x").alias("substitute"), F.lit("word").alias("category"), (F.col("real") != F.lower("real")).alias("case_sensitive"), F.lit(True).alias("enabled"))
+    found = dictionary.scan_by_table(texts(spark, sf_dir, "pages", "page_id", "html"), rules, "page_id", "html")
+    return found.groupBy("page_id").agg(F.count("*").alias("n_rules"), F.min("real").alias("first_rule"))
+
+
 _EMITTED = "SELECT conv_id, turn AS seq, upper(substr(text, 1, 3)) AS original, CASE WHEN turn % 2 = 0 THEN concat('Sub', cast(conv_id % 7 as string)) ELSE upper(concat('sub', cast(turn % 5 as string))) END AS replaced FROM conversations"
 
 
