@@ -15,7 +15,8 @@ until a pair at 0.8 meets with probability RECALL. So work grows with the nodes,
 Step 1: each trie is joined with itself under rising budgets, the nearest first, and only pairs that connect two parts
 are kept: fewer than nodes, whatever the size of a family of copies. The exact index confirms them. Step 2: again, where
 classes still differ. A pair of trie nodes below which there is one class only is dropped, so that families that are
-connected cost nothing; what is left is confirmed by the exact index, which makes the links.
+connected cost nothing. The nodes that are near to another class are sent to their tries with their texts, and the exact
+index is taken there, so that the links come out and not the pairs.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 13
 #: Shingles of texts met before that a task keeps.
 _HELD = 1 << 21
+#: Characters of a group's texts up to which its pairs are confirmed in its task.
+_GROUP_TEXT = 64 << 20
 _RANDOM = np.random.default_rng(5)
 _XOR = _RANDOM.integers(0, 1 << 64, ROUTES * DRAWN, np.uint64)[:, None]
 _FACTOR = _RANDOM.integers(0, 1 << 64, ROUTES * DRAWN, np.uint64)[:, None] | np.uint64(1)
@@ -130,52 +133,122 @@ def _fingerprints(d: DataFrame) -> DataFrame:
 
 
 def _tries(nodes: DataFrame) -> DataFrame:
-    """``nodes`` once a trie or subtree (column head) of two or more, its members together and sorted."""
-    rows = nodes.select(F.explode("heads").alias("head"), "key", "class", *_FP)
-    sizes = rows.groupBy("head").count().where("count > 1").withColumn("level", F.greatest(F.ceil(F.log2("count")) - ROOM, F.lit(0))).drop("count")
+    """``nodes`` once a trie (column trie) or subtree (column head) of two or more, its members together and sorted."""
+    rows = nodes.select(F.explode("heads").alias("trie"), "key", "class", *_FP)
+    sizes = rows.groupBy("trie").count().where("count > 1").withColumn("level", F.greatest(F.ceil(F.log2("count")) - ROOM, F.lit(0))).drop("count")
     deepest = sizes.agg(F.max("level")).first()[0] or 0
     ways = F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), *[F.lit(int(m)).alias(f"m{k}") for k, m in enumerate(row)]) for t, row in enumerate(orders(level).view(np.int64))]) for level in range(deepest + 1)])
-    met = rows.join(sizes, "head").select("*", F.explode(ways[F.col("level").cast("int")]).alias("m"))
-    below = F.xxhash64("head", "m.t", *[F.col(f).bitwiseAND(F.col(f"m.m{k}")) for k, f in enumerate(_FP)])
-    met = met.select(F.when(F.col("level") == 0, F.col("head")).otherwise(below).alias("head"), "key", "class", *_FP)
+    met = rows.join(sizes, "trie").select("*", F.explode(ways[F.col("level").cast("int")]).alias("m"))
+    below = F.xxhash64("trie", "m.t", *[F.col(f).bitwiseAND(F.col(f"m.m{k}")) for k, f in enumerate(_FP)])
+    met = met.select(F.when(F.col("level") == 0, F.col("trie")).otherwise(below).alias("head"), "trie", "key", "class", *_FP)
     return met.repartition("head").sortWithinPartitions("head")
 
 
-def _candidates(nodes: DataFrame, spanning: bool) -> DataFrame:
-    """Pairs (u, v) of keys within BUDGET bits. ``nodes``: rows (key, class, f0, ..., heads), each key once.
-    ``spanning``: pairs that connect the same nodes, fewer than nodes in each trie; else all pairs of different classes."""
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for head, key, group, *fp in whole_groups(batches):
-            values = np.stack(fp, axis=1).view(np.uint64)
-            order = np.lexsort((*reversed([values[:, k] for k in range(WORDS)]), head))
-            head, key, group, values = head[order], key[order], group[order], values[order]
-            equal = np.r_[False, (head[1:] == head[:-1]) & (values[1:] == values[:-1]).all(axis=1)]
-            first = np.flatnonzero(~equal)  # of equal fingerprints one goes into the trie, the others hang on it
-            hang, on = np.flatnonzero(equal), first[np.cumsum(~equal) - 1][equal]
-            if len(hang):
-                yield _pairs(key[on], key[hang])
-            key, values, head = key[first], values[first], head[first]
-            if spanning:
-                label = np.arange(len(first))
-                for budget in (2 * WORDS, 6 * WORDS, BUDGET):
-                    for i, j in trie_pairs(values, head, 64 * WORDS, budget, label):
-                        near = np.argsort(np.bitwise_count(values[i] ^ values[j]).sum(axis=1), kind="stable")
-                        used = near[merge(label, i[near], j[near])]
-                        if len(used):
-                            yield _pairs(key[i[used]], key[j[used]])
-                continue
-            known = np.unique(group[first], return_inverse=True)[1]
-            for i, j in trie_pairs(values, head, 64 * WORDS, BUDGET, known):
-                new = known[i] != known[j]
-                if new.any():
-                    yield _pairs(key[i[new]], key[j[new]])
-
-    return _tries(nodes).mapInArrow(join, "u long, v long").distinct()
-
-
-def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+class _Group:
+    """Nodes of some tries, sorted. Of equal fingerprints one (``first``) goes into the trie, the others hang on it."""
+
+    def __init__(self, head: np.ndarray, fp: list[np.ndarray]):
+        values = np.stack(fp, axis=1).view(np.uint64)
+        self.order = np.lexsort((*reversed([values[:, k] for k in range(WORDS)]), head))
+        head, values = head[self.order], values[self.order]
+        equal = np.r_[False, (head[1:] == head[:-1]) & (values[1:] == values[:-1]).all(axis=1)]
+        self.first = np.flatnonzero(~equal)
+        self.hang, self.on = np.flatnonzero(equal), self.first[np.cumsum(~equal) - 1][equal]
+        self.values, self.head = values[self.first], head[self.first]
+
+    def near(self, budget: int, classes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of places in ``first`` within ``budget`` bits, nearest first."""
+        for i, j in trie_pairs(self.values, self.head, 64 * WORDS, budget, classes):
+            at = np.argsort(np.bitwise_count(self.values[i] ^ self.values[j]).sum(axis=1), kind="stable")
+            yield i[at], j[at]
+
+
+def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of _tries(): pairs (u, v) within BUDGET bits that connect the same nodes as all such pairs, the nearest."""
+    for head, _, key, _, *fp in whole_groups(batches):
+        g = _Group(head, fp)
+        key = key[g.order]
+        if len(g.hang):
+            yield _pairs(key[g.on], key[g.hang])
+        label = np.arange(len(g.first))
+        for budget in (2 * WORDS, 6 * WORDS, BUDGET):
+            for i, j in g.near(budget, label):
+                used = merge(label, i, j)
+                if len(used):
+                    yield _pairs(key[g.first[i[used]]], key[g.first[j[used]]])
+
+
+def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of _tries(): the rows (head, trie, key) that are within BUDGET bits of another class."""
+    for head, trie, key, group, *fp in whole_groups(batches):
+        g = _Group(head, fp)
+        group = group[g.order]
+        marked = np.zeros(len(key), bool)
+        apart = group[g.on] != group[g.hang]
+        marked[g.on[apart]] = marked[g.hang[apart]] = True
+        known = np.unique(group[g.first], return_inverse=True)[1]
+        for i, j in trie_pairs(g.values, g.head, 64 * WORDS, BUDGET, known):
+            new = known[i] != known[j]
+            marked[g.first[i[new]]] = True
+            marked[g.first[j[new]]] = True
+        # what hangs on a marked node is near to the same ones
+        marked[g.hang] |= marked[g.on]
+        at = g.order[marked]
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(head[at]), pa.array(trie[at]), pa.array(key[at])], names=["head", "trie", "key"])
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (head, trie, key, class, f0, ..., heads, text), sorted by head: pairs (u, v, sure) of different classes,
+    confirmed by the exact index and fewer than classes; but of a group with more text than a task may hold all pairs
+    within BUDGET bits, not sure. A pair is tested in the first trie that both are in."""
+    for head, trie, key, group, *fp, heads, text in whole_groups(batches):
+        g = _Group(head, fp)
+        trie, key, group, text = trie[g.order], key[g.order], group[g.order], text[g.order]
+        every = np.stack(heads[g.order].tolist())
+        start, place = np.unique(group, return_index=True, return_inverse=True)[1:]
+        label = start[place]
+        large = np.add.reduceat(np.fromiter(map(len, text), np.int64, len(text)), cut := np.flatnonzero(np.r_[True, np.diff(head[g.order]) != 0])) > _GROUP_TEXT
+        large = np.repeat(large, np.diff(np.r_[cut, len(text)]))
+        own: dict[int, np.ndarray] = {}
+
+        def of(k: int, own: dict = own, text: np.ndarray = text) -> np.ndarray:
+            if k not in own:
+                own[k] = shingles(text[k])
+            return own[k]
+
+        def tested(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(i), 1 << 14):
+                a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+                shared = every[a] == every[b]
+                new = (every[a, shared.argmax(axis=1)] == trie[a]) & (label[a] != label[b])
+                a, b = a[new], b[new]
+                if (unsure := large[a]).any():
+                    yield _pairs(key[a[unsure]], key[b[unsure]], False)
+                found = []
+                for x, y in zip(a[~unsure].tolist(), b[~unsure].tolist(), strict=True):
+                    if label[x] != label[y] and jaccard(of(x), of(y)) >= LEAST:
+                        merge(label, np.array([x]), np.array([y]))
+                        found.append((x, y))
+                if found:
+                    x, y = np.array(found).T
+                    yield _pairs(key[x], key[y], True)
+
+        yield from tested(g.on, g.hang)
+        known = label[g.first]
+        for i, j in g.near(BUDGET, known):
+            yield from tested(g.first[i], g.first[j])
+            known[:] = label[g.first]
+
+
+def _pairs(u: np.ndarray, v: np.ndarray, *sure: bool) -> pa.RecordBatch:
+    columns = [pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), *[pa.array(np.full(len(u), x)) for x in sure]]
+    return pa.RecordBatch.from_arrays(columns, names=["u", "v", "sure"][: len(columns)])
+
+
+def _texts(d: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (key, text) of the keys in ``wanted``."""
+    return d.select("key", "text").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
 
 
 def _linked(d: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -201,8 +274,7 @@ def _linked(d: DataFrame, pairs: DataFrame) -> DataFrame:
         for left, right in batches:
             yield pa.array([jaccard(of(a), of(b)) >= LEAST for a, b in zip(texts(left), texts(right), strict=True)], pa.bool_())
 
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    once = d.select("key", "text").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")).checkpoint()
+    once = _texts(d, pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()).checkpoint()
     both = pairs.join(once.select(F.col("key").alias("u"), F.col("text").alias("a")), "u").join(once.select(F.col("key").alias("v"), F.col("text").alias("b")), "v")
     return both.select("u", "v", near("a", "b").alias("near")).where("near").select("u", "v")
 
@@ -210,12 +282,15 @@ def _linked(d: DataFrame, pairs: DataFrame) -> DataFrame:
 def links(d: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (u, v) of keys at LEAST or more that connect all that such pairs connect. ``d`` has rows (key, text),
     ``nodes`` rows (key, f0, ..., heads), each key once."""
-    step = _candidates(nodes.withColumn("class", F.col("key")), True).checkpoint()
-    first = _linked(d, step).checkpoint()
+    tries = _tries(nodes.withColumn("class", F.col("key")))
+    first = _linked(d, tries.mapInArrow(_spanning, "u long, v long").distinct().checkpoint()).checkpoint()
     roots = components(first)
     classes = nodes.join(roots, nodes["key"] == roots["node"], "left").select("key", F.coalesce("root", "key").alias("class"), *_FP, "heads")
-    rest = _candidates(classes, False).join(step, ["u", "v"], "left_anti").checkpoint()
-    return first.unionAll(_linked(d, rest)).checkpoint()
+    open_ = _tries(classes).mapInArrow(_unsettled, "head long, trie long, key long").checkpoint()
+    rows = open_.join(classes, "key").join(_texts(d, open_.select("key").distinct()), "key")
+    rows = rows.select("head", "trie", "key", "class", *_FP, "heads", "text").repartition("head").sortWithinPartitions("head")
+    second = rows.mapInArrow(_settled, "u long, v long, sure boolean").distinct().checkpoint()
+    return first.unionAll(second.where("sure").select("u", "v")).unionAll(_linked(d, second.where("not sure").select("u", "v"))).checkpoint()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
