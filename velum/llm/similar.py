@@ -48,6 +48,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 13
 #: Shingles of texts met before that a task keeps.
 _HELD = 1 << 21
+#: Keys that are sent to all tasks, 8 bytes each; more are joined by a shuffle.
+_SENT_KEYS = 2_000_000
 #: Characters of a group's texts up to which its pairs are confirmed in its task.
 _GROUP_TEXT = 64 << 20
 _RANDOM = np.random.default_rng(5)
@@ -133,15 +135,19 @@ def _fingerprints(d: DataFrame) -> DataFrame:
 
 
 def _tries(nodes: DataFrame) -> DataFrame:
-    """``nodes`` once a trie (column trie) or subtree (column head) of two or more, its members together and sorted."""
-    rows = nodes.select(F.explode("heads").alias("trie"), "key", "class", *_FP)
-    sizes = rows.groupBy("trie").count().where("count > 1").withColumn("level", F.greatest(F.ceil(F.log2("count")) - ROOM, F.lit(0))).drop("count")
+    """``nodes`` once a trie (column trie) or subtree (column head) of two or more."""
+    rows = nodes.select(F.explode("heads").alias("trie"), "key", *_FP)
+    sizes = rows.groupBy("trie").count().where("count > 1").withColumn("level", F.greatest(F.ceil(F.log2("count")) - ROOM, F.lit(0))).drop("count").checkpoint()
     deepest = sizes.agg(F.max("level")).first()[0] or 0
     ways = F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), *[F.lit(int(m)).alias(f"m{k}") for k, m in enumerate(row)]) for t, row in enumerate(orders(level).view(np.int64))]) for level in range(deepest + 1)])
     met = rows.join(sizes, "trie").select("*", F.explode(ways[F.col("level").cast("int")]).alias("m"))
     below = F.xxhash64("trie", "m.t", *[F.col(f).bitwiseAND(F.col(f"m.m{k}")) for k, f in enumerate(_FP)])
-    met = met.select(F.when(F.col("level") == 0, F.col("trie")).otherwise(below).alias("head"), "trie", "key", "class", *_FP)
-    return met.repartition("head").sortWithinPartitions("head")
+    return met.select(F.when(F.col("level") == 0, F.col("trie")).otherwise(below).alias("head"), "trie", "key", *_FP)
+
+
+def _by_head(rows: DataFrame) -> DataFrame:
+    """Members of a subtree together and sorted."""
+    return rows.repartition("head").sortWithinPartitions("head")
 
 
 class _Group:
@@ -164,8 +170,9 @@ class _Group:
 
 
 def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of _tries(): pairs (u, v) within BUDGET bits that connect the same nodes as all such pairs, the nearest."""
-    for head, _, key, _, *fp in whole_groups(batches):
+    """Of rows (head, trie, key, f0, ...): pairs (u, v) within BUDGET bits that connect the same nodes as all such pairs,
+    the nearest."""
+    for head, _, key, *fp in whole_groups(batches):
         g = _Group(head, fp)
         key = key[g.order]
         if len(g.hang):
@@ -179,8 +186,8 @@ def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of _tries(): the rows (head, trie, key) that are within BUDGET bits of another class."""
-    for head, trie, key, group, *fp in whole_groups(batches):
+    """Of rows (head, trie, key, f0, ..., class): the (head, trie, key) that are within BUDGET bits of another class."""
+    for head, trie, key, *fp, group in whole_groups(batches):
         g = _Group(head, fp)
         group = group[g.order]
         marked = np.zeros(len(key), bool)
@@ -247,12 +254,13 @@ def _pairs(u: np.ndarray, v: np.ndarray, *sure: bool) -> pa.RecordBatch:
 
 
 def _texts(d: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (key, text) of the keys in ``wanted``."""
-    return d.select("key", "text").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    """Rows (key, text) of the ``wanted`` keys. Where these are few enough to send, the other texts aren't shuffled."""
+    few = wanted.count() <= _SENT_KEYS
+    return d.select("key", "text").join(F.broadcast(wanted) if few else wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
 
 
-def _linked(d: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose exact index is LEAST or more."""
+def _linked(once: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose exact index is LEAST or more. ``once``: rows (key, text)."""
 
     @F.arrow_udf("boolean")
     def near(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -274,7 +282,6 @@ def _linked(d: DataFrame, pairs: DataFrame) -> DataFrame:
         for left, right in batches:
             yield pa.array([jaccard(of(a), of(b)) >= LEAST for a, b in zip(texts(left), texts(right), strict=True)], pa.bool_())
 
-    once = _texts(d, pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()).checkpoint()
     both = pairs.join(once.select(F.col("key").alias("u"), F.col("text").alias("a")), "u").join(once.select(F.col("key").alias("v"), F.col("text").alias("b")), "v")
     return both.select("u", "v", near("a", "b").alias("near")).where("near").select("u", "v")
 
@@ -282,15 +289,19 @@ def _linked(d: DataFrame, pairs: DataFrame) -> DataFrame:
 def links(d: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (u, v) of keys at LEAST or more that connect all that such pairs connect. ``d`` has rows (key, text),
     ``nodes`` rows (key, f0, ..., heads), each key once."""
-    tries = _tries(nodes.withColumn("class", F.col("key")))
-    first = _linked(d, tries.mapInArrow(_spanning, "u long, v long").distinct().checkpoint()).checkpoint()
-    roots = components(first)
-    classes = nodes.join(roots, nodes["key"] == roots["node"], "left").select("key", F.coalesce("root", "key").alias("class"), *_FP, "heads")
-    open_ = _tries(classes).mapInArrow(_unsettled, "head long, trie long, key long").checkpoint()
-    rows = open_.join(classes, "key").join(_texts(d, open_.select("key").distinct()), "key")
-    rows = rows.select("head", "trie", "key", "class", *_FP, "heads", "text").repartition("head").sortWithinPartitions("head")
-    second = rows.mapInArrow(_settled, "u long, v long, sure boolean").distinct().checkpoint()
-    return first.unionAll(second.where("sure").select("u", "v")).unionAll(_linked(d, second.where("not sure").select("u", "v"))).checkpoint()
+    members = _tries(nodes).checkpoint()
+    pairs = _by_head(members).mapInArrow(_spanning, "u long, v long").distinct().checkpoint()
+    # a node that is near to any other in a trie is in one of these pairs, so that no other text is needed later
+    once = _texts(d, pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().checkpoint()).checkpoint()
+    first = _linked(once, pairs).checkpoint()
+    roots = components(first).checkpoint()
+    classed = lambda rows: rows.join(roots, rows["key"] == roots["node"], "left").withColumn("class", F.coalesce("root", "key")).drop("node", "root")
+    unsettled = _by_head(classed(members)).mapInArrow(_unsettled, "head long, trie long, key long").checkpoint()
+    rows = classed(unsettled.join(nodes, "key")).join(once, "key").select("head", "trie", "key", "class", *_FP, "heads", "text")
+    second = _by_head(rows).mapInArrow(_settled, "u long, v long, sure boolean").distinct().checkpoint()
+    found = first.unionAll(second.where("sure").select("u", "v"))
+    unsure = second.where("not sure").select("u", "v")
+    return found if unsure.isEmpty() else found.unionAll(_linked(once, unsure))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
