@@ -1,9 +1,11 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from velum.operators import detect, smart
+from velum.functions.regex import with_offsets
+from velum.operators import detect, dictionary, smart
 from velum.operators.dictionary import Mapping
 from velum.plans import outbound
 
@@ -91,3 +93,15 @@ def test_markup_and_urls(spark):
     urls = {"https://x.org/a.JS?v=1": True, "https://x.org/analytics/p": True, "https://sentry.io": True, "https://x.org/a.json": False, "https://x.org/logs": False}
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert {r.u: r.s for r in df.select("u", outbound.skipped_url(F.col("u")).alias("s")).collect()} == urls
+
+
+def test_long_texts_with_many_matches(spark):
+    n = 20_000
+    df = spark.range(1).select(F.expr(f"repeat('10.0.0.1 ', {n})").alias("t"))
+    began = time.monotonic()
+    places = df.select(with_offsets(F.col("t"), r"1(?=0)").alias("p")).select(F.size("p").alias("n"), F.expr("p[size(p) - 1].start").alias("last")).first()
+    assert tuple(places) == (n, 9 * (n - 1))
+    assert df.select(F.size(detect.findings(F.col("t"), variant="lib")).alias("n")).first().n == n
+    assert df.select(F.size(detect.findings(F.col("t"))).alias("n")).first().n == 1
+    assert df.select(F.size(dictionary.diff(F.col("t"), [Mapping("0", "z")])).alias("n")).first().n > 3 * n
+    assert time.monotonic() - began < 120

@@ -73,20 +73,52 @@ def found_in(text: Column, pattern: str, needs: str | None = None) -> Column:
     return text.contains(needs) & text.rlike(pattern) if needs else text.rlike(pattern)
 
 
-def with_offsets(text: Column, pattern: str, needs: str | None = None) -> Column:
-    """array<struct<start: int, value: string>> of all matches, starts in characters from 0."""
-    empty = F.array().cast("array<struct<start:int,value:string>>")
+def literal(text: str) -> str:
+    """The text as a string of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def given(value: Column, body: str, name: str = "t") -> Column:
+    """``body``, an expression in SQL, of ``value``, which it knows by ``name`` and which is computed once. A long
+    expression is built by one parse instead of thousands of calls from Python."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}")), F.lit(0))
+
+
+def found_in_sql(t: str, pattern: str, needs: str | None = None) -> str:
+    test = f"rlike({t}, {literal(pattern)})"
+    return f"contains({t}, {literal(needs)}) AND {test}" if needs else test
+
+
+#: Elements that are folded at once. A fold that appends copies what it has, so that a long array is folded in blocks.
+FOLDED = 256
+PLACES = "array<struct<start:int,value:string>>"
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        found = F.struct(start.alias("start"), pair["hit"].alias("value"))
-        return F.struct((start + F.length(pair["hit"])).alias("at"), F.concat(acc["found"], F.array(found)).alias("found"))
 
-    def scan(found: Column) -> Column:
-        pairs = F.zip_with(F.slice(gaps(text, pattern), F.lit(1), F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("found")), step)["found"]
+def blocks_sql(items: str, each: str, start: str, out: str) -> str:
+    """A fold of the array ``items`` in linear time. ``each`` is the new (at, out) from ``acc`` and the element ``x``,
+    where acc.at is what goes from one element to the next (``start`` first), and acc.out an array of type ``out``, to
+    which it appends; the result is that array."""
+    one = f"aggregate(slice({items}, b * {FOLDED} + 1, {FOLDED}), named_struct('at', o.at, 'out', CAST(array() AS {out})), (acc, x) -> {each})"
+    grown = f"transform(array({one}), p -> named_struct('at', p.at, 'out', concat(o.out, array(p.out))))[0]"
+    every = f"aggregate(sequence(0, CAST((size({items}) - 1) DIV {FOLDED} AS INT)), named_struct('at', {start}, 'out', CAST(array() AS array<{out}>)), (o, b) -> {grown})"
+    return f"CASE WHEN size({items}) > 0 THEN flatten({every}.out) ELSE CAST(array() AS {out}) END"
 
-    return F.when(found_in(text, pattern, needs), let(hits(text, pattern), scan)).otherwise(empty)
+
+def pairs_sql(t: str, pattern: str, needs: str | None = None) -> str:
+    """array<struct<gap: int, value: string>>: the matches, and how many characters stand before each."""
+    hits, gaps = f"regexp_extract_all({t}, {literal(pattern)}, 0)", f"split({t}, {literal(pattern)}, -1)"
+    found = f"transform(array({hits}), h -> zip_with(slice({gaps}, 1, size(h)), h, (g, v) -> named_struct('gap', length(g), 'value', v)))[0]"
+    return f"CASE WHEN {found_in_sql(t, pattern, needs)} THEN {found} ELSE CAST(array() AS array<struct<gap:int,value:string>>) END"
+
+
+def places_sql(pairs: str) -> str:
+    """array<struct<start: int, value: string>> of such pairs, starts in characters from 0."""
+    return blocks_sql(pairs, "named_struct('at', acc.at + x.gap + length(x.value), 'out', concat(acc.out, array(named_struct('start', acc.at + x.gap, 'value', x.value))))", "0", PLACES)
+
+
+def with_offsets(text: Column, pattern: str, needs: str | None = None) -> Column:
+    """array<struct<start: int, value: string>> of all matches, starts in characters from 0; none for null."""
+    return given(text, f"transform(array({pairs_sql('t', pattern, needs)}), q -> {places_sql('q')})[0]")
 
 
 def rewrite(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:

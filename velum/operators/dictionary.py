@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velum.functions.events import STATE, Stage, event, run, state, when_found
-from velum.functions.regex import IGNORE_CASE, B, hits, quote, quote_column, replace_all, replacement_column, with_offsets
+from velum.functions.regex import IGNORE_CASE, B, blocks_sql, given, hits, literal, pairs_sql, places_sql, quote, quote_column, replace_all, replacement_column, with_offsets
 
 #: Characters of a table's rules that are sent to the tasks at once.
 BLOCK_BYTES = 16 << 20
+#: Characters of a text that are cut at once.
+CHUNK = 4096
 
 
 @dataclass(frozen=True)
@@ -86,29 +88,35 @@ def diff(text: Column, mappings: Iterable[Mapping], dedupe: bool = False) -> Col
     """array<struct<type, text, original, replacement>>: the text cut at all matches of all rules. Matches may overlap,
     and then the cut goes back; ``dedupe`` drops a match that begins before the last one ended."""
     rules = usable(mappings)
-    chunk = "struct<type:string,text:string,original:string,replacement:string>"
-    kind = f"array<{chunk}>"
-    nothing = F.lit(None).cast("string")
-    plain = lambda t: F.struct(F.lit("unchanged").alias("type"), t.alias("text"), nothing.alias("original"), nothing.alias("replacement"))
-    places = [F.transform(with_offsets(text, m.pattern), _placer(k, m)) for k, m in enumerate(rules)]
-    found = F.array_sort(F.concat(*places)) if places else F.array().cast("array<struct<start:int,rule:int,value:string,substitute:string>>")
-
-    def step(acc: Column, p: Column) -> Column:
-        gap = F.when(p["start"] > acc["at"], F.array(plain(F.substr(text, acc["at"] + 1, p["start"] - acc["at"])))).otherwise(F.array().cast(kind))
-        own = F.array(F.struct(F.lit("substituted").alias("type"), nothing.alias("text"), p["value"].alias("original"), p["substitute"].alias("replacement")))
-        grown = F.struct((p["start"] + F.length(p["value"])).alias("at"), F.concat(acc["out"], gap, own).alias("out"))
-        return F.when(p["start"] < acc["at"], acc).otherwise(grown) if dedupe else grown
-
-    def finish(acc: Column) -> Column:
-        rest = F.when(acc["at"] < F.length(text), F.array(plain(F.substr(text, acc["at"] + 1)))).otherwise(F.array().cast(kind))
-        return F.concat(acc["out"], rest)
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    return F.when(text.isNotNull(), F.aggregate(found, start, step, finish))
-
-
-def _placer(k: int, m: Mapping) -> Stage:
-    return lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("rule"), x["value"].alias("value"), F.lit(m.substitute).alias("substitute"))
+    if not rules:
+        parts = "CAST(array() AS array<struct<start:int,rule:int,value:string,substitute:string>>)"
+    else:
+        parts = f"array_sort(concat({', '.join(_marked(k, m) for k, m in enumerate(rules))}))"
+    kept = "w"
+    if dedupe:
+        kept = blocks_sql("w", "CASE WHEN x.start >= acc.at THEN named_struct('at', x.start + length(x.value), 'out', concat(acc.out, array(x))) ELSE acc END", "0", "array<struct<start:int,rule:int,value:string,substitute:string>>")
+    plain = lambda text: f"named_struct('type', 'unchanged', 'text', {text}, 'original', CAST(NULL AS STRING), 'replacement', CAST(NULL AS STRING))"
+    none = "CAST(array() AS array<struct<type:string,text:string,original:string,replacement:string>>)"
+    end = lambda i: f"CASE WHEN {i} < 0 THEN 0 ELSE d[greatest({i}, 0)].start + length(d[greatest({i}, 0)].value) END"  # noqa: E731  where the match before ended
+    own = "array(named_struct('type', 'substituted', 'text', CAST(NULL AS STRING), 'original', x.value, 'replacement', x.substitute))"
+    gap = f"CASE WHEN x.start > {end('j - 1')} THEN array({plain(_piece(end("j - 1"), "x.start"))}) ELSE {none} END"
+    rest = f"CASE WHEN {end('size(d) - 1')} < length(t) THEN array({plain(_piece(end("size(d) - 1"), "length(t)"))}) ELSE {none} END"
+    cut = f"concat(flatten(transform(d, (x, j) -> concat({gap}, {own}))), {rest})"
+    chunks = f"transform(sequence(0, length(t) DIV {CHUNK}), c -> substr(t, CAST(c * {CHUNK} + 1 AS INT), {CHUNK}))"
+    cut = f"transform(array({chunks}), ch -> CASE WHEN size(d) > 0 THEN {cut} ELSE {rest} END)[0]"
+    return given(text, f"CASE WHEN t IS NOT NULL THEN transform(transform(array({parts}), w -> {kept}), d -> {cut})[0] END")
+
+
+def _piece(start: str, end: str) -> str:
+    """The text from one place to another, from the chunks ``ch``: a substring of the whole text is looked for from its
+    beginning."""
+    return f"transform(array(named_struct('a', CAST({start} AS BIGINT), 'z', CAST({end} AS BIGINT))), p -> array_join(transform(sequence(p.a DIV {CHUNK}, (p.z - 1) DIV {CHUNK}), c -> substr(ch[CAST(c AS INT)], CAST(greatest(p.a - c * {CHUNK}, 0) + 1 AS INT), CAST(least(p.z, (c + 1) * {CHUNK}) - greatest(p.a, c * {CHUNK}) AS INT))), ''))[0]"
+
+
+def _marked(k: int, m: Mapping) -> str:
+    """The places of a rule, in SQL."""
+    places = f"transform(array({pairs_sql('t', m.pattern)}), q -> {places_sql('q')})[0]"
+    return f"transform({places}, v -> named_struct('start', v.start, 'rule', {k}, 'value', v.value, 'substitute', {literal(m.substitute)}))"
 
 
 def highlight_pattern(term: str, case_sensitive: bool = False) -> str:

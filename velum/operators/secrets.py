@@ -7,14 +7,14 @@ within a pattern; an event's original is a stub of eight characters, never the s
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import partial
+from functools import cache, reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from velum.functions.events import event, run, state, when_found
-from velum.functions.regex import B, hits, replacement, rewrite, start
+from velum.functions.events import EVENTS, state
+from velum.functions.regex import B, given, literal, replacement, start
 
 STUB = 8
 
@@ -73,38 +73,49 @@ def custom(spark: SparkSession, patterns: list[dict]) -> tuple[Secret, ...]:
     return tuple(out)
 
 
-def _replaced(match: Column, s: Secret) -> Column:
+def _replaced(match: str, s: Secret) -> str:
     if s.inner is None:
-        return F.regexp_replace(match, r"(?s)^.*\z", s.to) if "$" in s.to or "\\" in s.to else F.lit(s.to)
+        return f"regexp_replace({match}, '(?s)^.*\\\\z', {literal(s.to)})" if "$" in s.to or "\\" in s.to else literal(s.to)
     # only the first place within a match is masked
-    return F.regexp_replace(match, f"(?s)^(.*?){s.inner}", "$1" + s.to)
+    return f"regexp_replace({match}, {literal(f'(?s)^(.*?){s.inner}')}, {literal('$1' + s.to)})"
 
 
-def _one(text: Column, s: Secret) -> Column:
-    """struct<text, events> of one pattern."""
+def _masked(t: str, s: Secret) -> str:
+    """The text with the matches of one pattern replaced."""
+    pattern = literal(s.pattern)
+    if s.inner is None:
+        return f"regexp_replace({t}, {pattern}, {literal(s.to)})"
+    new = f"transform(regexp_extract_all({t}, {pattern}, 0), m -> {_replaced('m', s)})"
+    gaps = f"split({t}, {pattern}, -1)"
+    return f"concat(array_join(zip_with(slice({gaps}, 1, size({gaps}) - 1), {new}, (g, m) -> concat(g, m)), ''), element_at({gaps}, -1))"
 
-    def found() -> Column:
-        events = F.transform(hits(text, s.pattern), lambda m: event(F.concat(F.substr(m, F.lit(1), F.lit(STUB)), F.lit("...")), _replaced(m, s), "secret", s.name))
-        return state(masked(text, s), events)
 
-    return when_found(text, s.pattern, found)
+def _after(now: str, s: Secret) -> str:
+    """The state after one more pattern, its events first."""
+    own = f"named_struct('original', concat(substr(m, 1, {STUB}), '...'), 'replaced', {_replaced('m', s)}, 'category', 'secret', 'pattern', {literal(s.name)})"
+    found = f"transform(regexp_extract_all(s.text, {literal(s.pattern)}, 0), m -> {own})"
+    return f"transform(array({now}), s -> CASE WHEN rlike(s.text, {literal(s.pattern)}) THEN named_struct('text', {_masked('s.text', s)}, 'events', concat({found}, s.events)) ELSE s END)[0]"
 
 
 def masked(text: Column, s: Secret) -> Column:
     """The text with the matches of one pattern replaced."""
-    return F.regexp_replace(text, s.pattern, s.to) if s.inner is None else rewrite(text, s.pattern, lambda m: _replaced(m, s))
+    return given(text, f"CASE WHEN rlike(t, {literal(s.pattern)}) THEN {_masked('t', s)} ELSE t END")
 
 
 def trigger(secrets: tuple[Secret, ...] = SECRETS) -> str:
     return "|".join(dict.fromkeys(f"(?:{s.trigger})" for s in secrets))
 
 
+@cache
+def redaction(secrets: tuple[Secret, ...], t: str = "t") -> str:
+    """struct<text, events> of the text ``t``, in SQL."""
+    as_it_is = f"named_struct('text', {t}, 'events', CAST(array() AS {EVENTS}))"
+    return f"CASE WHEN rlike({t}, {literal(trigger(secrets))}) THEN {reduce(_after, secrets, as_it_is)} ELSE {as_it_is} END"
+
+
 def redact(text: Column, secrets: tuple[Secret, ...] = SECRETS) -> Column:
     """struct<text, events>. Texts without any trigger, nearly all, take one pass of one pattern."""
-
-    if not secrets:
-        return state(text)
-    return F.when(text.rlike(trigger(secrets)), run(text, [partial(_one, s=s) for s in secrets], newest_first=True)).otherwise(state(text))
+    return given(text, redaction(tuple(secrets))) if secrets else state(text)
 
 
 def redacted(text: Column, secrets: tuple[Secret, ...] = SECRETS) -> Column:
