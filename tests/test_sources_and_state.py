@@ -168,3 +168,86 @@ def test_change_feed_and_settled_rows(spark, tmp_path):
     out = sessions.rewrite_messages(spark.readStream.schema("text string").parquet(f"{tmp_path}/msg"), config).select("result.text")
     assert [r.text for r in drain(out, "append", "msgs", f"{tmp_path}/c3").collect()] == ["zeta"]
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_exports_of_any_width(spark):
+    head = ",".join(["x"] * 198 + ["username", "password"])
+    lines = spark.createDataFrame([(0, head), (1, ",".join(["v"] * 198 + ['"a ""b"", c@d"', "secret"]))], "line_no int, line string")
+    got = {(r.kind, r.real) for r in importer.password_rows(lines).collect()}
+    assert got == {("emails", 'a "b", c@d'), ("mappings", "secret")}
+
+
+def test_lines_of_large_files_are_numbered_over_their_splits(spark, tmp_path):
+    text = "\n \n\t first \r\n" + "\r\n".join(f"line {k} {'é' * 40}" for k in range(2000)) + "\n last\t\n\n \n"
+    (tmp_path / "a.csv").write_text(text)
+    (tmp_path / "b.csv").write_text("\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        read = importer.read_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = [(r.line_no, r.line) for r in read.orderBy("line_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = text.strip().replace("\r\n", "\n").split("\n")
+    assert [n for n, _ in got] == list(range(2002)) and [x for _, x in got] == want
+
+
+def test_snapshots(spark, tmp_path):
+    path = f"file://{tmp_path}/history"
+    table = lambda *v: {"mappings": spark.createDataFrame([(x,) for x in v], "real string"), "settings": spark.createDataFrame([("k", v[0])], "key string, value string")}
+    assert stores.snapshots(spark, path) is None
+    ids = [stores.save_snapshot(table(f"a{k}", "b"), path, at, "edit", keep=3) for k, at in enumerate((10, 20, 20, 5))]
+    assert ids == [1, 2, 3, 4] and [r.id for r in stores.snapshots(spark, path).collect()] == [3, 2, 1]
+    back = stores.roll_back(spark, path, 2, {"mappings": "real string", "settings": "key string, value string"}, 30)
+    assert sorted(r.real for r in back["mappings"].collect()) == ["a1", "b"] and back["settings"].first().value == "a1"
+    assert [(r.id, r.source) for r in stores.snapshots(spark, path).collect()][0] == (4, "rollback")
+    stores.delete_snapshot(spark, path, 3)
+    assert [r.id for r in stores.snapshots(spark, path).collect()] == [4, 2, 1]
+    stores.clear_snapshots(spark, path)
+    assert stores.snapshots(spark, path) is None
+
+
+def test_config_changes(spark):
+    feed = spark.createDataFrame([(1, "mappings", "[1]"), (3, "mappings", "[2]"), (2, "identity", '{"a":1}'), (4, "identity", '{"encrypted":true}'), (5, "settings", None)], "seq int, key string, value string")
+    assert [tuple(r) for r in stores.config_changes(feed).collect()] == [("mappings", "[2]", 3)]
+
+
+def test_escapes_of_pdf_strings():
+    assert documents.pdf_text(b"stream\n(a\\18b \\050\\)\\9) Tj\nendstream") == "a\x018b ()9" or documents.pdf_text(b"stream\n(a\\18b) Tj\nendstream") == "a\x018b"
+
+
+def test_chunks_of_a_key_keep_their_order():
+    import pandas as pd
+
+    class Total:
+        n = (7,)
+
+        def exists(self):
+            return True
+
+        def get(self):
+            return self.n
+
+        def update(self, v):
+            self.n = v
+
+    counter = sessions._TabCounter(None)
+    counter.total = Total()
+    chunks = [pd.DataFrame({"seq": s, "is_nav": nav, "amount": a}) for s, nav, a in (([5, 1], [False, False], [5, 1]), ([3, 4], [True, False], [9, 4]), ([2], [True], [0]))]
+    assert [tuple(x.iloc[0]) for x in counter.handleInputRows(("t",), iter(chunks), None)] == [("t", 9)]
+
+
+def test_forms_of_office_files(spark):
+    import io
+    import zipfile
+
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("word/document.xml", "<w:t>Ann the one</w:t><w:t> </w:t>")
+    rows = [(1, "f", "a.docx", None, None, raw.getvalue()), (1, "note", None, None, "the", None), (1, "n", None, None, None, None), (2, "g", "x.bin", None, None, b"\x00")]
+    form = spark.createDataFrame(rows, "id long, field string, filename string, mime string, value string, content binary")
+    done = {r.field: r for r in outbound.substitute_form(form, outbound.Config(mappings=(Mapping("the", "<T>"),)), "id").collect()}
+    assert [done[k].changed for k in ("f", "note", "n", "g")] == [True, True, False, False] and done["note"].value == "<T>" and bytes(done["g"].content) == b"\x00"
+    with zipfile.ZipFile(io.BytesIO(bytes(done["f"].content))) as z:
+        assert z.read("word/document.xml").decode() == "<w:t>Ann <T> one</w:t><w:t> </w:t>"

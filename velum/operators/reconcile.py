@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
 ARRAY_FIELDS = ("emails", "names", "usernames", "hostnames", "phones", "email_domains")
 DEFAULT_SNAPSHOTS = 10
@@ -33,6 +33,12 @@ def _has_map(kind: DataType) -> bool:
     return isinstance(kind, MapType) or any(_has_map(k) for k in inner)
 
 
+def _nullable(kind: DataType) -> DataType:
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, _nullable(f.dataType)) for f in kind.fields])
+    return ArrayType(_nullable(kind.elementType)) if isinstance(kind, ArrayType) else kind
+
+
 def merged(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
     """The value that a three-way merge keeps; null if the record is gone. Where both sides changed it, or one changed
     what the other deleted, the local value stays, or the one that is left."""
@@ -113,7 +119,7 @@ def merge_profiles(ancestor: DataFrame, local: DataFrame, remote: DataFrame, key
         x, y, z = a[f.name], l[f.name], r[f.name]
         if f.name in ARRAY_FIELDS and isinstance(f.dataType, ArrayType):
             m = merge_array(x, y, z)
-            fields.append(m["merged"].cast(f.dataType).alias(f.name))
+            fields.append(m["merged"].cast(_nullable(f.dataType)).alias(f.name))
             clashes.append((f.name, m["conflict"], (x, y, z)))
         elif f.name == "enabled" and hasattr(f.dataType, "fields"):
             flags = [field_merged(x[g.name], y[g.name], z[g.name]).alias(g.name) for g in f.dataType.fields]
@@ -122,8 +128,8 @@ def merge_profiles(ancestor: DataFrame, local: DataFrame, remote: DataFrame, key
         else:
             fields.append(field_merged(x, y, z).alias(f.name))
             clashes.append((f.name, field_conflict(x, y, z), (x, y, z)))
-    kind = sides.schema["a"].dataType
-    own = F.when(all_three, F.struct(*fields).cast(kind)).otherwise(merged(a, l, r))
+    kind = _nullable(sides.schema["a"].dataType)
+    own = F.when(all_three, F.struct(*fields).cast(kind)).otherwise(merged(a, l, r).cast(kind))
     rows = sides.select(key, own.alias("m")).where("m is not null").select(key, "m.*")
     entry = "struct<field:string,local_value:string,remote_value:string,ancestor_value:string>"
     told = lambda name, x, y, z, shown: F.struct(F.lit(name), shown(y), shown(z), shown(x)).cast(entry)
@@ -195,7 +201,7 @@ def resolve_fields(profiles: DataFrame, choices: DataFrame, key: str = "id") ->
     def taken(old: Column, kind: DataType, name: str) -> Column:
         if isinstance(kind, StructType):
             old = F.when(old.isNotNull(), F.struct(*[taken(old[f.name], f.dataType, f"{name}.{f.name}").alias(f.name) for f in kind.fields]))
-        new = F.from_json(F.concat(F.lit('{"v":'), F.coalesce(F.get(F.col("chosen"), F.lit(name)), F.lit("null")), F.lit("}")), StructType().add("v", kind))["v"]
+        new = F.from_json(F.concat(F.lit('{"v":'), F.coalesce(F.try_element_at("chosen", F.lit(name)), F.lit("null")), F.lit("}")), StructType().add("v", kind))["v"]
         return F.when(F.map_contains_key("chosen", name), new).otherwise(old)
 
     own = [profiles[f.name] if f.name == key else taken(profiles[f.name], f.dataType, f.name).alias(f.name) for f in profiles.schema.fields]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("text_queries", "record_queries")
+_MODULES = ("text_queries", "record_queries", "config_queries")
 
 
 def register(oracle: str | None = None) -> Callable[[Query], Query]:

@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructField, StructType
 
 from velum.functions import events
-from velum.functions.regex import rewrite
+from velum.functions.regex import hits, rewrite
 from velum.operators import detect, dictionary, secrets, smart
+from velum.sources import documents
 
 # Keys of JSON objects whose values are never changed, and URLs that are never touched.
 SKIP_KEYS = ("model", "id", "parent_message_id", "conversation_id", "organization_id", "uuid", "token", "api_key", "key", "authorization", "cookie", "csrf", "nonce", "hash", "Content-Type", "content-type", "Accept", "accept", "User-Agent", "user-agent", "x-request-id")
 SKIP_URL = r"(?i)\.(js|css|png|jpg|jpeg|gif|svg|woff2?|ttf|ico)(\?|\z)|/analytics/|/telemetry/|/log/|google-analytics|sentry"
 MIN_STRING = 2
 
+# The defaults.
 
 @dataclass(frozen=True)
 class Settings:
@@ -90,6 +92,25 @@ def intercepted(method: Column, url: Column, body: Column) -> Column:
     return F.upper(F.coalesce(method, F.lit("GET"))).isin("POST", "PUT", "PATCH") & body.isNotNull() & (body != "") & ~skipped_url(url)
 
 
+def substitute_form(form: DataFrame, config: Config, key: str) -> DataFrame:
+    """Rows of forms (``key``, field, filename, mime, value, content) after the pipeline, and whether each changed: text
+    fields of two characters or more are rewritten in ``value``, files in ``content`` by their kind, with the name that
+    they have then. Other fields and files pass unchanged."""
+    fields = form.where("filename is null")
+    fields = substitute_all(fields, config, "value", "form_result")
+    long = F.length("value") >= MIN_STRING
+    fields = fields.select(key, "field", "filename", "mime", F.when(long, F.col("form_result.text")).otherwise(F.col("value")).alias("value"), "content", (F.coalesce(long, F.lit(False)) & F.col("form_result.modified")).alias("changed"))
+    files = form.where("filename is not null").withColumn("path", F.to_json(F.struct(key, "field", "filename")))
+    change = lambda d: d.withColumn("new_text", F.col("r.text")).drop("r")
+    plain = lambda d: change(substitute_all(d, config, "text", "r"))
+    xml = lambda d: substitute_markup(d, config, "text", "new_text")
+    done = documents.rewrite(files.select("path", "content", documents.kind(F.col("filename"), F.col("mime")).alias("kind")), plain, xml)
+    done = done.select("path", F.col("content").alias("new_content"), F.col("filename").alias("new_name"), (F.col("status") == "rewritten").alias("changed"))
+    renamed = F.when(F.col("changed") & F.lower("filename").endswith(".pdf"), F.regexp_replace("filename", r"(?i)\.pdf\z", ".txt")).otherwise(F.col("filename"))
+    files = files.join(done, "path").select(key, "field", renamed.alias("filename"), "mime", "value", F.col("new_content").alias("content"), "changed")
+    return fields.unionByName(files)
+
+
 # --- JSON -----------------------------------------------------------------------------------------------------------
 
 
@@ -139,6 +160,19 @@ def _parsed(body: str | None) -> tuple[bool, object]:
         return False, None
 
 
+def _substitute_each(d: DataFrame, config: Config, states_col: str) -> DataFrame:
+    """The pipeline on every element of an array of states."""
+    if not config.active():
+        return d
+    d = events.extend_each(d, smart.stages(config.identity) + dictionary.stages(config.mappings), states_col)
+    if config.settings.secret_scanning and config.secrets:
+        redact = lambda t: secrets.redact(t, config.secrets)
+        d = d.withColumn(states_col, F.transform(states_col, lambda s: events.after(s, redact)))
+    if config.settings.auto_detect and config.settings.auto_redact_detected:
+        d = events.extend_each(d, [detect.stage(config.identity, config.settings.detect_proper_nouns)], states_col)
+    return d
+
+
 def substitute_bodies(docs: DataFrame, config: Config, body_col: str, result_col: str = "body_out") -> DataFrame:
     """``docs`` with their bodies rewritten: JSON of any shape by its strings, other text of over two characters whole.
 
@@ -165,18 +199,10 @@ def substitute_bodies(docs: DataFrame, config: Config, body_col: str, result_col
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(out, pa.string())], names=[*columns, result_col])
 
     apart = F.pandas_udf(take_apart, "struct<is_json:boolean,strings:array<string>>")
-    columns, stages = docs.columns, []
-    if config.active():
-        stages = smart.stages(config.identity) + dictionary.stages(config.mappings)
+    columns = docs.columns
     d = docs.withColumn("parts_of_body", apart(body_col))
     d = d.withColumn("states_of_body", F.transform("parts_of_body.strings", lambda t: events.state(t)))
-    d = events.extend_each(d, stages, "states_of_body")
-    if config.active():
-        if config.settings.secret_scanning and config.secrets:
-            redact = lambda t: secrets.redact(t, config.secrets)
-            d = d.withColumn("states_of_body", F.transform("states_of_body", lambda s: events.after(s, redact)))
-        if config.settings.auto_detect and config.settings.auto_redact_detected:
-            d = events.extend_each(d, [detect.stage(config.identity, config.settings.detect_proper_nouns)], "states_of_body")
+    d = _substitute_each(d, config, "states_of_body")
     changed = F.exists("states_of_body", lambda s: F.size(s["events"]) > 0)
     new = F.when(changed, F.transform("states_of_body", lambda s: s["text"]))
     ready = d.select(*columns, F.col("parts_of_body.is_json").alias("is_json"), changed.alias("body_changed"), new.alias("new_strings"))
@@ -186,11 +212,26 @@ def substitute_bodies(docs: DataFrame, config: Config, body_col: str, result_col
 # --- markup ---------------------------------------------------------------------------------------------------------
 
 
+_RUN = ">[^<]+<"
+_inner = lambda m: F.substr(m, F.lit(2), F.length(m) - 2)
+_counts = lambda m: F.length(F.regexp_replace(_inner(m), r"^\s+|\s+\z", "")) >= MIN_STRING
+
+
 def rewrite_markup(markup: Column, change: Callable[[Column], Column]) -> Column:
     """Each run of text between tags, of two characters or more besides white space, changed on its own."""
-    inner = lambda m: F.substr(m, F.lit(2), F.length(m) - 2)
-    new = lambda m: F.when(F.length(F.regexp_replace(inner(m), r"^\s+|\s+\z", "")) >= MIN_STRING, F.concat(F.lit(">"), change(inner(m)), F.lit("<"))).otherwise(m)
-    return rewrite(markup, ">[^<]+<", new)
+    new = lambda m: F.when(_counts(m), F.concat(F.lit(">"), change(_inner(m)), F.lit("<"))).otherwise(m)
+    return rewrite(markup, _RUN, new)
+
+
+def substitute_markup(docs: DataFrame, config: Config, markup_col: str, result_col: str) -> DataFrame:
+    """``docs`` with their markup after the pipeline in ``result_col``: the same runs, as an array column."""
+    d = docs.withColumn("runs_of_markup", hits(F.col(markup_col), _RUN))
+    d = d.withColumn("states_of_markup", F.transform("runs_of_markup", lambda m: events.state(F.when(_counts(m), _inner(m)).otherwise(F.lit("")))))
+    d = _substitute_each(d, config, "states_of_markup")
+    new = F.zip_with("runs_of_markup", "states_of_markup", lambda m, s: F.when(s["text"] != "", F.concat(F.lit(">"), s["text"], F.lit("<"))).otherwise(m))
+    between = F.split(markup_col, _RUN, -1)
+    parts = F.zip_with(F.slice(between, F.lit(1), F.size("runs_of_markup")), new, lambda g, m: F.concat(g, m))
+    return d.withColumn(result_col, F.concat(F.array_join(parts, ""), F.element_at(between, -1))).drop("runs_of_markup", "states_of_markup")
 
 
 __all__ = ["Config", "Settings", "intercepted", "rewrite_markup", "skipped_url", "stage_counts", "substitute_all", "substitute_bodies", "walk"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.functions import crypto
+from velum.operators.reconcile import prune
 
 CHUNK = 5000
 
@@ -87,6 +88,86 @@ def pull_if_newer(spark: SparkSession, path: str, last_modified: int) -> DataFra
     return rows.where(F.col("version").isNotNull() & (F.col("lastModified") > last_modified))
 
 
+def sync_decision(here: Column, there: Column, pushed: Column) -> tuple[Column, Column]:
+    """pull and push of a cycle, by the times of change here and there and of the last push: what is newer there is
+    pulled first, and pushed back unless that was the state at the last push."""
+    pull = F.coalesce(there > here, F.lit(False))
+    now = F.when(pull, there).otherwise(here)
+    return pull.alias("pull"), (pushed.isNull() | (now > pushed)).alias("push")
+
+
+def save_snapshot(tables: dict[str, DataFrame], path: str, at: int, source: str, keep: int = 10) -> int:
+    """Save tables as a snapshot of the folder ``path`` at a time in milliseconds; older ones beyond ``keep`` are deleted
+    (under 1 keeps all). The result is its id."""
+    spark = next(iter(tables.values())).sparkSession
+    known = snapshots(spark, path)
+    ident = (known.agg(F.max("id")).first()[0] or 0) + 1 if known is not None else 1
+    rows = [df.select(F.lit(name).alias("name"), F.to_json(F.struct(*df.columns)).alias("row")) for name, df in tables.items()]
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    every.write.parquet(f"{path}/data/id={ident}")
+    spark.createDataFrame([(ident, at, source)], "id long, ts long, source string").coalesce(1).write.parquet(f"{path}/log/id={ident}")
+    if keep >= 1:
+        every = snapshots(spark, path)
+        for old in every.join(prune(every, keep).select("id"), "id", "left_anti").collect():
+            delete_snapshot(spark, path, old.id)
+    return ident
+
+
+def snapshots(spark: SparkSession, path: str) -> DataFrame | None:
+    """(id, ts, source) of what is saved, the newest first; None if there is nothing."""
+    if not exists(spark, f"{path}/log"):
+        return None
+    return spark.read.schema("ts long, source string, id long").parquet(f"{path}/log").select("id", "ts", "source").orderBy(F.desc("ts"), F.desc("id"))
+
+
+def read_snapshot(spark: SparkSession, path: str, ident: int, name: str, schema: str) -> DataFrame:
+    """One table of a snapshot."""
+    rows = spark.read.parquet(f"{path}/data/id={ident}").where(F.col("name") == name)
+    return rows.select(F.from_json("row", schema).alias("r")).select("r.*")
+
+
+def roll_back(spark: SparkSession, path: str, ident: int, schemas: dict[str, str], at: int) -> dict[str, DataFrame]:
+    """The tables of a snapshot, which are saved as the newest one with the source ``rollback``."""
+    tables = {name: read_snapshot(spark, path, ident, name, schema) for name, schema in schemas.items()}
+    save_snapshot(tables, path, at, "rollback", 0)
+    return tables
+
+
+def delete_snapshot(spark: SparkSession, path: str, ident: int) -> None:
+    for part in ("log", "data"):
+        drop(spark, f"{path}/{part}/id={ident}")
+
+
+def clear_snapshots(spark: SparkSession, path: str) -> None:
+    for part in ("log", "data"):
+        drop(spark, f"{path}/{part}")
+
+
+def _there(spark: SparkSession, uri: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, uri: str) -> bool:
+    files, path = _there(spark, uri)
+    return files.exists(path) and len(files.listStatus(path)) > 0
+
+
+def drop(spark: SparkSession, uri: str) -> None:
+    files, path = _there(spark, uri)
+    files.delete(path, True)
+
+
+def config_changes(changes: DataFrame) -> DataFrame:
+    """What a change feed of stored values (seq, key, value: JSON) tells: the newest value of each key that isn't
+    encrypted; a key whose newest value is encrypted is locked and tells nothing."""
+    newest = changes.groupBy("key").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
+    sealed = F.coalesce(F.get_json_object("value", "$.encrypted") == "true", F.lit(False))
+    return newest.where(~sealed & F.col("value").isNotNull())
+
+
 def seal(payload: Column, key: bytes, version: Column, last_modified: Column) -> Column:
     """An encrypted payload with its version and time in the open: JSON."""
     return F.to_json(F.struct(F.lit(True).alias("encrypted"), crypto.encrypt(payload, key).alias("payload"), version.alias("version"), last_modified.alias("lastModified")))
