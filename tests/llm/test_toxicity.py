@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -104,3 +105,58 @@ def test_one_of_many_words_is_enough_whatever_the_quality(spark):
     held = [(t, toxic) for (_, t), (i, _, toxic) in zip(docs, labels, strict=True) if i % 4 == 0]
     found = [toxic for t, toxic in held if model.above(t)[0] >= toxicity.REJECT]
     assert sum(found) == sum(toxic for _, toxic in held) == len(found)
+
+
+def test_query_against_plain_steps(spark):
+    """Sample, features, chi-square and grades by loops; the fit alone is the operator's, tested above."""
+    rng = random.Random(12)
+    clean, bad = [f"word{k}" for k in range(60)], ["vile", "filth", "scumbag", "idiotic"]
+    rows, labels = [], []
+    for i in range(500):
+        toxic = rng.random() < 0.3
+        words = [rng.choice(clean) for _ in range(rng.randrange(8, 40))] + [rng.choice(bad) for _ in range(rng.randrange(1, 5) if toxic else 0)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        if i % 3:
+            labels.append((i, 1, int(toxic)))
+    rows += [(600, rows[4][1]), (601, None), (602, "")]
+    labels += [(600, 1, labels[0][2]), (601, 0, 0), (4, 1, None), (777, 1, 1)]
+    got = {r.doc_id: r for r in toxicity.severities(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+
+    text, graded = dict(rows), {}
+    for i, _, t in labels:
+        if t is not None and i in text:
+            graded[i] = max(graded.get(i, 0), t)
+    sample = {}
+    for i in sorted(graded, reverse=True):
+        w = toxicity.words_of(text[i] or "")
+        sample[graded[i], toxicity.signature(w) - (1 << 63)] = {x.decode() for x in w} | {x.decode()[:k] + "*" for x in w for k in (4, 5, 6) if len(x) > k}
+    keys = sorted(sample)
+    n, toxic = len(keys), sum(g for g, _ in keys)
+    counts = {}
+    for g, s in keys:
+        for f in sample[g, s]:
+            a = counts.setdefault(f, [0, 0])
+            a[0] += 1
+            a[1] += g
+    rate, chosen = toxic / n, []
+    for f, (m, t) in counts.items():
+        chi2 = (t - m * rate) ** 2 / (m * rate * (1 - rate)) * n / max(n - m, 1)
+        if m >= 4 and chi2 >= 30:
+            chosen.append((-chi2, f))
+    words = [f for _, f in sorted(chosen)]
+    place = {f: k for k, f in enumerate(words)}
+    features = [np.array(sorted(place[f] for f in sample[k] if f in place), np.int64) for k in keys]
+    worse = {f for f in words if counts[f][1] > counts[f][0] * rate}
+    hits = [sum(words[k] in worse for k in own) for own in features]
+    median = np.median([h for h, (g, _) in zip(hits, keys, strict=True) if g])
+    grades = np.array([2 if g and h > median else g for h, (g, _) in zip(hits, keys, strict=True)])
+    w, thresholds = toxicity.fit_ordinal(features, grades, len(words))
+    assert words and {len(set(grades.tolist()))} == {3}
+    for i, t in rows:
+        own = {x.decode() for x in toxicity.words_of(t or "")}
+        own |= {x[:k] + "*" for x in own for k in (4, 5, 6) if len(x) > k}
+        x = sum(w[place[f]] for f in own if f in place)
+        p = [1 / (1 + math.exp(k - x)) for k in thresholds]
+        assert abs(got[i].p_toxic - p[0]) < 1e-3 and abs(got[i].severity - sum(p)) < 2e-3
+        assert got[i].grade == sum(y >= 0.5 for y in p) or min(abs(y - 0.5) for y in p) < 1e-2

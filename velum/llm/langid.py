@@ -22,6 +22,8 @@ BUCKETS = 1 << 15
 #: What another language has to gain in log-likelihood, in multiples of log(trigrams).
 PENALTY = 3.0
 UNKNOWN = "und"
+#: Languages that a model can hold: it is sent to all tasks, 256 kB a language.
+MAX_LANGUAGES = 256
 #: Share that the wanted languages have to have in a document, where it is a filter.
 LEAST = 0.5
 
@@ -116,6 +118,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     """Count every row of ``labelled`` with a language. Counts are added up in the tasks before the shuffle; a model of
     32,768 numbers a language comes to the driver."""
     prepare(labelled.sparkSession)
+    if labelled.select(F.col(lang_col).alias("lang")).where("lang is not null").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled: train on those that are wanted")
     rows = narrow(labelled, text=text_col, lang=lang_col).where("lang is not null").mapInArrow(_count, "lang string, bucket int, n long")
     table = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = table.column("lang").to_pylist()

@@ -177,7 +177,8 @@ def severities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of ``docs``, all columns, whose predicted grade is 0."""
+    """The rows of ``docs``, all columns, whose predicted grade is 0. Null and empty texts stay unless a text without any
+    chosen word is graded higher; repeated rows have one fate; an empty table gives none; without labels all stay."""
     model = train(docs, labels, id_col, text_col, max_rows)
     c = fresh(docs, "severity")
     return docs.withColumn(c, scorer(docs, model)(F.col(text_col))).where(F.col(f"{c}.grade") == 0).drop(c)
