@@ -169,12 +169,12 @@ def first_seen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- policy ---------------------------------------------------------------------------------------------------------
 
 
-@register("""WITH req AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS r, concat('ORG', c_custkey) AS s, CASE WHEN c_custkey % 3 = 0 THEN 'team' END AS cat FROM customer WHERE c_custkey < 40)
+@register("""WITH req AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS r, concat('ORG', c_custkey) AS s, CASE WHEN c_custkey % 3 = 0 THEN 'team' END AS cat FROM customer WHERE c_acctbal < 0)
     SELECT concat('org-o1-', r) AS id, r AS "real", s AS substitute, coalesce(cat, 'org') AS category, TRUE AS enabled, TRUE AS org_required FROM req
     UNION ALL SELECT c_custkey::VARCHAR, c_name, concat('S', c_custkey), 'general', c_custkey % 2 = 0, FALSE FROM customer WHERE lower(c_name) NOT IN (SELECT lower(r) FROM req)""")
 def org_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    required = c.where("c_custkey < 40").selectExpr("if(c_custkey % 2 = 0, upper(c_name), c_name) as real", "concat('ORG', c_custkey) as substitute", "if(c_custkey % 3 = 0, 'team', null) as category", "cast(null as boolean) as case_sensitive")
+    required = c.where("c_acctbal < 0").selectExpr("if(c_custkey % 2 = 0, upper(c_name), c_name) as real", "concat('ORG', c_custkey) as substitute", "if(c_custkey % 3 = 0, 'team', null) as category", "cast(null as boolean) as case_sensitive")
     personal = c.selectExpr("cast(c_custkey as string) as id", "c_name as real", "concat('S', c_custkey) as substitute", "'general' as category", "false as case_sensitive", "c_custkey % 2 = 0 as enabled")
     return policy.overlay(personal, required, "o1").select("id", "real", "substitute", "category", "enabled", "org_required")
 

@@ -491,12 +491,12 @@ def url_skip_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "url", outbound.skipped_url(F.col("url")).alias("skipped"))
 
 
-@register("SELECT page_id, url FROM pages p WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]+') AS d FROM pages WHERE page_id < 5) q WHERE d <> '' AND starts_with(p.url, d))")
+@register("SELECT page_id, url FROM pages p WHERE EXISTS (SELECT 1 FROM (SELECT regexp_extract(url, '^[a-z]+://[^/]+') AS d FROM pages GROUP BY d HAVING count(*) > 1) q WHERE d <> '' AND starts_with(p.url, d))")
 def domain_prefix_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages under a custom domain: the prefix test becomes an equality of origins, which is hashed and not looped."""
+    """Pages under a custom domain, here each that has more than one page: the prefix test becomes an equality of origins, which is hashed and not looped."""
     origin = lambda c: F.regexp_extract(c, "^[a-z]+://[^/]+", 0)
     p = table(spark, sf_dir, "pages")
-    domains = p.where("page_id < 5").select(origin("url").alias("origin")).where("origin <> ''").distinct()
+    domains = p.groupBy(origin("url").alias("origin")).count().where("origin <> '' and count > 1").select("origin")
     return p.withColumn("origin", origin("url")).join(domains, "origin", "left_semi").select("page_id", "url")
 
 
