@@ -1,66 +1,25 @@
 """Functions for SQL users: ``privacy_redact(text)``, ``privacy_scan(text)`` and the table function ``scan_secrets``.
 
-They are Arrow functions over the same catalogue as the Column expressions. Programs should use the expressions, which
-stay in the JVM.
+They are SQL functions over the expression that ``secrets.redact`` is, which Spark puts in their place: nothing leaves
+the JVM, and there is one catalogue.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from functools import cache
-
-import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
-
-from velum.operators.secrets import SECRETS, STUB, Secret
-from velum.session import importable
-
-
-@cache
-def _compiled() -> list[tuple[Secret, re.Pattern, re.Pattern | None]]:
-    return [(s, re.compile(s.pattern, re.A), re.compile(s.inner, re.A) if s.inner else None) for s in SECRETS]
-
-
-def redact(text: str) -> tuple[str, list[dict]]:
-    """The text, and the events: the last pattern first, from left to right within a pattern."""
-    found: list[list[dict]] = []
-    for s, pattern, inner in _compiled():
-        own: list[dict] = []
-
-        def new(m: re.Match, s: Secret = s, inner: re.Pattern | None = inner, own: list[dict] = own) -> str:
-            made = inner.sub(lambda _: s.to, m[0], count=1) if inner else s.to
-            own.append({"original": m[0][:STUB] + "...", "replaced": made, "category": "secret", "pattern": s.name})
-            return made
-
-        text = pattern.sub(new, text)
-        found.insert(0, own)
-    return text, [e for own in found for e in own]
 
+from velum.functions.events import EVENTS
+from velum.operators.secrets import SECRETS, redaction
 
-def _redacted(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else redact(t)[0] for t in texts.to_pylist()], pa.string())
 
-
-_EVENT = pa.struct([(n, pa.string()) for n in ("original", "replaced", "category", "pattern")])
-
-
-def _scanned(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else redact(t)[1] for t in texts.to_pylist()], pa.list_(_EVENT))
-
-
-class ScanSecrets:
-    """One row a secret in a text."""
-
-    def eval(self, text: str) -> Iterator[tuple[str, str, str]]:
-        for e in redact(text)[1] if text is not None else ():
-            yield e["pattern"], e["original"], e["replaced"]
+def register(spark: SparkSession) -> None:
+    """Null gives null, and no row of ``scan_secrets``."""
+    done = f"({redaction(SECRETS)})"
+    create = "CREATE OR REPLACE TEMPORARY FUNCTION"
+    spark.sql(f"{create} privacy_redact(t STRING) RETURNS STRING RETURN {done}.text")
+    spark.sql(f"{create} privacy_scan(t STRING) RETURNS {EVENTS} RETURN CASE WHEN t IS NOT NULL THEN {done}.events END")
+    columns = "pattern STRING, original STRING, replaced STRING"
+    spark.sql(f"{create} scan_secrets(t STRING) RETURNS TABLE({columns}) RETURN SELECT e.pattern, e.original, e.replaced FROM (SELECT explode({done}.events) AS e)")
 
 
-def register(spark: SparkSession) -> None:
-    importable(spark)
-    kind = "array<struct<original:string,replaced:string,category:string,pattern:string>>"
-    spark.udf.register("privacy_redact", F.arrow_udf(_redacted, "string"))
-    spark.udf.register("privacy_scan", F.arrow_udf(_scanned, kind))
-    spark.udtf.register("scan_secrets", F.udtf(ScanSecrets, returnType="pattern string, original string, replaced string"))
+__all__ = ["register"]
