@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tests.llm.test_decontam import brute as contaminated
 from tests.llm.test_pipeline import folder  # noqa: F401  a fixture
@@ -84,3 +86,35 @@ def test_stages_that_follow(spark, folder, tmp_path):  # noqa: F811
     kept = {r.doc_id for r in corpus_pipeline.decontamination(spark, docs, path).collect()}
     found = contaminated([(i, text[i]) for i in sorted(near)], bench, 10)
     assert kept == {i for i, x in found.items() if not x[-1]} and 1003 not in kept
+
+
+def test_large_tries_are_joined_by_subtrees_and_large_groups_by_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(120):  # one family: any two have about 0.75 to 1
+        own = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 4)):
+            own[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    rows += [(500 + k, " ".join(rng.choice(base) for _ in range(40))) for k in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(text) as key")
+    nodes = similar._fingerprints(d).drop("doc_id").checkpoint()
+    assert len(similar.orders(0)) == 1 and len(similar.orders(3)) > 5 and {int(np.bitwise_count(m).sum()) for m in similar.orders(3)} == {3}
+    monkeypatch.setattr(similar, "ROOM", 3)
+    want = brute(rows)
+    for group_text in (similar.GROUP_TEXT, 0):
+        classes = {k: k for k in (r.key for r in nodes.collect())}
+
+        def top(k):
+            while classes[k] != k:
+                k = classes[k]
+            return k
+
+        for r in similar.links(d, nodes, group_text).collect():
+            a, b = top(r.u), top(r.v)
+            classes[max(a, b)] = min(a, b)
+        least = {}
+        for r in d.collect():
+            least[top(r.key)] = min(r.doc_id, least.get(top(r.key), r.doc_id))
+        assert set(least.values()) == want

@@ -22,7 +22,7 @@ index is taken there, so that the links come out and not the pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +51,7 @@ _HELD = 1 << 21
 #: Keys that are sent to all tasks, 8 bytes each; more are joined by a shuffle.
 _SENT_KEYS = 2_000_000
 #: Characters of a group's texts up to which its pairs are confirmed in its task.
-_GROUP_TEXT = 64 << 20
+GROUP_TEXT = 64 << 20
 _RANDOM = np.random.default_rng(5)
 _XOR = _RANDOM.integers(0, 1 << 64, ROUTES * DRAWN, np.uint64)[:, None]
 _FACTOR = _RANDOM.integers(0, 1 << 64, ROUTES * DRAWN, np.uint64)[:, None] | np.uint64(1)
@@ -205,47 +205,51 @@ def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(head[at]), pa.array(trie[at]), pa.array(key[at])], names=["head", "trie", "key"])
 
 
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settler(group_text: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of rows (head, trie, key, class, f0, ..., heads, text), sorted by head: pairs (u, v, sure) of different classes,
-    confirmed by the exact index and fewer than classes; but of a group with more text than a task may hold all pairs
+    confirmed by the exact index and fewer than classes; but of a group with more than ``group_text`` characters all pairs
     within BUDGET bits, not sure. A pair is tested in the first trie that both are in."""
-    for head, trie, key, group, *fp, heads, text in whole_groups(batches):
-        g = _Group(head, fp)
-        trie, key, group, text = trie[g.order], key[g.order], group[g.order], text[g.order]
-        every = np.stack(heads[g.order].tolist())
-        start, place = np.unique(group, return_index=True, return_inverse=True)[1:]
-        label = start[place]
-        large = np.add.reduceat(np.fromiter(map(len, text), np.int64, len(text)), cut := np.flatnonzero(np.r_[True, np.diff(head[g.order]) != 0])) > _GROUP_TEXT
-        large = np.repeat(large, np.diff(np.r_[cut, len(text)]))
-        own: dict[int, np.ndarray] = {}
-
-        def of(k: int, own: dict = own, text: np.ndarray = text) -> np.ndarray:
-            if k not in own:
-                own[k] = shingles(text[k])
-            return own[k]
-
-        def tested(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for k in range(0, len(i), 1 << 14):
-                a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
-                shared = every[a] == every[b]
-                new = (every[a, shared.argmax(axis=1)] == trie[a]) & (label[a] != label[b])
-                a, b = a[new], b[new]
-                if (unsure := large[a]).any():
-                    yield _pairs(key[a[unsure]], key[b[unsure]], False)
-                found = []
-                for x, y in zip(a[~unsure].tolist(), b[~unsure].tolist(), strict=True):
-                    if label[x] != label[y] and jaccard(of(x), of(y)) >= LEAST:
-                        merge(label, np.array([x]), np.array([y]))
-                        found.append((x, y))
-                if found:
-                    x, y = np.array(found).T
-                    yield _pairs(key[x], key[y], True)
-
-        yield from tested(g.on, g.hang)
-        known = label[g.first]
-        for i, j in g.near(BUDGET, known):
-            yield from tested(g.first[i], g.first[j])
-            known[:] = label[g.first]
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for head, trie, key, group, *fp, heads, text in whole_groups(batches):
+            g = _Group(head, fp)
+            trie, key, group, text = trie[g.order], key[g.order], group[g.order], text[g.order]
+            every = np.stack(heads[g.order].tolist())
+            start, place = np.unique(group, return_index=True, return_inverse=True)[1:]
+            label = start[place]
+            large = np.add.reduceat(np.fromiter(map(len, text), np.int64, len(text)), cut := np.flatnonzero(np.r_[True, np.diff(head[g.order]) != 0])) > group_text
+            large = np.repeat(large, np.diff(np.r_[cut, len(text)]))
+            own: dict[int, np.ndarray] = {}
+
+            def of(k: int, own: dict = own, text: np.ndarray = text) -> np.ndarray:
+                if k not in own:
+                    own[k] = shingles(text[k])
+                return own[k]
+
+            def tested(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+                for k in range(0, len(i), 1 << 14):
+                    a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+                    shared = every[a] == every[b]
+                    new = (every[a, shared.argmax(axis=1)] == trie[a]) & (label[a] != label[b])
+                    a, b = a[new], b[new]
+                    if (unsure := large[a]).any():
+                        yield _pairs(key[a[unsure]], key[b[unsure]], False)
+                    found = []
+                    for x, y in zip(a[~unsure].tolist(), b[~unsure].tolist(), strict=True):
+                        if label[x] != label[y] and jaccard(of(x), of(y)) >= LEAST:
+                            merge(label, np.array([x]), np.array([y]))
+                            found.append((x, y))
+                    if found:
+                        x, y = np.array(found).T
+                        yield _pairs(key[x], key[y], True)
+
+            yield from tested(g.on, g.hang)
+            known = label[g.first]
+            for i, j in g.near(BUDGET, known):
+                yield from tested(g.first[i], g.first[j])
+                known[:] = label[g.first]
+
+    return settled
 
 
 def _pairs(u: np.ndarray, v: np.ndarray, *sure: bool) -> pa.RecordBatch:
@@ -286,7 +290,7 @@ def _linked(once: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("u", "v", near("a", "b").alias("near")).where("near").select("u", "v")
 
 
-def links(d: DataFrame, nodes: DataFrame) -> DataFrame:
+def links(d: DataFrame, nodes: DataFrame, group_text: int = GROUP_TEXT) -> DataFrame:
     """Pairs (u, v) of keys at LEAST or more that connect all that such pairs connect. ``d`` has rows (key, text),
     ``nodes`` rows (key, f0, ..., heads), each key once."""
     members = _tries(nodes).checkpoint()
@@ -298,7 +302,7 @@ def links(d: DataFrame, nodes: DataFrame) -> DataFrame:
     classed = lambda rows: rows.join(roots, rows["key"] == roots["node"], "left").withColumn("class", F.coalesce("root", "key")).drop("node", "root")
     unsettled = _by_head(classed(members)).mapInArrow(_unsettled, "head long, trie long, key long").checkpoint()
     rows = classed(unsettled.join(nodes, "key")).join(once, "key").select("head", "trie", "key", "class", *_FP, "heads", "text")
-    second = _by_head(rows).mapInArrow(_settled, "u long, v long, sure boolean").distinct().checkpoint()
+    second = _by_head(rows).mapInArrow(_settler(group_text), "u long, v long, sure boolean").distinct().checkpoint()
     found = first.unionAll(second.where("sure").select("u", "v"))
     unsure = second.where("not sure").select("u", "v")
     return found if unsure.isEmpty() else found.unionAll(_linked(once, unsure))
