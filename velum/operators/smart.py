@@ -154,6 +154,15 @@ def stages(identity: Identity, variant: str = "live") -> list[Stage]:
     return out
 
 
+def merged_profiles(profiles: DataFrame, by: list[str], ordinal: str, families: list[str]) -> DataFrame:
+    """The same for tables of profiles (active, catch_all_email, arrays of pairs), for each of ``by``: one row with the
+    arrays of the active ones joined in their order, and their first catch-all address."""
+    active = profiles.where("active")
+    joined = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(ordinal, F.coalesce(f, F.array().cast(profiles.schema[f].dataType)).alias("rows")))), lambda r: r["rows"])).alias(f) for f in families]
+    first = F.min_by("catch_all_email", F.when(F.col("catch_all_email") != "", F.col(ordinal)))
+    return active.groupBy(*by).agg(*joined, first.alias("catch_all_email"))
+
+
 def substitute(docs: DataFrame, identity: Identity, text_col: str = "text", result_col: str = "result", variant: str = "live") -> DataFrame:
     """``docs`` with struct<text, events> in ``result_col``."""
     return apply(docs, text_col, stages(identity, variant), result_col)
@@ -178,4 +187,4 @@ def missing_fields(identity: Identity) -> list[str]:
     return [name for name, ok in checks if not ok]
 
 
-__all__ = ["Identity", "merge_profiles", "missing_fields", "reveal", "stages", "substitute"]
+__all__ = ["Identity", "merge_profiles", "merged_profiles", "missing_fields", "reveal", "stages", "substitute"]

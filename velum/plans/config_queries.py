@@ -210,3 +210,18 @@ def sync_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pull what is newer there; push what changed here since the last push, or was never pushed."""
     n = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "10 as here", "if(n_nationkey % 4 = 0, 11, 10) as there", "case when n_nationkey % 2 = 1 then 10 when n_nationkey % 4 = 0 then null else 9 end as pushed")
     return n.select("n_nationkey", *stores.sync_decision(F.col("here"), F.col("there"), F.col("pushed")))
+
+
+@register("""SELECT event_type AS key, arg_max(concat('{"v":', event_id, '}'), event_id) AS value, max(event_id) AS seq FROM events GROUP BY event_type HAVING max(event_id) % 2 = 0""")
+def config_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest stored value of each key; every odd one is encrypted, and then its key tells nothing."""
+    e = table(spark, sf_dir, "events").selectExpr("event_id as seq", "event_type as key", """if(event_id % 2 = 0, concat('{"v":', event_id, '}'), '{"encrypted":true,"payload":"x"}') as value""")
+    return stores.config_changes(e)
+
+
+@register("""SELECT s_nationkey AS team, min(s_suppkey) FILTER (WHERE act AND ca <> '') AS first_row, count(*) FILTER (WHERE act) AS n_pairs FROM (SELECT *, s_suppkey % 2 = 0 AS act, CASE WHEN s_suppkey % 3 = 0 THEN 'c' || s_suppkey ELSE '' END AS ca FROM supplier) GROUP BY s_nationkey HAVING count(*) FILTER (WHERE act) > 0""")
+def active_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the active profiles of each team in order, and the first catch-all address that isn't empty."""
+    p = table(spark, sf_dir, "supplier").selectExpr("s_nationkey as team", "s_suppkey as ordinal", "s_suppkey % 2 = 0 as active", "array(named_struct('real', string(s_suppkey), 'substitute', 'x')) as emails", "if(s_suppkey % 3 = 0, concat('c', s_suppkey), '') as catch_all_email")
+    m = smart.merged_profiles(p, ["team"], "ordinal", ["emails"])
+    return m.select("team", F.substr("catch_all_email", F.lit(2)).cast("long").alias("first_row"), F.size("emails").cast("long").alias("n_pairs"))

@@ -252,6 +252,13 @@ def findings_to_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("m.real").agg(F.min("m.substitute").alias("substitute"), F.min("m.category").alias("category"), F.count("*").alias("n_docs"))
 
 
+@register(f"SELECT doc_id, value, category FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord, idx) AS n FROM ({_LIVE_VALUES})) WHERE n <= 2")
+def detect_presend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two findings, which are shown before sending."""
+    found = detect.presend(F.col("text"), top=2)
+    return _docs_tailed(spark, sf_dir).select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.value", "f.category")
+
+
 _NOUN = r"(?:^|[.!?\n]\s*)?([A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,})*)"
 _STOP = ", ".join(lit(w) for w in detect.STOP_WORDS)
 
