@@ -92,7 +92,7 @@ OP4_SQL = f"""WITH d AS (SELECT doc_id, coalesce({_WORDS.format(t="text")}, [])
     places AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i + 1, i + n), ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),
     found AS (SELECT p.doc_id, p.n, p.i, x.item FROM places p JOIN windows x ON p.n = x.n AND p.win = x.win),
     hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT doc_id, n, i FROM found)) GROUP BY doc_id),
-    items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+    items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id),
     spot AS (SELECT p.doc_id, x.item, p.i, x.j, p.n FROM places p JOIN windows x ON p.n = x.n AND p.win = x.win),
     run AS (SELECT doc_id, item, min(i) AS i, min(j) AS j, count(*) + n - 1 AS words FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item, n, i - j ORDER BY i) AS island FROM spot) GROUP BY doc_id, item, n, i - j, island),
     longest AS (SELECT doc_id, words, i, item, j FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, i, item, j) = 1)
