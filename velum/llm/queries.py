@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.llm import decontam, langid, licenses, media, piece_bpe, sharding, simhash, tokenfiles, toxicity, viterbi
+from velum.llm import centroids, decontam, langid, licenses, media, piece_bpe, sharding, simhash, tokenfiles, toxicity, viterbi
 from velum.plans.catalog import spread
 
 
@@ -73,6 +73,11 @@ def op10_tokencounts(spark: SparkSession, sf_dir: str, path: str | None = None)
     return viterbi.token_counts(documents(spark, sf_dir), viterbi.as_unigram(piece_model(path)))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight centroids of all embeddings, ten rounds. Other lengths, nulls and non-finite components are left out."""
+    return centroids.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_toxicity, op3_simhash, op4_decontamination, op5_sharding, op6_langid, op7_licenses, op8_tokenfiles, op9_sentencepiece, op10_tokencounts, pipeline)}
+    return {f.__name__: f for f in (op1_media, op2_toxicity, op3_simhash, op4_decontamination, op5_sharding, op6_langid, op7_licenses, op8_tokenfiles, op9_sentencepiece, op10_tokencounts, op12_centroids, pipeline)}
 
 
 _WORDS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -101,5 +106,25 @@ OP4_SQL = f"""WITH d AS (SELECT doc_id, coalesce({_WORDS.format(t="text")}, [])
     FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)"""
 
 
+def _centroids_sql(size: int, scale: int, count: int, rounds: int) -> str:
+    """Lloyd's rounds, one CTE for the assignment and one for the new centroids of each."""
+    distance = f"list_sum([(v.x[i] - c.x[i]) * (v.x[i] - c.x[i]) for i in range(1, {size + 1})])::BIGINT"
+    steps = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [floor({scale} * e::DOUBLE)::BIGINT for e in embedding] AS x FROM embeddings WHERE len(embedding) = {size} AND len([1 for e in embedding if e IS NOT NULL AND isfinite(e)]) = {size})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS j, x FROM (SELECT x, sha256('3:' || vec_id::VARCHAR) AS h FROM v) QUALIFY j < {count})",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT r, vec_id, v.x, j, {distance} AS d FROM v, c{k} AS c QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, j) = 1)")
+        if k < rounds:
+            steps.append(f"m{k} AS (SELECT j, list(f ORDER BY i) AS x FROM (SELECT j, i, (sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*) AS f FROM (SELECT j, unnest(x) AS e, unnest(range({size})) AS i FROM a{k}) GROUP BY j, i) GROUP BY j)")
+            steps.append(f"c{k + 1} AS MATERIALIZED (SELECT c.j, coalesce([e::BIGINT for e in m{k}.x], c.x) AS x FROM c{k} AS c LEFT JOIN m{k} USING (j))")
+    return f"""WITH {", ".join(steps)}
+    SELECT vec_id, a.j::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+    FROM a{rounds} AS a JOIN c{rounds} AS c USING (j)"""
+
+
+OP12_SQL = _centroids_sql(centroids.SIZE, centroids.SCALE, centroids.CENTROIDS, centroids.ROUNDS)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL}
+    return {"op4_decontamination": OP4_SQL, "op12_centroids": OP12_SQL}
