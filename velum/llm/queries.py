@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.llm import centroids, decontam, langid, licenses, media, piece_bpe, sharding, simhash, tokenfiles, toxicity, viterbi
+from velum.llm import centroids, convtrie, decontam, langid, licenses, media, piece_bpe, sharding, simhash, tokenfiles, toxicity, viterbi
 from velum.plans.catalog import spread
 
 
@@ -78,6 +78,11 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of all rebuilt conversations. Null roles and texts are empty, null turns first, null ids left out."""
+    return convtrie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_toxicity, op3_simhash, op4_decontamination, op5_sharding, op6_langid, op7_licenses, op8_tokenfiles, op9_sentencepiece, op10_tokencounts, op12_centroids, pipeline)}
+    return {f.__name__: f for f in (op1_media, op2_toxicity, op3_simhash, op4_decontamination, op5_sharding, op6_langid, op7_licenses, op8_tokenfiles, op9_sentencepiece, op10_tokencounts, op12_centroids, op13_prefixtrie, pipeline)}
 
 
 _WORDS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -125,6 +130,19 @@ def _centroids_sql(size: int, scale: int, count: int, rounds: int) -> str:
 
 OP12_SQL = _centroids_sql(centroids.SIZE, centroids.SCALE, centroids.CENTROIDS, centroids.ROUNDS)
 
+#: CRC-32 of a number in decimal: each character is followed by eight steps of one bit.
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten([[ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for ch in string_split(conv_id::VARCHAR, '')])),
+        lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, CASE WHEN crc & 1 = 1 THEN 3988292384 ELSE 0 END) END))"""
+
+OP13_SQL = f"""WITH t AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    r AS MATERIALIZED (SELECT c.conv_id, list_concat(coalesce(list_slice(b.own, 1, c.h), []), list_slice(c.own, c.h + 1, len(c.own))) AS w FROM (SELECT *, {_CRC32} % 6 AS h FROM t) AS c LEFT JOIN t AS b ON b.conv_id = c.conv_id - c.conv_id % 100),
+    p AS MATERIALIZED (SELECT conv_id, len(w) AS turns, d AS depth, md5(list_slice(w, 1, d)::VARCHAR || d::VARCHAR) AS k, md5(list_slice(w, 1, d - 1)::VARCHAR || (d - 1)::VARCHAR) AS up, CASE WHEN d > 0 THEN len(w[d].text) ELSE 0 END AS chars FROM (SELECT *, unnest(range(len(w) + 1)) AS d FROM r)),
+    n AS MATERIALIZED (SELECT k, any_value(up) AS up, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (turns = depth), '')) AS ends_sha256 FROM p GROUP BY k, depth),
+    kids AS MATERIALIZED (SELECT up AS k, count(*) AS n FROM n WHERE depth > 0 GROUP BY up),
+    sums AS (SELECT a.k, sum(x.saved) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves FROM p AS a JOIN n AS x ON x.conv_id = a.conv_id AND x.depth >= a.depth LEFT JOIN kids ON kids.k = x.k GROUP BY a.k)
+    SELECT n.conv_id, n.depth::BIGINT AS depth, CASE WHEN n.depth > 0 THEN u.conv_id END AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, sums.saved::BIGINT AS saved_tokens, n.ends_sha256
+    FROM n LEFT JOIN n AS u ON u.k = n.up LEFT JOIN kids ON kids.k = n.k JOIN sums ON sums.k = n.k"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op12_centroids": OP12_SQL}
+    return {"op4_decontamination": OP4_SQL, "op12_centroids": OP12_SQL, "op13_prefixtrie": OP13_SQL}
