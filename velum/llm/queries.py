@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.llm import centroids, convtrie, decontam, langid, licenses, media, piece_bpe, sharding, simhash, tokenfiles, toxicity, viterbi
+from velum.llm import centroids, convtrie, decontam, langid, licenses, linelabels, media, piece_bpe, sharding, simhash, tokenfiles, toxicity, viterbi
 from velum.plans.catalog import spread
 
 
@@ -73,6 +73,12 @@ def op10_tokencounts(spark: SparkSession, sf_dir: str, path: str | None = None)
     return viterbi.token_counts(documents(spark, sf_dir), viterbi.as_unigram(piece_model(path)))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the labels of all lines of all documents. A null text has no words."""
+    found = linelabels.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.withColumn("boilerplate", F.array_join("boilerplate", ","))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight centroids of all embeddings, ten rounds. Other lengths, nulls and non-finite components are left out."""
     return centroids.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -90,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_toxicity, op3_simhash, op4_decontamination, op5_sharding, op6_langid, op7_licenses, op8_tokenfiles, op9_sentencepiece, op10_tokencounts, op12_centroids, op13_prefixtrie, pipeline)}
+    return {f.__name__: f for f in (op1_media, op2_toxicity, op3_simhash, op4_decontamination, op5_sharding, op6_langid, op7_licenses, op8_tokenfiles, op9_sentencepiece, op10_tokencounts, op11_quality, op12_centroids, op13_prefixtrie, pipeline)}
 
 
 _WORDS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
