@@ -1,110 +1,133 @@
 """Reconciliation of records: three-way merge, last writer wins, snapshots, and resolution of conflicts.
 
-A merge takes three tables of the same columns, with one row a key (of more, the largest counts, column by column; rows
-with maps go by their JSON). Rows are compared as structs with ``<=>``: null
-equals null. Each merge shuffles its rows once, by their key.
+A merge takes three tables of the same columns, with one row a key (of more, the one with the largest form counts). Rows
+are compared by their forms (``velum.functions.structure``): null equals null, maps are equal whatever the order of their
+entries at any depth, and so are JSON texts in the columns that are named as such. Values that are equal in form but
+spelled differently count as unchanged, and keep the ancestor's spelling. Each merge shuffles its rows once, by their key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Collection, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
+from velum.functions.structure import form, is_plain, same
+
 ARRAY_FIELDS = ("emails", "names", "usernames", "hostnames", "phones", "email_domains")
 DEFAULT_SNAPSHOTS = 10
 
 
-def three_sides(ancestor: DataFrame, local: DataFrame, remote: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, and the structs a, l and r of each side's other columns; a side without the key is null. One shuffle by the
-    keys of all three, instead of two full outer joins with one of their result in between."""
+def three_sides(ancestor: DataFrame, local: DataFrame, remote: DataFrame, keys: Sequence[str], json: Collection[str] = ()) -> DataFrame:
+    """keys, the structs a, l and r of each side's other columns, and their forms fa, fl and fr; a side without the key is
+    null. ``json`` names columns that hold JSON text. One shuffle by the keys of all three, instead of two full outer joins
+    with one of their result in between."""
     values = [c for c in ancestor.columns if c not in keys]
     side = lambda df, n: df.select(*keys, F.lit(n).alias("side"), F.struct(*values).alias("row"))
     rows = side(ancestor, 0).unionByName(side(local, 1)).unionByName(side(remote, 2))
-    one = F.max_by if _has_map(ancestor.schema) else lambda x, _: F.max(x)
-    of = lambda n, name: one(F.when(F.col("side") == n, F.col("row")), F.when(F.col("side") == n, F.to_json("row"))).alias(name)
-    return rows.groupBy(*keys).agg(of(0, "a"), of(1, "l"), of(2, "r"))
-
-
-def _has_map(kind: DataType) -> bool:
-    inner = [f.dataType for f in kind.fields] if isinstance(kind, StructType) else [kind.elementType] if isinstance(kind, ArrayType) else []
-    return isinstance(kind, MapType) or any(_has_map(k) for k in inner)
+    kind = rows.schema["row"].dataType
+    own = lambda n, c: F.when(F.col("side") == n, F.col(c))
+    names = ("a", "l", "r")
+    if is_plain(kind) and not json:
+        found = rows.groupBy(*keys).agg(*[F.max(own(n, "row")).alias(name) for n, name in enumerate(names)])
+        return found.select("*", *[F.col(name).alias(f"f{name}") for name in names])
+    rows = rows.withColumn("form", form(F.col("row"), kind, json)).withColumn("both", F.struct("row", "form"))
+    found = rows.groupBy(*keys).agg(*[F.max_by(own(n, "both"), own(n, "form")).alias(name) for n, name in enumerate(names)])
+    return found.select(*keys, *[F.col(f"{name}.row").alias(name) for name in names], *[F.col(f"{name}.form").alias(f"f{name}") for name in names])
 
 
 def _nullable(kind: DataType) -> DataType:
     if isinstance(kind, StructType):
         return StructType([StructField(f.name, _nullable(f.dataType)) for f in kind.fields])
+    if isinstance(kind, MapType):
+        return MapType(kind.keyType, _nullable(kind.valueType))
     return ArrayType(_nullable(kind.elementType)) if isinstance(kind, ArrayType) else kind
 
 
-def merged(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
+Forms = tuple[Column, Column, Column] | None
+
+
+def merged(a: Column, l: Column, r: Column, forms: Forms = None) -> Column:  # noqa: E741
     """The value that a three-way merge keeps; null if the record is gone. Where both sides changed it, or one changed
-    what the other deleted, the local value stays, or the one that is left."""
+    what the other deleted, the local value stays, or the one that is left. ``forms`` are compared instead of the values."""
+    x, y, z = forms or (a, l, r)
     return (
         F.when(a.isNull(), F.coalesce(l, r))
         .when(l.isNull() & r.isNull(), l)
-        .when(l.isNull(), F.when(~a.eqNullSafe(r), r))
-        .when(r.isNull(), F.when(~a.eqNullSafe(l), l))
-        .when(a.eqNullSafe(l), r)
-        .otherwise(l)
+        .when(l.isNull(), F.when(~x.eqNullSafe(z), r))
+        .when(r.isNull(), F.when(~x.eqNullSafe(y), l))
+        .otherwise(field_merged(a, l, r, forms))
     )
 
 
 def conflicting(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
-    """Whether the sides disagree in a way that the rules don't settle."""
+    """Whether the sides, or their forms, disagree in a way that the rules don't settle."""
     both = l.isNotNull() & r.isNotNull() & ~l.eqNullSafe(r) & ~a.eqNullSafe(l) & ~a.eqNullSafe(r)
     deleted = a.isNotNull() & ((l.isNull() & r.isNotNull() & ~a.eqNullSafe(r)) | (r.isNull() & l.isNotNull() & ~a.eqNullSafe(l)))
     return both | deleted
 
 
-def field_merged(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
+def field_merged(a: Column, l: Column, r: Column, forms: Forms = None) -> Column:  # noqa: E741
     """The rule for a field that all sides have: the side that changed it; local if both did."""
-    return F.when(a.eqNullSafe(l), r).otherwise(l)
+    if forms is None:
+        return F.when(a.eqNullSafe(l), r).otherwise(l)
+    x, y, z = forms
+    return F.when(x.eqNullSafe(y), F.when(x.eqNullSafe(z), a).otherwise(r)).when(x.eqNullSafe(z), l).otherwise(l)
 
 
 def field_conflict(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
     return ~a.eqNullSafe(l) & ~a.eqNullSafe(r) & ~l.eqNullSafe(r)
 
 
-def merge(ancestor: DataFrame, local: DataFrame, remote: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The merged rows, with the columns of the inputs."""
-    m = three_sides(ancestor, local, remote, keys).select(*keys, merged(F.col("a"), F.col("l"), F.col("r")).alias("m"))
+def _forms() -> tuple[Column, Column, Column]:
+    return F.col("fa"), F.col("fl"), F.col("fr")
+
+
+def merge(ancestor: DataFrame, local: DataFrame, remote: DataFrame, keys: Sequence[str], json: Collection[str] = ()) -> DataFrame:
+    """The merged rows, with the columns of the inputs. ``json`` names columns of JSON text, equal if they say the same."""
+    m = three_sides(ancestor, local, remote, keys, json).select(*keys, merged(F.col("a"), F.col("l"), F.col("r"), _forms()).alias("m"))
     return m.where("m is not null").select(*keys, "m.*")
 
 
-def conflicts(ancestor: DataFrame, local: DataFrame, remote: DataFrame, keys: Sequence[str], path: str = "mappings") -> DataFrame:
+def conflicts(ancestor: DataFrame, local: DataFrame, remote: DataFrame, keys: Sequence[str], path: str = "mappings", json: Collection[str] = ()) -> DataFrame:
     """id, path, local_value, remote_value, ancestor_value (JSON; null for a side without the record)."""
     a, l, r = F.col("a"), F.col("l"), F.col("r")  # noqa: E741
-    found = three_sides(ancestor, local, remote, keys).where(conflicting(a, l, r))
+    found = three_sides(ancestor, local, remote, keys, json).where(conflicting(*_forms()))
     key = F.concat_ws(",", *[F.col(k).cast("string") for k in keys])
     return found.select(key.alias("id"), F.concat(F.lit(f"{path}["), key, F.lit("]")).alias("path"), F.to_json(l).alias("local_value"), F.to_json(r).alias("remote_value"), F.to_json(a).alias("ancestor_value"))
 
 
 def merge_settings(ancestor: DataFrame, local: DataFrame, remote: DataFrame, unions: Sequence[str] = ("customDomains", "categories")) -> DataFrame:
     """Tables (key, value: JSON string) merged key by key: key, value, conflict, and the values local_value, remote_value
-    and ancestor_value. A key that a side hasn't is null there. The list keys in ``unions`` become the union of both
-    sides, local first, whatever the ancestor had."""
-    m = three_sides(ancestor.select("key", "value"), local.select("key", "value"), remote.select("key", "value"), ["key"])
+    and ancestor_value. A key that a side hasn't is null there; values are equal if their JSON says the same. The list keys
+    in ``unions`` become the union of both sides, local first, whatever the ancestor had."""
+    m = three_sides(ancestor.select("key", "value"), local.select("key", "value"), remote.select("key", "value"), ["key"], ["value"])
     a, l, r = F.col("a.value"), F.col("l.value"), F.col("r.value")  # noqa: E741
+    forms = (F.col("fa.value"), F.col("fl.value"), F.col("fr.value"))
     items = lambda c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
     union = F.col("key").isin(*unions)
-    out = F.when(union, F.to_json(F.array_union(items(l), items(r)))).otherwise(field_merged(a, l, r))
-    return m.select("key", out.alias("value"), (~union & field_conflict(a, l, r)).alias("conflict"), l.alias("local_value"), r.alias("remote_value"), a.alias("ancestor_value"))
+    out = F.when(union, F.to_json(F.array_union(items(l), items(r)))).otherwise(field_merged(a, l, r, forms))
+    return m.select("key", out.alias("value"), (~union & field_conflict(*forms)).alias("conflict"), l.alias("local_value"), r.alias("remote_value"), a.alias("ancestor_value"))
 
 
-def merge_array(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
+def merge_array(a: Column, l: Column, r: Column, forms: Forms = None) -> Column:  # noqa: E741
     """struct<merged, conflict> of array columns. If one side alone changed, its array; else position by position,
-    where a missing element is null and isn't kept, and a clash keeps local and raises one conflict for the field."""
-    a, l, r = (F.coalesce(x, F.expr("array()")) for x in (a, l, r))  # noqa: E741
+    where a missing element is null and isn't kept, and a clash keeps local and raises one conflict for the field. The
+    arrays ``forms`` are compared instead, where elements aren't comparable themselves."""
+    full = lambda c: F.coalesce(c, F.expr("array()"))
+    a, l, r = map(full, (a, l, r))  # noqa: E741
+    x, y, z = map(full, forms) if forms else (a, l, r)
     n = F.greatest(F.size(a), F.size(l), F.size(r))
-    at = lambda x, i: F.get(x, i)
+    at = lambda c, i: F.get(c, i)
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    by_place = F.filter(F.transform(places, lambda i: field_merged(at(a, i), at(l, i), at(r, i))), lambda x: x.isNotNull())
-    clash = F.exists(places, lambda i: field_conflict(at(a, i), at(l, i), at(r, i)))
-    one_side = a.eqNullSafe(l) | a.eqNullSafe(r)
-    return F.struct(F.when(a.eqNullSafe(l), r).when(a.eqNullSafe(r), l).otherwise(by_place).alias("merged"), F.when(one_side, F.lit(False)).otherwise(clash).alias("conflict"))
+    of = lambda i: (at(x, i), at(y, i), at(z, i))
+    by_place = F.filter(F.transform(places, lambda i: field_merged(at(a, i), at(l, i), at(r, i), of(i) if forms else None)), lambda v: v.isNotNull())
+    clash = F.exists(places, lambda i: field_conflict(*of(i)))
+    one_side = x.eqNullSafe(y) | x.eqNullSafe(z)
+    return F.struct(F.when(x.eqNullSafe(y), r).when(x.eqNullSafe(z), l).otherwise(by_place).alias("merged"), F.when(one_side, F.lit(False)).otherwise(clash).alias("conflict"))
 
 
 def merge_profiles(ancestor: DataFrame, local: DataFrame, remote: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -114,28 +137,40 @@ def merge_profiles(ancestor: DataFrame, local: DataFrame, remote: DataFrame, key
     a, l, r = F.col("a"), F.col("l"), F.col("r")  # noqa: E741
     schema = ancestor.schema
     all_three = a.isNotNull() & l.isNotNull() & r.isNotNull()
-    fields, clashes = [], []
+    fields, clashes, flag_maps = [], [], []
     for f in (f for f in schema.fields if f.name != key):
         x, y, z = a[f.name], l[f.name], r[f.name]
+        forms = tuple(c[f.name] for c in _forms())
         if f.name in ARRAY_FIELDS and isinstance(f.dataType, ArrayType):
-            m = merge_array(x, y, z)
+            m = merge_array(x, y, z, None if is_plain(f.dataType) else forms)
             fields.append(m["merged"].cast(_nullable(f.dataType)).alias(f.name))
             clashes.append((f.name, m["conflict"], (x, y, z)))
         elif f.name == "enabled" and hasattr(f.dataType, "fields"):
-            flags = [field_merged(x[g.name], y[g.name], z[g.name]).alias(g.name) for g in f.dataType.fields]
-            fields.append(F.when(y.isNotNull() & z.isNotNull(), F.struct(*flags)).otherwise(field_merged(x, y, z)).alias(f.name))
-            clashes += [(f"enabled.{g.name}", field_conflict(x[g.name], y[g.name], z[g.name]), (x[g.name], y[g.name], z[g.name])) for g in f.dataType.fields]
+            of = lambda g, sides: tuple(c[g.name] for c in sides)
+            flags = [field_merged(*of(g, (x, y, z)), of(g, forms)).alias(g.name) for g in f.dataType.fields]
+            by_flag = y.isNotNull() & z.isNotNull()
+            fields.append(F.when(by_flag, F.struct(*flags)).otherwise(field_merged(x, y, z, forms)).alias(f.name))
+            clashes += [(f"enabled.{g.name}", by_flag & field_conflict(*of(g, forms)), of(g, (x, y, z))) for g in f.dataType.fields]
+            clashes.append((f.name, ~by_flag & field_conflict(*forms), (x, y, z)))
+        elif f.name == "enabled" and isinstance(f.dataType, MapType):
+            whole_field, by_key = field_merged(x, y, z, forms), y.isNotNull() & z.isNotNull()
+            fields.append(F.when(by_key, _flags_merged(x, y, z)).otherwise(whole_field).alias(f.name))
+            flag_maps.append((f.name, by_key, (x, y, z)))
+            clashes.append((f.name, ~by_key & field_conflict(*forms), (x, y, z)))
         else:
-            fields.append(field_merged(x, y, z).alias(f.name))
-            clashes.append((f.name, field_conflict(x, y, z), (x, y, z)))
+            fields.append(field_merged(x, y, z, forms).alias(f.name))
+            clashes.append((f.name, field_conflict(*forms), (x, y, z)))
     kind = _nullable(sides.schema["a"].dataType)
-    own = F.when(all_three, F.struct(*fields).cast(kind)).otherwise(merged(a, l, r).cast(kind))
+    own = F.when(all_three, F.struct(*fields).cast(kind)).otherwise(merged(a, l, r, _forms()).cast(kind))
     rows = sides.select(key, own.alias("m")).where("m is not null").select(key, "m.*")
     entry = "struct<field:string,local_value:string,remote_value:string,ancestor_value:string>"
-    told = lambda name, x, y, z, shown: F.struct(F.lit(name), shown(y), shown(z), shown(x)).cast(entry)
+    told = lambda name, x, y, z, shown: F.struct(name if isinstance(name, Column) else F.lit(name), shown(y), shown(z), shown(x)).cast(entry)
     by_field = F.filter(F.array(*[F.when(c, told(n, *v, _json)) for n, c, v in clashes]), lambda x: x.isNotNull())
+    for name, there, sides_ in flag_maps:
+        at = partial(_flag_told, told, name, sides_)
+        by_field = F.concat(by_field, F.when(there, F.transform(_flags_in_conflict(*sides_), lambda k: at(k))).otherwise(F.array().cast(f"array<{entry}>")))
     full = lambda side: F.when(side.isNotNull(), F.to_json(F.struct(F.col(key), *[side[f.name].alias(f.name) for f in schema.fields if f.name != key])))
-    whole = F.when(conflicting(a, l, r), F.array(told("", a, l, r, full))).otherwise(F.array().cast(f"array<{entry}>"))
+    whole = F.when(conflicting(*_forms()), F.array(told("", a, l, r, full))).otherwise(F.array().cast(f"array<{entry}>"))
     found = sides.select(key, F.inline(F.when(all_three, by_field).otherwise(whole)))
     dot = F.when(F.col("field") == "", "").otherwise(F.concat(F.lit("."), F.col("field")))
     ident = F.col(key).cast("string")
@@ -143,6 +178,26 @@ def merge_profiles(ancestor: DataFrame, local: DataFrame, remote: DataFrame, key
     return rows, found.select(F.concat(ident, dot).alias("id"), F.concat(F.lit("identity.profiles["), ident, F.lit("]"), dot).alias("path"), *values)
 
 
+def _flag_told(told: Callable[..., Column], name: str, sides: tuple[Column, ...], key: Column) -> Column:
+    return told(F.concat(F.lit(f"{name}."), key), *[F.try_element_at(c, key) for c in sides], _json)
+
+
+def _flag_names(*sides: Column) -> Column:
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_distinct(F.concat(*[F.coalesce(F.map_keys(c), none) for c in sides])))
+
+
+def _flags_merged(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
+    """Maps of flags merged key by key; a key that a side hasn't is null there, and isn't kept if null comes out."""
+    at = lambda k: tuple(F.try_element_at(c, k) for c in (a, l, r))
+    entries = F.transform(_flag_names(a, l, r), lambda k: F.struct(k, field_merged(*at(k)).alias("value")))
+    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+
+
+def _flags_in_conflict(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
+    return F.filter(_flag_names(a, l, r), lambda k: field_conflict(*(F.try_element_at(c, k) for c in (a, l, r))))
+
+
 def _json(value: Column) -> Column:
     """A value of any type as JSON; null for null."""
     return F.when(value.isNotNull(), F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}\z', 1))
@@ -165,20 +220,22 @@ def merge_data(ancestor: Sequence[DataFrame], local: Sequence[DataFrame], remote
     return {"mappings": merge(*m, ["id"]), "settings": settings.select("key", "value"), "identity": profiles}, every[0].unionByName(every[1]).unionByName(every[2])
 
 
-def deep_equal(x: Column, y: Column, kind: object) -> Column:
-    """Equality that also takes maps, whatever the order of their entries."""
-    if isinstance(kind, MapType):
-        entries = lambda m: F.array_sort(F.map_entries(m))
-        return entries(x).eqNullSafe(entries(y))
-    return x.eqNullSafe(y)
+def deep_equal(x: Column, y: Column, kind: DataType) -> Column:
+    """Equality of values of any type, with maps at any depth, whatever the order of their entries."""
+    return same(x, y, kind)
+
+
+def _one_each(choices: DataFrame, key: str = "path") -> DataFrame:
+    """One value for each path that is chosen: of several the largest, null only if there is no other."""
+    return choices.groupBy(key).agg(F.max("value").alias("value"))
 
 
 def resolve(merged_rows: DataFrame, choices: DataFrame, key: str, path: str = "mappings") -> DataFrame:
     """``merged_rows`` after ``choices`` (path, value: JSON or null): a row whose path is chosen takes the value, or goes
-    if that is null; a value for a key that isn't there is added."""
+    if that is null; a value for a key that isn't there is added. Of several choices for a path the largest value counts."""
     columns = merged_rows.columns
     kind = merged_rows.schema
-    chosen = choices.select(F.regexp_extract("path", rf"^{path.replace('.', '[.]')}\[(.*)\]\z", 1).alias("choice_key"), F.from_json("value", kind).alias("choice")).where("choice_key <> ''")
+    chosen = _one_each(choices).select(F.regexp_extract("path", rf"^{path.replace('.', '[.]')}\[(.*)\]\z", 1).alias("choice_key"), F.from_json("value", kind).alias("choice")).where("choice_key <> ''")
     joined = merged_rows.join(chosen, merged_rows[key].cast("string") == chosen.choice_key, "full")
     taken = F.when(F.col("choice_key").isNull(), F.struct(*[merged_rows[c] for c in columns])).otherwise(F.col("choice"))
     return joined.select(taken.alias("m")).where("m is not null").select("m.*")
@@ -186,7 +243,7 @@ def resolve(merged_rows: DataFrame, choices: DataFrame, key: str, path: str = "m
 
 def resolve_settings(settings: DataFrame, choices: DataFrame) -> DataFrame:
     """``settings`` (key, value: JSON) after those of ``choices`` (path, value) whose path is ``settings.key``."""
-    chosen = choices.select(F.regexp_extract("path", r"(?s)^settings\.(.+)\z", 1).alias("key"), "value").where("key <> ''")
+    chosen = _one_each(choices).select(F.regexp_extract("path", r"(?s)^settings\.(.+)\z", 1).alias("key"), "value").where("key <> ''")
     return upsert(settings.select("key", "value"), chosen, "key")
 
 
@@ -194,7 +251,7 @@ def resolve_fields(profiles: DataFrame, choices: DataFrame, key: str = "id") ->
     """``profiles`` after those of ``choices`` (path, value: JSON or null) whose path is
     ``identity.profiles[id].field`` or ``.field.part``; a path that no profile or column has changes nothing."""
     at = lambda k: F.regexp_extract("path", r"(?s)^identity\.profiles\[(.+?)\]\.(.+)\z", k)
-    chosen = choices.select(at(1).alias("choice_key"), at(2).alias("field"), "value").where("choice_key <> ''")
+    chosen = _one_each(choices).select(at(1).alias("choice_key"), at(2).alias("field"), "value").where("choice_key <> ''")
     chosen = chosen.groupBy("choice_key").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("chosen"))
     joined = profiles.join(chosen, profiles[key].cast("string") == chosen["choice_key"], "left")
 

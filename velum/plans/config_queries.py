@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.functions import crypto
+from velum.functions import crypto, structure
 from velum.operators import activity, policy, reconcile, smart
 from velum.operators.dictionary import Mapping
 from velum.plans import outbound
@@ -62,23 +62,32 @@ def reveal_by_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- merging --------------------------------------------------------------------------------------------------------
 
-_PROFILE = "struct<names:boolean,phones:boolean>"
-
-
 def _profiles(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """Profiles of a side: 0 the ancestor, 1 local, 2 remote."""
     s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as n", "cast(s_suppkey as string) as id")
     changed = lambda every: f"{k} > 0 and n % {every + k} = 0"
     there = {0: "n % 10 <> 7", 1: "n % 10 <> 8", 2: "n % 10 <> 9"}[k]
-    return s.where(there).selectExpr("id", f"if({changed(1)}, concat('name', {k}), 'name') as name", f"array('a', if({changed(2)}, 'x{k}', 'b')) as emails", f"named_struct('names', not ({changed(3)}), 'phones', true) as enabled")
+    phones = {0: "true", 1: "n % 2 <> 0", 2: "if(n % 3 = 0, cast(null as boolean), true)"}[k]
+    return s.where(there).selectExpr("id", f"if({changed(1)}, concat('name', {k}), 'name') as name", f"array('a', if({changed(2)}, 'x{k}', 'b')) as emails", f"named_struct('names', not ({changed(3)}), 'phones', {phones}) as enabled")
+
+
+_SIDES_SQL = """s AS (SELECT s_suppkey AS n, s_suppkey % 10 <> 7 AS ia, s_suppkey % 10 <> 8 AS il, s_suppkey % 10 <> 9 AS ir,
+        CASE WHEN s_suppkey % 2 = 0 THEN 'name1' ELSE 'name' END AS ln, CASE WHEN s_suppkey % 3 = 0 THEN 'name2' ELSE 'name' END AS rn,
+        CASE WHEN s_suppkey % 3 = 0 THEN 'x1' ELSE 'b' END AS le, CASE WHEN s_suppkey % 4 = 0 THEN 'x2' ELSE 'b' END AS re,
+        s_suppkey % 4 <> 0 AS lf, s_suppkey % 5 <> 0 AS rf, s_suppkey % 2 <> 0 AS lp, CASE WHEN s_suppkey % 3 <> 0 THEN TRUE END AS rp FROM supplier),
+    j AS (SELECT *, '{"id":"' || n || '","name":"name","emails":["a","b"],"enabled":{"names":true,"phones":true}}' AS aj,
+        '{"id":"' || n || '","name":"' || ln || '","emails":["a","' || le || '"],"enabled":{"names":' || lf || ',"phones":' || lp || '}}' AS lj,
+        '{"id":"' || n || '","name":"' || rn || '","emails":["a","' || re || '"],"enabled":{"names":' || rf || coalesce(',"phones":' || rp, '') || '}}' AS rj FROM s)"""
+_PROFILE_CONFLICTS_SQL = """SELECT n || '.name' AS id, 'identity.profiles[' || n || '].name' AS path, '"' || ln || '"' AS local_value, '"' || rn || '"' AS remote_value, '"name"' AS ancestor_value FROM j WHERE ia AND il AND ir AND n % 6 = 0
+    UNION ALL SELECT n || '.emails', 'identity.profiles[' || n || '].emails', '["a","x1"]', '["a","x2"]', '["a","b"]' FROM j WHERE ia AND il AND ir AND n % 12 = 0
+    UNION ALL SELECT n || '.enabled.phones', 'identity.profiles[' || n || '].enabled.phones', 'false', NULL, 'true' FROM j WHERE ia AND il AND ir AND n % 6 = 0
+    UNION ALL SELECT n::VARCHAR, 'identity.profiles[' || n || ']', CASE WHEN il THEN lj END, CASE WHEN ir THEN rj END, CASE WHEN ia THEN aj END FROM j WHERE (NOT ia AND lj <> rj) OR (NOT il AND aj <> rj) OR (NOT ir AND aj <> lj)"""
 
 
-@register("""WITH s AS (SELECT s_suppkey AS n, s_suppkey % 10 <> 7 AS ia, s_suppkey % 10 <> 8 AS il, s_suppkey % 10 <> 9 AS ir,
-        CASE WHEN s_suppkey % 2 = 0 THEN 'name1' ELSE 'name' END AS l, CASE WHEN s_suppkey % 3 = 0 THEN 'name2' ELSE 'name' END AS r FROM supplier)
-    SELECT 'identity.profiles[' || n || '].name' AS path, '"' || l || '"' AS local_value, '"' || r || '"' AS remote_value, '"name"' AS ancestor_value FROM s WHERE ia AND il AND ir AND l <> 'name' AND r <> 'name' AND l <> r""")
+@register(f"WITH {_SIDES_SQL} {_PROFILE_CONFLICTS_SQL}")
 def profile_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found = reconcile.merge_profiles(*(_profiles(spark, sf_dir, k) for k in range(3)))
-    return found.where("path like '%.name'").drop("id")
+    """All conflicts: of fields, of lists, of flags, and of whole profiles that one side deleted or that are new twice."""
+    return reconcile.merge_profiles(*(_profiles(spark, sf_dir, k) for k in range(3)))[1]
 
 
 def _configuration(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -89,31 +98,79 @@ def _configuration(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame,
     return mappings, settings, _profiles(spark, sf_dir, k)
 
 
-@register("""SELECT 0 AS part, 'mappings[' || n_nationkey || ']' AS path, '{"real":"m1-' || n_nationkey || '"}' AS local_value, '{"real":"m2-' || n_nationkey || '"}' AS remote_value FROM nation WHERE n_nationkey % 6 = 0
+@register(f"""WITH {_SIDES_SQL} SELECT 0 AS part, 'mappings[' || n_nationkey || ']' AS path, '{{"real":"m1-' || n_nationkey || '"}}' AS local_value, '{{"real":"m2-' || n_nationkey || '"}}' AS remote_value FROM nation WHERE n_nationkey % 6 = 0
     UNION ALL SELECT 1, 'settings.k' || n_nationkey, '1', '2' FROM nation WHERE n_nationkey % 6 = 0
-    UNION ALL SELECT 2, 'identity.profiles[' || s_suppkey || '].name', '"name1"', '"name2"' FROM supplier WHERE s_suppkey % 6 = 0 AND s_suppkey % 10 NOT IN (7, 8, 9)
-    UNION ALL SELECT 2, 'identity.profiles[' || s_suppkey || '].emails', '["a","x1"]', '["a","x2"]' FROM supplier WHERE s_suppkey % 12 = 0 AND s_suppkey % 10 NOT IN (7, 8, 9)
-    UNION ALL SELECT 2, 'identity.profiles[' || s_suppkey || ']', NULL, NULL FROM supplier WHERE false""")
+    UNION ALL SELECT 2, path, local_value, remote_value FROM ({_PROFILE_CONFLICTS_SQL})""")
 def configuration_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conflicts of all parts, but for profiles that one side deleted."""
+    """Conflicts of all parts."""
     _, found = reconcile.merge_data(*(_configuration(spark, sf_dir, k) for k in range(3)))
-    return found.where("not endswith(path, ']') or part = 0").select("part", "path", "local_value", "remote_value")
+    return found.select("part", "path", "local_value", "remote_value")
 
 
-@register("""SELECT 'mappings' AS part, n_nationkey::VARCHAR AS id, CASE WHEN n_nationkey % 6 = 0 THEN 'm2-' || n_nationkey WHEN n_nationkey % 2 = 0 THEN 'm1-' || n_nationkey WHEN n_nationkey % 3 = 0 THEN 'm2-' || n_nationkey ELSE 'm' END AS value FROM nation
+@register(f"""WITH {_SIDES_SQL} SELECT 'mappings' AS part, n_nationkey::VARCHAR AS id, CASE WHEN n_nationkey % 6 = 0 THEN 'm2-' || n_nationkey WHEN n_nationkey % 2 = 0 THEN 'm1-' || n_nationkey WHEN n_nationkey % 3 = 0 THEN 'm2-' || n_nationkey ELSE 'm' END AS value FROM nation
     UNION ALL SELECT 'settings', 'k' || n_nationkey, CASE WHEN n_nationkey % 6 = 0 THEN '2' WHEN n_nationkey % 2 = 0 THEN '1' WHEN n_nationkey % 3 = 0 THEN '2' ELSE '0' END FROM nation
-    UNION ALL SELECT 'identity', s_suppkey::VARCHAR, CASE WHEN s_suppkey % 6 = 0 THEN 'name2' WHEN s_suppkey % 2 = 0 THEN 'name1' WHEN s_suppkey % 3 = 0 THEN 'name2' ELSE 'name' END FROM supplier WHERE s_suppkey % 10 NOT IN (7, 8, 9)""")
+    UNION ALL SELECT 'identity', n::VARCHAR, concat_ws('/', CASE WHEN rn <> 'name' THEN rn ELSE ln END, CASE WHEN re <> 'b' THEN re ELSE le END, lf AND rf, CASE WHEN rp IS NULL THEN 'none' ELSE lp::VARCHAR END) FROM s WHERE ia AND il AND ir
+    UNION ALL SELECT 'identity', n::VARCHAR, concat_ws('/', rn, re, rf, CASE WHEN rp IS NULL THEN 'none' ELSE rp::VARCHAR END) FROM j WHERE NOT ia OR (NOT il AND aj <> rj)""")
 def configuration_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conflict of a field settled for the remote value, whatever part it is in."""
+    """Every conflict settled for the remote value, whatever part it is in; profiles that remote deleted go."""
     parts, found = reconcile.merge_data(*(_configuration(spark, sf_dir, k) for k in range(3)))
-    choice = found.where("part < 2 or path like '%.name'").select("path", F.when(F.col("part") == 0, F.concat(F.lit('{"id":"'), "id", F.lit('",'), F.substr("remote_value", F.lit(2)))).otherwise(F.col("remote_value")).alias("value"))
+    choice = found.select("path", F.when(F.col("part") == 0, F.concat(F.lit('{"id":"'), "id", F.lit('",'), F.substr("remote_value", F.lit(2)))).otherwise(F.col("remote_value")).alias("value"))
     done = reconcile.resolve_data(parts, choice)
     mappings = done["mappings"].selectExpr("'mappings' as part", "id", "real as value")
     settings = done["settings"].selectExpr("'settings' as part", "key as id", "value")
-    profiles = done["identity"].where("int(id) % 10 not in (7, 8, 9)").selectExpr("'identity' as part", "id", "name as value")
+    profiles = done["identity"].selectExpr("'identity' as part", "id", "concat_ws('/', name, emails[1], string(enabled.names), coalesce(string(enabled.phones), 'none')) as value")
     return mappings.unionByName(settings).unionByName(profiles)
 
 
+def _nested(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """Customers of a side, with a map of maps and a JSON text. Each side spells them in its own order; local changes every
+    third, remote every fourth in the depth."""
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey as id", "c_nationkey as n")
+    there = {0: "id % 7 <> 0", 1: "id % 5 <> 0", 2: "id % 11 <> 0"}[k]
+    v = {0: "n", 1: "if(id % 3 = 0, n + 100, n)", 2: "if(id % 4 = 0, n + 200, n)"}[k]
+    maps = {0: f"map('p', map('x', {v}, 'y', 1), 'q', map('z', 2))", 1: f"map('q', map('z', 2), 'p', map('y', 1, 'x', {v}))", 2: f"map('q', map('z', 2), 'p', map('x', {v}, 'y', 1))"}[k]
+    text = {0: f"""concat('{{"d": {{"w":[', {v}, ', 1.50], "u": null}}, "t": "\\u00e9"}}')""", 1: f"""concat('{{"t":"é","d":{{"u":null,"w":[', {v}, '.0,1.5]}}}}')""", 2: f"""concat('{{"d":{{"w":[', {v}, 'e0,15e-1],"u":null}},"t":"é"}}')"""}[k]
+    return c.where(there).selectExpr("id", f"{maps} as m", f"{text} as j")
+
+
+_NESTED_SQL = """c AS (SELECT c_custkey AS id, c_custkey % 7 <> 0 AS ia, c_custkey % 5 <> 0 AS il, c_custkey % 11 <> 0 AS ir, c_nationkey AS a,
+        CASE WHEN c_custkey % 3 = 0 THEN c_nationkey + 100 ELSE c_nationkey END AS l, CASE WHEN c_custkey % 4 = 0 THEN c_nationkey + 200 ELSE c_nationkey END AS r FROM customer)"""
+
+
+@register(f"""WITH {_NESTED_SQL} SELECT id, v AS depth_two, v::DOUBLE AS in_json FROM (SELECT id, CASE WHEN NOT ia THEN CASE WHEN il THEN l WHEN ir THEN r END WHEN NOT il AND NOT ir THEN NULL
+    WHEN NOT il THEN CASE WHEN a <> r THEN r END WHEN NOT ir THEN CASE WHEN a <> l THEN l END WHEN a = l THEN r ELSE l END AS v FROM c) WHERE v IS NOT NULL""")
+def structural_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with maps in maps and JSON texts merged: what is only spelled differently is unchanged, and goes if the other
+    side deleted it."""
+    m = reconcile.merge(*(_nested(spark, sf_dir, k) for k in range(3)), ["id"], json=["j"])
+    return m.selectExpr("id", "m['p']['x'] as depth_two", "double(get_json_object(j, '$.d.w[0]')) as in_json")
+
+
+@register(f"""WITH {_NESTED_SQL} SELECT id::VARCHAR AS id, 'rows[' || id || ']' AS path, CASE WHEN il THEN l END AS local_x, CASE WHEN ir THEN r END AS remote_x, CASE WHEN ia THEN a END AS ancestor_x
+    FROM c WHERE (il AND ir AND l <> r AND (NOT ia OR (a <> l AND a <> r))) OR (ia AND il AND NOT ir AND a <> l) OR (ia AND ir AND NOT il AND a <> r)""")
+def structural_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reconcile.conflicts(*(_nested(spark, sf_dir, k) for k in range(3)), ["id"], "rows", ["j"])
+    x = lambda c: F.get_json_object(f"{c}_value", "$.m.p.x").cast("int").alias(f"{c}_x")
+    return found.select("id", "path", x("local"), x("remote"), x("ancestor"))
+
+
+@register(f"""WITH {_NESTED_SQL} SELECT id AS key, (CASE WHEN NOT ia THEN l WHEN a = l THEN r ELSE l END)::DOUBLE AS value, (NOT ia OR (a <> l AND a <> r)) AND l <> r AND NOT (NOT ia AND l = r) AS conflict FROM c WHERE il AND ir AND id % 7 <> 0""")
+def structural_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings whose values are JSON objects: equal whatever the order of keys, the spaces and the spelling of numbers."""
+    side = lambda k: _nested(spark, sf_dir, k).where("id % 5 <> 0 and id % 11 <> 0 and id % 7 <> 0").selectExpr("string(id) as key", "j as value")
+    m = reconcile.merge_settings(*(side(k) for k in range(3)))
+    return m.select(F.col("key").cast("long").alias("key"), F.get_json_object("value", "$.d.w[0]").cast("double").alias("value"), "conflict")
+
+
+@register(f"""WITH {_NESTED_SQL} SELECT a AS x, count(*) AS n FROM (SELECT a FROM c WHERE ia UNION ALL SELECT l FROM c WHERE il UNION ALL SELECT r FROM c WHERE ir) GROUP BY a""")
+def structural_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of all sides grouped by the forms of their maps and JSON texts."""
+    rows = _nested(spark, sf_dir, 0).unionByName(_nested(spark, sf_dir, 1)).unionByName(_nested(spark, sf_dir, 2))
+    kind = rows.schema["m"].dataType
+    grouped = rows.groupBy(structure.form(F.col("m"), kind).alias("m"), structure.json_form(F.col("j")).alias("j")).agg(F.count("*").alias("n"))
+    return grouped.select(F.get_json_object("j", "$.d.w[0]").cast("int").alias("x"), "n")
+
+
 # --- imports and files ----------------------------------------------------------------------------------------------
 
 
