@@ -105,3 +105,12 @@ def test_long_texts_with_many_matches(spark):
     assert df.select(F.size(detect.findings(F.col("t"))).alias("n")).first().n == 1
     assert df.select(F.size(dictionary.diff(F.col("t"), [Mapping("0", "z")])).alias("n")).first().n > 3 * n
     assert time.monotonic() - began < 120
+
+
+def test_many_findings_by_pieces(spark):
+    text = " ".join(f"user{k}@mail{k % 7}.example 10.0.{k // 200}.{k % 200} home/user{k}" for k in range(2500))
+    docs = spark.createDataFrame([(1, text), (2, "mail a@b.example from 10.0.0.1"), (3, None), (4, "x")], "id int, text string").selectExpr("*", "1 as found", "2 as done")
+    by_pieces = {r.id: r.result for r in detect.redacted(docs, many=5).collect()}
+    folded = {r.id: r.result for r in detect.redacted(docs, many=1 << 30).collect()}
+    assert by_pieces == folded and len(by_pieces[1].events) > 2000 and by_pieces[3].text is None
+    assert detect.redacted(docs).columns == [*docs.columns, "result"]

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from velum.operators import dictionary, smart
+from velum.operators import dictionary, pieces, smart
 from velum.operators.dictionary import Mapping
 
 
@@ -112,11 +112,11 @@ def test_rules_of_a_table_against_one_rule_after_the_other():
     rng = random.Random(2)
     for _ in range(300):
         word = lambda n: "".join(rng.choice("abAB\u0130\u00df\u017f") for _ in range(rng.randrange(1, n)))
-        rules = sorted((dictionary.Rule(word(5), word(5), "c", rng.random() < 0.3) for _ in range(8)), key=lambda r: -len(r.real))
+        rules = sorted((pieces.Rule(word(5), word(5), "c", rng.random() < 0.3) for _ in range(8)), key=lambda r: -len(r.real))
         text, want, events = word(40), None, []
         want = text
         for r in rules:
-            same = (lambda x, y: x == y) if r.case_sensitive else (lambda x, y: dictionary.fold(x) == dictionary.fold(y))
+            same = (lambda x, y: x == y) if r.case_sensitive else (lambda x, y: pieces.fold(x) == pieces.fold(y))
             at, out = 0, ""
             while at < len(want):
                 piece = want[at : at + len(r.real)]
@@ -126,7 +126,7 @@ def test_rules_of_a_table_against_one_rule_after_the_other():
                 else:
                     out, at = out + want[at], at + 1
             want = out
-        assert dictionary.Automaton(rules).substitute(text) == (want, events)
+        assert pieces.Automaton(rules).substitute(text) == (want, events)
 
 
 def test_many_rules_of_a_table(spark):

@@ -7,7 +7,6 @@ to the shortest; each sees what the ones before left.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -19,6 +18,8 @@ from pyspark.sql import functions as F
 
 from velum.functions.events import STATE, Stage, event, run, state, when_found
 from velum.functions.regex import IGNORE_CASE, B, blocks_sql, given, hits, literal, pairs_sql, places_sql, quote, quote_column, replace_all, replacement_column, with_offsets
+from velum.operators.pieces import Automaton, Rule
+from velum.session import checkpoints
 
 #: Characters of a table's rules that are sent to the tasks at once.
 BLOCK_BYTES = 16 << 20
@@ -139,89 +140,6 @@ def _ranger(term: str) -> Stage:
 # --- rules from a table ---------------------------------------------------------------------------------------------
 
 
-class _Folds(dict):
-    """Characters by the one that stands for them where case doesn't count: upper case, then lower, one for one."""
-
-    def __missing__(self, c: int) -> int:
-        up = chr(c).upper()
-        low = (up if len(up) == 1 else chr(c)).lower()
-        self[c] = ord(low) if len(low) == 1 else c
-        return self[c]
-
-
-_FOLDS = _Folds()
-
-
-def fold(text: str) -> str:
-    """The text without its case; every character keeps its place."""
-    return text.lower() if text.isascii() else text.translate(_FOLDS)
-
-
-@dataclass(frozen=True)
-class Rule:
-    real: str
-    to: str
-    category: str
-    case_sensitive: bool
-
-
-class Automaton:
-    """A block of rules, in their order, as one Aho-Corasick automaton over folded text."""
-
-    def __init__(self, rules: list[Rule]):
-        import ahocorasick
-
-        self.rules, by_form = rules, {}
-        for k, r in enumerate(rules):
-            by_form.setdefault(fold(r.real), []).append(k)
-        self.found = ahocorasick.Automaton()
-        for form, own in by_form.items():
-            self.found.add_word(form, (len(form), own))
-        if rules:
-            self.found.make_automaton()
-
-    def occurring(self, text: str, folded: str | None = None) -> set[int]:
-        """The rules that occur in the text as it is."""
-        if not self.rules:
-            return set()
-        out: set[int] = set()
-        for end, (n, own) in self.found.iter(fold(text) if folded is None else folded):
-            out.update(k for k in own if k not in out and (not self.rules[k].case_sensitive or text[end - n + 1 : end + 1] == self.rules[k].real))
-        return out
-
-    def substitute(self, text: str) -> tuple[str, list[tuple[str, str, str]]]:
-        """The text after all rules, each on what the ones before left, and (original, replaced, category). What a
-        replacement brings in is looked for around it: later rules aren't longer than the one that was replaced."""
-        events: list[tuple[str, str, str]] = []
-        low = fold(text)
-        known = self.occurring(text, low)
-        waiting = sorted(known)  # a sorted list is a heap
-        while waiting:
-            k = heapq.heappop(waiting)
-            rule = self.rules[k]
-            form, to = fold(rule.real), fold(rule.to)
-            parts, lows, at, made, size = [], [], 0, [], 0
-            searched, sought = (text, rule.real) if rule.case_sensitive else (low, form)
-            while (here := searched.find(sought, at)) >= 0:
-                parts += [text[at:here], rule.to]
-                lows += [low[at:here], to]
-                events.append((text[here : here + len(form)], rule.to, rule.category))
-                size += here - at + len(to)
-                made.append(size - len(to))
-                at = here + len(form)
-            if not made:
-                continue
-            text, low = "".join([*parts, text[at:]]), "".join([*lows, low[at:]])
-            reach = len(form) - 1
-            for p in made:
-                a, z = max(0, p - reach), p + len(to) + reach
-                new = {x for x in self.occurring(text[a:z], low[a:z]) if x > k} - known
-                known |= new
-                for x in new:
-                    heapq.heappush(waiting, x)
-        return text, events
-
-
 def rules_of(mappings: DataFrame, swap: bool = False, block_bytes: int = BLOCK_BYTES) -> Iterator[list[Rule]]:
     """Blocks of rules, longest first, from a table (real, substitute, category, case_sensitive, enabled). The table's
     order doesn't matter: equal lengths go by their text. One block at a time is held by the driver."""
@@ -245,10 +163,15 @@ def _in_blocks(rules: Iterable[Rule], block_bytes: int) -> Iterator[list[Rule]]:
 
 def substitute_by_table(docs: DataFrame, mappings: DataFrame, text_col: str = "text", result_col: str = "result", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with struct<text, events> of the table's rules in ``result_col``. Rules are sent in blocks of bounded
-    size, one automaton and one Arrow function each: the plan grows with the blocks, not with the rules, and a text
-    meets only the rules that occur in it. Nothing is shuffled."""
-    docs = docs.withColumn(result_col, state(F.col(text_col)))
+    size, one automaton and one Arrow function each, and a text meets only the rules that occur in it, each at the cost of
+    its places. Nothing is shuffled. With several blocks what one left is a checkpoint, so that a worker holds one
+    automaton at a time."""
+    docs, sent = docs.withColumn(result_col, state(F.col(text_col))), None
     for block in rules_of(mappings, block_bytes=block_bytes):
+        if sent is not None:
+            checkpoints(docs.sparkSession)
+            docs = docs.checkpoint()
+            sent.unpersist()
         sent = docs.sparkSession.sparkContext.broadcast(block)  # bounded by block_bytes
         held = fresh_name(docs, "after_block")
         docs = docs.withColumn(held, _applier(sent)(F.col(result_col)["text"]))

@@ -246,6 +246,16 @@ def detect_redact_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.only_changed(r, "r").select("doc_id", F.col("r.text").alias("redacted"), F.size("r.events").cast("long").alias("n_values"))
 
 
+@register(f"""WITH RECURSIVE v AS (SELECT doc_id, value, {_FAKE_SQL} AS new, row_number() OVER (PARTITION BY doc_id ORDER BY ord DESC, idx DESC) AS n FROM ({_LIVE_VALUES})),
+    r AS (SELECT d.doc_id, replace(d.text, v.value, v.new) AS t, 1 AS n FROM ({_DOCS_TAILED}) d JOIN v ON v.doc_id = d.doc_id AND v.n = 1
+        UNION ALL SELECT r.doc_id, replace(r.t, v.value, v.new), r.n + 1 FROM r JOIN v ON v.doc_id = r.doc_id AND v.n = r.n + 1)
+    SELECT doc_id, coalesce(t, text) AS redacted, n_values FROM (SELECT doc_id, arg_max(t, n) AS t, max(n)::BIGINT AS n_values FROM r GROUP BY doc_id) RIGHT JOIN ({_DOCS_TAILED}) USING (doc_id)""")
+def detect_redact_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with two findings or more are redacted by pieces, the others by a fold; all documents."""
+    r = detect.redacted(_docs_tailed(spark, sf_dir), result_col="r", many=1)
+    return r.select("doc_id", F.col("r.text").alias("redacted"), F.when(F.size("r.events") > 0, F.size("r.events")).cast("long").alias("n_values"))
+
+
 @register(f"SELECT value AS \"real\", min({_FAKE_SQL}) AS substitute, min(category) AS category, count(*) AS n_docs FROM ({_LIVE_VALUES}) GROUP BY value")
 def findings_to_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _docs_tailed(spark, sf_dir).select(F.explode(detect.to_mappings(detect.findings(F.col("text")))).alias("m"))
@@ -334,6 +344,20 @@ def dict_diff_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("conv_id", "turn", "c.type", F.coalesce("c.text", "c.original").alias("piece"), "c.replacement")
 
 
+@register("""SELECT c_nationkey AS nation, c_custkey // 1000 AS part, string_agg(CASE WHEN c_custkey % 3 = 0 THEN 'A' || c_custkey ELSE 'Acct-' || c_custkey || ';' END, ' ' ORDER BY c_custkey) AS substituted,
+    (count(*) + count(*) FILTER (WHERE c_custkey % 3 = 0))::BIGINT AS n_events FROM customer GROUP BY 1, 2""")
+def dict_substitute_thousands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each customer's name, and one for what every third of these puts in, in texts that name a thousand."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name")
+    rule = "'name' as category, false as case_sensitive, true as enabled"
+    names = c.selectExpr("upper(c_name) as real", "concat('Acct-', c_custkey, ';') as substitute", *rule.split(", "))
+    again = c.where("c_custkey % 3 = 0").selectExpr("concat('aCCT-', c_custkey, ';') as real", "concat('A', c_custkey) as substitute", *rule.split(", "))
+    listed = c.groupBy(F.col("c_nationkey").alias("nation"), F.floor(F.col("c_custkey") / 1000).alias("part")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("names"))
+    docs = listed.select("nation", "part", F.array_join("names.c_name", " ").alias("text"))
+    r = dictionary.substitute_by_table(docs, names.unionByName(again), result_col="r")
+    return r.select("nation", "part", F.col("r.text").alias("substituted"), F.size("r.events").cast("long").alias("n_events"))
+
+
 _MANY = r"SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS w FROM conversations)"
 
 
