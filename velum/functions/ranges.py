@@ -14,6 +14,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from velum.functions.names import unused
 from velum.session import checkpoints
 
 #: Bits of a row's number inside its range, in what monotonically_increasing_id gives.
@@ -36,8 +37,7 @@ def range_of(place: str | Column) -> Column:
 def ranks(df: DataFrame, *order: str | Column, name: str = "rank") -> DataFrame:
     """``df`` with the long ``name``: 1, 2, ... over the whole table in the given order. Counts of ranges come to the
     driver, one number a range, and go back as a broadcast of that size; an empty table stays empty."""
-    taken = [c.lower() for c in (*df.columns, name)]
-    place, number, before = (_free(taken, c) for c in ("place", "range", "before"))
+    place, number, before = unused((*df.columns, name), "place", "range", "before")
     rows = placed(df, *order, name=place).withColumn(number, range_of(place))
     counts = sorted(rows.groupBy(number).count().collect())
     offsets = [(r[0], b) for r, b in zip(counts, [0, *accumulate(r[1] for r in counts)], strict=False)]
@@ -47,13 +47,6 @@ def ranks(df: DataFrame, *order: str | Column, name: str = "rank") -> DataFrame:
     return numbered.select(*[F.col(f"`{c}`") for c in df.columns], name)
 
 
-def _free(taken: list[str], name: str) -> str:
-    while name.lower() in taken:
-        name += "_"
-    taken.append(name.lower())
-    return name
-
-
 Total = tuple[Callable[[Column], Column], Column]
 
 
@@ -72,10 +65,9 @@ def along(rows: DataFrame, group: Sequence[str], block: Column, order: Sequence[
     F.max, F.min) makes of the values of the group's rows up to and with this one. ``block`` is a whole number that
     doesn't fall along the order and cuts large groups. Null keys are a group like others. A row is shuffled once, by
     block and group; between the blocks only their totals move."""
-    taken = [c.lower() for c in (*rows.columns, *totals)]
-    b = _free(taken, "block")
-    keys = [_free(taken, f"key{k}") for k in range(len(group) + 1)]
-    own, carried = ({n: _free(taken, f"{p}_{n}") for n in totals} for p in ("own", "carried"))
+    n_keys = len(group) + 1
+    b, *rest = unused((*rows.columns, *totals), "block", *[f"key{k}" for k in range(n_keys)], *[f"own_{n}" for n in totals], *[f"carried_{n}" for n in totals])
+    keys, own, carried = rest[:n_keys], dict(zip(totals, rest[n_keys:], strict=False)), dict(zip(totals, rest[n_keys + len(totals) :], strict=True))
     cut = rows.withColumn(b, block)
     inside = Window.partitionBy(b, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     within = cut.select("*", *[f(c).over(inside).alias(own[n]) for n, (f, c) in totals.items()])
@@ -91,7 +83,7 @@ def along(rows: DataFrame, group: Sequence[str], block: Column, order: Sequence[
 def running(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], totals: dict[str, Total]) -> DataFrame:
     """``along`` for rows without dense numbers: the blocks are the ranges of the table sorted by group and order. Rows
     that are equal in all of that come in an order of their own, the same for all totals."""
-    place = _free([c.lower() for c in (*df.columns, *totals)], "place")
+    (place,) = unused((*df.columns, *totals), "place")
     rows = placed(df, *group, *order, name=place)
     return along(rows, group, range_of(place), [place], totals).drop(place)
 

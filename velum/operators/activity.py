@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from velum.functions.ranges import running
+
 
 def log_rows(messages: DataFrame, result_col: str, columns: Sequence[str]) -> DataFrame:
     """One row a replacement event: ``columns``, direction, original, replaced, category, pattern."""
@@ -19,10 +21,10 @@ def recent(log: DataFrame, n: int, ts: str = "ts", ident: str = "id") -> DataFra
 
 
 def badge_counts(log: DataFrame, tab: str, ts: str, ident: str, is_nav: Column, amount: Column) -> DataFrame:
-    """(tab, epoch, n): replacements of each tab since its last navigation; an epoch begins with each navigation. One
-    shuffle by tab; a single busy tab is one task's work, as its order matters."""
-    w = Window.partitionBy(tab).orderBy(ts, ident).rowsBetween(Window.unboundedPreceding, 0)
-    epochs = log.select(tab, F.sum(is_nav.cast("int")).over(w).cast("long").alias("epoch"), F.when(is_nav, F.lit(0)).otherwise(amount).alias("amount"))
+    """(tab, epoch, n): replacements of each tab since its last navigation; an epoch begins with each navigation. Epochs
+    are running totals over ranges of the log's order, so that a busy tab is many tasks' work."""
+    rows = log.select(tab, ts, ident, is_nav.cast("int").alias("is_nav"), F.when(is_nav, F.lit(0)).otherwise(amount).alias("amount"))
+    epochs = running(rows, [tab], [ts, ident], {"epoch": (F.sum, F.col("is_nav"))})
     return epochs.groupBy(tab, "epoch").agg(F.sum("amount").cast("long").alias("n"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.functions import events
-from velum.operators import detect, dictionary, secrets, smart
+from velum.operators import asof, detect, dictionary, prefixes, secrets, smart
 from velum.operators.dictionary import Mapping
 from velum.plans import outbound
 from velum.plans.catalog import register, table, texts
@@ -383,6 +383,23 @@ def reveal_pairs_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.session_pairs(emitted, dims, "conv_id")
 
 
+_SENT = "SELECT conv_id, turn, concat(upper(substr(text, 1, 2)), '-', turn) AS original, CASE WHEN turn % 2 = 0 THEN 'Sub0' WHEN turn % 3 = 0 THEN 'SUB1' ELSE 'sub2' END AS replaced FROM conversations WHERE text <> ''"
+
+
+@register(f"""WITH e AS ({_SENT}),
+    w AS (SELECT c.conv_id, c.turn, c.text, lower(e.replaced) AS k, arg_max(e.original, e.turn) AS o FROM conversations c LEFT JOIN e ON e.conv_id = c.conv_id AND e.turn < c.turn GROUP BY ALL),
+    p AS (SELECT conv_id, turn, any_value(text) AS text, max(CASE WHEN k = 'sub0' THEN o END) AS o0, max(CASE WHEN k = 'sub1' THEN 'Nine' END) AS o1, max(CASE WHEN k = 'sub2' THEN o END) AS o2 FROM w GROUP BY conv_id, turn)
+    SELECT conv_id, turn, 'Say ' || coalesce(o0, 'sub0') || ', ' || coalesce(o1, 'SUB1') || ' and ' || coalesce(o2, 'sub2') || '; ' AS revealed FROM p""")
+def reveal_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn turned back by what its conversation emitted in earlier turns: the latest original of each substitute,
+    or the configured one."""
+    c = table(spark, sf_dir, "conversations")
+    sent = c.where("text <> ''").selectExpr("conv_id", "turn", "concat(upper(substr(text, 1, 2)), '-', turn) as original", "case when turn % 2 = 0 then 'Sub0' when turn % 3 = 0 then 'SUB1' else 'sub2' end as replaced")
+    said = c.selectExpr("conv_id", "turn", "'Say sub0, SUB1 and sub2; ' as text")
+    pairs = spark.createDataFrame([("Nine", "sub1"), ("Ten", "sub9")], "real string, substitute string")
+    return asof.reveal_in_order(said, sent, pairs, "conv_id", "turn").select("conv_id", "turn", "revealed")
+
+
 @register(" UNION ALL ".join(f"SELECT conv_id, turn, {lit(t)} AS term, idx AS start_at, (idx + len(value))::INTEGER AS end_at FROM ({places_sql(_TURNS + ' WHERE len(text) >= 2', 'conv_id, turn', p)})" for t, p in (("the", r"(?i)\bthe\b"), (".", r"\."), ("is", r"(?i)\bis\b"))))
 def highlight_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(dictionary.highlights(F.col("text"), ["the", ".", "is"])).alias("h"))
@@ -522,13 +539,23 @@ def url_skip_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "url", outbound.skipped_url(F.col("url")).alias("skipped"))
 
 
-@register("SELECT page_id, url FROM pages p WHERE EXISTS (SELECT 1 FROM (SELECT regexp_extract(url, '^[a-z]+://[^/]+') AS d FROM pages GROUP BY d HAVING count(*) > 1) q WHERE d <> '' AND starts_with(p.url, d))")
+_DOMAINS = "CASE page_id % 5 WHEN 0 THEN regexp_extract(url, '^[a-z]+://[^/]+', 0) WHEN 1 THEN regexp_extract(url, '^[a-z]+://[^/]+/[a-z]+/[0-9]', 0) WHEN 2 THEN left(url, cast(12 + page_id % 7 as int)) WHEN 3 THEN url ELSE regexp_extract(url, '^[a-z]+://[^/]+/[a-z]*', 0) END"
+
+
+@register(f"SELECT page_id, url FROM pages p WHERE EXISTS (SELECT 1 FROM (SELECT {_DOMAINS} AS d FROM pages WHERE page_id % 3 = 0) WHERE starts_with(p.url, d))")
 def domain_prefix_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages under a custom domain, here each that has more than one page: the prefix test becomes an equality of origins, which is hashed and not looped."""
-    origin = lambda c: F.regexp_extract(c, "^[a-z]+://[^/]+", 0)
+    """Pages under a custom domain, here one of every third page: origins, paths, and beginnings that end anywhere."""
+    p = table(spark, sf_dir, "pages")
+    return prefixes.under_prefix(p, p.where("page_id % 3 = 0").select(F.expr(_DOMAINS).alias("domain"))).select("page_id", "url")
+
+
+@register(f"SELECT page_id, (SELECT arg_max(d, length(d)) FROM (SELECT DISTINCT {_DOMAINS} AS d FROM pages WHERE page_id % 3 = 0) WHERE starts_with(p.url, d)) AS domain FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN url || 'x' ELSE url END AS url FROM pages) p")
+def domain_prefix_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page with the longest custom domain that it is under; joined by a shuffle, as large indexes are."""
     p = table(spark, sf_dir, "pages")
-    domains = p.groupBy(origin("url").alias("origin")).count().where("origin <> '' and count > 1").select("origin")
-    return p.withColumn("origin", origin("url")).join(domains, "origin", "left_semi").select("page_id", "url")
+    domains = p.where("page_id % 3 = 0").select(F.expr(_DOMAINS).alias("domain"))
+    rows = p.selectExpr("page_id", "if(page_id % 4 = 0, concat(url, 'x'), url) as url")
+    return prefixes.longest_prefix(rows, domains, name="found", sent=0).select("page_id", F.col("found").alias("domain"))
 
 
 @register(r"""SELECT page_id, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN i <= len(h) THEN

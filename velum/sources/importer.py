@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from velum.functions.ranges import ranks
+
 # Words that mark a header of a mapping table, and hosts that say nothing about a person.
 HEADER_WORDS = ("real", "substitute", "fake", "original", "replacement", "from", "to", "value", "category", "type")
 COMMON_HOSTS = ("google.com", "facebook.com", "twitter.com", "x.com", "amazon.com", "apple.com", "microsoft.com", "github.com", "youtube.com", "reddit.com", "netflix.com", "linkedin.com", "instagram.com", "wikipedia.org", "stackoverflow.com", "accounts.google.com", "login.microsoftonline.com")
@@ -117,10 +119,8 @@ def _accounts(rows: DataFrame, user: int, password: int, url: int) -> DataFrame:
     column = lambda k: nothing if k < 0 else rows.select("line_no", _cell(k).alias("real")).where("real <> ''")
     users = column(user).withColumn("kind", F.when(F.col("real").contains("@"), "emails").when(F.length("real") >= 3, "usernames")).where("kind is not null")
     users = _first_lines(users, "kind", "real").select("kind", "real", F.lit("").alias("substitute"), F.lit(None).cast("string").alias("category"), F.lit(False).alias("case_sensitive"), "line_no")
-    # one running number over the whole file: its rows meet in one task, which an import can afford
-    number = F.row_number().over(Window.orderBy("line_no"))
-    secret = _first_lines(column(password).where("length(real) >= 4"), "real")
-    secret = secret.select(F.lit("mappings").alias("kind"), "real", F.concat(F.lit("[REDACTED-PASSWORD-"), number.cast("string"), F.lit("]")).alias("substitute"), F.lit("password").alias("category"), F.lit(True).alias("case_sensitive"), "line_no")
+    secret = ranks(_first_lines(column(password).where("length(real) >= 4"), "real"), "line_no", "real", name="number")
+    secret = secret.select(F.lit("mappings").alias("kind"), "real", F.concat(F.lit("[REDACTED-PASSWORD-"), F.col("number").cast("string"), F.lit("]")).alias("substitute"), F.lit("password").alias("category"), F.lit(True).alias("case_sensitive"), "line_no")
     hosts = column(url).select("line_no", host(F.col("real")).alias("real")).where(F.col("real").isNotNull() & ~F.col("real").isin(*COMMON_HOSTS))
     hosts = _first_lines(hosts, "real").select(F.lit("mappings").alias("kind"), "real", F.lit("").alias("substitute"), F.lit("domain").alias("category"), F.lit(False).alias("case_sensitive"), "line_no")
     return users.unionByName(secret).unionByName(hosts)
