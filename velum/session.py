@@ -30,3 +30,16 @@ def checkpoints(spark: SparkSession) -> SparkSession:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="velum-"))
     return spark
+
+
+#: Bytes of files that Spark hands to a Python worker at once, larger files apart.
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bound the Arrow batches of files; a session setting, lowered if it is larger, which changes no result."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.match(r"(\d+)\s*([kmg]?)", spark.conf.get(key).lower()).groups()
+    if int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit] > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark

@@ -6,16 +6,17 @@ columns, like any other, and packed again.
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
-import zlib
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velum.functions.names import unused
+from velum.session import small_batches
+from velum.sources.containers import MOST_INFLATED, Skipped, entries, pdf_text, repacked
+
 # Extensions of text files.
 TEXT = ("txt", "csv", "tsv", "json", "md", "markdown", "log", "yaml", "yml", "toml", "ini", "cfg", "conf", "xml", "html", "htm", "css", "js", "ts", "py", "rb", "go", "rs", "java", "c", "cpp", "h", "hpp", "sh", "bash", "zsh", "ps1", "bat", "sql", "r", "swift", "kt", "scala", "pl", "php", "lua", "vim", "env", "gitignore")
 PREVIEW_EVENTS = 20
@@ -42,79 +43,69 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content", kind(F.col("path")).alias("kind"))
 
 
-def _unescape(s: str) -> str:
-    plain = {"n": "\n", "r": "\r", "t": "\t", "\\": "\\", "(": "(", ")": ")"}
-    return re.sub(r"\\([0-7]{1,3}|.)", lambda m: chr(int(m[1], 8) & 255) if m[1][0] in "01234567" else plain.get(m[1], m[0]), s, flags=re.S)
-
-
-def pdf_text(content: bytes) -> str:
-    """The strings that the text operators of a PDF's streams show: those of Tj, then of TJ, then of ' in each stream."""
-    raw = content.decode("latin-1")
-    out = []
-    for m in re.finditer(r"stream\r?\n([\s\S]*?)endstream", raw):
-        body = m[1]
-        if re.search(r"/Filter\s*(?:/FlateDecode|\[[^\]]*/FlateDecode[^\]]*\])", raw[max(0, m.start() - 500) : m.start()]):
-            try:
-                body = zlib.decompressobj().decompress(body.encode("latin-1")).decode("latin-1")
-            except zlib.error:
-                pass
-        parts = [_unescape(x) for x in re.findall(r"\(((?:\\.|[^\\)])*)\)\s*Tj", body)]
-        for inner in re.findall(r"\[((?:\((?:\\.|[^\\)])*\)|[^\[\]])*?)\]\s*TJ", body):
-            parts += [_unescape(x) for x in re.findall(r"\(((?:\\.|[^\\)])*)\)", inner)]
-        parts += ["\n" + _unescape(x) for x in re.findall(r"\(((?:\\.|[^\\)])*)\)\s*'", body)]
-        if parts:
-            out.append("".join(parts))
-    return "\n".join(out).strip()
-
-
-def office_parts(content: bytes) -> list[tuple[str, str]]:
-    """(name, XML) of the parts of a DOCX or XLSX file that hold text; none if it can't be read."""
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            return [(n, z.read(n).decode("utf-8", "replace")) for n in z.namelist() if _PARTS.fullmatch(n)]
-    except (zipfile.BadZipFile, zlib.error, OSError):
-        return []
+def read_parts(files: DataFrame, limit: int = MOST_INFLATED) -> DataFrame:
+    """``files`` (path, kind, content, ...) with struct<parts: array<struct<part, text>>, reason> in ``read`` for PDF, DOCX
+    and XLSX files; the reason says why there are no parts, and is null if there are. No file fails the job, and none is
+    inflated to more than ``limit`` bytes."""
+
+    @F.pandas_udf(f"struct<parts:{_PARTS_KIND},reason:string>")
+    def find(kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
+        rows = [_parts_of(k, c, limit) for k, c in zip(kinds, contents, strict=True)]
+        return pd.DataFrame({"parts": [p for p, _ in rows], "reason": [r for _, r in rows]})
 
+    small_batches(files.sparkSession)
+    (read,) = unused(files, "read")
+    return files.withColumn(read, find("kind", "content"))
 
-def repack(content: bytes, parts: dict[str, str]) -> bytes:
-    """The file with new contents of some parts."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
-        for info in old.infolist():
-            data = parts[info.filename].encode() if info.filename in parts else old.read(info.filename)
-            new.writestr(zipfile.ZipInfo(info.filename, info.date_time), data, zipfile.ZIP_DEFLATED)
-    return out.getvalue()
 
+_PARTS_KIND = "array<struct<part:string,text:string>>"
 
-def extract(files: DataFrame) -> DataFrame:
+
+def _parts_of(kind_: str, content: bytes | None, limit: int) -> tuple[list[dict], str | None]:
+    if content is None:
+        return [], "no content"
+    try:
+        if kind_ == "pdf":
+            text = pdf_text(content, limit)
+            return ([{"part": "", "text": text}], None) if text else ([], "no text")
+        parts = entries(content, _PARTS.fullmatch, limit)
+        return [{"part": n, "text": x} for n, x in parts], None if parts else "no text"
+    except Skipped as e:
+        return [], str(e)
+
+
+def _texts(files: DataFrame, limit: int) -> DataFrame:
+    """(path, kind, part, text, reason): a row a part, or one with the reason why there is none."""
+    plain = files.where("kind = 'text' and content is not null").select("path", "kind", F.lit("").alias("part"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.lit(None).cast("string").alias("reason"))
+    packed = read_parts(files.where("kind in ('pdf', 'docx', 'xlsx')").select("path", "kind", "content"), limit)
+    packed = packed.select("path", "kind", F.expr("inline_outer(read.parts)"), "read.reason")
+    unknown = files.where("kind is null or kind not in ('pdf', 'docx', 'xlsx', 'text') or kind = 'text' and content is null")
+    none = unknown.select("path", "kind", F.lit(None).cast("string").alias("part"), F.lit(None).cast("string").alias("text"), F.when(F.col("kind") == "text", "no content").otherwise("unknown type").alias("reason"))
+    return plain.unionByName(packed).unionByName(none)
+
+
+def extract(files: DataFrame, limit: int = MOST_INFLATED) -> DataFrame:
     """(path, kind, part, text): the whole of a text file or PDF, or each part of an office file. Unknown kinds and
-    files without text have no row."""
-
-    @F.pandas_udf("array<struct<part:string,text:string>>")
-    def find(kinds: pd.Series, contents: pd.Series) -> pd.Series:
-        def one(k: str, c: bytes) -> list[dict]:
-            if c is None:
-                return []
-            if k == "pdf":
-                text = pdf_text(c)
-                return [{"part": "", "text": text}] if text else []
-            return [{"part": n, "text": x} for n, x in office_parts(c)]
-
-        return pd.Series([one(k, c) for k, c in zip(kinds, contents, strict=True)])
-
-    plain = files.where("kind = 'text'").select("path", "kind", F.lit("").alias("part"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    packed = files.where("kind in ('pdf', 'docx', 'xlsx')").select("path", "kind", F.inline(find("kind", "content")))
-    return plain.unionByName(packed)
-
-
-def rewrite(files: DataFrame, change: Callable[[DataFrame], DataFrame], rewrite_xml: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(path, filename, content, status): files with their texts changed. ``change`` and ``rewrite_xml`` take (path,
-    kind, part, text) and add new_text. A PDF becomes a text file; unknown kinds, unreadable files and files that stay
-    the same are passed through."""
-    found = extract(files)
+    files without text, or whose text can't be had, have no row; ``skipped`` says why."""
+    return _texts(files, limit).where("text is not null").select("path", "kind", "part", "text")
+
+
+def skipped(files: DataFrame, limit: int = MOST_INFLATED) -> DataFrame:
+    """(path, kind, reason) of the files that have no text to change: unknown type, no content, no text, not a container,
+    encrypted entry, unknown compression, doubled name, damaged entry, too large when inflated."""
+    return _texts(files, limit).where("reason is not null").select("path", "kind", "reason")
+
+
+def rewrite(files: DataFrame, change: Callable[[DataFrame], DataFrame], rewrite_xml: Callable[[DataFrame], DataFrame], limit: int = MOST_INFLATED) -> DataFrame:
+    """(path, filename, content, status, reason): files with their texts changed. ``change`` and ``rewrite_xml`` take
+    (path, kind, part, text) and add new_text. A PDF becomes a text file; files that stay the same, and with a reason
+    those that have no text to change, are passed through. Rows that repeat a path are taken to be the same file."""
+    read = _texts(files, limit)
+    found = read.where("text is not null").select("path", "kind", "part", "text")
     plain = change(found.where("kind in ('text', 'pdf')"))
     office = rewrite_xml(found.where("kind in ('docx', 'xlsx')"))
-    new = plain.unionByName(office).where("new_text <> text").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("part", "new_text"))).alias("parts"))
+    new = plain.unionByName(office).where("new_text <> text").groupBy("path", "part").agg(F.max("new_text").alias("new_text"))
+    new = new.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("part", "new_text"))).alias("parts"))
 
     @F.pandas_udf("binary")
     def pack(kinds: pd.Series, contents: pd.Series, parts: pd.Series) -> pd.Series:
@@ -122,16 +113,16 @@ def rewrite(files: DataFrame, change: Callable[[DataFrame], DataFrame], rewrite_
             if p is None:
                 return c
             p = dict(p)
-            return p[""].encode() if k in ("text", "pdf") else repack(c, p)
+            return p[""].encode() if k in ("text", "pdf") else repacked(c, p)
 
         return pd.Series([one(k, c, p) for k, c, p in zip(kinds, contents, parts, strict=True)], dtype=object)
 
     joined = files.join(new, "path", "left")
-    texts = found.select("path").distinct().withColumn("has_text", F.lit(True))
+    told = read.groupBy("path").agg(F.max("reason").alias("reason"))
     name = F.element_at(F.split("path", "/"), -1)
-    status = F.when(F.col("parts").isNotNull(), "rewritten").when(F.col("has_text"), "unchanged").otherwise("skipped")
+    status = F.when(F.col("parts").isNotNull(), "rewritten").when(F.col("reason").isNull(), "unchanged").otherwise("skipped")
     filename = F.when((F.col("kind") == "pdf") & F.col("parts").isNotNull(), F.concat(F.regexp_replace(name, r"(?i)\.pdf\z", ""), F.lit(".txt"))).otherwise(name)
-    return joined.join(texts, "path", "left").select("path", filename.alias("filename"), pack("kind", "content", "parts").alias("content"), status.alias("status"))
+    return joined.join(told, "path", "left").select("path", filename.alias("filename"), pack("kind", "content", "parts").alias("content"), status.alias("status"), F.when(F.col("parts").isNull(), F.col("reason")).alias("reason"))
 
 
 def preview(result: Column, text: Column, top: int = PREVIEW_EVENTS) -> Column:
