@@ -45,7 +45,7 @@ def test_json_forms_are_equal_where_the_values_are(spark):
 
 
 @pytest.mark.parametrize("text,want", [
-    (None, None), ("", ""), ("{bad", "{bad"), ('{"a":1,"a":2}', '{"a":1,"a":2}'), (" null ", "null"), ("-0.0", "0"), ("[1E2,1.10]", "[100,1.1]"),
+    (None, None), ("", ""), ("{bad", "{bad"), ('{"b":1,"a":2} x', '{"b":1,"a":2} x'), ("1,2", "1,2"), ("1] , [2", "1] , [2"), ('{"a":1,"a":2}', '{"a":1,"a":2}'), (" null ", "null"), ("-0.0", "0"), ("[1E2,1.10]", "[100,1.1]"),
     ('"\\u0041 1.0"', '"A 1.0"'), ("[ ]", "[]"), ('{"b":{"d":1,"c":[]},"a":-1}', '{"a":-1,"b":{"c":[],"d":1}}'),
 ])
 def test_json_forms(spark, text, want):

@@ -14,6 +14,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType, VariantType
 
+from velum.functions.jsontext import accepted_sql
+from velum.functions.regex import given
+
 #: A string, a number, or what stands between them; possessive, as strings may be long.
 _TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][0-9.eE+-]*+|[^"0-9-]+'
 
@@ -29,7 +32,8 @@ def json_form(text: Column) -> Column:
     """The one spelling of a JSON text. Keys are sorted at every depth; 1, 1.0 and 1e0 are one number, as numbers are
     doubles; escapes that need not be are resolved. Texts that aren't JSON, that have a key twice in one object, or that
     are nested over a thousand deep are their own form. Null for null."""
-    sorted_ = F.to_json(F.try_parse_json(text))
+    whole = given(text, f"CASE WHEN {accepted_sql('t')} THEN t END")
+    sorted_ = F.to_json(F.try_parse_json(whole))
     return F.coalesce(F.array_join(F.transform(F.regexp_extract_all(sorted_, F.lit(_TOKEN), F.lit(0)), _number), ""), text)
 
 

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from velum.functions import events
+from velum.functions.jsontext import is_json, parts, put_together, strings
+from velum.functions.names import unused
 from velum.functions.regex import hits, rewrite
 from velum.operators import detect, dictionary, secrets, smart
 from velum.sources import documents
@@ -131,35 +130,6 @@ def walk(column: Column, kind: DataType, change: Callable[[Column], Column], key
     return column
 
 
-
-
-def _strings(node: object, out: list[str]) -> None:
-    items = node.items() if isinstance(node, dict) else enumerate(node) if isinstance(node, list) else ()
-    for k, v in items:
-        if isinstance(node, dict) and k in SKIP_KEYS:
-            continue
-        if isinstance(v, str):
-            if len(v) >= MIN_STRING:
-                out.append(v)
-        else:
-            _strings(v, out)
-
-
-def _filled(node: object, new: Iterator[str]) -> object:
-    if isinstance(node, dict):
-        return {k: v if k in SKIP_KEYS else _filled(v, new) for k, v in node.items()}
-    if isinstance(node, list):
-        return [_filled(v, new) for v in node]
-    return next(new) if isinstance(node, str) and len(node) >= MIN_STRING else node
-
-
-def _parsed(body: str | None) -> tuple[bool, object]:
-    try:
-        return True, json.loads(body)
-    except (TypeError, ValueError):
-        return False, None
-
-
 def _substitute_each(d: DataFrame, config: Config, states_col: str) -> DataFrame:
     """The pipeline on every element of an array of states."""
     if not config.active():
@@ -176,37 +146,22 @@ def _substitute_each(d: DataFrame, config: Config, states_col: str) -> DataFrame
 def substitute_bodies(docs: DataFrame, config: Config, body_col: str, result_col: str = "body_out") -> DataFrame:
     """``docs`` with their bodies rewritten: JSON of any shape by its strings, other text of over two characters whole.
 
-    Only taking a JSON apart and putting it together needs Python; its strings pass through the pipeline as an array
-    column. Nothing is shuffled. A JSON that is a string itself stays, as do bodies without any replacement.
-    """
-
-    def take_apart(bodies: pd.Series) -> pd.DataFrame:
-        rows = []
-        for b in bodies:
-            is_json, node = _parsed(b)
-            found: list[str] = []
-            if is_json:
-                _strings(node, found)
-            elif b is not None and len(b) > MIN_STRING:
-                found = [b]
-            rows.append((is_json, found))
-        return pd.DataFrame(rows, columns=["is_json", "strings"])
-
-    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            body, is_json, changed, new = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (body_col, "is_json", "body_changed", "new_strings"))
-            out = [b if not c else json.dumps(_filled(json.loads(b), iter(n)), ensure_ascii=False, separators=(",", ":")) if k else n[0] for b, k, c, n in zip(body, is_json, changed, new, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(out, pa.string())], names=[*columns, result_col])
-
-    apart = F.pandas_udf(take_apart, "struct<is_json:boolean,strings:array<string>>")
-    columns = docs.columns
-    d = docs.withColumn("parts_of_body", apart(body_col))
-    d = d.withColumn("states_of_body", F.transform("parts_of_body.strings", lambda t: events.state(t)))
-    d = _substitute_each(d, config, "states_of_body")
-    changed = F.exists("states_of_body", lambda s: F.size(s["events"]) > 0)
-    new = F.when(changed, F.transform("states_of_body", lambda s: s["text"]))
-    ready = d.select(*columns, F.col("parts_of_body.is_json").alias("is_json"), changed.alias("body_changed"), new.alias("new_strings"))
-    return ready.mapInArrow(put_together, StructType([*docs.schema.fields, StructField(result_col, StringType())]))
+    All in the JVM, in one projection: a JSON's strings pass through the pipeline as an array column and go back in
+    place. Values under keys of the skip list stay, at any depth. A changed JSON has no white space outside its strings;
+    its numbers and other strings keep their spelling. A JSON that is a string itself stays, as do bodies without any
+    replacement, nulls among them."""
+    kept, as_json, taken, states = unused((*docs.columns, result_col), "kept_body", "is_json", "parts_of_body", "states_of_body")
+    b = F.col(kept)
+    d = docs.withColumn(kept, F.col(body_col)).withColumn(as_json, is_json(b))
+    d = d.withColumn(taken, F.when(F.col(as_json), parts(b, SKIP_KEYS)))
+    found = F.when(F.col(as_json), strings(F.col(taken))).when(F.length(b) > MIN_STRING, F.array(b)).otherwise(F.array().cast("array<string>"))
+    long_ = lambda t: F.when(F.length(t) >= MIN_STRING, t).otherwise(F.lit(""))
+    d = d.withColumn(states, F.transform(found, lambda t: events.state(long_(t))))
+    d = _substitute_each(d, config, states)
+    changed = F.exists(states, lambda s: F.size(s["events"]) > 0)
+    new = F.transform(states, lambda s: F.when(F.size(s["events"]) > 0, s["text"]))
+    out = F.when(~changed, b).when(F.col(as_json), put_together(F.col(taken), new)).otherwise(F.col(states)[0]["text"])
+    return d.withColumn(result_col, out).drop(kept, as_json, taken, states)
 
 
 # --- markup ---------------------------------------------------------------------------------------------------------
