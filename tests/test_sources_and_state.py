@@ -10,7 +10,7 @@ from velum.functions import crypto
 from velum.operators import activity
 from velum.operators.dictionary import Mapping
 from velum.plans import outbound
-from velum.sources import documents, importer, stores
+from velum.sources import changelog, documents, importer, stores
 from velum.streaming import sessions
 
 
@@ -156,11 +156,10 @@ def test_change_feed_and_settled_rows(spark, tmp_path):
     kind = "id string, v string, m long"
     spark.createDataFrame([("1", "a", 1), ("1", "b", 3), ("2", "c", 1)], kind).write.parquet(f"{tmp_path}/feed/1")
     stream = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/feed")
-    sessions.sync_batches(stream, f"{tmp_path}/out", f"{tmp_path}/c", "id", "m").awaitTermination(120)
+    changelog.sync_batches(stream, f"{tmp_path}/out", f"{tmp_path}/c", "id", "m").awaitTermination(120)
     spark.createDataFrame([("1", "old", 2), ("2", "new", 5)], kind).write.parquet(f"{tmp_path}/feed/2")
-    sessions.sync_batches(stream, f"{tmp_path}/out", f"{tmp_path}/c", "id", "m").awaitTermination(120)
-    last = max(r.version for r in spark.read.json(f"{tmp_path}/out/log").collect())
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out/v={last}").collect())) == [("1", "b", 3), ("2", "new", 5)]
+    changelog.sync_batches(stream, f"{tmp_path}/out", f"{tmp_path}/c", "id", "m").awaitTermination(120)
+    assert sorted(map(tuple, changelog.read(spark, f"{tmp_path}/out", "id", "m").collect())) == [("1", "b", 3), ("2", "new", 5)]
     rows = spark.sql("select * from values ('k', timestamp'2024-01-01 00:00:00', 1), ('k', timestamp'2024-01-01 00:00:05', 2), ('k', timestamp'2024-01-01 00:01:00', 3) as t(key, ts, v)")
     assert sorted((r.v, r.n) for r in sessions.settled(rows, "key", "ts", "10 seconds", "v").collect()) == [(2, 2), (3, 1)]
     config = outbound.Config(mappings=(Mapping("acme", "zeta"),))

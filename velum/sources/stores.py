@@ -145,18 +145,19 @@ def clear_snapshots(spark: SparkSession, path: str) -> None:
         drop(spark, f"{path}/{part}")
 
 
-def _there(spark: SparkSession, uri: str) -> tuple:
+def there(spark: SparkSession, uri: str) -> tuple:
+    """The file system that a URI is in, and its path."""
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
 def exists(spark: SparkSession, uri: str) -> bool:
-    files, path = _there(spark, uri)
+    files, path = there(spark, uri)
     return files.exists(path) and len(files.listStatus(path)) > 0
 
 
 def drop(spark: SparkSession, uri: str) -> None:
-    files, path = _there(spark, uri)
+    files, path = there(spark, uri)
     files.delete(path, True)
 
 

@@ -1,6 +1,6 @@
 """Streams: rewriting messages, revealing answers, counting per tab, and quiet periods.
 
-Everything but the session dictionary works on batches too. The dictionary and the counters keep state by key and need
+Everything but the session dictionary works on batches too; the dictionary on batches is ``velum.operators.asof``. The dictionary and the counters keep state by key and need
 the RocksDB state store.
 """
 
@@ -108,26 +108,3 @@ def reveal_stream(rows: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     are messages, which come out as (session, seq, text) turned back by what was emitted before. What was emitted more
     than ``ttl_ms`` ago is forgotten. A session's rows in one micro-batch are held together in its task."""
     return rows.groupBy("session").transformWithStateInPandas(_Dictionary(ttl_ms), "session string, seq long, text string", "Append", "ProcessingTime" if ttl_ms else "None")
-
-
-def sync_batches(stream: DataFrame, path: str, checkpoint: str, key: str, modified: str):  # noqa: ANN201
-    """A change feed applied batch by batch to a Parquet table, the newer row of each key winning; runs through what is
-    there and ends. Each batch writes a new version and then names it, so that a lost one can be run again."""
-    from velum.operators.reconcile import last_writer_wins
-
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        log = f"{path}/log"
-        try:
-            versions = [r.version for r in spark.read.json(log).collect()]
-        except Exception as e:  # noqa: BLE001  no version yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            versions = []
-        before = max((v for v in versions if v < number), default=None)
-        own = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), modified).alias("b")).select(key, "b.*").select(*batch.columns)
-        new = own if before is None else last_writer_wins(spark.read.parquet(f"{path}/v={before}"), own, [key], modified)
-        new.write.mode("overwrite").parquet(f"{path}/v={number}")
-        spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("append").json(log)
-
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
