@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.functions import events
-from velum.operators import asof, detect, dictionary, prefixes, secrets, smart
+from velum.operators import asof, detect, dictionary, patterns, prefixes, secrets, smart
 from velum.operators.dictionary import Mapping
 from velum.plans import outbound
-from velum.plans.catalog import register, table, texts
+from velum.plans.catalog import register, spread, table, texts
 from velum.sources import documents as files
 
 
@@ -128,6 +128,20 @@ def custom_pattern_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.only_changed(r, "r").select("doc_id", F.col("r.text").alias("redacted"))
 
 
+_ACCOUNT = "CASE WHEN {k} IN (SELECT c_custkey FROM customer WHERE c_custkey % 50 NOT IN (7, 9)) THEN '[C' || {k} || ']' ELSE 'acct-' || {k} || '{end}' END"
+
+
+@register(f"SELECT o_orderkey, 'paid by ' || {_ACCOUNT.format(k='o_custkey', end=';')} || ' for ACCT-' || o_custkey || ' and ' || {_ACCOUNT.format(k='(o_custkey + 1)', end='.')} || ' ' || CASE WHEN o_orderkey % 3 = 0 THEN '[ID]' ELSE 'n' END AS redacted, ({_ACCOUNT.format(k='o_custkey', end=';')} LIKE '[%')::BIGINT + ({_ACCOUNT.format(k='(o_custkey + 1)', end='.')} LIKE '[%')::BIGINT + (o_orderkey % 3 = 0)::BIGINT AS n_events FROM orders")
+def custom_patterns_thousands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern for each customer and one without a literal; some are disabled, some can't be compiled."""
+    c = table(spark, sf_dir, "customer")
+    own = c.selectExpr("c_custkey + 1 as ordinal", "concat('Account ', c_custkey) as name", "if(c_custkey % 50 = 7, '([', concat('acct-', c_custkey, '[.;]')) as pattern", "concat('[C', c_custkey, ']') as redact", "c_custkey % 50 <> 9 as enabled")
+    one = spark.createDataFrame([(0, "Number", r"#[0-9]+\z", "[ID]", None)], "ordinal long, name string, pattern string, redact string, enabled boolean")
+    o = spread(table(spark, sf_dir, "orders").selectExpr("o_orderkey", "concat('paid by acct-', o_custkey, '; for ACCT-', o_custkey, ' and acct-', o_custkey + 1, '. ', if(o_orderkey % 3 = 0, concat('#', o_orderkey), 'n')) as text"))
+    r = patterns.redact_by_table(o, own.unionByName(one), result_col="r")
+    return r.select("o_orderkey", F.col("r.text").alias("redacted"), F.size("r.events").cast("long").alias("n_events"))
+
+
 # --- detection ------------------------------------------------------------------------------------------------------
 
 DETECT_TAIL = """case doc_id % 15
