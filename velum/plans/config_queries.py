@@ -208,36 +208,36 @@ def files_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("s_suppkey"), "kind", "text")
 
 
-@F.pandas_udf("binary")
-def _office_file(variants: pd.Series, names: pd.Series) -> pd.Series:
+def _office_file(variant: int, name: str) -> bytes:
     """A document that says a name, in one of the ways in which such files come."""
-
-    def one(variant: int, name: str) -> bytes:
-        if variant == 5:
-            return b"no container"
-        out = io.BytesIO()
-        with warnings.catch_warnings(), zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            warnings.simplefilter("ignore")
-            part = "other.xml" if variant == 6 else "word/document.xml"
-            z.writestr(part, f"<w:t>acme {name}</w:t>" + "<w:p/>" * (5000 if variant == 4 else 0))
-            z.writestr(part if variant == 3 else "media.bin", b"acme")
-        data = bytearray(out.getvalue())
-        for mark, flags in ((b"PK\1\2", 8), (b"PK\3\4", 6)):
-            at = data.find(mark)
-            data[at + flags] |= variant == 1
-            if variant == 2:
-                data[at + flags + 2] = 97
-        return bytes(data)
-
-    return pd.Series([one(v, n) for v, n in zip(variants, names, strict=True)], dtype=object)
+    if variant == 5:
+        return b"no container"
+    out = io.BytesIO()
+    with warnings.catch_warnings(), zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        warnings.simplefilter("ignore")
+        part = "other.xml" if variant == 6 else "word/document.xml"
+        z.writestr(part, f"<w:t>acme {name}</w:t>" + "<w:p/>" * (5000 if variant == 4 else 0))
+        z.writestr(part if variant == 3 else "media.bin", b"acme")
+    data = bytearray(out.getvalue())
+    for mark, flags in ((b"PK\1\2", 8), (b"PK\3\4", 6)):
+        at = data.find(mark)
+        data[at + flags] |= variant == 1
+        if variant == 2:
+            data[at + flags + 2] = 97
+    return bytes(data)
 
 
 @register("""SELECT s_suppkey, CASE WHEN k = 0 THEN 'rewritten' WHEN k = 7 THEN 'unchanged' ELSE 'skipped' END AS status, CASE WHEN k = 0 THEN '<w:t>zeta ' || s_name || '</w:t>' END AS text,
     CASE k WHEN 1 THEN 'encrypted entry' WHEN 2 THEN 'unknown compression' WHEN 3 THEN 'doubled name' WHEN 4 THEN 'too large when inflated' WHEN 5 THEN 'not a container' WHEN 6 THEN 'no text' END AS reason FROM (SELECT *, s_suppkey % 8 AS k FROM supplier)""")
 def files_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Office files of all kinds: rewritten, unchanged, or skipped with a reason; what was rewritten is read again."""
+
+    @F.pandas_udf("binary")
+    def made(variants: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([_office_file(v, n) for v, n in zip(variants, names, strict=True)], dtype=object)
+
     s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "s_name", "s_suppkey % 8 as k")
-    files = s.select(F.concat(F.lit("/f/"), F.col("s_suppkey").cast("string"), F.lit(".docx")).alias("path"), _office_file(F.col("k"), F.when(F.col("k") == 7, "none").otherwise(F.col("s_name"))).alias("content")).withColumn("kind", F.lit("docx"))
+    files = s.select(F.concat(F.lit("/f/"), F.col("s_suppkey").cast("string"), F.lit(".docx")).alias("path"), made(F.col("k"), F.when(F.col("k") == 7, "none").otherwise(F.col("s_name"))).alias("content")).withColumn("kind", F.lit("docx"))
     new = lambda d: d.withColumn("new_text", F.when(F.col("text").contains(" none<"), F.col("text")).otherwise(F.replace("text", F.lit("acme"), F.lit("zeta"))))
     done = documents.rewrite(files, new, new, limit=4096)
     again = documents.extract(done.where("status = 'rewritten'").withColumn("kind", F.lit("docx"))).select("path", "text")
