@@ -1,12 +1,15 @@
 import itertools
 import random
+import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_decontam import brute as contaminated
 from tests.llm.test_pipeline import folder  # noqa: F401  a fixture
 from velum.llm import similar
+from velum.llm.common import components
 
 
 def plain(text):
@@ -118,3 +121,44 @@ def test_large_tries_are_joined_by_subtrees_and_large_groups_by_pairs(spark, mon
         for r in d.collect():
             least[top(r.key)] = min(r.doc_id, least.get(top(r.key), r.doc_id))
         assert set(least.values()) == want
+
+
+def test_leading_shingles_lose_no_link():
+    """Sets at LEAST or more share a leading shingle that is among the first ones of one of them, whatever the order."""
+    rng = np.random.default_rng(8)
+    for _ in range(3000):
+        both = rng.integers(0, 1 << 64, rng.integers(1, 60), np.uint64)
+        a, b = (np.unique(np.concatenate((both, rng.integers(0, 1 << 64, rng.integers(0, 9), np.uint64)))) for _ in range(2))
+        often = rng.integers(0, rng.integers(1, 5), 1 << similar._COUNTERS, np.uint8)
+        (x, n), (y, m) = similar.leading(a, often), similar.leading(b, often)
+        shared = set(x[:n].tolist()) & set(y.tolist()) | set(x.tolist()) & set(y[:m].tolist())
+        assert shared or similar.jaccard(a, b) < similar.LEAST
+    assert similar.leading(np.zeros(0, np.uint64), often)[0].tolist() == []
+
+
+def test_texts_of_one_template_are_not_compared_in_pairs(spark):
+    rng = random.Random(2)
+    common = " ".join(f"w{rng.randrange(10**6)}" for _ in range(100))
+    own = lambda n: " ".join(f"o{rng.randrange(10**7)}" for _ in range(n))
+    rows = [(k, f"{common} {own(20)}") for k in range(3000)]
+    rows += [(3000 + k, rows[k][1] + " " + own(2)) for k in range(10)]  # near copies among them
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    began = time.time()
+    found = {r.doc_id: r.component_id for r in similar.near_duplicates(docs).collect()}
+    assert all(found[k] == (k - 3000 if k >= 3000 else k) for k in found) and len(found) == 3010
+    assert time.time() - began < 90
+
+
+def test_large_tries_are_joined_without_their_texts(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows = [(k, " ".join(base[:30] + [f"x{k}"] + base[30:]) if k % 2 else " ".join(base[k % 7 :])) for k in range(60)] + [(100, "far away from all of it and more words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    d = docs.selectExpr("doc_id", "text", "xxhash64(text) as key")
+    nodes = similar._fingerprints(d).groupBy("key").agg(F.first("heads").alias("heads"), *[F.first(f).alias(f) for f in similar._FP])
+    roots = []
+    for size in (similar.GROUP_TEXT, 0):
+        edges = similar.links(d, nodes, size)
+        known = {r.node: r.root for r in components(edges).collect()}
+        roots.append(sorted({known.get(r.key, r.key) for r in d.collect()}))
+    assert roots[0] == roots[1]

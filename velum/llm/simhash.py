@@ -8,7 +8,7 @@ Join: two fingerprints within two bits agree on one of any three blocks of bits,
 three blocks again. So each distinct fingerprint goes under nine keys (some 35 of its bits), equal keys meet in one
 task, and there the tries over the other bits are joined with themselves. Balls of near copies thin out with every
 fixed bit, a group's memory is 24 bytes a distinct fingerprint, and equal texts have been merged before. No group is
-capped, no pair is enumerated that the error budget excludes.
+capped; of the pairs that the error budget excludes only those are counted that stand below nodes with few leaves.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ SEED = 42
 BUDGET = 2
 #: Pairs of nodes followed at once in a task.
 FRONTIER = 1 << 19
+#: Pairs of leaves that are counted, rather than following their nodes further down.
+FEW_LEAVES = 256
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -83,13 +85,28 @@ def _fields() -> list[tuple[int, list[tuple[int, int]]]]:
 FIELDS = _fields()
 
 
-def trie_pairs(values: np.ndarray, groups: np.ndarray, width: int, budget: int, classes: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _leaf_pairs(lo1: np.ndarray, hi1: np.ndarray, lo2: np.ndarray, hi2: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of leaves below pairs of trie nodes, some FRONTIER at once."""
+    n2 = hi2 - lo2
+    size = (hi1 - lo1) * n2
+    ends = np.cumsum(size)
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]) + FRONTIER, FRONTIER), "left").clip(0, len(size)))
+    for a, z in zip(cuts, np.append(cuts[1:], len(size)), strict=True):
+        if a == z:
+            continue
+        of = np.repeat(np.arange(a, z), size[a:z])
+        within = np.arange(len(of)) - np.repeat(ends[a:z] - size[a:z] - (ends[a] - size[a]), size[a:z])
+        yield lo1[of] + within // n2[of], lo2[of] + within % n2[of]
+
+
+def trie_pairs(values: np.ndarray, groups: np.ndarray, width: int, budget: int, classes: np.ndarray | None = None, frontier: int = FRONTIER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j), i before j, of equal group and within ``budget`` bits. ``values`` are ``width`` bits, in one
     64-bit word or in a row of words, the first the highest; they are sorted and distinct within each group. A node of a
     trie is the interval of values below it. From each root with itself, pairs of nodes go down a bit at a time; a pair
-    whose differing bits exceed the budget is dropped with all below it, and a pair of leaves is finished by counting.
+    whose differing bits exceed the budget is dropped with all below it, and a pair with few leaves below is finished by
+    counting the bits of these.
     With ``classes`` a pair of nodes that hold one and the same class is dropped too; the caller may merge classes in
-    place between two results."""
+    place between two results, which come the sooner the smaller the ``frontier`` is."""
     words = values.reshape(len(values), -1)
     starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     ends = np.r_[starts[1:], len(groups)]
@@ -99,7 +116,7 @@ def trie_pairs(values: np.ndarray, groups: np.ndarray, width: int, budget: int,
     ones: dict[int, np.ndarray] = {}
     while stack:
         bit, lo1, hi1, lo2, hi2, errors = stack.pop()
-        if len(lo1) > FRONTIER:
+        if len(lo1) > frontier:
             half = len(lo1) // 2
             stack += [(bit, *(x[s] for x in (lo1, hi1, lo2, hi2, errors))) for s in (slice(half), slice(half, None))]
             continue
@@ -107,13 +124,15 @@ def trie_pairs(values: np.ndarray, groups: np.ndarray, width: int, budget: int,
             steps = np.cumsum(np.r_[0, classes[1:] != classes[:-1]])
             mixed = (classes[lo1] != classes[lo2]) | (steps[lo1] != steps[hi1 - 1]) | (steps[lo2] != steps[hi2 - 1])
             lo1, hi1, lo2, hi2, errors = (x[mixed] for x in (lo1, hi1, lo2, hi2, errors))
-        leaves = (hi1 - lo1 == 1) & (hi2 - lo2 == 1)
-        if leaves.any():
-            i, j = lo1[leaves], lo2[leaves]
-            near = (i < j) & (np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int16) <= budget)
-            if near.any():
-                yield i[near], j[near]
-            lo1, hi1, lo2, hi2, errors = (x[~leaves] for x in (lo1, hi1, lo2, hi2, errors))
+        few = (hi1 - lo1) * (hi2 - lo2) <= FEW_LEAVES
+        if few.any():
+            for i, j in _leaf_pairs(lo1[few], hi1[few], lo2[few], hi2[few]):
+                near = (i < j) & (np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int16) <= budget)
+                if classes is not None:
+                    near &= classes[i] != classes[j]
+                if near.any():
+                    yield i[near], j[near]
+            lo1, hi1, lo2, hi2, errors = (x[~few] for x in (lo1, hi1, lo2, hi2, errors))
         if not len(lo1):
             continue
         if bit not in ones:

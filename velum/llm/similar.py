@@ -14,15 +14,20 @@ until a pair at 0.8 meets with probability RECALL. So work grows with the nodes,
 
 Step 1: each trie is joined with itself under rising budgets, the nearest first, and only pairs that connect two parts
 are kept: fewer than nodes, whatever the size of a family of copies. The exact index confirms them. Step 2: again, where
-classes still differ. A pair of trie nodes below which there is one class only is dropped, so that families that are
-connected cost nothing. The nodes that are near to another class are sent to their tries with their texts, and the exact
-index is taken there, so that the links come out and not the pairs.
+classes still differ. Nodes that can't have a link (to another class) are left out, before step 2 and from large tries, by
+counting: with the shingles of each set in one order, two sets of sizes a <= b at 0.8 or more share one of the first a - 8a/9 + 1 of the one and the first
+b - 0.8b + 1 of the other (rounded up), and in the order of rarity these are what a text doesn't share with its family. So
+texts made from one template, near to each other in bits and below 0.8, leave here and are never compared in pairs. A
+pair of trie nodes below which there is one class only is dropped, so that families that are connected cost nothing. The
+nodes that are near to another class are sent to their tries with their texts, and the exact index is taken there, so
+that the links come out and not the pairs; of tries with more than GROUP_TEXT characters only the fingerprints are.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +46,23 @@ WORDS = 4
 ROUTES, DRAWN = 12, 3
 #: Unrelated nodes in a subtree, as a power of two, and the share of pairs at LEAST that meet in one of a large trie's.
 ROOM, RECALL = 10, 0.999
+LEAST_RATIO = Fraction(LEAST).limit_denominator(1000).as_integer_ratio()
 _DIFFER = math.acos(2 * LEAST / (1 + LEAST)) / math.pi
 #: Differing bits at LEAST, and 3.3 times their deviation.
 BUDGET = int(64 * WORDS * _DIFFER + 3.3 * math.sqrt(64 * WORDS * _DIFFER * (1 - _DIFFER)))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Pairs of trie nodes followed at once where classes are merged on the way: few, so that what has been merged is dropped.
+_FRONTIER = 1 << 12
 _CHUNK = 1 << 13
 #: Shingles of texts met before that a task keeps.
 _HELD = 1 << 21
 #: Keys that are sent to all tasks, 8 bytes each; more are joined by a shuffle.
 _SENT_KEYS = 2_000_000
-#: Characters of a group's texts up to which its pairs are confirmed in its task.
+#: Characters of a trie's texts up to which they are sent to its task; the pairs of larger ones are confirmed by a join.
 GROUP_TEXT = 64 << 20
+#: Counters of shingles, as a power of two, and how often a task has to meet one to tell. They decide the order of
+#: shingles only, any of which gives the same links.
+_COUNTERS, _TELL = 22, 8
 _RANDOM = np.random.default_rng(5)
 _XOR = _RANDOM.integers(0, 1 << 64, ROUTES * DRAWN, np.uint64)[:, None]
 _FACTOR = _RANDOM.integers(0, 1 << 64, ROUTES * DRAWN, np.uint64)[:, None] | np.uint64(1)
@@ -134,10 +145,69 @@ def _fingerprints(d: DataFrame) -> DataFrame:
     return d.select("doc_id", "key", made("key", "text").alias("s")).select("doc_id", "key", "s.*")
 
 
-def _tries(nodes: DataFrame) -> DataFrame:
-    """``nodes`` once a trie (column trie) or subtree (column head) of two or more."""
+def _frequencies(texts_: DataFrame) -> np.ndarray:
+    """For each counter the logarithm of how often its shingles are in ``texts_`` (rows with text), roughly. A task tells
+    of the counters that it has met often; the driver holds one number a counter."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(1 << _COUNTERS, np.int32)
+        for batch in batches:
+            for t in texts(batch.column(0)):
+                met[shingles(t) >> np.uint64(64 - _COUNTERS)] += 1
+        at = np.flatnonzero(met >= _TELL)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(met[at].astype(np.int64))], names=["counter", "n"])
+
+    told = texts_.select("text").mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << _COUNTERS, np.uint8)
+    out[told.column("counter").to_numpy()] = np.minimum(255, 8 * np.log2(told.column("n").to_numpy() + 1)).astype(np.uint8)
+    return out
+
+
+def leading(own: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first shingles of a set in the order of rarity, of which a set at LEAST or more that isn't smaller has one among
+    the first ``n`` here, and a smaller one has one of its own first ``n`` among all that are given; and that n."""
+    order = np.lexsort((own, often[own >> np.uint64(64 - _COUNTERS)]))
+    size, (up, low) = len(own), LEAST_RATIO
+    both = -(-2 * up * size // (up + low))  # shared with a set of the same size, or a larger one
+    return own[order[: size - -(-up * size // low) + 1]], size - both + 1
+
+
+def _possible(classed: DataFrame) -> DataFrame:
+    """The keys of ``classed`` (key, class, text) that may have a link to another class: those with a leading shingle that
+    another class has too, and that is among the first ones of at least one of both."""
+    sent = classed.sparkSession.sparkContext.broadcast(_frequencies(classed))  # one byte a counter
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, groups = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            found = [leading(shingles(t), sent.value) for t in texts(batch.column(2))]
+            sizes = [len(x) for x, _ in found]
+            first = np.concatenate([np.arange(len(x)) < n for x, n in found])
+            columns = [np.concatenate([x for x, _ in found]).view(np.int64), np.repeat(keys, sizes), np.repeat(groups, sizes), first]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "key", "class", "first"])
+
+    rows = classed.select("key", "class", "text").mapInArrow(lead, "shingle long, key long, class long, first boolean")
+    own = F.when(F.col("first"), F.col("class"))
+    shared = rows.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min(own).alias("first_low"), F.max(own).alias("first_high"))
+    shared = shared.where("low < high and first_low is not null").select("shingle", "first_low", "first_high")
+    met = F.col("first") | (F.col("first_low") != F.col("class")) | (F.col("first_high") != F.col("class"))
+    return rows.join(shared, "shingle").where(met).select("key").distinct()
+
+
+def _tries(d: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``nodes`` once a trie (column trie) or subtree (column head) of two or more. Of tries with over 2^ROOM nodes those
+    that can't have a link are left out."""
     rows = nodes.select(F.explode("heads").alias("trie"), "key", *_FP)
-    sizes = rows.groupBy("trie").count().where("count > 1").withColumn("level", F.greatest(F.ceil(F.log2("count")) - ROOM, F.lit(0))).drop("count").checkpoint()
+    sizes = _sizes(rows)
+    large = sizes.where("level > 0").select("trie")
+    if not large.isEmpty():
+        met = rows.join(large, "trie", "left_semi").select("key").distinct()
+        possible = _possible(_texts(d, met).withColumn("class", F.col("key"))).checkpoint()
+        rows = rows.join(large, "trie", "left_anti").unionByName(rows.join(large, "trie", "left_semi").join(possible, "key", "left_semi"))
+        sizes = _sizes(rows)
     deepest = sizes.agg(F.max("level")).first()[0] or 0
     ways = F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), *[F.lit(int(m)).alias(f"m{k}") for k, m in enumerate(row)]) for t, row in enumerate(orders(level).view(np.int64))]) for level in range(deepest + 1)])
     met = rows.join(sizes, "trie").select("*", F.explode(ways[F.col("level").cast("int")]).alias("m"))
@@ -145,6 +215,11 @@ def _tries(nodes: DataFrame) -> DataFrame:
     return met.select(F.when(F.col("level") == 0, F.col("trie")).otherwise(below).alias("head"), "trie", "key", *_FP)
 
 
+def _sizes(rows: DataFrame) -> DataFrame:
+    """(trie, level) of the tries with two nodes or more; a level says at which depth subtrees have some 2^ROOM."""
+    return rows.groupBy("trie").count().where("count > 1").withColumn("level", F.greatest(F.ceil(F.log2("count")) - ROOM, F.lit(0))).drop("count").checkpoint()
+
+
 def _by_head(rows: DataFrame) -> DataFrame:
     """Members of a subtree together and sorted."""
     return rows.repartition("head").sortWithinPartitions("head")
@@ -164,7 +239,7 @@ class _Group:
 
     def near(self, budget: int, classes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of places in ``first`` within ``budget`` bits, nearest first."""
-        for i, j in trie_pairs(self.values, self.head, 64 * WORDS, budget, classes):
+        for i, j in trie_pairs(self.values, self.head, 64 * WORDS, budget, classes, _FRONTIER):
             at = np.argsort(np.bitwise_count(self.values[i] ^ self.values[j]).sum(axis=1), kind="stable")
             yield i[at], j[at]
 
@@ -205,10 +280,10 @@ def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(head[at]), pa.array(trie[at]), pa.array(key[at])], names=["head", "trie", "key"])
 
 
-def _settler(group_text: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _settler(with_texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of rows (head, trie, key, class, f0, ..., heads, text), sorted by head: pairs (u, v, sure) of different classes,
-    confirmed by the exact index and fewer than classes; but of a group with more than ``group_text`` characters all pairs
-    within BUDGET bits, not sure. A pair is tested in the first trie that both are in."""
+    confirmed by the exact index and fewer than classes; without texts all pairs within BUDGET bits, not sure. A pair is
+    tested in the first trie that both are in."""
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for head, trie, key, group, *fp, heads, text in whole_groups(batches):
@@ -217,8 +292,6 @@ def _settler(group_text: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             every = np.stack(heads[g.order].tolist())
             start, place = np.unique(group, return_index=True, return_inverse=True)[1:]
             label = start[place]
-            large = np.add.reduceat(np.fromiter(map(len, text), np.int64, len(text)), cut := np.flatnonzero(np.r_[True, np.diff(head[g.order]) != 0])) > group_text
-            large = np.repeat(large, np.diff(np.r_[cut, len(text)]))
             own: dict[int, np.ndarray] = {}
 
             def of(k: int, own: dict = own, text: np.ndarray = text) -> np.ndarray:
@@ -232,10 +305,12 @@ def _settler(group_text: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                     shared = every[a] == every[b]
                     new = (every[a, shared.argmax(axis=1)] == trie[a]) & (label[a] != label[b])
                     a, b = a[new], b[new]
-                    if (unsure := large[a]).any():
-                        yield _pairs(key[a[unsure]], key[b[unsure]], False)
+                    if not with_texts:
+                        if len(a):
+                            yield _pairs(key[a], key[b], False)
+                        continue
                     found = []
-                    for x, y in zip(a[~unsure].tolist(), b[~unsure].tolist(), strict=True):
+                    for x, y in zip(a.tolist(), b.tolist(), strict=True):
                         if label[x] != label[y] and jaccard(of(x), of(y)) >= LEAST:
                             merge(label, np.array([x]), np.array([y]))
                             found.append((x, y))
@@ -293,16 +368,27 @@ def _linked(once: DataFrame, pairs: DataFrame) -> DataFrame:
 def links(d: DataFrame, nodes: DataFrame, group_text: int = GROUP_TEXT) -> DataFrame:
     """Pairs (u, v) of keys at LEAST or more that connect all that such pairs connect. ``d`` has rows (key, text),
     ``nodes`` rows (key, f0, ..., heads), each key once."""
-    members = _tries(nodes).checkpoint()
+    members = _tries(d, nodes).checkpoint()
     pairs = _by_head(members).mapInArrow(_spanning, "u long, v long").distinct().checkpoint()
     # a node that is near to any other in a trie is in one of these pairs, so that no other text is needed later
     once = _texts(d, pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().checkpoint()).checkpoint()
     first = _linked(once, pairs).checkpoint()
     roots = components(first).checkpoint()
     classed = lambda rows: rows.join(roots, rows["key"] == roots["node"], "left").withColumn("class", F.coalesce("root", "key")).drop("node", "root")
-    unsettled = _by_head(classed(members)).mapInArrow(_unsettled, "head long, trie long, key long").checkpoint()
-    rows = classed(unsettled.join(nodes, "key")).join(once, "key").select("head", "trie", "key", "class", *_FP, "heads", "text")
-    second = _by_head(rows).mapInArrow(_settler(group_text), "u long, v long, sure boolean").distinct().checkpoint()
+    contested = classed(members).groupBy("head").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("head")
+    met = members.join(contested, "head", "left_semi").select("key").distinct()
+    possible = _possible(classed(once.join(met, "key", "left_semi"))).checkpoint()
+    rest = classed(members.join(possible, "key", "left_semi")).select(*members.columns, "class")
+    unsettled = _by_head(rest).mapInArrow(_unsettled, "head long, trie long, key long").checkpoint()
+    sizes = unsettled.join(once.select("key", F.char_length("text").alias("n")), "key").groupBy("head").agg(F.sum("n").alias("n"))
+    large = sizes.where(F.col("n") > group_text).select("head").checkpoint()
+    with_class = classed(unsettled.join(nodes, "key"))
+    columns = ["head", "trie", "key", "class", *_FP, "heads", "text"]
+    settle = lambda rows, with_texts: _by_head(rows.select(*columns)).mapInArrow(_settler(with_texts), "u long, v long, sure boolean")
+    second = settle(with_class.join(large, "head", "left_anti").join(once, "key"), True)
+    if not large.isEmpty():
+        second = second.unionAll(settle(with_class.join(large, "head", "left_semi").withColumn("text", F.lit(None).cast("string")), False))
+    second = second.distinct().checkpoint()
     found = first.unionAll(second.where("sure").select("u", "v"))
     unsure = second.where("not sure").select("u", "v")
     return found if unsure.isEmpty() else found.unionAll(_linked(once, unsure))
