@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from velum.llm import decontam
 
@@ -90,3 +91,13 @@ def test_empty_tables(spark):
     assert decontam.contamination(d, b).count() == 0
     one = spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string")
     assert [tuple(r)[1:4] for r in decontam.contamination(one, b).collect()] == [(2, 0, 0)] * 2
+
+
+def test_repeated_words_take_their_places_and_no_more():
+    items = [(str(k), "la " * 200) for k in range(20)]
+    known = decontam.Benchmark(items)
+    began = time.time()
+    (got,) = known.scan(["la " * 8000])
+    assert got["spans"] == [{"start": 0, "end": 8000}] or len(got["spans"]) == 1
+    assert len(got["matches"]) == 20 * (8000 - 9 + 190) and max(m["length"] for m in got["matches"]) == 200
+    assert time.time() - began < 3

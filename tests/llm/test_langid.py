@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from velum.llm import langid
@@ -102,18 +103,20 @@ def plain_predict(rows):
             out[i] = ("und", 0.0)
             continue
         p = lambda k, b: (learned[names[k]].get(b, 0) + 0.1) / totals[names[k]]
-        share, _ = plain_em(p, counts, [1 / len(names)] * len(names), 6)
-        order = sorted(range(len(names)), key=lambda k: -share[k])
+        total = sum(counts.values())
+        cost = langid.PENALTY * math.log(total + 1)
         alone = [sum(n * math.log(p(k, b)) for b, n in counts.items()) for k in range(len(names))]
         best, chosen, shares = max(alone), [alone.index(max(alone))], [1.0]
-        for k in range(2, len(names) + 1):
-            if share[order[k - 1]] < 0.01:
+        while len(chosen) < len(names):
+            mixed = {b: sum(s * p(k, b) for k, s in zip(chosen, shares, strict=True)) for b in counts}
+            slope = {k: sum(n * p(k, b) / mixed[b] for b, n in counts.items()) / total for k in range(len(names)) if k not in chosen}
+            new = max(slope, key=slope.get)
+            if total * (slope[new] - 1) <= cost:
                 break
-            own = [share[x] for x in order[:k]]
-            s, fit = plain_em(lambda j, b, at=order: p(at[j], b), counts, [x / sum(own) for x in own], 40)
-            if fit - best <= langid.PENALTY * math.log(sum(counts.values()) + 1):
+            s, fit = plain_em(lambda j, b, at=[*chosen, new]: p(at[j], b), counts, [*[x * 0.95 for x in shares], 0.05], 40)
+            if fit - best <= cost:
                 break
-            best, chosen, shares = fit, order[:k], s
+            best, chosen, shares = fit, [*chosen, new], s
         out[i] = min(((-x, names[k]) for k, x in zip(chosen, shares, strict=True)))[::-1]
         out[i] = (out[i][0], -out[i][1])
     return out
@@ -146,3 +149,13 @@ def test_the_mixture_decides_what_stays(spark):
     assert every == {i for i, _, _ in rows} - {502, 503}
     wanted = langid.identified(df, wanted=["aa"])
     assert wanted.columns == df.columns and {r.doc_id for r in wanted.collect()} == {i for i, _, x in rows if x == "aa" and i < 500} | {500}
+
+
+def test_a_language_of_half_a_percent(spark):
+    rng = np.random.default_rng(4)
+    words = {lang: ["".join(rng.choice(list(letters), rng.integers(3, 8))) for _ in range(300)] for lang, letters in (("aa", "abcdefgh"), ("bb", "ijklmnop"), ("cc", "qrstuvwx"))}
+    say = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    model = langid.train(spark.createDataFrame([(say(x, 40_000), x) for x in words], "text string, lang string"))
+    found, explained = model.mixture(say("aa", 6000) + " " + say("cc", 30))
+    assert [x for x, _ in found] == ["aa", "cc"] and 0.002 < found[1][1] < 0.01 and explained > 0.9
+    assert [x for x, _ in model.mixture(say("bb", 50))[0]] == ["bb"]

@@ -78,3 +78,12 @@ def test_labels_and_score_against_brute_force(spark):
     rows = [(i, rng.choice([" ", "\n"]).join(rng.choice(parts) for _ in range(rng.randrange(8)))) for i in range(200)] + [(900, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(df).collect()} == {i: plain(t) for i, t in rows}
+
+
+@pytest.mark.parametrize("text,labels,expressions", [
+    ("SPDX License Identifier: MIT", "mit", ["mit"]), ("// SPDX-License-Identifier: (MIT OR Apache-2.0)\nx", "apache-2.0,mit", ["mit or apache-2.0"]), ('"license-expression": "BSD-3-Clause"', "bsd-3-clause", ["bsd-3-clause"]),
+    ("license_expression = 'ISC' and more", "isc", ["isc"]), ("spdx license identifier MIT", "", []), ("é SPDX—License—Identifier : MIT", "", []), ("SPDX-License-Identifier: MIT SPDX-License-Identifier: ISC", "mit", ["mit"]),
+])
+def test_the_place_of_a_tag_leads_to_its_expression(text, labels, expressions):
+    got = licenses.Scanner().scan(text)
+    assert (got["labels"], got["expressions"]) == (labels, expressions)

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -81,3 +82,17 @@ def test_least_id_and_files_off_local_folders(spark, made, tmp_path, monkeypatch
 
 def test_empty(spark, made):
     assert tokenfiles.token_files(spark.createDataFrame([], "doc_id long, text string"), made, 1).count() == 0
+
+
+def test_files_are_rolled_and_hot_ids_parted(spark, tmp_path, monkeypatch, made):
+    monkeypatch.setattr(tokenfiles, "PART_BYTES", 400)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"some words {k} " * (k % 5)) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        one = tokenfiles.write_token_files(df, f"{tmp_path}/a", made, 1)
+        assert one.where("n_docs > 40").count() == 0 and one.count() > 4
+        got = sorted(map(tuple, tokenfiles.read_token_files(one, f"{tmp_path}/a").select("start", "n_tokens").collect()))
+        assert [s for s, _ in got] == [0, *itertools.accumulate(n for _, n in got)][:-1] and len(got) == 150
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from velum.llm.common import fresh, keep_where, narrow, prepare, texts
 
 WINDOW = 10
+#: Pairs of a document place and an item place that are compared at once.
+PAIRS = 1 << 20
 #: UTF-8 bytes of benchmark text sent to the tasks at once.
 BLOCK_BYTES = 16 << 20
 
@@ -55,7 +57,9 @@ class Benchmark:
                     self.vocabulary.setdefault(x, len(self.vocabulary) + 1)
                 words.append(np.array([self.vocabulary[x] for x in w], np.int32))
                 self.items.append(item)
-        self.words = words
+        self.flat = np.concatenate(words) if words else np.zeros(0, np.int32)
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
         self.shortest = min((min(len(w), window) for w in words), default=window)
         heads: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
         for k, w in enumerate(words):
@@ -120,18 +124,38 @@ class Benchmark:
         """Maximal verbatim matches: of each item and document place, extended as far as the words agree; one that
         only continues another is left out."""
         out = []
-        for h, p in zip(head.tolist(), place.tolist(), strict=True):
-            n, _, owners = self.heads[h]
-            for item, start in owners:
-                w = self.words[item]
-                if start and p > base and w[start - 1] == shard[p - 1]:
-                    continue
-                most = min(len(w) - start, len(shard) - p)
-                differ = np.flatnonzero(w[start : start + most] != shard[p : p + most])
-                out.append({"item": self.items[item], "item_start": start, "start": p - base, "length": int(differ[0]) if len(differ) else most})
+        for h in np.unique(head).tolist():
+            n, item, start = self.owners(h)
+            own = self.begins[item] + start
+            at = place[head == h]
+            for k in range(0, len(at), max(1, PAIRS // len(item))):
+                p = at[k : k + max(1, PAIRS // len(item))]
+                # a match that goes on to the left is told from there
+                new = (start == 0) | (p == base)[:, None] | (self.flat[own - 1] != shard[p - 1][:, None])
+                i, j = np.nonzero(new)
+                length = self.common(shard, p[i], own[j], n, np.minimum(self.sizes[item[j]] - start[j], len(shard) - p[i]))
+                found = zip(item[j].tolist(), start[j].tolist(), (p[i] - base).tolist(), length.tolist(), strict=True)
+                out += [{"item": self.items[x], "item_start": y, "start": z, "length": size} for x, y, z, size in found]
         return sorted(out, key=lambda x: (x["start"], x["item"], x["item_start"]))
 
 
+    def owners(self, h: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """Words of a head, and the items and places that have it."""
+        n, _, at = self.heads[h]
+        item, start = np.array(at, np.int64).T
+        return n, item, start
+
+    def common(self, shard: np.ndarray, p: np.ndarray, own: np.ndarray, n: int, most: np.ndarray) -> np.ndarray:
+        """How many words agree from the places p of the shard and own of the items, which do for n; at most ``most``."""
+        length = np.minimum(n, most)
+        going = np.flatnonzero(length < most)
+        while len(going):
+            going = going[self.flat[own[going] + length[going]] == shard[p[going] + length[going]]]
+            length[going] += 1
+            going = going[length[going] < most[going]]
+        return length
+
+
 def merge_spans(spans) -> list[dict]:
     out: list[dict] = []
     for a, b in sorted(spans):

@@ -2,8 +2,9 @@
 
 Model: counts of letter trigrams (lower case, runs of other characters as one gap) by language, in a fixed number of
 hash buckets, over every training document. Prediction: expectation-maximisation finds the proportions of the
-languages that best explain a document's trigrams; languages are added in the order of their share for as long as the
-log-likelihood, less a penalty for each language, grows. The prediction is the largest share.
+languages that best explain a document's trigrams; languages are added, whichever the likelihood asks for most, for as
+long as the log-likelihood, less a penalty for each language, grows, however small their share. The prediction is the
+largest share.
 """
 
 from __future__ import annotations
@@ -82,19 +83,21 @@ class Model:
         bucket, n = np.unique(grams, return_counts=True)
         p, n = self.p[bucket], n.astype(np.float64)
         cost = penalty * np.log(len(grams) + 1)
-        share, _ = self._em(p, n, 6)
-        order = np.argsort(-share, kind="stable")
-        # alone, the language of the best likelihood; then the largest shares together
+        # alone, the language of the best likelihood; then, one at a time, the one that the likelihood asks for most
         alone = n @ np.log(p)
         chosen, best = np.array([int(np.argmax(alone))]), float(alone.max())
         shares = np.ones(1)
-        for k in range(2, len(order) + 1):
-            if alone.max() == 0 or share[order[k - 1]] < 0.01:
+        while len(chosen) < p.shape[1]:
+            slope = p.T @ (n / (p[:, chosen] @ shares)) / len(grams)
+            slope[chosen] = 0
+            new = int(np.argmax(slope))
+            if len(grams) * (slope[new] - 1) <= cost:  # the likelihood is concave: it can't grow by more than that
                 break
-            s, fit = self._em(p[:, order[:k]], n, 40, share[order[:k]] / share[order[:k]].sum())
+            more = np.append(chosen, new)
+            s, fit = self._em(p[:, more], n, 40, np.append(shares * 0.95, 0.05))
             if fit - best <= cost:
                 break
-            chosen, shares, best = order[:k], s, fit
+            chosen, shares, best = more, s, fit
         found = sorted(zip((self.languages[i] for i in chosen), shares.tolist(), strict=True), key=lambda x: (-x[1], x[0]))
         noisy = np.column_stack((p[:, chosen], np.full(len(n), 1 / BUCKETS)))
         with_noise, _ = self._em(noisy, n, 20, np.append(shares * 0.9, 0.1))

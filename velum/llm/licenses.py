@@ -12,6 +12,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,8 @@ OPENNESS = {"mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "bsl": 1.0, "unli
 UNKNOWN = 0.3
 EXCEPTION_GAIN = 0.2
 
-_TAG = re.compile(r"(?:spdx-license-identifier|license[ _-]expression)\s*[:=]\s*[\"']*([^\n\r\"';,<>*]*)")
+# What follows a tag: a sign, and the rest of the line up to a mark that no expression has.
+_AFTER_TAG = re.compile(rb"[\"'`)\]]*\s*[:=]\s*[\"']*([^\n\r\"';,<>*]*)")
 _TOKEN = re.compile(r"[()]|[a-z0-9.+:_-]+")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
@@ -116,6 +118,20 @@ def evaluate(polish: list[str]) -> tuple[float, str, set[str]]:
     return value, "".join(form), names
 
 
+def _expressions(raw: bytes, tags: list[int]) -> Iterator[str]:
+    """The lower-case texts that follow the words of these numbers; one within the text after an earlier tag is a part of
+    that."""
+    if not tags:
+        return
+    inside = np.frombuffer(raw.translate(WORD_BYTES), np.uint8) != 32
+    ends = np.flatnonzero(inside & ~np.append(inside[1:], False)) + 1
+    read = 0
+    for at in ends[tags].tolist():
+        if at >= read and (m := _AFTER_TAG.match(raw, at)):
+            read = m.end()
+            yield m[1].lower().decode("utf-8", "replace")
+
+
 class Scanner:
     def __init__(self) -> None:
         self.automaton = ahocorasick.Automaton()
@@ -127,7 +143,7 @@ class Scanner:
         raw = text.encode("utf-8", "surrogatepass")
         words = raw.translate(WORD_BYTES).split()
         joined = (b" " + b" ".join(words) + b" ").decode("utf-8", "surrogatepass")
-        base, own, spans, scores, expressions, tagged = set(), set(), [], [], [], False
+        base, own, spans, scores, expressions, tags = set(), set(), [], [], [], []
         at = before = 0  # places come in the order of their ends
         for end, phrase in self.automaton.iter(joined):
             before, at = before + joined.count(" ", at, end), end
@@ -139,15 +155,14 @@ class Scanner:
                 own.add(NOTICES[phrase])
                 scores.append(openness(NOTICES[phrase]))
             else:
-                tagged = True
-        if tagged:
-            for m in _TAG.finditer(raw.lower().decode("utf-8", "surrogatepass")):
-                polish, _ = parse(m[1])
-                if polish:
-                    value, form, names = evaluate(polish)
-                    scores.append(value)
-                    own |= names
-                    expressions.append(form)
+                tags.append(before - 1)  # its last word
+        for expression in _expressions(raw, tags):
+            polish, _ = parse(expression)
+            if polish:
+                value, form, names = evaluate(polish)
+                scores.append(value)
+                own |= names
+                expressions.append(form)
         places = [s for s, _ in spans]
         return {"n_words": len(words), "n_base": len(spans), "first_word": min(places, default=None), "last_word": max(places, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | own)), "score": min(scores, default=0.0), "places": [{"word": s, "phrase": p} for s, p in spans], "expressions": expressions}
 

@@ -3,9 +3,10 @@
 A part is two files: ``*.bin``, the ids of its documents one after the other as little-endian unsigned integers of 16
 bits (32 if the vocabulary needs them), and ``*.idx``, which has the magic bytes, the width of an id in bytes, the
 number of documents and of those with a null id, which come first, their ids as signed 64-bit integers and their 64-bit
-offsets in the part. Both are memory-mapped on reading, or read by ranges where the folder isn't a mounted one. A part
-has about PART_BYTES of text. Parts are in ascending order of document ids; the base of a part, the number of ids before it, comes from
-prefix sums over the parts.
+offsets in the part. Both are memory-mapped on reading, or read by ranges where the folder isn't a mounted one. Parts are
+in ascending order of document ids; the base of a part, the number of ids before it, comes from prefix sums over the
+parts. A range of ids has about PART_BYTES of text, or more where there would be more than MOST_RANGES; a range's task
+begins another part whenever one has FILE_BYTES.
 
 A task names its files after its attempt, and the manifest names the files of the attempts that ended well; a lost
 executor leaves at most files that the manifest doesn't name.
@@ -31,8 +32,10 @@ from tokenizers import Tokenizer
 from velum.llm.common import narrow, prepare, shared_folder, texts
 
 MAGIC = b"VELUMIDS"
-#: UTF-8 bytes of text in a part.
-PART_BYTES = 16 << 20
+#: UTF-8 bytes of text in a range of ids, and the most ranges: shuffle blocks are ranges times tasks.
+PART_BYTES, MOST_RANGES = 16 << 20, 10_000
+#: Bytes of token ids after which a task begins another part.
+FILE_BYTES = 256 << 20
 #: Documents whose ids are read at once.
 BLOCK = 4096
 #: Words whose ids a task keeps.
@@ -116,9 +119,9 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the parts into ``folder`` (a URI that all executors can reach) and return the manifest: part, file (without
-    ending), n_docs, n_tokens, base. Documents are exchanged once, by ranges of their ids; rows that repeat an id are
-    neighbours. Null texts are encoded as empty ones, null ids come first. An empty table writes nothing."""
+    """Write the parts into ``folder`` (a URI that all executors can reach) and return the manifest: part, piece, file
+    (without ending), n_docs, n_tokens, base. Documents are exchanged once, by ranges of their ids; a task writes a new
+    pair of files when one has FILE_BYTES. Rows that share an id are neighbours, by their hashes, and may be parted. Null texts are encoded as empty ones, null ids come first. An empty table writes nothing."""
     spark = prepare(docs.sparkSession)
     sent = spark.sparkContext.broadcast(tokenizer_json)  # a vocabulary file
     fs, path = _filesystem(folder)
@@ -126,41 +129,58 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, end_id:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _filesystem(folder)
-        here = TaskContext.get()
-        file, encoder = f"part-{here.partitionId():06d}-{here.taskAttemptId()}", None
-        ids: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
-        out, nulls = None, 0
+        here, piece, part = TaskContext.get(), 0, None
         for b in batches:
             if not b.num_rows:
                 continue
-            if out is None:
-                encoder = encoder_of(sent.value, end_id)
-                out = fs.open_output_stream(f"{path}/{file}.bin", compression=None)
-            packed = encoder.encode(texts(b.column(1)))
-            nulls += b.column(0).null_count
-            ids.append(np.asarray(b.column(0).fill_null(0).to_numpy(zero_copy_only=False), np.int64))
-            sizes.append(np.array([len(x) // encoder.dtype.itemsize for x in packed], np.int64))
-            for x in packed:
-                out.write(x)
-        if out is None:
-            return
-        out.close()
-        offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype("<i8")
-        own = np.concatenate(ids).astype("<i8")
-        with fs.open_output_stream(f"{path}/{file}.idx", compression=None) as f:
-            f.write(MAGIC + struct.pack("<qqq", encoder.dtype.itemsize, len(own), nulls) + own.tobytes() + offsets.tobytes())
-        row = [here.partitionId()], [file], [len(own)], [int(offsets[-1])]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["part", "file", "n_docs", "n_tokens"])
-
-    d = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+            if part is None:
+                part = _Part(fs, path, f"part-{here.partitionId():06d}-{piece:04d}-{here.taskAttemptId()}", encoder_of(sent.value, end_id))
+            part.add(b.column(0), texts(b.column(1)))
+            if part.written >= FILE_BYTES:
+                yield part.close(here.partitionId(), piece)
+                part, piece = None, piece + 1
+        if part is not None:
+            yield part.close(here.partitionId(), piece)
+
+    d = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("h", F.xxhash64("text"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranged = d.repartitionByRange(max(1, -(-size // PART_BYTES)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    manifest = ranged.mapInArrow(write, "part int, file string, n_docs long, n_tokens long").checkpoint()
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]  # so that rows that share an id may be parted
+    ranged = d.repartitionByRange(max(1, min(MOST_RANGES, -(-size // PART_BYTES))), *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    manifest = ranged.mapInArrow(write, "part int, piece int, file string, n_docs long, n_tokens long").checkpoint()
+    before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
+class _Part:
+    """Two files that are being written."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str, file: str, encoder: Encoder):
+        self.fs, self.path, self.file, self.encoder = fs, path, file, encoder
+        self.out = fs.open_output_stream(f"{path}/{file}.bin", compression=None)
+        self.ids: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.nulls = self.written = 0
+
+    def add(self, ids: pa.Array, batch: list[str]) -> None:
+        packed = self.encoder.encode(batch)
+        self.nulls += ids.null_count
+        self.ids.append(np.asarray(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64))
+        self.sizes.append(np.array([len(x) // self.encoder.dtype.itemsize for x in packed], np.int64))
+        for x in packed:
+            self.out.write(x)
+            self.written += len(x)
+
+    def close(self, part: int, piece: int) -> pa.RecordBatch:
+        self.out.close()
+        offsets = np.concatenate(([0], np.cumsum(np.concatenate(self.sizes)))).astype("<i8")
+        own = np.concatenate(self.ids).astype("<i8")
+        with self.fs.open_output_stream(f"{self.path}/{self.file}.idx", compression=None) as f:
+            f.write(MAGIC + struct.pack("<qqq", self.encoder.dtype.itemsize, len(own), self.nulls) + own.tobytes() + offsets.tobytes())
+        row = [part], [piece], [self.file], [len(own)], [int(offsets[-1])]
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], names=["part", "piece", "file", "n_docs", "n_tokens"])
+
+
 def open_part(folder: str, file: str) -> tuple[int, np.ndarray, np.ndarray, Callable[[int, int], np.ndarray]]:
     """Of a part: how many null ids come first, document ids, offsets, and a function that gives the token ids from one
     offset to another; memory-mapped where the folder is a local or mounted one, else read by ranges."""
