@@ -142,15 +142,23 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, end_id:
         if part is not None:
             yield part.close(here.partitionId(), piece)
 
-    d = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("h", F.xxhash64("text"))
+    d = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]  # so that rows that share an id may be parted
-    ranged = d.repartitionByRange(max(1, min(MOST_RANGES, -(-size // PART_BYTES))), *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    ranges, order = max(1, min(MOST_RANGES, -(-size // PART_BYTES))), [F.col("doc_id").asc_nulls_first()]
+    if _shared_id(d, ranges):
+        order.append(F.xxhash64("text"))
+    ranged = d.repartitionByRange(ranges, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     manifest = ranged.mapInArrow(write, "part int, piece int, file string, n_docs long, n_tokens long").checkpoint()
     before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
+def _shared_id(d: DataFrame, ranges: int) -> bool:
+    """Whether rows of one id are as many as a range should have, so that they have to be parted by their hashes."""
+    n = d.select("doc_id").groupBy("doc_id").count().agg(F.max("count"), F.sum("count")).first()
+    return bool(n[0] and n[0] > 1 and n[0] * ranges >= n[1])
+
+
 class _Part:
     """Two files that are being written."""
 
