@@ -145,6 +145,12 @@ def _fingerprints(d: DataFrame) -> DataFrame:
     return d.select("doc_id", "key", made("key", "text").alias("s")).select("doc_id", "key", "s.*")
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    """``keys``, a checkpoint, to be joined: sent to all tasks where they are few enough, so that what they are joined with
+    isn't shuffled."""
+    return F.broadcast(keys) if keys.count() <= _SENT_KEYS else keys
+
+
 def _frequencies(texts_: DataFrame) -> np.ndarray:
     """For each counter the logarithm of how often its shingles are in ``texts_`` (rows with text), roughly. A task tells
     of the counters that it has met often; the driver holds one number a counter."""
@@ -174,14 +180,18 @@ def leading(own: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _possible(classed: DataFrame) -> DataFrame:
-    """The keys of ``classed`` (key, class, text) that may have a link to another class: those with a leading shingle that
-    another class has too, and that is among the first ones of at least one of both."""
+    """The keys of ``classed`` (key, class, text; equal rows may repeat) that may have a link to another class: those with a
+    leading shingle that another class has too, and that is among the first ones of at least one of both."""
     sent = classed.sparkSession.sparkContext.broadcast(_frequencies(classed))  # one byte a counter
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()  # equal texts are told once a task
         for batch in batches:
-            if not batch.num_rows:
+            every = batch.column(0).to_pylist()
+            new = [k for k, key in enumerate(every) if key not in told and not told.add(key)]
+            if not new:
                 continue
+            batch = batch.take(pa.array(new))
             keys, groups = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             found = [leading(shingles(t), sent.value) for t in texts(batch.column(2))]
             sizes = [len(x) for x, _ in found]
@@ -192,7 +202,7 @@ def _possible(classed: DataFrame) -> DataFrame:
     rows = classed.select("key", "class", "text").mapInArrow(lead, "shingle long, key long, class long, first boolean")
     own = F.when(F.col("first"), F.col("class"))
     shared = rows.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min(own).alias("first_low"), F.max(own).alias("first_high"))
-    shared = shared.where("low < high and first_low is not null").select("shingle", "first_low", "first_high")
+    shared = _sent(shared.where("low < high and first_low is not null").select("shingle", "first_low", "first_high").checkpoint())
     met = F.col("first") | (F.col("first_low") != F.col("class")) | (F.col("first_high") != F.col("class"))
     return rows.join(shared, "shingle").where(met).select("key").distinct()
 
@@ -202,10 +212,11 @@ def _tries(d: DataFrame, nodes: DataFrame) -> DataFrame:
     that can't have a link are left out."""
     rows = nodes.select(F.explode("heads").alias("trie"), "key", *_FP)
     sizes = _sizes(rows)
-    large = sizes.where("level > 0").select("trie")
+    large = sizes.where("level > 0").select("trie").checkpoint()
     if not large.isEmpty():
-        met = rows.join(large, "trie", "left_semi").select("key").distinct()
-        possible = _possible(_texts(d, met).withColumn("class", F.col("key"))).checkpoint()
+        large = _sent(large)
+        met = _sent(rows.join(large, "trie", "left_semi").select("key").distinct().checkpoint())
+        possible = _sent(_possible(d.select("key", F.col("key").alias("class"), "text").join(met, "key", "left_semi").select("key", "class", "text")).checkpoint())
         rows = rows.join(large, "trie", "left_anti").unionByName(rows.join(large, "trie", "left_semi").join(possible, "key", "left_semi"))
         sizes = _sizes(rows)
     deepest = sizes.agg(F.max("level")).first()[0] or 0
@@ -375,9 +386,9 @@ def links(d: DataFrame, nodes: DataFrame, group_text: int = GROUP_TEXT) -> DataF
     first = _linked(once, pairs).checkpoint()
     roots = components(first).checkpoint()
     classed = lambda rows: rows.join(roots, rows["key"] == roots["node"], "left").withColumn("class", F.coalesce("root", "key")).drop("node", "root")
-    contested = classed(members).groupBy("head").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("head")
-    met = members.join(contested, "head", "left_semi").select("key").distinct()
-    possible = _possible(classed(once.join(met, "key", "left_semi"))).checkpoint()
+    contested = classed(members).groupBy("head").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("head").checkpoint()
+    met = _sent(members.join(_sent(contested), "head", "left_semi").select("key").distinct().checkpoint())
+    possible = _sent(_possible(classed(once.join(met, "key", "left_semi")).select("key", "class", "text")).checkpoint())
     rest = classed(members.join(possible, "key", "left_semi")).select(*members.columns, "class")
     unsettled = _by_head(rest).mapInArrow(_unsettled, "head long, trie long, key long").checkpoint()
     sizes = unsettled.join(once.select("key", F.char_length("text").alias("n")), "key").groupBy("head").agg(F.sum("n").alias("n"))
