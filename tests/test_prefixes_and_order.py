@@ -1,9 +1,12 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from velum.functions.letters import upper_each
 from velum.operators import activity, asof, prefixes
 from velum.sources import importer
 
@@ -95,3 +98,21 @@ def test_passwords_are_numbered_without_one_task(spark):
     numbers = {r.real: r.substitute for r in found.where("category = 'password'").collect()}
     assert numbers == {f"pass{k % 90}": f"[REDACTED-PASSWORD-{k}]" for k in range(1, 91)}
     assert "SinglePartition" not in found._jdf.queryExecution().toString()
+
+
+def test_upper_each_keeps_lengths(spark):
+    rows = spark.createDataFrame([("große ŉ ᾀ é",), ("",), (None,)], "t string")
+    assert [r.u for r in rows.select(upper_each(F.col("t")).alias("u")).collect()] == ["GROẞE ŉ ᾈ É", "", None]
+
+
+@pytest.mark.parametrize("query", ["reveal_in_order"])
+def test_sharp_s_as_in_sql(spark, tmp_path, query):
+    rows = [(1, 0, "user", "öße"), (1, 1, "user", "ßa"), (1, 2, "user", "ŉa"), (2, 0, "user", ""), (2, 3, "user", "ab")]
+    conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    conversations.write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    cur = con.execute(entry.oracle_sql()[query])
+    names = [d[0] for d in cur.description]
+    got = entry.queries()[query](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(cur.fetchall())

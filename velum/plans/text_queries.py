@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.functions import events
+from velum.functions.letters import upper_each
 from velum.operators import asof, detect, dictionary, patterns, prefixes, secrets, smart
 from velum.operators.dictionary import Mapping
 from velum.plans import outbound
@@ -408,7 +409,8 @@ def reveal_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn turned back by what its conversation emitted in earlier turns: the latest original of each substitute,
     or the configured one."""
     c = table(spark, sf_dir, "conversations")
-    sent = c.where("text <> ''").selectExpr("conv_id", "turn", "concat(upper(substr(text, 1, 2)), '-', turn) as original", "case when turn % 2 = 0 then 'Sub0' when turn % 3 = 0 then 'SUB1' else 'sub2' end as replaced")
+    original = F.concat(upper_each(F.expr("substr(text, 1, 2)")), F.lit("-"), "turn").alias("original")
+    sent = c.where("text <> ''").select("conv_id", "turn", original, F.expr("case when turn % 2 = 0 then 'Sub0' when turn % 3 = 0 then 'SUB1' else 'sub2' end as replaced"))
     said = c.selectExpr("conv_id", "turn", "'Say sub0, SUB1 and sub2; ' as text")
     pairs = spark.createDataFrame([("Nine", "sub1"), ("Ten", "sub9")], "real string, substitute string")
     return asof.reveal_in_order(said, sent, pairs, "conv_id", "turn").select("conv_id", "turn", "revealed")
