@@ -105,7 +105,7 @@ def test_upper_each_keeps_lengths(spark):
     assert [r.u for r in rows.select(upper_each(F.col("t")).alias("u")).collect()] == ["GROẞE ŉ ᾈ É", "", None]
 
 
-@pytest.mark.parametrize("query", ["reveal_in_order"])
+@pytest.mark.parametrize("query", ["reveal_pairs_session", "reveal_in_order"])
 def test_sharp_s_as_in_sql(spark, tmp_path, query):
     rows = [(1, 0, "user", "öße"), (1, 1, "user", "ßa"), (1, 2, "user", "ŉa"), (2, 0, "user", ""), (2, 3, "user", "ab")]
     conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

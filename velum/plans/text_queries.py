@@ -393,7 +393,7 @@ _EMITTED = "SELECT conv_id, turn AS seq, upper(substr(text, 1, 3)) AS original,
     SELECT conv_id, d.s AS source, d.r AS target FROM e JOIN d ON lower(d.s) = e.key
     UNION ALL SELECT conv_id, key, original FROM e WHERE key NOT IN (SELECT lower(s) FROM d)""")
 def reveal_pairs_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    emitted = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), F.expr("upper(substr(text, 1, 3)) as original"), F.expr("case when turn % 2 = 0 then concat('Sub', cast(conv_id % 7 as string)) else upper(concat('sub', cast(turn % 5 as string))) end as replaced"))
+    emitted = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), upper_each(F.expr("substr(text, 1, 3)")).alias("original"), F.expr("case when turn % 2 = 0 then concat('Sub', cast(conv_id % 7 as string)) else upper(concat('sub', cast(turn % 5 as string))) end as replaced"))
     dims = spark.createDataFrame([("Real One", "SUB1"), ("Real Two", "sub2"), ("Real Two B", "Sub2"), ("Nine", "sub9")], "real string, substitute string")
     return dictionary.session_pairs(emitted, dims, "conv_id")
 
