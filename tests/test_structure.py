@@ -118,3 +118,9 @@ def test_several_choices_for_one_path(spark):
     assert tuple(reconcile.resolve_fields(profiles, choices).first()) == ("p", "b", None)
     assert [tuple(x) for x in reconcile.resolve_settings(spark.createDataFrame([("x", "0")], "key string, value string"), choices).collect()] == [("x", "2")]
     assert [tuple(x) for x in reconcile.resolve(spark.createDataFrame([("1",)], "id string"), choices, "id").collect()] == [("1",)]
+
+
+def test_merge_sorts_partitions_not_splits(spark):
+    sides = [spark.range(40).selectExpr("id", f"map('x', map('y', id % {k})) as m", f"concat('{{\"a\":', id % {k}, '}}') as j") for k in (2, 3, 5)]
+    plan = reconcile.merge(*sides, ["id"], json=["j"])._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" in plan and "Aggregate" not in plan[plan.index("Exchange") :]

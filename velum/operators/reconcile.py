@@ -24,19 +24,22 @@ DEFAULT_SNAPSHOTS = 10
 def three_sides(ancestor: DataFrame, local: DataFrame, remote: DataFrame, keys: Sequence[str], json: Collection[str] = ()) -> DataFrame:
     """keys, the structs a, l and r of each side's other columns, and their forms fa, fl and fr; a side without the key is
     null. ``json`` names columns that hold JSON text. One shuffle by the keys of all three, instead of two full outer joins
-    with one of their result in between."""
+    with one of their result in between. It comes before the forms and the aggregate, which sorts rows of such types: a
+    split of a well packed file may hold millions of rows, and so may partitions that Spark puts together by their
+    compressed size, which is why their number is given."""
     values = [c for c in ancestor.columns if c not in keys]
     side = lambda df, n: df.select(*keys, F.lit(n).alias("side"), F.struct(*values).alias("row"))
-    rows = side(ancestor, 0).unionByName(side(local, 1)).unionByName(side(remote, 2))
+    dealt = int(ancestor.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = side(ancestor, 0).unionByName(side(local, 1)).unionByName(side(remote, 2)).repartition(dealt, *keys)
     kind = rows.schema["row"].dataType
     own = lambda n, c: F.when(F.col("side") == n, F.col(c))
     names = ("a", "l", "r")
     if is_plain(kind) and not json:
         found = rows.groupBy(*keys).agg(*[F.max(own(n, "row")).alias(name) for n, name in enumerate(names)])
         return found.select("*", *[F.col(name).alias(f"f{name}") for name in names])
-    rows = rows.withColumn("form", form(F.col("row"), kind, json)).withColumn("both", F.struct("row", "form"))
-    found = rows.groupBy(*keys).agg(*[F.max_by(own(n, "both"), own(n, "form")).alias(name) for n, name in enumerate(names)])
-    return found.select(*keys, *[F.col(f"{name}.row").alias(name) for name in names], *[F.col(f"{name}.form").alias(f"f{name}") for name in names])
+    rows = rows.withColumn("form", form(F.col("row"), kind, json))
+    kept = [F.max_by(own(n, "row"), own(n, "form")).alias(name) for n, name in enumerate(names)]
+    return rows.groupBy(*keys).agg(*kept, *[F.max(own(n, "form")).alias(f"f{name}") for n, name in enumerate(names)])
 
 
 def _nullable(kind: DataType) -> DataType:
