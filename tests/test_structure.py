@@ -124,3 +124,9 @@ def test_merge_sorts_partitions_not_splits(spark):
     sides = [spark.range(40).selectExpr("id", f"map('x', map('y', id % {k})) as m", f"concat('{{\"a\":', id % {k}, '}}') as j") for k in (2, 3, 5)]
     plan = reconcile.merge(*sides, ["id"], json=["j"])._jdf.queryExecution().sparkPlan().toString()
     assert "Aggregate" in plan and "Aggregate" not in plan[plan.index("Exchange") :]
+
+
+def test_conflicts_sort_partitions_not_splits(spark):
+    sides = [spark.range(40).selectExpr("id", f"map('x', map('y', id % {k})) as m") for k in (2, 3, 5)]
+    plan = reconcile.conflicts(*sides, ["id"])._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" in plan and "Aggregate" not in plan[plan.index("Exchange") :]
