@@ -82,3 +82,11 @@ def test_five_thousand_patterns(spark):
     r = patterns.redact_by_table(docs, table)
     assert r.where(F.size("result.events") > 0).count() == 4950
     assert time.time() - began < 60
+
+
+def test_a_hundred_thousand_patterns_are_compiled_in_the_tasks(spark):
+    table = spark.range(100_000).selectExpr("id as ordinal", "concat('p', id) as name", "if(id % 100 = 3, '([', concat('key-', id, '[.;]')) as pattern", "'[K]' as redact", "true as enabled")
+    began = time.time()
+    blocks = list(patterns.patterns_of(table))
+    assert sum(map(len, blocks)) == 99_000 and blocks[0][1].literal == "key-1"
+    assert time.time() - began < 40  # over two minutes by calls from the driver
