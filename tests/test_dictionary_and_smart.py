@@ -137,3 +137,15 @@ def test_many_rules_of_a_table(spark):
         assert got[1].text == "V77 and V99999, key100000x" and {e.original for e in got[1].events} == {"key77X", "KEY99999x"}
         assert got[2].text is None and got[3].text == "V5" * 2000 and len(got[3].events) == 2000
         assert sorted(map(tuple, dictionary.scan_by_table(docs, rules, "id", block_bytes=block).collect())) == [(1, "Key77x", "V77", "k"), (1, "Key99999x", "V99999", "k"), (3, "Key5x", "V5", "k")]
+
+
+def test_a_scan_by_a_table_is_sent_and_returned_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(dictionary, "BATCH_ROWS", 3)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, "64m")
+    docs = spark.createDataFrame([(k, "aa bb cc Dd" if k % 3 else None) for k in range(20)], "id int, text string")
+    rules = spark.createDataFrame([("aa", "x", "c", False, True), ("AA", "y", "c", False, True), ("dd", "z", "c", True, True), ("Dd", "w", "c", True, True), ("c", None, None, None, True)], "real string, substitute string, category string, case_sensitive boolean, enabled boolean")
+    found = dictionary.scan_by_table(docs, rules, "id")
+    assert int(spark.conf.get(key)) <= dictionary.BATCH_BYTES
+    want = [(k, *r) for k in range(20) if k % 3 for r in (("AA", "y", "c"), ("Dd", "w", "c"), ("aa", "x", "c"), ("c", "", "general"))]
+    assert sorted(map(tuple, found.collect())) == want

@@ -7,22 +7,28 @@ to the shortest; each sees what the ones before left.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
+import ahocorasick
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from velum.functions.events import STATE, Stage, event, run, state, when_found
 from velum.functions.regex import IGNORE_CASE, B, blocks_sql, given, hits, literal, pairs_sql, places_sql, quote, quote_column, replace_all, replacement_column, with_offsets
-from velum.operators.pieces import Automaton, Rule
-from velum.session import checkpoints
+from velum.operators.pieces import Automaton, Rule, fold
+from velum.session import checkpoints, importable, small_batches
 
-#: Characters of a table's rules that are sent to the tasks at once.
+#: Size of a table's rules that are sent to the tasks at once: their characters, and RULE_BYTES for each.
 BLOCK_BYTES = 16 << 20
+RULE_BYTES = 32
+#: Bytes of texts that are sent to a worker at once, and rows that it returns at once.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 50_000
 #: Characters of a text that are cut at once.
 CHUNK = 4096
 
@@ -153,7 +159,7 @@ def _in_blocks(rules: Iterable[Rule], block_bytes: int) -> Iterator[list[Rule]]:
     block, size = [], 0
     for r in rules:
         block.append(r)
-        size += len(r.real) + len(r.to) + len(r.category)
+        size += len(r.real) + len(r.to) + len(r.category) + RULE_BYTES
         if size > block_bytes:
             yield block
             block, size = [], 0
@@ -166,46 +172,108 @@ def substitute_by_table(docs: DataFrame, mappings: DataFrame, text_col: str = "t
     size, one automaton and one Arrow function each, and a text meets only the rules that occur in it, each at the cost of
     its places. Nothing is shuffled. With several blocks what one left is a checkpoint, so that a worker holds one
     automaton at a time."""
+    small_batches(docs.sparkSession, BATCH_BYTES)
     docs, sent = docs.withColumn(result_col, state(F.col(text_col))), None
     for block in rules_of(mappings, block_bytes=block_bytes):
         if sent is not None:
             checkpoints(docs.sparkSession)
             docs = docs.checkpoint()
             sent.unpersist()
-        sent = docs.sparkSession.sparkContext.broadcast(block)  # bounded by block_bytes
+        sent = docs.sparkSession.sparkContext.broadcast(_packed(block))  # bounded by block_bytes
         held = fresh_name(docs, "after_block")
         docs = docs.withColumn(held, _applier(sent)(F.col(result_col)["text"]))
         docs = docs.withColumn(result_col, state(F.col(held)["text"], F.concat(F.col(result_col)["events"], F.col(held)["events"]))).drop(held)
     return docs
 
 
+def _packed(block: list[Rule]) -> pa.Table:
+    """Rules as columns, which take a fraction of the objects' memory in each worker."""
+    kinds = {"real": pa.large_string(), "to": pa.large_string(), "category": pa.large_string(), "case_sensitive": pa.bool_()}
+    return pa.table({name: pa.array((getattr(r, name) for r in block), kind) for name, kind in kinds.items()})
+
+
+def _unpacked(block: pa.Table) -> list[Rule]:
+    same: dict[str, str] = {}
+    return [Rule(r, t, same.setdefault(c, c), cs) for part in block.to_batches(max_chunksize=BATCH_ROWS) for r, t, c, cs in zip(*(x.to_pylist() for x in part.columns), strict=True)]
+
+
 def _applier(sent: Broadcast) -> Callable[[Column], Column]:
-    kind = pa.struct([("text", pa.string()), ("events", pa.list_(pa.struct([(n, pa.string()) for n in ("original", "replaced", "category", "pattern")])))])
+    names = ("original", "replaced", "category", "pattern")
 
     @F.arrow_udf(STATE)
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = Automaton(sent.value)
+        known = Automaton(_unpacked(sent.value))
         for batch in batches:
-            out = []
-            for text in batch.to_pylist():
-                new, found = known.substitute(text) if text is not None else (None, [])
-                out.append({"text": new, "events": [{"original": o, "replaced": r, "category": c, "pattern": None} for o, r, c in found]})
-            yield pa.array(out, kind)
+            texts, ends, events = [], array("i", [0]), ([], [], [])
+            for text in batch:
+                new, found = known.substitute(text.as_py()) if text.is_valid else (None, [])
+                texts.append(new)
+                for column, values in zip(events, zip(*found, strict=True), strict=False):
+                    column.extend(values)
+                ends.append(len(events[0]))
+            columns = [*(pa.array(c, pa.string()) for c in events), pa.nulls(len(events[0]), pa.string())]
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names))
+            yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), listed], ["text", "events"])
 
     return apply
 
 
-def _finder(sent: Broadcast) -> Callable[[Column], Column]:
-    kind = pa.list_(pa.struct([(n, pa.string()) for n in ("real", "substitute", "category")]))
+class _Finder:
+    """Which rules occur, by an automaton of numbers: rules stay columns, but for the text of those that mind case."""
+
+    def __init__(self, rules: pa.Table):
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.alike: dict[int, list[int]] = {}
+        self.cased: dict[int, str] = {}
+        k = 0
+        for part in rules.to_batches(max_chunksize=BATCH_ROWS):
+            for real, cased in zip(part["real"].to_pylist(), part["case_sensitive"].to_pylist(), strict=True):
+                form = fold(real)
+                first = self.found.get(form, -1)
+                if first < 0:
+                    self.found.add_word(form, k)
+                else:
+                    self.alike.setdefault(first, [first]).append(k)
+                if cased:
+                    self.cased[k] = real
+                k += 1
+        self.found.make_automaton()
+
+    def occurring(self, text: str) -> list[int]:
+        out: set[int] = set()
+        for end, first in self.found.iter(fold(text)):
+            for k in self.alike.get(first) or (first,):
+                if k not in out:
+                    real = self.cased.get(k)
+                    if real is None or text.startswith(real, end + 1 - len(real)):
+                        out.add(k)
+        return sorted(out)
+
+
+def _finding(docs: DataFrame, sent: Broadcast, id_col: str, text_col: str) -> DataFrame:
+    schema = StructType([docs.schema[id_col], *(StructField(n, StringType()) for n in ("real", "substitute", "category"))])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = sent.value
+        known = _Finder(rules)
+        columns = [rules[n].combine_chunks() for n in ("real", "to", "category")]
+
+        def told(ids: pa.Array, rows: array, own: array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), *(c.take(pa.array(own, pa.int64())).cast(pa.string()) for c in columns)], names=schema.names)
 
-    @F.arrow_udf("array<struct<real:string,substitute:string,category:string>>")
-    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = Automaton(sent.value)
         for batch in batches:
-            found = [[known.rules[k] for k in sorted(known.occurring(t))] if t is not None else [] for t in batch.to_pylist()]
-            yield pa.array([[{"real": r.real, "substitute": r.to, "category": r.category} for r in rules] for rules in found], kind)
+            rows, own = array("q"), array("q")
+            for k, text in enumerate(batch.column(1)):
+                if text.is_valid:
+                    here = known.occurring(text.as_py())
+                    own.extend(here)
+                    rows.extend([k] * len(here))
+                    if len(own) >= BATCH_ROWS:
+                        yield told(batch.column(0), rows, own)
+                        rows, own = array("q"), array("q")
+            yield told(batch.column(0), rows, own)
 
-    return find
+    return docs.select(id_col, text_col).mapInArrow(find, schema)
 
 
 def fresh_name(df: DataFrame, name: str) -> str:
@@ -218,10 +286,11 @@ def scan_by_table(docs: DataFrame, mappings: DataFrame, id_col: str, text_col: s
     """(id, real, substitute, category) of the rules that occur in each document, by one automaton a block of rules:
     texts aren't shuffled and no pair is made that doesn't match."""
     own = mappings.where(F.coalesce("enabled", F.lit(False)) & (F.col("real") != "")).select("real", F.coalesce("substitute", F.lit("")).alias("substitute"), F.coalesce("category", F.lit("general")).alias("category"), F.coalesce("case_sensitive", F.lit(False)).alias("cs"))
+    importable(small_batches(docs.sparkSession, BATCH_BYTES))
     out = docs.select(id_col, F.inline(F.array().cast("array<struct<real:string,substitute:string,category:string>>")))
     for block in _in_blocks((Rule(*r) for r in own.toLocalIterator()), block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(block)  # bounded by block_bytes
-        out = out.unionByName(docs.select(id_col, F.inline(_finder(sent)(F.col(text_col)))))
+        sent = docs.sparkSession.sparkContext.broadcast(_packed(block))  # bounded by block_bytes
+        out = out.unionByName(_finding(docs, sent, id_col, text_col))
     return out
 
 
