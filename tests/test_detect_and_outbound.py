@@ -114,3 +114,12 @@ def test_many_findings_by_pieces(spark):
     folded = {r.id: r.result for r in detect.redacted(docs, many=1 << 30).collect()}
     assert by_pieces == folded and len(by_pieces[1].events) > 2000 and by_pieces[3].text is None
     assert detect.redacted(docs).columns == [*docs.columns, "result"]
+
+
+def test_patterns_are_skipped_by_literals_they_need(spark):
+    sql = detect._patterns("live", ())
+    assert "(contains(t, ':') OR contains(t, '-')) AND rlike" in sql and "in_context" not in sql
+    texts = ["mac 00-1A-2b-3C-4d-5E", "born 04/12/1988", "on 04/12/1988", "x 12-3456789", "in C:\\Users\\ann", "HTTPS://github.com/a/b", "GIT@github.com:a/b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: [f.name for f in r.f] for r in rows.select("id", detect.findings(F.col("text")).alias("f")).collect()}
+    assert got == {0: ["MAC Address"], 1: ["Date (possible DOB)"], 2: [], 3: ["EIN / Tax ID"], 4: ["Home Path"], 5: ["Git Remote"], 6: ["Git Remote"]}

@@ -84,9 +84,11 @@ def given(value: Column, body: str, name: str = "t") -> Column:
     return F.get(F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}")), F.lit(0))
 
 
-def found_in_sql(t: str, pattern: str, needs: str | None = None) -> str:
+def found_in_sql(t: str, pattern: str, needs: str | tuple[str, ...] | None = None) -> str:
+    """``needs``: a literal without which the pattern can't occur, or several of which it has one."""
     test = f"rlike({t}, {literal(pattern)})"
-    return f"contains({t}, {literal(needs)}) AND {test}" if needs else test
+    several = (needs,) if isinstance(needs, str) else needs or ()
+    return f"({' OR '.join(f'contains({t}, {literal(n)})' for n in several)}) AND {test}" if several else test
 
 
 #: Elements that are folded at once. A fold that appends copies what it has, so that a long array is folded in blocks.
@@ -104,7 +106,7 @@ def blocks_sql(items: str, each: str, start: str, out: str) -> str:
     return f"CASE WHEN size({items}) > 0 THEN flatten({every}.out) ELSE CAST(array() AS {out}) END"
 
 
-def pairs_sql(t: str, pattern: str, needs: str | None = None) -> str:
+def pairs_sql(t: str, pattern: str, needs: str | tuple[str, ...] | None = None) -> str:
     """array<struct<gap: int, value: string>>: the matches, and how many characters stand before each."""
     hits, gaps = f"regexp_extract_all({t}, {literal(pattern)}, 0)", f"split({t}, {literal(pattern)}, -1)"
     found = f"transform(array({hits}), h -> zip_with(slice({gaps}, 1, size(h)), h, (g, v) -> named_struct('gap', length(g), 'value', v)))[0]"
