@@ -33,6 +33,34 @@ def test_ids_equal_the_library(made):
         assert np.frombuffer(got, "<u2").tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1], t[:80]
 
 
+def test_what_was_met_before_is_not_cut_again(made, monkeypatch):
+    cut, words = [], tokenfiles._WORDS
+
+    class Counted:
+        def findall(self, text):
+            cut.append(text)
+            return words.findall(text)
+
+    monkeypatch.setattr(tokenfiles, "_WORDS", Counted())
+    e = tokenfiles.Encoder(made, 1)
+    ts = ["The cat, the cat's 12 x! " * 500] * 4
+    want = [*Tokenizer.from_file(PATH).encode(ts[0], add_special_tokens=False).ids, 1]
+    assert [np.frombuffer(x, "<u2").tolist() for x in e.encode(ts)] == [want] * 4
+    assert sum(map(len, cut)) < 100
+
+
+def test_ids_stay_when_words_are_put_aside(made, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "CACHED_BYTES", 4000)
+    tok, e = Tokenizer.from_file(PATH), tokenfiles.Encoder(made, 1)
+    rng = random.Random(4)
+    parts = ["the", "cat's,", "Ñandú.", "ß-ö", "²³", "(µ)", *[f"w{chr(97 + k % 26)}{chr(224 + k % 23)}{k};" for k in range(300)]]
+    for _ in range(20):
+        ts = [" ".join(rng.choices(parts, k=60)) for _ in range(10)]
+        for t, got in zip(ts, e.encode(ts), strict=True):
+            assert np.frombuffer(got, "<u2").tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1], t
+        assert e.known.held < 40_000
+
+
 def test_other_tokenizers_are_encoded_whole():
     path = public_tokenizers.path("byte_bpe_50k.json")
     with open(path, encoding="utf-8") as f:

@@ -18,8 +18,9 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,22 +39,43 @@ PART_BYTES, MOST_RANGES = 16 << 20, 10_000
 FILE_BYTES = 256 << 20
 #: Documents whose ids are read at once.
 BLOCK = 4096
-#: Words whose ids a task keeps.
-CACHED_WORDS = 300_000
+#: Bytes of words that a worker knows before it puts them aside, and those of a word beside its characters.
+CACHED_BYTES, WORD_BYTES = 48 << 20, 160
 
-# The normalizer and the splitting pattern for which words can be encoded one by one.
+# The normalizer, the splitting pattern and what follows it, for which words can be encoded one by one.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_BYTE_LEVEL = [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
 # The same pattern for text in lower case that has Latin-1 characters only, without controls and no-break spaces.
 _L, _N = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
 _OTHER = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xff]")
 
 
+class _Known(dict):
+    """Packed ids of what stands between spaces, by the tokenizer's model: of a word as it is met first, of several words
+    by those of each. What is met again of ``before`` stays."""
+
+    def __init__(self, tokenizer: Tokenizer, dtype: np.dtype, spelled: dict[int, str], before: dict[str, bytes]):
+        self.model, self.code, self.spelled, self.before, self.held = tokenizer.model, dtype.char, spelled, before, 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.before.get(chunk)
+        if ids is None:
+            words = (chunk,) if chunk.isalpha() else _WORDS.findall(chunk)
+            if len(words) > 1:
+                ids = b"".join(map(self.__getitem__, words))
+            else:
+                ids = array(self.code, [x.id for x in self.model.tokenize(chunk if chunk.isascii() else chunk.translate(self.spelled))]).tobytes()
+        self[chunk] = ids
+        self.held += WORD_BYTES + len(chunk) + len(ids)
+        return ids
+
+
 class Encoder:
     """Ids of texts as the tokenizer gives them without special tokens, packed. Where its words are independent of each
-    other, a text is cut into words and each new word is encoded once; a text with any unusual character goes to the
-    tokenizer whole."""
+    other, a text is cut at its spaces, and what is new between two of them is encoded once; a text with any unusual
+    character goes to the tokenizer whole."""
 
     def __init__(self, tokenizer_json: str, end_id: int):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -62,50 +84,33 @@ class Encoder:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
         self.special = [x["content"] for x in made["added_tokens"]]
-        suffix = made["model"].get("end_of_word_suffix")
         split = (made["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
-        self.by_word = made["normalizer"] == _NORMALIZER and split[0].get("pattern") == {"Regex": _SPLIT} and bool(suffix) and not made["truncation"] and not made["post_processor"]
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(size, bool)
-        if self.by_word:
-            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, texts_: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts_, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(part):
-                packed, width = ids.tobytes(), self.dtype.itemsize
-                at = [0, *(cut * width).tolist()]
-                self.known.update((w, packed[a:b]) for w, a, b in zip(part, at, at[1:], strict=False))
-            else:
-                self.known.update(zip(part, self._whole(part), strict=True))
+        self.by_word = made["normalizer"] == _NORMALIZER and split[0].get("pattern") == {"Regex": _SPLIT} and split[1:] == _BYTE_LEVEL and not made["truncation"] and not made["post_processor"]
+        spelled = {c: "".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))) for c in range(0xA1, 0x100)} if self.by_word else {}
+        self.fresh = partial(_Known, self.tokenizer, self.dtype, spelled)
+        self.known = self.fresh({})
 
-    def encode(self, texts_: list[str]) -> list[bytes]:
-        """Packed ids of each text, the end id last."""
-        out: list[bytes] = [b""] * len(texts_)
-        begin, size, words = 0, 0, []
+    def _whole(self, texts_: list[str]) -> Iterator[bytes]:
+        begin, size = 0, 0
         for k, t in enumerate(texts_):  # about a megabyte of text at a time
-            easy = self.by_word and not _OTHER.search(t) and not any(s in t for s in self.special)
-            words.append(_WORDS.findall(t.lower()) if easy else None)
             size += len(t)
             if size > 1 << 20 or k + 1 == len(texts_):
-                self._learn({w for own in words if own for w in own})
-                hard = self._whole([texts_[begin + i] for i, own in enumerate(words) if own is None])
-                later = iter(hard)
-                for i, own in enumerate(words):
-                    ids = b"".join(map(self.known.__getitem__, own)) if own is not None else next(later)
-                    out[begin + i] = ids + self.end
-                begin, size, words = k + 1, 0, []
-        return out
+                for e in self.tokenizer.encode_batch(texts_[begin : k + 1], add_special_tokens=False):
+                    yield np.array(e.ids, self.dtype).tobytes()
+                begin, size = k + 1, 0
+
+    def _by_word(self, text: str) -> bytes:
+        ids = b"".join(map(self.known.__getitem__, text.lower().split()))
+        if self.known.held > CACHED_BYTES:
+            self.known.before = {}
+            self.known = self.fresh(self.known)
+        return ids
+
+    def encode(self, texts_: list[str]) -> list[bytes]:
+        """Packed ids of each text, the end id last."""
+        easy = [self.by_word and not _OTHER.search(t) and not any(s in t for s in self.special) for t in texts_]
+        hard = self._whole([t for t, plain in zip(texts_, easy, strict=True) if not plain])
+        return [(self._by_word(t) if plain else next(hard)) + self.end for t, plain in zip(texts_, easy, strict=True)]
 
 
 @lru_cache(maxsize=1)
