@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.llm import decontam, langid, piece_bpe, similar, toxicity
-from velum.llm.common import drop_folder, shared_folder
+from velum.llm.common import drop_folder, shared_folder, shuffles_dropped
 from velum.llm.queries import piece_model
 from velum.plans.catalog import spread
 
@@ -18,7 +18,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the severity grade 0 stay, null and empty texts among them."""
-    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    with shuffles_dropped(spark):  # those of the fit
+        return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,3 +162,18 @@ def test_large_tries_are_joined_without_their_texts(spark):
         known = {r.node: r.root for r in components(edges).collect()}
         roots.append(sorted({known.get(r.key, r.key) for r in d.collect()}))
     assert roots[0] == roots[1]
+
+
+def test_shuffle_files_go_with_their_executions(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    kept = lambda: sum(x.startswith("shuffle_") for x in disk.getAllFiles().mkString(" ").replace("/", " ").split())
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = kept(), spark.conf.get(key, None)
+    rows = [(k, " ".join(f"w{k // 3 * 9 + j}" for j in range(30))) for k in range(60)]
+    c = similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    for _ in range(100):  # they are deleted in the background
+        if kept() <= before:
+            break
+        time.sleep(0.1)
+    assert kept() <= before and spark.conf.get(key, None) == setting
+    assert {r.component_id for r in c.collect()} == set(range(0, 60, 3))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velum.llm.common import components, fresh, narrow, prepare, texts
+from velum.llm.common import components, fresh, narrow, prepare, shuffles_dropped, texts
 from velum.llm.simhash import merge, trie_pairs, whole_groups
 
 SHINGLE = 5
@@ -410,11 +410,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing: a class of null ids only has a null component_id. An empty table gives no rows. Texts are told apart by a
     64-bit hash.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     d = narrow(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", F.xxhash64("text"))
-    rows = _fingerprints(d).checkpoint()
-    nodes = rows.groupBy("key").agg(F.min("doc_id").alias("least"), *[F.first(f).alias(f) for f in (*_FP, "heads")]).checkpoint()
-    roots = components(links(d, nodes.drop("least")))
+    with shuffles_dropped(spark):
+        rows = _fingerprints(d).checkpoint()
+        nodes = rows.groupBy("key").agg(F.min("doc_id").alias("least"), *[F.first(f).alias(f) for f in (*_FP, "heads")]).checkpoint()
+        roots = components(links(d, nodes.drop("least")))
     by_key = nodes.join(roots, nodes["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     component = by_key.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select("doc_id", "key").join(by_key.join(component, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
