@@ -1,5 +1,8 @@
 import random
+import tracemalloc
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +169,18 @@ def test_texts_for_a_tables_rules_are_sent_in_bounded_batches(spark):
     got = {r.id: (r.result.text, [tuple(e) for e in r.result.events]) for r in dictionary.substitute_by_table(docs, rules).collect()}
     assert int(spark.conf.get(key)) <= dictionary.BATCH_BYTES
     assert got == {1: ("x x", [("ab", "x", "c", None)] * 2), 2: (None, []), 3: ("", [])}
+
+
+def test_a_blocks_rules_stay_columns_in_a_worker(spark):
+    n = 50_000
+    sent = SimpleNamespace(value=dictionary._packed([dictionary.Rule(f"NAME#{k:09d}", f"Acct-{k};", "name", k % 2 == 1) for k in range(n)]))
+    tracemalloc.start()
+    try:
+        worker = dictionary._applier(sent).func(iter([pa.array(["name#000000008, name#000000007, NAME#000000007", None])]))
+        got = next(worker).to_pylist()
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert got[0]["text"] == "Acct-8;, name#000000007, Acct-7;" and [e["original"] for e in got[0]["events"]] == ["NAME#000000007", "name#000000008"]
+    assert got[1]["text"] is None
+    assert held < 100 * n, held / n

@@ -8,7 +8,7 @@ to the shortest; each sees what the ones before left.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
 
@@ -29,6 +29,8 @@ BLOCK_BYTES = 16 << 20
 RULE_BYTES = 32
 #: Bytes of texts that are sent to a worker at once, and rows that it returns at once.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 50_000
+#: Rules that are objects at once while an automaton is made of them.
+FEW_ROWS = 4096
 #: Characters of a text that are cut at once.
 CHUNK = 4096
 
@@ -197,12 +199,30 @@ def _unpacked(block: pa.Table) -> list[Rule]:
     return [Rule(r, t, same.setdefault(c, c), cs) for part in block.to_batches(max_chunksize=BATCH_ROWS) for r, t, c, cs in zip(*(x.to_pylist() for x in part.columns), strict=True)]
 
 
+class _Rules(Sequence[Rule]):
+    """Rules that stay columns; one is an object while it is looked at."""
+
+    def __init__(self, block: pa.Table):
+        self.block = block
+        self.columns = [c.chunk(0) if c.num_chunks == 1 else c.combine_chunks() for c in block.columns]
+
+    def __len__(self) -> int:
+        return len(self.block)
+
+    def __getitem__(self, k: int) -> Rule:
+        return Rule(*(c[k].as_py() for c in self.columns))
+
+    def __iter__(self) -> Iterator[Rule]:
+        for k in range(0, len(self), FEW_ROWS):
+            yield from _unpacked(self.block.slice(k, FEW_ROWS))
+
+
 def _applier(sent: Broadcast) -> Callable[[Column], Column]:
     names = ("original", "replaced", "category", "pattern")
 
     @F.arrow_udf(STATE)
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = Automaton(_unpacked(sent.value))
+        known = Automaton(_Rules(sent.value))
         for batch in batches:
             texts, ends, events = [], array("i", [0]), ([], [], [])
             for text in batch:
