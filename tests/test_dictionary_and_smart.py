@@ -184,3 +184,20 @@ def test_a_blocks_rules_stay_columns_in_a_worker(spark):
     assert got[0]["text"] == "Acct-8;, name#000000007, Acct-7;" and [e["original"] for e in got[0]["events"]] == ["NAME#000000007", "name#000000008"]
     assert got[1]["text"] is None
     assert held < 100 * n, held / n
+
+
+def test_substituted_texts_are_returned_in_bounded_batches(spark, monkeypatch):
+    sent = SimpleNamespace(value=dictionary._packed([dictionary.Rule("ab", "xyz", "c", False)]))
+    texts = ["ab" * (k % 7) if k % 5 else None for k in range(40)]
+    whole = [{"text": None if t is None else "xyz" * (len(t) // 2), "events": [{"original": "ab", "replaced": "xyz", "category": "c", "pattern": None}] * (len(t or "") // 2)} for t in texts]
+    for name, most in (("BATCH_ROWS", 9), ("BATCH_BYTES", 20)):
+        with monkeypatch.context() as m:
+            m.setattr(dictionary, name, most)
+            got = list(dictionary._applier(sent).func(iter([pa.array(texts[:30]), pa.array([], pa.string()), pa.array(texts[30:])])))
+        assert [r for part in got for r in part.to_pylist()] == whole
+        assert max(sum(len(r["events"]) for r in part.to_pylist()[:-1]) for part in got) < 9
+    monkeypatch.setattr(dictionary, "BATCH_ROWS", 9)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    rules = spark.createDataFrame([("ab", "xyz", "c", False, True)], "real string, substitute string, category string, case_sensitive boolean, enabled boolean")
+    rows = dictionary.substitute_by_table(docs, rules).collect()
+    assert {r.id: (r.result.text, len(r.result.events)) for r in rows} == {k: (w["text"], len(w["events"])) for k, w in enumerate(whole)}

@@ -27,7 +27,8 @@ from velum.session import checkpoints, importable, small_batches
 #: Size of a table's rules that are sent to the tasks at once: their characters, and RULE_BYTES for each.
 BLOCK_BYTES = 16 << 20
 RULE_BYTES = 32
-#: Bytes of texts that are sent to a worker at once, and rows that it returns at once.
+#: Bytes of texts that are sent to a worker at once, or returned, and rows or events that it returns at once, beside those
+#: of one text.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 50_000
 #: Rules that are objects at once while an automaton is made of them.
 FEW_ROWS = 4096
@@ -223,17 +224,25 @@ def _applier(sent: Broadcast) -> Callable[[Column], Column]:
     @F.arrow_udf(STATE)
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Automaton(_Rules(sent.value))
+        def told(texts: list[str | None], ends: array, events: tuple[list[str], ...]) -> pa.Array:
+            columns = [*(pa.array(c, pa.string()) for c in events), pa.nulls(len(events[0]), pa.string())]
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names))
+            return pa.StructArray.from_arrays([pa.array(texts, pa.string()), listed], ["text", "events"])
+
         for batch in batches:
-            texts, ends, events = [], array("i", [0]), ([], [], [])
+            texts, ends, events, size = [], array("i", [0]), ([], [], []), 0
             for text in batch:
                 new, found = known.substitute(text.as_py()) if text.is_valid else (None, [])
                 texts.append(new)
+                size += len(new or "")
                 for column, values in zip(events, zip(*found, strict=True), strict=False):
                     column.extend(values)
                 ends.append(len(events[0]))
-            columns = [*(pa.array(c, pa.string()) for c in events), pa.nulls(len(events[0]), pa.string())]
-            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names))
-            yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), listed], ["text", "events"])
+                if len(events[0]) >= BATCH_ROWS or size >= BATCH_BYTES:
+                    yield told(texts, ends, events)
+                    texts, ends, events, size = [], array("i", [0]), ([], [], []), 0
+            if texts:
+                yield told(texts, ends, events)
 
     return apply
 
