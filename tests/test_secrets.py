@@ -62,3 +62,17 @@ def test_custom_patterns(spark):
 
 def test_null(spark):
     assert run(spark, None) == (None, [])
+
+
+def test_patterns_are_tried_on_texts_with_a_literal_that_they_need(spark):
+    sql = secrets.redaction(secrets.SECRETS)
+    assert "(contains(s.text, 'AKIA')) AND rlike" in sql and "(contains(s.text, ':') OR contains(s.text, '=')) AND rlike" in sql
+    first = sql[: sql.index(" THEN ")]
+    assert first.count("rlike") == 1 and "contains(t, '-')" in first  # the pattern without a literal
+    assert run(spark, f"A-P-I: x API-KEY={A20} PWD:{A20}")[0] == "A-P-I: x API-KEY=[REDACTED] PWD=[REDACTED]"
+    assert run(spark, f"rk_test_{A20} gho_{A36} xoxs-{A20}")[0] == "[REDACTED-STRIPE-KEY] [REDACTED-GITHUB-TOKEN] [REDACTED-SLACK-TOKEN]"
+    more = secrets.custom(spark, [{"name": "Word", "pattern": r"(?i)zeb\w+"}, {"name": "End", "pattern": r"\d\z"}])
+    assert run(spark, "a ZEBRA 7", more) == ("a [REDACTED] [REDACTED]", [("7...", "[REDACTED]", "secret", "End"), ("ZEBRA...", "[REDACTED]", "secret", "Word")])
+    assert run(spark, "a ZEBRA 4111111111111111", more)[0] == "a [REDACTED] [REDACTED-CARD]"
+    only = spark.createDataFrame([(1, "a ZEBRA"), (2, "sk-"), (3, None)], "id int, t string").select(secrets.redact(F.col("t"), more).alias("r"))
+    assert [r.r.text for r in only.collect()] == ["a [REDACTED]", "sk-", None]
