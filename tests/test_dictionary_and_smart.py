@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from velum.functions import regex
 from velum.operators import dictionary, pieces, smart
 from velum.operators.dictionary import Mapping
 
@@ -201,3 +202,15 @@ def test_substituted_texts_are_returned_in_bounded_batches(spark, monkeypatch):
     rules = spark.createDataFrame([("ab", "xyz", "c", False, True)], "real string, substitute string, category string, case_sensitive boolean, enabled boolean")
     rows = dictionary.substitute_by_table(docs, rules).collect()
     assert {r.id: (r.result.text, len(r.result.events)) for r in rows} == {k: (w["text"], len(w["events"])) for k, w in enumerate(whole)}
+
+
+def test_names_are_looked_at_from_their_first_character(spark):
+    texts = ["Ann ann's ANN'S Anna, Joann; AnnAnn Ann", "éann anné _ann ann_ 1ann -ann-", "ſam xſam sam's ſam's Kim kim Kım _Kim", "\U0001f600ann\U0001f600 ann", "a.b xa.b a.b's a.bc .com x.com", None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for own in ("Ann", "Sam", "Kim", "Kım", "a.b", ".com", "é", "ann\U0001f600", "1a", "_"):
+        for flags in ("", regex.IGNORE_CASE):
+            new, old = (f"{flags}{s}(?:'s)?{regex.B}" for s in (regex.word_start(own), regex.B + regex.quote(own)))
+            got = rows.select(regex.hits(F.col("t"), new).alias("new"), regex.hits(F.col("t"), old).alias("old"), regex.gaps(F.col("t"), new).alias("g"), regex.gaps(F.col("t"), old).alias("h")).collect()
+            assert all(r.new == r.old and r.g == r.h for r in got), own
+    assert regex.word_start("Ann").startswith("Ann") and regex.word_start(".com").startswith(regex.B)
+    assert smartly(spark, "xAnn ann's ANN", smart.Identity(names=(("Ann", "Eve", "first"),))).text == "xAnn Eve's Eve"

pipeline_popup_counts: names and hosts are met at their first character, the boundary is looked at after that

Symptom: one configured first name cost as much as ten patterns of secrets, on every text.
Evidence: the pattern began with the word boundary, two lookbehinds and two lookaheads that ran at every character: 80 ns a character, 2 ns where the name comes first.
Fix: a literal that begins with a word character is matched first and looked behind from its end, which takes the same places; others keep the boundary in front.
Effect, together with 3 more commits on this code: at 1 GB of input CPU 2263 -> 1042 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.97 -> 0.97 GB, longest task 200 -> 87 s, most memory of a task 0 -> 0 MB; at 6 GB of input CPU 11601 -> 4212 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 5.89 -> 5.89 GB, longest task 267 -> 101 s, most memory of a task 0 -> 0 MB; with hot keys, at 1 GB of input CPU 648 -> 300 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.18 -> 0.18 GB, longest task 59 -> 24 s, most memory of a task 0 -> 0 MB.

@@ -22,6 +22,13 @@ def start(first: str) -> str:
     return f"(?=[{first}])(?<![A-Za-z0-9_])"
 
 
+def word_start(literal: str) -> str:
+    """The literal as a pattern, at a boundary. One that begins with a word character comes first, as other places fail
+    at its first character, and what is before it is looked at only then."""
+    own = quote(literal)
+    return f"{own}(?<![A-Za-z0-9_]{own})" if re.match(r"[A-Za-z0-9_]", literal) else B + own
+
+
 #: White space, with the Unicode spaces that Java's ``\\s`` leaves out.
 S = r"[\s\x0B   -     　﻿]"
 IGNORE_CASE = "(?iu)"

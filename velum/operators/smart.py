@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velum.functions.events import Stage, apply, event, state, when_found
-from velum.functions.regex import IGNORE_CASE, B, hits, quote, replace_all, rewrite
+from velum.functions.regex import IGNORE_CASE, B, hits, quote, replace_all, rewrite, word_start
 from velum.operators import dictionary
 from velum.operators.dictionary import Mapping
 
@@ -128,7 +128,7 @@ def stages(identity: Identity, variant: str = "live") -> list[Stage]:
                 add(rf"{IGNORE_CASE}{quote(last[0])},\s*{quote(first[0])}", constant(f"{last[1]}, {first[1]}"), "name", "smart-fullname-reverse")
         for real, substitute, _ in identity.names:
             if real and substitute:
-                add(f"{IGNORE_CASE}{B}{quote(real)}(?:'s)?{B}", partial(_possessive, substitute=substitute), "name", "smart-name")
+                add(f"{IGNORE_CASE}{word_start(real)}(?:'s)?{B}", partial(_possessive, substitute=substitute), "name", "smart-name")
     hosts = {real.lower(): (real, substitute) for real, substitute in identity.hostnames if real and substitute}
     users = [(u, s) for u, s in identity.usernames if u and s]
 
@@ -144,10 +144,10 @@ def stages(identity: Identity, variant: str = "live") -> list[Stage]:
             if not lib:
                 paths(u, s)
             if len(u) >= 3:
-                add(f"{B}{quote(u)}{B}", constant(s), "username", "smart-username")
+                add(f"{word_start(u)}{B}", constant(s), "username", "smart-username")
         for real, substitute in hosts.values():
             if len(real) >= 3:
-                add(f"{IGNORE_CASE}{B}{quote(real)}{B}", constant(substitute), "hostname", "smart-hostname")
+                add(f"{IGNORE_CASE}{word_start(real)}{B}", constant(substitute), "hostname", "smart-hostname")
     if lib and identity.on("paths"):
         for u, s in users:
             paths(u, s)
