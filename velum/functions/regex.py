@@ -117,11 +117,14 @@ def blocks_sql(items: str, each: str, start: str, out: str) -> str:
     return f"CASE WHEN size({items}) > 0 THEN flatten({every}.out) ELSE CAST(array() AS {out}) END"
 
 
-def pairs_sql(t: str, pattern: str, needs: str | tuple[str, ...] | None = None) -> str:
-    """array<struct<gap: int, value: string>>: the matches, and how many characters stand before each."""
+def pairs_sql(t: str, pattern: str, test: str | None = None) -> str:
+    """array<struct<gap: int, value: string>>: the matches, and how many characters stand before each. ``test`` is a
+    condition without which there are none."""
     hits, gaps = f"regexp_extract_all({t}, {literal(pattern)}, 0)", f"split({t}, {literal(pattern)}, -1)"
-    found = f"transform(array({hits}), h -> zip_with(slice({gaps}, 1, size(h)), h, (g, v) -> named_struct('gap', length(g), 'value', v)))[0]"
-    return f"CASE WHEN {found_in_sql(t, pattern, needs)} THEN {found} ELSE CAST(array() AS array<struct<gap:int,value:string>>) END"
+    if test:
+        hits = f"CASE WHEN {test} THEN {hits} ELSE CAST(array() AS array<string>) END"
+    found = f"zip_with(slice({gaps}, 1, size(h)), h, (g, v) -> named_struct('gap', length(g), 'value', v))"
+    return f"transform(array({hits}), h -> CASE WHEN size(h) > 0 THEN {found} ELSE CAST(array() AS array<struct<gap:int,value:string>>) END)[0]"
 
 
 def places_sql(pairs: str) -> str:
@@ -131,7 +134,8 @@ def places_sql(pairs: str) -> str:
 
 def with_offsets(text: Column, pattern: str, needs: str | None = None) -> Column:
     """array<struct<start: int, value: string>> of all matches, starts in characters from 0; none for null."""
-    return given(text, f"transform(array({pairs_sql('t', pattern, needs)}), q -> {places_sql('q')})[0]")
+    pairs = pairs_sql("t", pattern, has_sql("t", needs) if needs else None)
+    return given(text, f"transform(array({pairs}), q -> {places_sql('q')})[0]")
 
 
 def rewrite(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
