pipeline_popup_counts: secrets are met at their literal, numbers and mail addresses by a cheap part first

Symptom: with the patterns gated, redacting secrets still took 40 % of the counts' JVM CPU.
Evidence: literals that begin with a common letter cost twice as much to look for as those with a rare one; a pattern that began with a lookahead took 10 to 25 ns a character on each of a text's three passes; card numbers were tried on every text, mail addresses in full on every text with an @.
Fix: literals that begin with a rare character, the shortest first; patterns that begin with their literal and look behind it; four digits in groups, or the domain, are looked for before the whole number or address.
Effect, together with 3 more commits on this code: at 1 GB of input CPU 2263 -> 1042 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.97 -> 0.97 GB, longest task 200 -> 87 s, most memory of a task 0 -> 0 MB; at 6 GB of input CPU 11601 -> 4212 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 5.89 -> 5.89 GB, longest task 267 -> 101 s, most memory of a task 0 -> 0 MB; with hot keys, at 1 GB of input CPU 648 -> 300 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.18 -> 0.18 GB, longest task 59 -> 24 s, most memory of a task 0 -> 0 MB.

@@ -98,7 +98,7 @@ def only_changed(df: DataFrame, result_col: str = "result") -> DataFrame:
     return df.select(*[c for c in df.columns if c != result_col], found.alias(result_col))
 
 
-def when_found(text: Column, pattern: str, then: Callable[[], Column], needs: str | None = None) -> Column:
+def when_found(text: Column, pattern: str, then: Callable[[], Column], needs: str | None = None, part: str | None = None) -> Column:
     """``then`` for texts in which the pattern occurs; others pass unchanged without more work. ``needs`` is a literal
-    without which it can't occur."""
-    return F.when(found_in(text, pattern, needs), then()).otherwise(state(text))
+    without which it can't occur, ``part`` a cheaper pattern."""
+    return F.when(found_in(text, pattern, needs, part), then()).otherwise(state(text))

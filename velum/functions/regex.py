@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,9 +76,11 @@ def gaps(text: Column, pattern: str) -> Column:
     return F.split(text, pattern, -1)
 
 
-def found_in(text: Column, pattern: str, needs: str | None = None) -> Column:
-    """Whether the pattern occurs. ``needs`` is a literal without which it can't, looked for first."""
-    return text.contains(needs) & text.rlike(pattern) if needs else text.rlike(pattern)
+def found_in(text: Column, pattern: str, needs: str | None = None, part: str | None = None) -> Column:
+    """Whether the pattern occurs. ``needs`` is a literal without which it can't, ``part`` a cheaper pattern without which
+    it can't; they are looked for first."""
+    tests = [*([text.contains(needs)] if needs else []), *[text.rlike(p) for p in (part, pattern) if p]]
+    return reduce(lambda x, y: x & y, tests)
 
 
 def literal(text: str) -> str:
@@ -96,10 +99,11 @@ def has_sql(t: str, needs: str | tuple[str, ...]) -> str:
     return " OR ".join(f"contains({t}, {literal(n)})" for n in ((needs,) if isinstance(needs, str) else needs))
 
 
-def found_in_sql(t: str, pattern: str, needs: str | tuple[str, ...] | None = None) -> str:
-    """``needs``: a literal without which the pattern can't occur, or several of which it has one."""
-    test = f"rlike({t}, {literal(pattern)})"
-    return f"({has_sql(t, needs)}) AND {test}" if needs else test
+def found_in_sql(t: str, pattern: str, needs: str | tuple[str, ...] | None = None, part: str | None = None) -> str:
+    """``needs``: a literal without which the pattern can't occur, or several of which it has one. ``part``: a cheaper
+    pattern without which it can't."""
+    tests = [*([f"({has_sql(t, needs)})"] if needs else []), *[f"rlike({t}, {literal(p)})" for p in (part, pattern) if p]]
+    return " AND ".join(tests)
 
 
 #: Elements that are folded at once. A fold that appends copies what it has, so that a long array is folded in blocks.

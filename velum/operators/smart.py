@@ -22,6 +22,7 @@ from velum.operators.dictionary import Mapping
 # Mail domains of consumers.
 CONSUMER_DOMAINS = ("gmail.com", "googlemail.com", "yahoo.com", "yahoo.co.uk", "hotmail.com", "outlook.com", "live.com", "msn.com", "icloud.com", "me.com", "mac.com", "aol.com", "proton.me", "protonmail.com", "mail.com", "zoho.com", "fastmail.com", "yandex.com", "gmx.com", "gmx.net", "comcast.net", "verizon.net", "att.net", "cox.net", "sbcglobal.net", "charter.net", "bellsouth.net")
 EMAIL = rf"(?=[a-zA-Z0-9._%+\-]){B}[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{{2,}}{B}"
+EMAIL_PART = r"@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2}"
 CATCH_ALL = "user@example.com"
 
 
@@ -71,7 +72,7 @@ def _emails(text: Column, identity: Identity) -> Column:
         events = F.reverse(F.filter(made, lambda e: e["replaced"].isNotNull()))
         return state(rewrite(text, EMAIL, lambda m: F.coalesce(new(m), m)), events)
 
-    return when_found(text, EMAIL, found, needs="@")
+    return when_found(text, EMAIL, found, needs="@", part=EMAIL_PART)
 
 
 def _rule(text: Column, pattern: str, new, category: str, label: str) -> Column:
