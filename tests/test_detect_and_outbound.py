@@ -4,6 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from velum.functions import events
 from velum.functions.regex import given, with_offsets
 from velum.operators import detect, dictionary, smart
 from velum.operators.dictionary import Mapping
@@ -147,3 +148,14 @@ def test_patterns_run_only_where_a_part_of_a_match_is(spark):
             assert all(r.plain == r.found for r in got), (variant, p.name)
             assert any(r.found for r in got) or p.name == "URL with Username", p.name
     rows.unpersist()
+
+
+def test_rows_without_findings_and_repeated_rows_of_redaction(spark):
+    rows = [(1, "at 10.0.0.1 and 10.0.0.12, 10.0.0.1"), (1, "at 10.0.0.1 and 10.0.0.12, 10.0.0.1"), (None, "mac 00:1A:2b:3C:4d:5E"), (2, "1-2.3,4/5 6 a:b c-d e@f"), (3, ""), (4, None), (5, "dev@box7$ ls")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    r = events.only_changed(events.apply(df, "text", [detect.stage()], "r"), "r")
+    got = sorted((x.id or 0, x.r.text, len(x.r.events)) for x in r.collect())
+    assert got == [(0, "mac 00:00:00:00:00:00", 1)] + [(1, "at 192.0.2.1 and 192.0.2.1, 192.0.2.1", 2)] * 2 + [(5, "user@host:$ ls", 1)]
+    lib = df.select("id", F.explode(detect.findings(F.col("text"), variant="lib")).alias("f")).select("id", "f.value", F.col("f.index").alias("at"))
+    assert sorted((x.id or 0, x.value, x.at) for x in lib.collect()) == [(0, "00:1A:2b:3C:4d:5E", 4)] + sorted([(1, "10.0.0.1", 3), (1, "10.0.0.12", 16), (1, "10.0.0.1", 27)] * 2) + [(5, "dev@box7$ ", 0)]
+    assert "Exchange" not in r._jdf.queryExecution().executedPlan().toString()
